@@ -54,3 +54,50 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
         *by, value, *names,
         *[(F.col(f"_{n}_start") + F.col(f"_{n}_in")).alias(f"{n}_before") for n in names],
         *[f"{n}_total" for n in names])
+
+
+BROADCAST_ROWS = 500_000
+
+
+def percentile_table(train: DataFrame, columns: list[str], extra: DataFrame | None = None,
+                     rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """(feature, value, n, percentile) for every distinct training value and every extra value.
+
+    Percentile rank = (values below + values up to + 1 if any equal) * 50 / n. ``extra`` holds
+    (feature, value) rows to be ranked without counting as training values.
+    """
+    from decision_lens.functions.quantiles import melt
+    long = melt(train, columns).withColumn("_w", F.lit(1))
+    if extra is not None:
+        long = long.unionByName(extra.select("feature", F.col("value").cast("double"), F.lit(0).alias("_w")))
+    totals = running_totals(long, "value", {"n": F.col("_w")}, by=("feature",), rows_per_bin=rows_per_bin)
+    below, upto = F.col("n_before"), F.col("n_before") + F.col("n")
+    return totals.select("feature", "value", "n", "n_total",
+                         ((below + upto + F.when(below < upto, 1).otherwise(0)) * 50.0
+                          / F.col("n_total")).alias("percentile"))
+
+
+def lookup_percentiles(long: DataFrame, table: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Add the percentile to (.., feature, value) rows; ``table`` should be staged.
+
+    A table of checked size is broadcast. Otherwise values that hold more than a thousandth of
+    a column (at most a thousand per feature) are broadcast and only the rest is shuffled, so
+    a value shared by a third of the rows never lands in one task.
+    """
+    slim = table.select("feature", "value", "percentile")
+    if table.count() <= broadcast_rows:
+        return long.join(F.broadcast(slim), ["feature", "value"], "left")
+    hot = table.filter(F.col("n") * 1000 > F.col("n_total")).select("feature", "value", "percentile")
+    common = long.join(F.broadcast(hot), ["feature", "value"])
+    rare = long.join(F.broadcast(hot.select("feature", "value")), ["feature", "value"], "left_anti")
+    return common.unionByName(rare.join(slim, ["feature", "value"], "left"))
+
+
+def percentile_map(df: DataFrame, key: str, columns: list[str], table: DataFrame,
+                   names: dict | None = None) -> DataFrame:
+    """df with a map column ``percentiles`` feature -> percentile rank of the row's value."""
+    from decision_lens.functions.quantiles import melt
+    ranked = lookup_percentiles(melt(df, columns, [key]), table)
+    maps = ranked.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "percentile"))).alias("percentiles"))
+    return df.join(maps, key, "left")
