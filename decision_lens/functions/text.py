@@ -8,7 +8,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # executors get the helpers below with the job, whether or not they have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,25 +22,24 @@ def bounded(term: Column | str) -> Column:
     return F.concat(F.lit("(^|[^\\p{L}\\p{N}_])"), inner, F.lit("($|[^\\p{L}\\p{N}_])"))
 
 
-def text_counts(text: Column) -> Column:
-    """Words, sentence ends and vowel runs; keep as a column, the formulas read it many times."""
-    return F.struct(F.regexp_count(text, F.lit(WORD)).cast("double").alias("words"),
-                    F.regexp_count(text, F.lit(SENTENCE_END)).cast("double").alias("sentences"),
-                    F.regexp_count(text, F.lit(VOWELS)).cast("double").alias("vowels"))
+def with_readability(df: DataFrame, text: str, name: str = "readability") -> DataFrame:
+    """Adds Flesch reading ease, its 0-1 score and the Flesch-Kincaid grade; null for blank text.
 
-
-def readability(counts: Column) -> Column:
-    """Flesch reading ease and Flesch-Kincaid grade; syllables are runs of vowels.
-
-    Null for blank text. ``score`` is the ease clamped to 0-100 and divided by 100.
+    Syllables are runs of vowels, at least one per word. The counts are columns of their own:
+    packed in a struct they would be inlined and counted again in every formula.
     """
-    words, syllables = counts["words"], F.greatest(counts["words"], counts["vowels"])
-    sentences = F.greatest(F.lit(1.0), counts["sentences"])
-    ease = 206.835 - 1.015 * (words / sentences) - 84.6 * F.try_divide(syllables, words)
-    grade = 0.39 * (words / sentences) + 11.8 * F.try_divide(syllables, words) - 15.59
-    return F.when(words > 0, F.struct(
+    counted = df.withColumns({
+        "_words": F.regexp_count(text, F.lit(WORD)).cast("double"),
+        "_sentences": F.regexp_count(text, F.lit(SENTENCE_END)).cast("double"),
+        "_vowels": F.regexp_count(text, F.lit(VOWELS)).cast("double")})
+    per_sentence = F.col("_words") / F.greatest(F.lit(1.0), F.col("_sentences"))
+    per_word = F.try_divide(F.greatest(F.col("_words"), F.col("_vowels")), F.col("_words"))
+    ease = 206.835 - 1.015 * per_sentence - 84.6 * per_word
+    grade = 0.39 * per_sentence + 11.8 * per_word - 15.59
+    return counted.withColumn(name, F.when(F.col("_words") > 0, F.struct(
         (F.least(F.lit(100.0), F.greatest(F.lit(0.0), ease)) / 100.0).alias("score"),
-        ease.alias("flesch_reading_ease"), grade.alias("flesch_kincaid_grade")))
+        ease.alias("flesch_reading_ease"), grade.alias("flesch_kincaid_grade")))).drop(
+        "_words", "_sentences", "_vowels")
 
 
 # One token per match: a whole string, an unfinished string, a comment, a bare word, or a bracket.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from decision_lens.functions.text import bounded, readability, text_counts
+from decision_lens.functions.text import bounded, with_readability
 from decision_lens.schemas import IMMUTABLE_TERMS, TECHNICAL_OF_FRIENDLY, FEATURES
 
 NOT_APPLICABLE = ("N/A", "n/a")
@@ -113,8 +113,7 @@ def fidelity(listed: Column, top: Column) -> Column:
 
 
 METRICS = {
-    "readability": lambda df: df.withColumn("_counts", text_counts(F.col("consumer_text"))).withColumn(
-        "readability", readability(F.col("_counts"))).drop("_counts"),
+    "readability": lambda df: with_readability(df, "consumer_text"),
     "checklist": lambda df: df.withColumn("checklist", checklist(
         F.col("understandability_items"), F.col("actionability_items"))),
     "regulatory": lambda df: df.withColumn("feature_name_matching", technical_substrings(F.col("consumer_text"))),
