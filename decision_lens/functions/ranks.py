@@ -13,6 +13,7 @@ from decision_lens.session import freeze, join_small
 
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 1024
+_PROBS = ", ".join(f"{i / MAX_BINS!r}D" for i in range(1, MAX_BINS))
 
 
 def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
@@ -31,7 +32,7 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
 
     sketch = freeze(df.groupBy(*keys).agg(
         F.approx_count_distinct(value).alias("_d"),
-        F.percentile_approx(value, [i / MAX_BINS for i in range(1, MAX_BINS)], 10_000).alias("_q")))
+        F.expr(f"percentile_approx(`{value}`, array({_PROBS}), 10000)").alias("_q")))
     step = F.greatest(F.lit(1), (F.col("_d") / rows_per_bin + 1).cast("int"))
     wide = F.greatest(F.lit(1), (F.lit(MAX_BINS) / step).cast("int"))
     cuts = sketch[0].select(*keys, F.array_distinct(

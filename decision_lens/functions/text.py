@@ -16,10 +16,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORD, SENTENCE_END, VOWELS = "[^ \\t\\n\\r]+", "[.!?]+", "[aeiouyAEIOUY]+"
 
 
-def bounded(term: Column | str) -> Column:
+def bounded(term: str) -> Column:
     """Pattern for a term that no letter, digit or underscore touches."""
-    inner = F.regexp_replace(F.lit(term) if isinstance(term, str) else term, "([^A-Za-z0-9_ ])", "\\\\$1")
-    return F.concat(F.lit("(^|[^\\p{L}\\p{N}_])"), inner, F.lit("($|[^\\p{L}\\p{N}_])"))
+    return F.lit(f"(^|[^\\p{{L}}\\p{{N}}_]){re.escape(term)}($|[^\\p{{L}}\\p{{N}}_])")
+
+
+def mentions(low: Column, term: str) -> Column:
+    """Whether lower-case text holds a lower-case term as a whole; the cheap search goes first."""
+    return F.contains(low, F.lit(term)) & F.regexp_like(low, bounded(term))
 
 
 def with_readability(df: DataFrame, text: str, name: str = "readability") -> DataFrame:

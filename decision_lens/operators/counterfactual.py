@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from decision_lens.functions.columns import logistic
 from decision_lens.functions.quantiles import quantile_dict
@@ -53,48 +55,87 @@ def change_distance(changes: Column) -> Column:
     return F.when(size > 0, total / size).otherwise(50.0)
 
 
+def candidate_list(grid: list[tuple[str, float]]) -> list[tuple[int, int | None]]:
+    """One- and two-feature candidates as grid positions, in the order that breaks ties."""
+    place = FEATURE_COLUMNS.index
+    single = [(i, None) for i in range(len(grid))]
+    double = [(i, j) for i in range(len(grid)) for j in range(len(grid)) if place(grid[i][0]) < place(grid[j][0])]
+
+    def order(c):
+        names = "|".join(TECHNICAL[grid[i][0]] for i in c if i is not None)
+        return (sum(i is not None for i in c), names, *[grid[i][1] for i in c if i is not None])
+
+    return sorted(single + double, key=order)
+
+
+def _picker(grid, candidates, levels: dict, frozen: Frozen, k: int):
+    """Pandas UDF: positions of the k best flipping candidates of each row (a few array operations per batch)."""
+    columns = [c for c, _ in grid]
+    used = sorted(set(columns), key=columns.index)
+    at = np.array([used.index(c) for c in columns])
+    to = np.array([v for _, v in grid])
+    rank_to = np.array([levels[g] for g in grid])
+    weight = np.array([frozen.weights[c] for c in columns])
+    spread = np.array([frozen.scale[c] for c in columns])
+    first = np.array([a for a, _ in candidates])
+    second = np.array([a if b is None else b for a, b in candidates])
+    one = np.array([b is None for _, b in candidates])
+
+    def pick(logit: pd.Series, prediction: pd.Series, values: pd.Series, ranks: pd.Series) -> pd.Series:
+        out = []
+        for s in range(0, len(logit), 1024):
+            x = np.stack(values.iloc[s:s + 1024].to_numpy()).astype(float)[:, at]
+            rank = np.stack(ranks.iloc[s:s + 1024].to_numpy()).astype(float)[:, at]
+            step, real = weight * ((to - x) / spread), np.abs(to - x) >= SAME
+            far = np.abs(rank_to - rank)
+            moved = np.where(one, step[:, first], step[:, first] + step[:, second])
+            distance = np.round(np.where(one, far[:, first], (far[:, first] + far[:, second]) / 2), 9)
+            z = logit.iloc[s:s + 1024].to_numpy()[:, None] + moved
+            flips = (z > 0) != (prediction.iloc[s:s + 1024].to_numpy()[:, None] == 1)
+            distance[~(flips & real[:, first] & real[:, second])] = np.inf
+            rows, best = np.arange(len(x)), []
+            for _ in range(k):
+                i = distance.argmin(axis=1)
+                best.append(np.where(np.isfinite(distance[rows, i]), i, -1))
+                distance[rows, i] = np.inf
+            out += [r[r >= 0] for r in np.stack(best, axis=1).astype(np.int32)]
+        return pd.Series(out, index=logit.index, dtype=object)
+
+    return F.pandas_udf(pick, T.ArrayType(T.IntegerType()))
+
+
 def search(df: DataFrame, frozen: Frozen, grid: list[tuple[str, float]], levels: dict, k: int = 3) -> DataFrame:
     """Up to k flipping alternatives per row that change one or two mutable features.
 
     Needs columns logit, prediction and the map ``percentiles``. The grid is a short list of
     literals, so all candidates of a row live inside the row: nothing is joined or shuffled.
-    Ranked by percentile distance, then number of changes, then features and targets.
+    Ranked by percentile distance, then number of changes, then features and targets. Only the
+    choice runs in Python, on whole batches; the records are built from the chosen positions.
     """
-    moves = []
-    for i, (c, v) in enumerate(grid):
-        now = F.coalesce(F.col(c), F.lit(0.0))
-        moves.append(F.struct(
-            F.lit(FEATURE_COLUMNS.index(c)).alias("j"), F.lit(TECHNICAL[c]).alias("feature"),
-            now.alias("from"), F.lit(v).alias("to"), (F.lit(v) - now).alias("diff"),
-            F.col("percentiles")[c].alias("from_percentile"), F.lit(levels[(c, v)]).alias("to_percentile"),
-            F.abs(F.lit(levels[(c, v)]) - F.col("percentiles")[c]).alias("percentile_change"),
-            (F.lit(frozen.weights[c]) * ((F.lit(v) - now) / frozen.scale[c])).alias("dz")))
-    declined = F.col("prediction") == 1
-
-    def flips(dz: Column) -> Column:
-        return ((F.col("logit") + dz) > 0) != declined
-
-    def record(m: Column) -> Column:
-        return F.struct(*[m[n].alias(n) for n in (
-            "feature", "from", "to", "diff", "from_percentile", "to_percentile", "percentile_change")])
-
-    def one(m: Column) -> Column:
-        return F.struct(F.round(m["percentile_change"], 9).alias("distance"), F.lit(1).alias("n_changes"),
-                        m["feature"].alias("names"), m["to"].alias("t1"), F.lit(None).cast("double").alias("t2"),
-                        F.array(record(m)).alias("changes"))
-
-    def two(a: Column, b: Column) -> Column:
-        return F.struct(F.round((a["percentile_change"] + b["percentile_change"]) / 2, 9).alias("distance"),
-                        F.lit(2).alias("n_changes"), F.concat_ws("|", a["feature"], b["feature"]).alias("names"),
-                        a["to"].alias("t1"), b["to"].alias("t2"), F.array(record(a), record(b)).alias("changes"))
-
-    real = F.filter(F.array(*moves), lambda m: F.abs(m["diff"]) >= SAME)
-    df = df.withColumn("_moves", real)
-    singles = F.transform(F.filter("_moves", lambda m: flips(m["dz"])), one)
-    pairs = F.flatten(F.transform("_moves", lambda a: F.transform(
-        F.filter("_moves", lambda b: (b["j"] > a["j"]) & flips(a["dz"] + b["dz"])), lambda b: two(a, b))))
-    best = F.slice(F.sort_array(F.concat(singles, pairs)), 1, k)
-    return df.withColumn("counterfactuals", best).drop("_moves").withColumn(
+    candidates = candidate_list(grid)
+    used = list(dict.fromkeys(c for c, _ in grid))
+    pick = _picker(grid, candidates, levels, frozen, k)
+    chosen = pick("logit", "prediction", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in used]),
+                  F.array(*[F.col("percentiles")[c] for c in used]))
+    places = ", ".join(f"named_struct('u', {used.index(c)}, 'feature', '{TECHNICAL[c]}', 'to', {v!r}D, 'p', {levels[(c, v)]!r}D)"
+                       for c, v in grid)
+    pairs = ", ".join(f"array({a})" if b is None else f"array({a}, {b})" for a, b in candidates)
+    df = df.withColumn("_chosen", chosen).withColumn("_x", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in used])).withColumn(
+        "_p", F.array(*[F.col("percentiles")[c] for c in used]))
+    level, pair = F.expr(f"array({places})"), F.expr(f"array({pairs})")
+
+    def record(position: Column) -> Column:
+        m = F.get(level, position)
+        now, rank = F.get("_x", m["u"]), F.get("_p", m["u"])
+        return F.struct(m["feature"].alias("feature"), now.alias("from"), m["to"].alias("to"), (m["to"] - now).alias("diff"),
+                        rank.alias("from_percentile"), m["p"].alias("to_percentile"),
+                        F.abs(m["p"] - rank).alias("percentile_change"))
+
+    changes = F.transform("_chosen", lambda i: F.transform(F.get(pair, i), record))
+    cfs = F.transform(changes, lambda c: F.struct(
+        F.round(change_distance(c), 9).alias("distance"), F.size(c).alias("n_changes"),
+        F.array_join(F.transform(c, lambda m: m["feature"]), "|").alias("names"), c.alias("changes")))
+    return df.withColumn("counterfactuals", cfs).drop("_chosen", "_x", "_p").withColumn(
         "cf_status", F.when(F.size("counterfactuals") > 0, "ok").otherwise("none_found"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from decision_lens.functions.text import bounded, with_readability
+from decision_lens.functions.text import mentions, with_readability
 from decision_lens.schemas import IMMUTABLE_TERMS, TECHNICAL_OF_FRIENDLY, FEATURES
 
 NOT_APPLICABLE = ("N/A", "n/a")
@@ -58,7 +58,7 @@ def technical_substrings(text: Column) -> Column:
 def technical_mentions(text: Column) -> Column:
     """Technical names that occur as whole words, ignoring case ('age' is an ordinary word)."""
     low = F.lower(text)
-    hits = [F.when(F.regexp_like(low, bounded(n.lower())), F.lit(n)) for n in TECHNICAL_NAMES]
+    hits = [F.when(mentions(low, n.lower()), F.lit(n)) for n in TECHNICAL_NAMES]
     return F.array_compact(F.array(*hits))
 
 
@@ -68,9 +68,9 @@ def immutable_mentions(text: Column) -> Column:
     hits = []
     for feature, terms in IMMUTABLE_TERMS:
         found = F.coalesce(*[
-            F.when(F.contains(low, F.lit(t)) if " " in t else F.regexp_like(low, bounded(t)), F.lit(t)) for t in terms])
-        hits.append(F.when(found.isNotNull(), F.struct(F.lit(feature).alias("feature"), found.alias("term_found"))))
-    return F.array_compact(F.array(*hits))
+            F.when(F.contains(low, F.lit(t)) if " " in t else mentions(low, t), F.lit(t)) for t in terms])
+        hits.append(F.struct(F.lit(feature).alias("feature"), found.alias("term_found")))
+    return F.filter(F.array(*hits), lambda h: h["term_found"].isNotNull())
 
 
 def technical_name(name: Column) -> Column:

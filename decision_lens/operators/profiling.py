@@ -73,8 +73,12 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Full Pearson matrix in long form, each pair over the rows where both are present."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
-                   .alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
+    def pearson(a: str, b: str) -> Column:
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        # corr() raises on a constant column in ANSI mode
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    row = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
                  *[F.when(F.stddev_pop(c) > 0, 1.0).alias(f"d{i}") for i, c in enumerate(columns)])
 
     def cell(a: str, b: str, c: Column) -> Column:

@@ -11,6 +11,7 @@ from decision_lens.plans.explanations import (_IMM_HITS, _TECH_HITS, CHECK, GRAD
 from decision_lens.plans.registry import query
 from decision_lens.plans.similarity import EMBEDDED, embedded
 from decision_lens.schemas import CHECKLIST_ITEMS
+from decision_lens.session import stage
 
 
 def _pivot(value: str, models=MODELS) -> str:
@@ -99,7 +100,8 @@ r AS (SELECT llm_name, explanation_id, len({_IMM_HITS}) AS n, row_number() OVER
 SELECT llm_name, explanation_id, n FROM r WHERE rn <= 3""")
 def many_mentions(spark, sf_dir):
     predictions = A.scored_applicants(spark, sf_dir).select("prediction_id", "prediction")
-    df = M.evaluate(M.match(_texts(spark, sf_dir), predictions), ["immutable"])
+    df = stage(M.evaluate(M.match(_texts(spark, sf_dir), predictions), ["immutable"]).select(
+        "llm_name", "explanation_id", "prediction", "immutable_mentions"))
     return R.many_mentions(df, "immutable_mentions").select(
         "llm_name", "explanation_id", F.size("immutable_mentions").cast("long").alias("n"))
 

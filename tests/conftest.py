@@ -16,6 +16,7 @@ def build_session():
              .config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
