@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_ROWS = 20_000
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -17,9 +18,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="decision-lens-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="decision-lens-")
+    return _LOCAL[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
