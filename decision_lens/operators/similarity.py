@@ -30,7 +30,7 @@ GROUPINGS = {"overall": (), "by_llm": ("llm_name",), "by_outcome": ("outcome",),
 GROUP = ["grouping", "llm_name", "outcome"]
 ANY = "*"
 HOT_ROWS = 4096
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 BINS = 4096
 RANKED_VALUES = 100_000
 
@@ -77,19 +77,38 @@ def _partial_frame(held: dict, keys: list[str]) -> pd.DataFrame:
     return out
 
 
-def _small_group(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    m = np.stack(pdf["u"].to_numpy())
-    gram = m @ m.T if len(m) <= m.shape[1] else m.T @ m
-    row = {k: [pdf[k].iloc[0]] for k in keys}
-    return pd.DataFrame({**row, "n": [len(m)], "live": [float((m * m).sum())],
-                         "s2": [float((m.sum(axis=0) ** 2).sum())], "g2": [float((gram ** 2).sum())],
-                         "fourth": [float(((m * m).sum(axis=1) ** 2).sum())]})
+def _small_groups(batches, keys: list[str]):
+    """Sums of whole small groups from batches sorted by key; the last group waits for the next batch."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+        held = pdf.iloc[starts[-1]:]
+        if len(starts) > 1:
+            yield _group_frame(pdf, starts, keys)
+    if held is not None and len(held):
+        yield _group_frame(held, np.array([0, len(held)]), keys)
+
+
+def _group_frame(pdf: pd.DataFrame, bounds: np.ndarray, keys: list[str]) -> pd.DataFrame:
+    """One row per group between consecutive bounds."""
+    u = np.stack(pdf["u"].iloc[:bounds[-1]].to_numpy())
+    lengths = (u * u).sum(axis=1)
+    out = pdf[keys].iloc[bounds[:-1]].reset_index(drop=True)
+    groups = [u[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+    grams = [m @ m.T if len(m) <= m.shape[1] else m.T @ m for m in groups]
+    out["n"] = np.diff(bounds)
+    out["live"] = np.add.reduceat(lengths, bounds[:-1])
+    out["s2"] = (np.add.reduceat(u, bounds[:-1], axis=0) ** 2).sum(axis=1)
+    out["g2"] = [float((g * g).sum()) for g in grams]
+    out["fourth"] = np.add.reduceat(lengths ** 2, bounds[:-1])
+    return out
 
 
 def pair_sums(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys, n, pairs, total, squares): count, sum and sum of squares of the cosines inside each key.
 
-    Keys of up to ``hot_rows`` rows are handled one group at a time. Larger ones are reduced to
+    Keys of up to ``hot_rows`` rows are brought together and handled whole. Larger ones are reduced to
     one sum vector and one outer-product matrix per partition before anything is shuffled.
     Key columns must not be null.
     """
@@ -102,7 +121,8 @@ def pair_sums(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataF
     rows = df.select(*keys, "u")
     no_hot = hot[1] and hot[0].isEmpty()
     small = rows if no_hot else join_small(rows, hot, keys, "left_anti")
-    sums = small.groupBy(*keys).applyInPandas(lambda pdf: _small_group(pdf, keys), small_schema)
+    sums = small.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(
+        lambda it: _small_groups(it, keys), small_schema)
     if not no_hot:
         schema = T.StructType([*key_fields, T.StructField("n", T.LongType()), T.StructField("live", T.DoubleType()),
                                T.StructField("cells", T.ArrayType(T.DoubleType())), T.StructField("d", T.IntegerType())])
@@ -172,6 +192,14 @@ def _bin(v: np.ndarray, low: float, width: float) -> np.ndarray:
     return np.clip(np.floor((v - low) / width * BINS), 0, BINS - 1).astype(np.int64)
 
 
+def _next(path: tuple) -> tuple[float, float]:
+    """Range of the values that are counted next: the last chosen bin, or all of [-1, 1]."""
+    if not path:
+        return -1.0, 2.0
+    low, width, chosen = path[-1]
+    return low + chosen * width / BINS, width / BINS
+
+
 def _classes(a: pd.DataFrame, b: pd.DataFrame, wanted: list[str]):
     same = a["p"].to_numpy()[:, None] == b["p"].to_numpy()[None, :]
     ca, cb = a["c"].to_numpy()[:, None], b["c"].to_numpy()[None, :]
@@ -196,21 +224,22 @@ def _cell(pdf: pd.DataFrame, keys: list[str], wanted: list[str], paths: dict, va
         found = dots[mask & upper]
         if not len(found):
             continue
+        ends = float(found.min()), float(found.max())
+        counts: dict = {}
         for target in (0, 1):
-            path = paths.get((*key, name, target))
-            if paths and path is None:
-                continue
-            v = found
-            for low, width, chosen in path or ():
-                v = v[_bin(v, low, width) == chosen]
-            if not len(v):
+            path = paths.get((*key, name, target), ())
+            if paths and not path:
                 continue
+            if path not in counts:
+                v = found
+                for low, width, chosen in path:
+                    v = v[_bin(v, low, width) == chosen]
+                low, width = _next(path)
+                counts[path] = v if values else np.bincount(_bin(v, low, width), minlength=BINS)
             if values:
-                rows += [(*key, name, target, 0, 1, x, x) for x in v]
-                continue
-            low, width = (-1.0, 2.0) if not path else (path[-1][0] + path[-1][2] * path[-1][1] / BINS, path[-1][1] / BINS)
-            at, n = np.unique(_bin(v, low, width), return_counts=True)
-            rows += [(*key, name, target, int(x), int(c), float(found.min()), float(found.max())) for x, c in zip(at, n)]
+                rows += [(*key, name, target, 0, 1, x, x) for x in counts[path]]
+            else:
+                rows += [(*key, name, target, int(x), int(counts[path][x]), *ends) for x in np.flatnonzero(counts[path])]
     return pd.DataFrame(rows, columns=[*keys, "pair_class", "target", "bin", "n", "lo", "hi"])
 
 
@@ -267,8 +296,7 @@ def order_stats(df: DataFrame, keys: list[str], classes: list[str] = PAIR_CLASSE
         for h in hit:
             k = tuple(h[c] for c in group)
             path = paths.get(k, ())
-            low, width = (-1.0, 2.0) if not path else (path[-1][0] + path[-1][2] * path[-1][1] / BINS, path[-1][1] / BINS)
-            paths[k] = (*path, (low, width, h["bin"]))
+            paths[k] = (*path, (*_next(path), h["bin"]))
             ranks[k] = h["rank"] - (h["upto"] - h["n"])
             longest = max(longest, h["n"])
         if longest <= ranked_values or len(next(iter(paths.values()))) >= 4:

@@ -52,8 +52,9 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("hot,block,ranked", [(4096, 2048, 100_000), (8, 16, 3)])
-def test_pair_stats(spark, monkeypatch, hot, block, ranked):
+@pytest.mark.parametrize("hot,block,ranked", [(4096, 2048, 100_000), (8, 16, 3), (40, 2048, 5)])
+def test_pair_stats(spark, hot, block, ranked):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if hot == 4096 else 7)
     rows = data()
     df = S.unit(spark.createDataFrame(rows, SCHEMA)).cache()
     want = brute(rows)
