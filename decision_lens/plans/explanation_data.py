@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from decision_lens.functions.columns import outcome
-from decision_lens.operators import counterfactual as cfs, metrics as M, salvage
+from decision_lens.operators import metrics as M, salvage
 from decision_lens.operators.attribution import ranked_features
 from decision_lens.operators.worklist import explanation_key
 from decision_lens.plans import adapters as A
