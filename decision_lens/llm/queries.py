@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from decision_lens.llm import chat, decontaminate as decon, rules, warc
+from decision_lens.llm import chat, decontaminate as decon, quality_cnn, rules, warc
 from decision_lens.llm.sql import BLOCKS_SQL
 
 QUERIES: dict = {}
@@ -48,3 +48,9 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.with_originals(warc.read_archives(spark, folder, payload=False))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_cnn.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return scores.select("doc_id", "held_out", "score", "predicted")
