@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from decision_lens.llm import chat, decontaminate as decon, quality_cnn, rules, warc
+from decision_lens.llm import chat, decontaminate as decon, quality_cnn, rules, superminhash, warc
 from decision_lens.llm.sql import BLOCKS_SQL
 
 QUERIES: dict = {}
@@ -54,3 +54,8 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_cnn.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return scores.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
