@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from decision_lens.llm import chat, decontaminate as decon, quality_cnn, rules, superminhash, warc
+from decision_lens.llm import chat, chunk_dedup, decontaminate as decon, quality_cnn, rules, superminhash, warc
 from decision_lens.llm.sql import BLOCKS_SQL
 
 QUERIES: dict = {}
@@ -59,3 +59,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+
+
+@query
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk_dedup.deduplicated(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    spans = F.col("removed_spans")
+    gone = F.aggregate(spans, F.struct(F.lit(-1).cast("long").alias("sign"), F.lit(0).cast("long").alias("sum")),
+                       lambda s, x: F.struct((-s["sign"]).alias("sign"), (s["sum"] + s["sign"] * x).alias("sum")))["sum"]
+    return out.select("doc_id", "n_chunks", (F.size(spans) / 2).cast("long").alias("n_spans"), gone.alias("n_removed"),
+                      F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
