@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from decision_lens.llm import chat, chunk_dedup, decontaminate as decon, quality_cnn, rules, superminhash, warc
+import corpus_pipeline
+from decision_lens.llm import chat, chunk_dedup, decontaminate as decon, pieces, quality_cnn, rules, superminhash, warc
 from decision_lens.llm.sql import BLOCKS_SQL
 
 QUERIES: dict = {}
@@ -69,3 +70,16 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        lambda s, x: F.struct((-s["sign"]).alias("sign"), (s["sum"] + s["sign"] * x).alias("sum")))["sum"]
     return out.select("doc_id", "n_chunks", (F.size(spans) / 2).cast("long").alias("n_spans"), gone.alias("n_removed"),
                       F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encoded(table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
+    out = pieces.decoded(ids)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
