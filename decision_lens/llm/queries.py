@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from decision_lens.llm import chat, chunk_dedup, decontaminate as decon, pieces, quality_cnn, rules, suffix_dedup, superminhash, warc
+from decision_lens.llm import attention_lm, chat, chunk_dedup, decontaminate as decon, pieces, quality_cnn, rules, suffix_dedup, superminhash, warc
 from decision_lens.llm.sql import BLOCKS_SQL
 
 QUERIES: dict = {}
@@ -88,3 +88,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scored(table(spark, sf_dir, "documents"))
