@@ -7,7 +7,7 @@ the smallest hash of their id, of texts up to SAMPLE_BYTES bytes, the same rows
 
 Defined cases: null and empty texts are one chunk of padding; without labels, or with labels of one class only, every score is
 0.5 or that class; rows with a null id are scored and never learned from; several labels of an id count as their greatest;
-repeated rows get equal scores; an empty table gives an empty result; input columns named like a result are replaced.
+repeated rows get equal scores but for rounding; an empty table gives an empty result; input columns named like a result are replaced.
 """
 
 from __future__ import annotations
