@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from decision_lens.llm import attention_lm, chat, chunk_dedup, decontaminate as decon, pieces, quality_cnn, rules, suffix_dedup, superminhash, warc
 from decision_lens.llm.sql import BLOCKS_SQL
+from decision_lens.llm.textkit import importable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     if fn.__name__ in BLOCKS_SQL:
         ORACLES[fn.__name__] = BLOCKS_SQL[fn.__name__]
-    return fn
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,12 +6,14 @@ Callers that need certainty compare the bytes behind equal hashes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 SLICE_BYTES = 2 << 20
@@ -34,6 +36,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this library where it is not installed: its folder joins their search path."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def fresh(names, wanted: str) -> str:
     """A column name that is not in use."""
     while wanted in names:
