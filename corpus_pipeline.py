@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from decision_lens.llm import chunk_dedup, decontaminate, pieces, rules, superminhash
+from decision_lens.llm.textkit import importable
 from decision_lens.session import stage
 
 
@@ -45,6 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, apply in STAGES[:-1]:
         docs = stage(apply(spark, docs, sf_dir))
