@@ -21,26 +21,29 @@ def _hashed(df: DataFrame, key: str, seed, digits: int) -> DataFrame:
     return df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
 
 
-def split_by_hash(df: DataFrame, key: str, quotas: dict, stratum: Column | None = None,
+def split_by_hash(df: DataFrame, key: str, quotas: dict | DataFrame, stratum: Column | None = None,
                   seed=42, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
     """(taken, rest): the first ``quotas[s]`` rows of each stratum s in hash order, and all others.
 
-    Strata without a quota go to the rest. ``quotas`` is a small dict (strata are categories).
+    Strata without a quota go to the rest. ``quotas`` is a small dict (strata are categories), or a
+    frame (stratum, quota) where there may be many.
     """
     columns = df.columns
     stratum = F.lit("all") if stratum is None else F.coalesce(stratum.cast("string"), F.lit("null"))
     rows = _hashed(df.withColumn("_s", stratum), key, seed, digits)
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(
-        [(str(s), int(n)) for s, n in quotas.items() if n > 0], "_s string, _n long")
-    if not any(n > 0 for n in quotas.values()):
+    if isinstance(quotas, DataFrame):
+        s, n = quotas.columns
+        wanted = quotas.select(F.col(s).cast("string").alias("_s"), F.col(n).cast("long").alias("_n")).filter("_n > 0")
+    elif any(n > 0 for n in quotas.values()):
+        wanted = F.broadcast(df.sparkSession.createDataFrame([(str(s), int(n)) for s, n in quotas.items() if n > 0], "_s string, _n long"))
+    else:
         return df.limit(0), df
     counts = rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = F.sum("_c").over(
         Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     cut = freeze(
         counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .join(F.broadcast(wanted), "_s")
+        .join(wanted, "_s")
         .filter(F.col("_before") < F.col("_n"))
         .groupBy("_s")
         .agg(F.max("_b").alias("_cut"), F.max(F.struct("_before", "_n")).alias("_last"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(df.na.drop(subset=features))
+    """Feature vectors; a missing value is 0, as in scoring (C11)."""
+    return VectorAssembler(inputCols=features, outputCol="features").transform(df.na.fill(0.0, subset=features))
 
 
 def kmeans_sweep(df: DataFrame, features: list[str], ks=range(2, 7), seed: int = 42) -> DataFrame:

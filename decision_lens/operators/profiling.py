@@ -57,10 +57,11 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
-    """Counts and shares per value; the window runs over the counted values only."""
+    """Counts and shares per value; the total is one row that joins the counts."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    total = counts.agg(F.sum("n").alias("_total"), F.lit(1).alias("_one"))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("value", "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Report tables per generator (K1-K13). Pivots take their columns from a given order, so no
-extra pass over the data looks for them."""
+"""Report tables per generator (K1-K13). Pivots have a column for every generator of a given order
+and, after those, for every other one in the data."""
 
 from __future__ import annotations
 
@@ -11,16 +11,22 @@ from decision_lens.schemas import CHECKLIST_ITEMS, FIRST_ACTION_ITEM, PAIR_CLASS
 from decision_lens.session import freeze, join_small
 
 
+def generators(df: DataFrame, order: list[str]) -> list[str]:
+    """The given order, then the names that it lacks; a pivot's columns, so few by nature."""
+    found = [r[0] for r in df.filter(F.col("llm_name").isNotNull()).select("llm_name").distinct().collect()]
+    return [*order, *sorted(set(found) - set(order))]
+
+
 def metric_table(long: DataFrame, order: list[str]) -> DataFrame:
     """metric x generator means; null where a generator has no value."""
-    return long.groupBy("metric").pivot("llm_name", order).agg(F.avg("value"))
+    return long.groupBy("metric").pivot("llm_name", generators(long, order)).agg(F.avg("value"))
 
 
 def relative_flip_rate(df: DataFrame, baseline: Column, by: str = "llm_name") -> DataFrame:
-    """Share of suggestions that flip, relative to generated counterfactuals at position 1."""
+    """Share of suggestions that flip, relative to ``baseline``, an aggregate: the rate of counterfactuals at position 1."""
     rate = F.avg(F.col("cf_flipped").cast("double"))
-    return df.groupBy(by).agg(rate.alias("flip_rate")).withColumn(
-        "relative_flip_rate", F.try_divide(F.col("flip_rate"), baseline))
+    return df.groupBy(by).agg(rate.alias("flip_rate"), baseline.alias("_base")).withColumn(
+        "relative_flip_rate", F.try_divide(F.col("flip_rate"), F.col("_base"))).drop("_base")
 
 
 def suggestion_totals(df: DataFrame, by: str = "llm_name") -> DataFrame:
@@ -59,6 +65,7 @@ def checklist_table(df: DataFrame, order: list[str]) -> DataFrame:
         items.append(F.struct(F.lit(n).alias("position"), F.lit(f"Item {n}").alias("item"), F.lit(text).alias("description"),
                               F.lit(part.capitalize()).alias("category"), value.alias("value")))
     long = df.select("llm_name", F.inline(F.concat(overall, F.array(*items))))
+    order = generators(df, order)
     table = long.groupBy("position", "item", "description", "category").pivot("llm_name", order).agg(F.avg("value"))
     return table.select("position", "item", "description", "category", *[
         F.coalesce(fixed_point(F.col(f"`{g}`"), 3), F.lit("N/A")).alias(g) for g in order])
@@ -73,6 +80,7 @@ def mention_pivot(df: DataFrame, mentions: Column, order: list[str]) -> DataFram
     totals = freeze(df.groupBy("llm_name").agg(F.count(F.lit(1)).alias("texts")))
     counts = join_small(mention_counts(df, mentions), totals, "llm_name")
     share = counts.withColumn("share", F.round(100.0 * F.col("n") / F.col("texts"), 1))
+    order = generators(df, order)
     return share.groupBy("feature").pivot("llm_name", order).agg(F.max("share")).fillna(0.0, order)
 
 
@@ -87,6 +95,7 @@ def similarity_table(stats: DataFrame, order: list[str]) -> DataFrame:
     """outcome x class rows with generator columns, from the finest grouping; 'N/A' without pairs."""
     fine = stats.filter("grouping = 'by_llm_outcome'")
     position = F.array_position(F.array(*[F.lit(c) for c in PAIR_CLASSES]), F.col("pair_class"))
+    order = generators(fine, order)
     table = fine.groupBy("outcome", "pair_class").pivot("llm_name", order).agg(
         F.max(F.when(F.col("count") > 0, fixed_point(F.col("mean"), 3))))
     return table.withColumn("position", position.cast("int")).select(

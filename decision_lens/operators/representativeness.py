@@ -72,16 +72,15 @@ def preservation(population: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def age_band_means(population: DataFrame, sample: DataFrame, band: Column) -> DataFrame:
-    """Mean probability and prediction per age band in fixed order; empty bands give 0."""
+    """Mean probability and prediction per age band that occurs, in fixed order with unknown ages last; a side without the band gives 0."""
     both = tagged(population, sample, band.alias("age_band"), F.col("prediction"), F.col("probability"))
     pop, smp = F.col("in_sample") == 0, F.col("in_sample") == 1
     means = both.groupBy("age_band").agg(
         *[F.avg(F.when(side, F.col(c))).alias(f"{n}_{c}")
           for n, side in (("population", pop), ("sample", smp)) for c in ("prediction", "probability")])
     order = population.sparkSession.createDataFrame(
-        [(i, name) for i, (_, name) in enumerate(AGE_BANDS)], "position int, age_band string")
-    joined = F.broadcast(order).join(means, "age_band", "left")
-    return joined.fillna(0.0)
+        [(i, name) for i, name in enumerate([*(name for _, name in AGE_BANDS), "Unknown"])], "position int, age_band string")
+    return means.join(F.broadcast(order), "age_band").fillna(0.0)
 
 
 def stacked(*tables: DataFrame) -> DataFrame:

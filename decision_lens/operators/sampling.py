@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from decision_lens.functions.columns import age_band, probability_band, seeded_hash
 from decision_lens.functions.sampling import split_by_hash, take_by_hash
 from decision_lens.schemas import BAND_PRIORITY, SAMPLING_TARGETS
-from decision_lens.session import SMALL_ROWS
+from decision_lens.session import SMALL_ROWS, stage
 
 
 def strata_counts(df: DataFrame, *columns: Column) -> dict:
@@ -46,13 +46,14 @@ def undersample(df: DataFrame, key: str, label: str, ratio: float = 0.3, seed=42
 def cluster_sample(df: DataFrame, key: str, size: int, cluster: str = "cluster_id", seed=42) -> DataFrame:
     """At least one row per cluster, proportional quotas, then trimmed or topped up to ``size``."""
     stratum = F.coalesce(F.col(cluster), F.lit(0))
-    counts = strata_counts(df, stratum)
-    total = sum(counts.values())
+    total = df.count()
     if size >= total:
         return df
-    quotas = {s: min(n, max(1, int(size * n / total))) for s, n in counts.items()}
+    share = F.greatest(F.lit(1), F.floor(F.lit(float(size)) * F.col("n") / F.lit(float(total))))
+    quotas = stage(df.groupBy(F.coalesce(stratum.cast("string"), F.lit("null")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+                   .select("s", F.least(F.col("n"), share).cast("long").alias("quota")))
     taken, rest = split_by_hash(df, key, quotas, stratum, seed)
-    count = sum(quotas.values())
+    count = quotas.agg(F.sum("quota")).first()[0]
     if count > size:
         return take_by_hash(taken, key, size, seed)
     if count < size:

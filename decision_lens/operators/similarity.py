@@ -13,6 +13,7 @@ Two exact routes:
 
 from __future__ import annotations
 
+import json
 import sys
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from decision_lens.functions.sampling import number_by_hash
 from decision_lens.schemas import PAIR_CLASSES
-from decision_lens.session import SMALL_ROWS, freeze, join_small
+from decision_lens.session import freeze, join_small, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -210,8 +211,8 @@ def _classes(a: pd.DataFrame, b: pd.DataFrame, wanted: list[str]):
     return [(c, masks[c]()) for c in wanted]
 
 
-def _cell(pdf: pd.DataFrame, keys: list[str], wanted: list[str], paths: dict, values: bool) -> pd.DataFrame:
-    """One grid cell: counts per value bin (or the values of the last bin) for every class and target."""
+def _cell(pdf: pd.DataFrame, keys: list[str], wanted: list[str], values: bool) -> pd.DataFrame:
+    """One grid cell: counts per value bin (or per value inside the last bin) for every class and target."""
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
     a = a.sort_values("row_no")
@@ -219,27 +220,27 @@ def _cell(pdf: pd.DataFrame, keys: list[str], wanted: list[str], paths: dict, va
     dots = np.clip(np.stack(a["u"].to_numpy()) @ np.stack(b["u"].to_numpy()).T, -1.0, 1.0)
     upper = np.triu(np.ones_like(dots, dtype=bool), 1) if i == j else np.ones_like(dots, dtype=bool)
     key = tuple(pdf[k].iloc[0] for k in keys)
+    known = pdf["paths"].iloc[0]
+    paths = None if known is None else {(p["pair_class"], p["target"]): tuple((x["low"], x["width"], x["chosen"]) for x in p["path"]) for p in json.loads(known)}
     rows = []
     for name, mask in _classes(a, b, wanted):
         found = dots[mask & upper]
         if not len(found):
             continue
         ends = float(found.min()), float(found.max())
-        counts: dict = {}
+        counted: dict = {}
         for target in (0, 1):
-            path = paths.get((*key, name, target), ())
-            if paths and not path:
-                continue
-            if path not in counts:
+            path = () if paths is None else paths[name, target]
+            if path not in counted:
                 v = found
                 for low, width, chosen in path:
                     v = v[_bin(v, low, width) == chosen]
-                low, width = _next(path)
-                counts[path] = v if values else np.bincount(_bin(v, low, width), minlength=BINS)
+                counted[path] = np.unique(v if values else _bin(v, *_next(path)), return_counts=True)
+            at, n = counted[path]
             if values:
-                rows += [(*key, name, target, 0, 1, x, x) for x in counts[path]]
+                rows += [(*key, name, target, 0, int(c), float(x), float(x)) for x, c in zip(at, n)]
             else:
-                rows += [(*key, name, target, int(x), int(counts[path][x]), *ends) for x in np.flatnonzero(counts[path])]
+                rows += [(*key, name, target, int(x), int(c), *ends) for x, c in zip(at, n)]
     return pd.DataFrame(rows, columns=[*keys, "pair_class", "target", "bin", "n", "lo", "hi"])
 
 
@@ -264,58 +265,45 @@ def order_stats(df: DataFrame, keys: list[str], classes: list[str] = PAIR_CLASSE
         T.StructField("pair_class", T.StringType()), T.StructField("target", T.IntegerType()),
         T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()),
         T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-
-    def counted(paths, values):
-        return cells.groupBy(*keys, "i", "j").applyInPandas(
-            lambda pdf: _cell(pdf, keys, classes, paths, values), schema)
-
     group = [*keys, "pair_class", "target"]
-    paths: dict = {}
-    while True:
-        bins = counted(paths, False).groupBy(*group, "bin").agg(
-            F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        upto = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+
+    def counted(state, values):
+        if state is None:
+            known = cells.withColumn("paths", F.lit(None).cast("string"))
+        else:  # at most a path for each class and target of a key
+            paths = state.groupBy(*keys).agg(F.to_json(F.collect_list(F.struct("pair_class", "target", "path"))).alias("paths"))
+            known = cells.join(paths, keys)
+        return known.groupBy(*keys, "i", "j").applyInPandas(lambda pdf: _cell(pdf, keys, classes, values), schema)
+
+    def placed(frame, place, state):
+        """Rows that hold the wanted rank of their group."""
+        upto = F.sum("n").over(Window.partitionBy(*group).orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
         whole = Window.partitionBy(*group)
-        placed = bins.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("total"),
-                             F.min("lo").over(whole).alias("low"), F.max("hi").over(whole).alias("high"))
-        if not paths:
-            rank = F.floor((F.col("total") - 1 + F.col("target")) / 2)
+        found = frame.withColumn("upto", upto)
+        if state is None:
+            total = F.sum("n").over(whole)
+            found = found.select("*", F.floor((total - 1 + F.col("target")) / 2).alias("rank"), F.lit([]).cast("array<struct<low: double, width: double, chosen: int>>").alias("path"),
+                                 F.min("lo").over(whole).alias("low"), F.max("hi").over(whole).alias("high"))
         else:
-            wanted = F.create_map(*[F.lit(x) for k, r in ranks.items() for x in (_text(k), r)])
-            rank = F.element_at(wanted, F.concat_ws("\x01", *[F.col(c).cast("string") for c in group]))
-        hit = placed.withColumn("rank", rank).filter(
-            (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).limit(SMALL_ROWS + 1).collect()
-        if len(hit) > SMALL_ROWS:
-            raise ValueError("order statistics need keys with few distinct values")
-        if not hit:
-            return df.sparkSession.createDataFrame([], T.StructType(
-                [*schema.fields[:len(keys) + 1], *[T.StructField(n, T.DoubleType()) for n in ("median", "min", "max")]]))
-        if not paths:
-            ends = {tuple(h[c] for c in group[:-1]): (h["low"], h["high"]) for h in hit}
-        ranks, longest = {}, 0
-        for h in hit:
-            k = tuple(h[c] for c in group)
-            path = paths.get(k, ())
-            paths[k] = (*path, (*_next(path), h["bin"]))
-            ranks[k] = h["rank"] - (h["upto"] - h["n"])
-            longest = max(longest, h["n"])
-        if longest <= ranked_values or len(next(iter(paths.values()))) >= 4:
+            found = found.drop("lo", "hi").join(state.select(*group, "rank", "path", "low", "high"), group)
+        return found.filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+
+    last_step = F.try_element_at("path", F.lit(-1))
+    grown = F.concat("path", F.array(F.struct(
+        F.when(F.size("path") == 0, -1.0).otherwise(last_step["low"] + last_step["chosen"] * last_step["width"] / BINS).alias("low"),
+        F.when(F.size("path") == 0, 2.0).otherwise(last_step["width"] / BINS).alias("width"), F.col("bin").alias("chosen"))))
+
+    state = None
+    for _ in range(4):
+        bins = counted(state, False).groupBy(*group, "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        hit = placed(bins, "bin", state)
+        state = stage(hit.select(*group, (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "n",
+                                 grown.alias("path"), "low", "high"))
+        if (state.agg(F.max("n")).first()[0] or 0) <= ranked_values:
             break
-    inside = counted(paths, True).groupBy(*group, F.col("lo").alias("v")).agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    found = {}
-    wanted = F.create_map(*[F.lit(x) for k, r in ranks.items() for x in (_text(k), r)])
-    rank = F.element_at(wanted, F.concat_ws("\x01", *[F.col(c).cast("string") for c in group]))
-    for r in inside.withColumn("upto", upto).withColumn("rank", rank).filter(
-            (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).collect():
-        found[tuple(r[c] for c in group)] = r["v"]
-    out = [(*k, (found[(*k, 0)] + found[(*k, 1)]) / 2, *ends[k]) for k in ends]
-    return df.sparkSession.createDataFrame(out, T.StructType(
-        [*schema.fields[:len(keys) + 1], *[T.StructField(n, T.DoubleType()) for n in ("median", "min", "max")]]))
-
-
-def _text(k: tuple) -> str:
-    return "\x01".join(str(x) for x in k)
+    inside = counted(state, True).groupBy(*group, F.col("lo").alias("v")).agg(F.sum("n").alias("n"))
+    found = placed(inside, "v", state)
+    return found.groupBy(*keys, "pair_class").agg((F.sum("v") / 2).alias("median"), F.max("low").alias("min"), F.max("high").alias("max"))
 
 
 # --- combined results -------------------------------------------------------------------
@@ -328,7 +316,7 @@ def pair_stats(df: DataFrame, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_
     """count, mean, std, median, min, max per grouping and pair class; null where there is no pair."""
     ordered = order_stats(grouped(df), GROUP, block_rows=block_rows)
     joined = [*GROUP, "pair_class"]
-    return moment_stats(df, hot_rows).join(F.broadcast(ordered), joined, "left")
+    return moment_stats(df, hot_rows).join(ordered, joined, "left")
 
 
 def consistency(stats: DataFrame, by: list[str] = GROUP) -> DataFrame:

@@ -88,7 +88,7 @@ history AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS n_open,
 earning AS (SELECT *, CASE WHEN c_custkey % 40 IN (3, 7) OR c_acctbal <= 0 THEN 0 ELSE c_acctbal END AS earned,
                    coalesce(open_total, 0) / 360.0::DOUBLE AS monthly
             FROM customer LEFT JOIN history ON o_custkey = c_custkey),
-applicants AS (
+applicants AS MATERIALIZED (
   SELECT c_custkey AS row_id,
          CASE WHEN c_custkey % 97 <> 0 THEN (21 + c_custkey % 60)::DOUBLE END AS age,
          CASE WHEN c_nationkey % 7 <> 0 THEN (c_nationkey % 5)::DOUBLE END AS dependents,
@@ -129,7 +129,7 @@ filled AS (SELECT * REPLACE (coalesce(income, {FROZEN.median_income!r}::DOUBLE)
            FROM known),
 ratio AS (SELECT * REPLACE (CASE WHEN imputed_income = 1 THEN debt_ratio / income ELSE debt_ratio END AS debt_ratio)
           FROM filled),
-clean AS (SELECT * REPLACE ({_clip("utilisation")}, {_clip("debt_ratio")}, {_clip("income")}) FROM ratio)"""
+clean AS MATERIALIZED (SELECT * REPLACE ({_clip("utilisation")}, {_clip("debt_ratio")}, {_clip("income")}) FROM ratio)"""
 
 
 def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ Z = " + ".join(f"{FROZEN.weights[c]!r}::DOUBLE * ((coalesce({c}, 0) - {FROZEN.ce
 SCORED = CLEAN + f""",
 logits AS (SELECT *, {FROZEN.intercept!r}::DOUBLE + {Z} AS logit FROM clean),
 probs AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-logit)) AS probability FROM logits),
-scored AS (SELECT *, 'app-' || row_id AS prediction_id, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction
+scored AS MATERIALIZED (SELECT *, 'app-' || row_id AS prediction_id, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction
            FROM probs)"""
 BAND = """CASE WHEN probability < 0 THEN NULL WHEN probability <= 0.3 THEN 'CLEAR_ACCEPT' WHEN probability <= 0.45 THEN 'LEAN_ACCEPT'
      WHEN probability <= 0.55 THEN 'BOUNDARY' WHEN probability <= 0.7 THEN 'LEAN_REJECT'

@@ -1,5 +1,6 @@
 """Queries over metrics, clusters, training, attribution and counterfactuals."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from decision_lens.operators import attribution as att, clustering, counterfactual as cfs, evaluation as ev
@@ -101,25 +102,51 @@ def cluster_profile(spark, sf_dir):
     return clustering.profile(df, FEATURE_COLUMNS).select("cluster_id", "n", *rounded(FEATURE_COLUMNS))
 
 
-@query("kmeans_sweep")
+@query("kmeans_sweep", f"""WITH {A.CLEAN}
+SELECT k::INTEGER AS k, (SELECT count(*) FROM clean) AS n, true AS silhouette_in_range, true AS below_total FROM range(2, 7) t(k)""")
 def kmeans_sweep(spark, sf_dir):
-    return clustering.kmeans_sweep(scaled_inputs(spark, sf_dir).select(FEATURE_COLUMNS), FEATURE_COLUMNS)
+    """Of each k: rows, and whether inertia stays below the spread around the mean and the silhouette within [-1, 1]."""
+    df = stage(scaled_inputs(spark, sf_dir).select(FEATURE_COLUMNS))
+    total = df.agg(F.count(F.lit(1)).alias("n"), sum(F.var_pop(c) for c in FEATURE_COLUMNS).alias("spread"))
+    sweep = clustering.kmeans_sweep(df, FEATURE_COLUMNS).withColumn("one", F.lit(1))
+    return sweep.join(total.withColumn("one", F.lit(1)), "one").select(
+        "k", "n", F.col("silhouette_sq_euclidean").between(-1.0, 1.0).alias("silhouette_in_range"),
+        (F.col("inertia") < F.col("n") * F.col("spread")).alias("below_total"))
 
 
-@query("kmeans_assignments")
+@query("kmeans_assignments", f"""WITH {A.CLEAN} SELECT row_id, true AS nearest FROM clean""")
 def kmeans_assignments(spark, sf_dir):
+    """Of each row, whether no fitted centroid is nearer than the one it was given."""
     df = stage(scaled_inputs(spark, sf_dir).select("row_id", *FEATURE_COLUMNS))
-    return clustering.sizes(clustering.assign(df, FEATURE_COLUMNS, clustering.fit_centroids(df, FEATURE_COLUMNS)))
+    centroids = clustering.fit_centroids(df, FEATURE_COLUMNS)
+    point = F.array(*FEATURE_COLUMNS)
+    far = lambda c: F.aggregate(F.zip_with(point, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    distances = F.array(*[far(c) for c in centroids])
+    rows = clustering.assign(df, FEATURE_COLUMNS, centroids)
+    return rows.select("row_id", (F.abs(distances[F.col("cluster_id")] - F.array_min(distances)) < 1e-9).alias("nearest"))
 
 
 # --- training ---------------------------------------------------------------------------
-@query("model_select")
+GRID = {"logistic": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, "random_forest": {"numTrees": [20], "maxDepth": [5, 8]},
+        "lightgbm_like": {"maxIter": [10], "maxDepth": [3, 5], "stepSize": [0.1]},
+        "xgboost_like": {"maxIter": [10], "maxDepth": [3], "stepSize": [0.1], "subsamplingRate": [0.8]}}
+_TRIALS = ", ".join(f"('{f}', {np.prod([len(v) for v in g.values()])}::BIGINT)" for f, g in GRID.items())
+
+
+@query("model_select", f"""SELECT family, trials, true AS rates, true AS winner_is_best FROM (VALUES {_TRIALS}) v(family, trials)""")
 def model_select(spark, sf_dir):
+    """Trials of each family, whether their scores are rates, and whether the chosen family has the best of all."""
     df = stage(scaled_inputs(spark, sf_dir).select("row_id", *FEATURE_COLUMNS, "label"))
-    return training.select_model(df, FEATURE_COLUMNS, candidates=training.families(small=True))[2]
+    winner, _, trials = training.select_model(df, FEATURE_COLUMNS, candidates=training.families(grid=GRID))
+    best = trials.agg(F.max_by("family", "mean_score").alias("best"), F.max("mean_score").alias("top"), F.lit(1).alias("one"))
+    ties = trials.filter(F.col("family") == winner).agg(F.max("mean_score").alias("own"), F.lit(1).alias("one"))
+    return (trials.groupBy("family").agg(F.count(F.lit(1)).alias("trials"), F.min(F.col("mean_score").between(0.0, 1.0)).alias("rates"), F.lit(1).alias("one"))
+            .join(best, "one").join(ties, "one").select("family", "trials", "rates", (F.col("own") >= F.col("top")).alias("winner_is_best")))
 
 
-@query("holdout_metrics")
+@query("holdout_metrics", f"""WITH {A.APPLICANTS},
+t AS (SELECT sum(n)::BIGINT AS n, sum(n) FILTER (label = 1)::BIGINT AS positives FROM (SELECT label, round_even(count(*) * 0.2::DOUBLE, 0)::BIGINT AS n FROM applicants GROUP BY 1))
+SELECT n, positives, true AS rates_agree, true AS better_than_chance FROM t""")
 def holdout_metrics(spark, sf_dir):
     from decision_lens.operators.sampling import stratified_split, undersample
     from pyspark.ml.classification import GBTClassifier
@@ -128,8 +155,12 @@ def holdout_metrics(spark, sf_dir):
     model = training.fit_pipeline(undersample(stage(train), "row_id", "label"), FEATURE_COLUMNS,
                                   GBTClassifier(labelCol="label", maxIter=10, maxDepth=3, stepSize=0.1, seed=42))
     scored = stage(training.score_model(test, model, ["row_id", "label"]))
-    return ev.with_rates(ev.confusion(scored, "label", F.col("prediction"))).withColumn(
+    rates = ev.with_rates(ev.confusion(scored, "label", F.col("prediction"))).withColumn(
         "auc", F.lit(ev.auc(scored, "label", "probability").first()["auc"]))
+    agree = ((F.abs(F.col("recall") - F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))) < 1e-9)
+             & (F.abs(F.col("recall_precision") - 0.7 * F.col("recall") - 0.3 * F.col("precision")) < 1e-9))
+    return rates.select((F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), (F.col("tp") + F.col("fn")).alias("positives"),
+                        agree.alias("rates_agree"), (F.col("auc") > 0.5).alias("better_than_chance"))
 
 
 # --- attribution ------------------------------------------------------------------------
@@ -140,16 +171,16 @@ def attributed(spark, sf_dir):
 
 
 def _phi(c):
-    return (f"{FZ.weights[c]!r}::DOUBLE * ((coalesce({c}, 0) - (SELECT avg(coalesce({c}, 0)) FROM clean)) "
-            f"/ {FZ.scale[c]!r}::DOUBLE) AS phi_{c}")
+    return f"{FZ.weights[c]!r}::DOUBLE * ((coalesce({c}, 0) - mean_{c}) / {FZ.scale[c]!r}::DOUBLE) AS phi_{c}"
 
 
 _BASE = f"{FZ.intercept!r}::DOUBLE + " + " + ".join(
-    f"{FZ.weights[c]!r}::DOUBLE * (((SELECT avg(coalesce({c}, 0)) FROM clean) - {FZ.center[c]!r}::DOUBLE) / {FZ.scale[c]!r}::DOUBLE)"
+    f"{FZ.weights[c]!r}::DOUBLE * ((mean_{c} - {FZ.center[c]!r}::DOUBLE) / {FZ.scale[c]!r}::DOUBLE)"
     for c in FEATURE_COLUMNS)
 ATTRIBUTED = A.SCORED + f""",
-attributed AS (SELECT *, {", ".join(_phi(c) for c in FEATURE_COLUMNS)}, {_BASE} AS baseline FROM scored),
-phi AS ({" UNION ALL ".join(f"SELECT row_id, prediction_id, '{TECHNICAL[c]}' AS feature, {c} AS value, phi_{c} AS phi FROM attributed" for c in FEATURE_COLUMNS)})"""
+means AS MATERIALIZED (SELECT {", ".join(f"avg(coalesce({c}, 0)) AS mean_{c}" for c in FEATURE_COLUMNS)} FROM clean),
+attributed AS MATERIALIZED (SELECT *, {", ".join(_phi(c) for c in FEATURE_COLUMNS)}, {_BASE} AS baseline FROM scored, means),
+phi AS MATERIALIZED ({" UNION ALL ".join(f"SELECT row_id, prediction_id, '{TECHNICAL[c]}' AS feature, {c} AS value, phi_{c} AS phi FROM attributed" for c in FEATURE_COLUMNS)})"""
 
 
 @query("linear_attribution", f"WITH {ATTRIBUTED} SELECT prediction_id, feature, round(value, 6) AS value, round(phi, 6) AS phi FROM phi")
@@ -181,12 +212,18 @@ def global_importance(spark, sf_dir):
     return att.global_importance(attributed(spark, sf_dir)).select("feature", *rounded(["mean_abs_phi"]))
 
 
-@query("permutation_attribution")
+@query("permutation_attribution", f"""WITH {A.CLEAN} SELECT row_id, {len(FEATURE_COLUMNS)}::BIGINT AS features, true AS adds_up FROM clean""")
 def permutation_attribution(spark, sf_dir):
     from pyspark.ml.classification import GBTClassifier
     df = stage(scaled_inputs(spark, sf_dir).select("row_id", *FEATURE_COLUMNS, "label"))
     model = training.fit_pipeline(df, FEATURE_COLUMNS, GBTClassifier(labelCol="label", maxIter=5, maxDepth=3, seed=42))
-    return att.permutation_attribution(df, model, att.background_means(df), FEATURE_COLUMNS)
+    means = att.background_means(df)
+    phi = att.permutation_attribution(df, model, means, FEATURE_COLUMNS).groupBy("row_id").agg(F.sum("phi").alias("total"), F.count(F.lit(1)).alias("features"))
+    base = training.score_model(spark.createDataFrame([tuple(float(means[f]) for f in FEATURE_COLUMNS)], FEATURE_COLUMNS), model)
+    z = training.score_model(df, model, ["row_id"]).select("row_id", att.logit(F.col("probability")).alias("z"), F.lit(1).alias("one"))
+    gap = F.abs(F.col("total") - (F.col("z") - F.col("z0")))
+    base = base.select(att.logit(F.col("probability")).alias("z0"), F.lit(1).alias("one"))
+    return phi.join(z, "row_id").join(base, "one").select("row_id", "features", (gap < 1e-6).alias("adds_up"))
 
 
 # --- counterfactuals --------------------------------------------------------------------
@@ -204,22 +241,22 @@ def _level(c):
 
 
 COUNTERFACTUALS = ATTRIBUTED + f""",
-levels AS ({" UNION ALL ".join(_level(c) for c in MUTABLE_COLUMNS)}),
-cells AS (SELECT row_id, feature AS f, coalesce(value, 0) AS x FROM phi
+levels AS MATERIALIZED ({" UNION ALL ".join(_level(c) for c in MUTABLE_COLUMNS)}),
+cells AS MATERIALIZED (SELECT row_id, feature AS f, coalesce(value, 0) AS x FROM phi
           WHERE feature IN ({", ".join(repr(TECHNICAL[c]) for c in MUTABLE_COLUMNS)})),
-vals AS (SELECT f, v, sum(n)::BIGINT AS n FROM (SELECT f, x AS v, 1 AS n FROM cells UNION ALL SELECT f, v, 0 FROM levels) GROUP BY 1, 2),
-pcts AS (SELECT f, v, (2 * coalesce(sum(n) OVER (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n
+vals AS MATERIALIZED (SELECT f, v, sum(n)::BIGINT AS n FROM (SELECT f, x AS v, 1 AS n FROM cells UNION ALL SELECT f, v, 0 FROM levels) GROUP BY 1, 2),
+pcts AS MATERIALIZED (SELECT f, v, (2 * coalesce(sum(n) OVER (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n
                        + CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT * 50.0::DOUBLE / (sum(n) OVER (PARTITION BY f))::BIGINT AS p FROM vals),
-moves AS (SELECT row_id, j, cells.f, x AS from_value, levels.v AS to_value, levels.v - x AS diff, a.p AS from_p, b.p AS to_p,
+moves AS MATERIALIZED (SELECT row_id, j, cells.f, x AS from_value, levels.v AS to_value, levels.v - x AS diff, a.p AS from_p, b.p AS to_p,
                  abs(b.p - a.p) AS chg, w * ((levels.v - x) / s) AS dz
           FROM cells JOIN levels ON levels.f = cells.f JOIN pcts a ON a.f = cells.f AND a.v = x
                JOIN pcts b ON b.f = cells.f AND b.v = levels.v
           WHERE abs(levels.v - x) >= 1e-10::DOUBLE),
-cands AS (SELECT row_id, dz, round(chg, 9) AS distance, 1 AS n_changes, f AS names, to_value AS t1, NULL::DOUBLE AS t2, j AS j1, NULL AS j2 FROM moves
+cands AS MATERIALIZED (SELECT row_id, dz, round(chg, 9) AS distance, 1 AS n_changes, f AS names, to_value AS t1, NULL::DOUBLE AS t2, j AS j1, NULL AS j2 FROM moves
           UNION ALL
           SELECT a.row_id, a.dz + b.dz, round((a.chg + b.chg) / 2, 9), 2, a.f || '|' || b.f, a.to_value, b.to_value, a.j, b.j
           FROM moves a JOIN moves b ON b.row_id = a.row_id AND b.j > a.j),
-best AS (SELECT c.*, prediction_id, prediction,
+best AS MATERIALIZED (SELECT c.*, prediction_id, prediction,
                 row_number() OVER (PARTITION BY c.row_id ORDER BY distance, n_changes, names, t1, t2) AS cf_index
          FROM cands c JOIN scored USING (row_id) WHERE (logit + dz > 0) <> (prediction = 1)
          QUALIFY cf_index <= 3),
@@ -258,18 +295,33 @@ def cf_changes(spark, sf_dir):
                      *rounded(["from_percentile", "to_percentile", "percentile_change"]))
 
 
-@query("cf_verify", f"""WITH {COUNTERFACTUALS}
-SELECT prediction_id, count(cf_index) AS n_counterfactuals, count(cf_index) AS n_flipped,
-       CASE WHEN count(cf_index) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS success_rate
-FROM scored LEFT JOIN best USING (prediction_id) GROUP BY 1""")
+WEAKENED = f"""weakened AS MATERIALIZED (SELECT b.prediction_id, b.prediction, b.cf_index,
+  (s.logit + sum({"CASE m.feature " + " ".join(f"WHEN '{TECHNICAL[c]}' THEN {FZ.weights[c]!r}::DOUBLE / {FZ.scale[c]!r}::DOUBLE" for c in MUTABLE_COLUMNS) + " END"}
+   * m.diff * CASE WHEN b.row_id % 3 = b.cf_index % 3 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) > 0) <> (b.prediction = 1) AS flipped
+  FROM best b JOIN scored s ON s.row_id = b.row_id JOIN changes m ON m.row_id = b.row_id AND m.cf_index = b.cf_index GROUP BY b.prediction_id, b.prediction, b.cf_index, s.logit)"""
+
+
+def partly_weakened(spark, sf_dir):
+    """Explained applicants in which a third of the counterfactuals move half as far, so that some fail."""
+    half = lambda m: F.struct(*[(m["from"] + (m["to"] - m["from"]) * 0.5).alias("to") if f == "to" else m[f].alias(f) for f in fields])
+    df = explained(spark, sf_dir)
+    fields = df.schema["counterfactuals"].dataType.elementType["changes"].dataType.elementType.fieldNames()
+    changed = lambda cf, i: F.when(F.col("row_id") % 3 == (i + 1) % 3, cf.withField("changes", F.transform(cf["changes"], half))).otherwise(cf)
+    return df.withColumn("counterfactuals", F.transform("counterfactuals", changed))
+
+
+@query("cf_verify", f"""WITH {COUNTERFACTUALS}, {WEAKENED}
+SELECT prediction_id, count(cf_index) AS n_counterfactuals, count(*) FILTER (flipped) AS n_flipped,
+       CASE WHEN count(cf_index) > 0 THEN count(*) FILTER (flipped) / count(cf_index) ELSE 0.0::DOUBLE END AS success_rate
+FROM scored LEFT JOIN weakened USING (prediction_id) GROUP BY 1""")
 def cf_verify(spark, sf_dir):
-    return cfs.verification_summary(explained(spark, sf_dir), FZ)
+    return cfs.verification_summary(partly_weakened(spark, sf_dir), FZ)
 
 
-@query("flip_rate_by_position", f"""WITH {COUNTERFACTUALS}
-SELECT cf_index, count(*) AS n, 1.0::DOUBLE AS flip_rate FROM best WHERE prediction = 1 GROUP BY 1""")
+@query("flip_rate_by_position", f"""WITH {COUNTERFACTUALS}, {WEAKENED}
+SELECT cf_index, count(*) AS n, round(avg(flipped::INTEGER), 9) AS flip_rate FROM weakened WHERE prediction = 1 GROUP BY 1""")
 def flip_rate_by_position(spark, sf_dir):
-    return cfs.flip_rates(cfs.verify_each(explained(spark, sf_dir), FZ, ["prediction_id"]))
+    return cfs.flip_rates(cfs.verify_each(partly_weakened(spark, sf_dir), FZ, ["prediction_id"])).withColumn("flip_rate", F.round("flip_rate", 9))
 
 
 @query("cf_status", f"""WITH {COUNTERFACTUALS},

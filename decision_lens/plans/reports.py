@@ -8,6 +8,7 @@ from decision_lens.plans import adapters as A
 from decision_lens.plans.cleaning import rounded
 from decision_lens.plans.explanation_data import ACT, EXPLANATIONS, JUDGED, graded
 from decision_lens.plans.explanations import (_IMM_HITS, _TECH_HITS, CHECK, GRADED, MODELS, VERIFIED, _texts, long_graded)
+from decision_lens.plans.models import WEAKENED, partly_weakened
 from decision_lens.plans.registry import query
 from decision_lens.plans.similarity import EMBEDDED, embedded
 from decision_lens.schemas import CHECKLIST_ITEMS
@@ -34,14 +35,18 @@ def suggestion_totals(spark, sf_dir):
     return R.suggestion_totals(df).select("llm_name", "evaluated", "skipped", "flipped", *rounded(["success_rate", "mean_change"]))
 
 
-@query("relative_flip_rate", f"""WITH {JUDGED}, {VERIFIED}
-SELECT llm_name, round(avg(cf_flipped::INTEGER), 6) AS flip_rate, round(avg(cf_flipped::INTEGER), 6) AS relative_flip_rate FROM cfv GROUP BY 1""")
+@query("relative_flip_rate", f"""WITH {JUDGED}, {VERIFIED}, {WEAKENED},
+base AS (SELECT avg(flipped::INTEGER) AS rate FROM weakened WHERE prediction = 1 AND cf_index = 1)
+SELECT llm_name, round(avg(cf_flipped::INTEGER), 6) AS flip_rate, round(avg(cf_flipped::INTEGER) / any_value(rate), 6) AS relative_flip_rate
+FROM cfv, base GROUP BY 1""")
 def relative_flip_rate(spark, sf_dir):
+    """Against counterfactuals of which some fail, so that the base is not 1."""
     from decision_lens.operators import counterfactual as cfs
     df = graded(spark, sf_dir).filter("match_status = 'matched'")
-    base = cfs.flip_rates(cfs.verify_each(df.dropDuplicates(["prediction_id"]), A.FROZEN, ["prediction_id"]))
-    rate = base.filter("cf_index = 1").first()["flip_rate"]
-    return R.relative_flip_rate(df, F.lit(rate)).select("llm_name", *rounded(["flip_rate", "relative_flip_rate"]))
+    base = cfs.flip_rates(cfs.verify_each(partly_weakened(spark, sf_dir), A.FROZEN, ["prediction_id"])).filter("cf_index = 1")
+    base = base.select(F.col("flip_rate").alias("base_rate"), F.lit(1).alias("one"))
+    rows = df.withColumn("one", F.lit(1)).join(F.broadcast(base), "one", "left")
+    return R.relative_flip_rate(rows, F.max("base_rate")).select("llm_name", *rounded(["flip_rate", "relative_flip_rate"]))
 
 
 @query("probability_change_by_llm", f"""WITH {JUDGED}, {VERIFIED}

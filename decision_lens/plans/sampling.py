@@ -192,13 +192,13 @@ def preservation(spark, sf_dir):
 
 
 @query("age_band_means", f"""WITH {CATEGORY},
-bands(position, age_band) AS (VALUES (0, '18-35'), (1, '36-50'), (2, '51-65'), (3, '65+')),
+bands(position, age_band) AS (VALUES (0, '18-35'), (1, '36-50'), (2, '51-65'), (3, '65+'), (4, 'Unknown')),
 p AS (SELECT age_group, avg(prediction) AS population_prediction, avg(probability) AS population_probability FROM population GROUP BY 1),
 s AS (SELECT age_group, avg(prediction) AS sample_prediction, avg(probability) AS sample_probability FROM sample GROUP BY 1)
 SELECT position, age_band, round(coalesce(population_prediction, 0), 6) AS population_prediction,
        round(coalesce(population_probability, 0), 6) AS population_probability,
        round(coalesce(sample_prediction, 0), 6) AS sample_prediction, round(coalesce(sample_probability, 0), 6) AS sample_probability
-FROM bands LEFT JOIN p ON p.age_group = age_band LEFT JOIN s ON s.age_group = age_band""")
+FROM bands LEFT JOIN p ON p.age_group = age_band LEFT JOIN s ON s.age_group = age_band WHERE p.age_group IS NOT NULL OR s.age_group IS NOT NULL""")
 def age_band_means(spark, sf_dir):
     df = rep.age_band_means(*_both(spark, sf_dir), age_band(F.col("age")))
     return df.select("position", "age_band", *rounded([c for c in df.columns if "_pr" in c]))

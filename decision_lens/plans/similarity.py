@@ -67,7 +67,7 @@ def per_cluster_similarity(spark, sf_dir):
     df = embedded(spark, sf_dir)
     placed = df.filter("cluster_id is not null")
     ordered = ops.order_stats(placed, ["cluster_id"], ["intra_cluster"])
-    return ops.cluster_moments(df).join(F.broadcast(ordered), ["cluster_id", "pair_class"], "left").select(
+    return ops.cluster_moments(df).join(ordered, ["cluster_id", "pair_class"], "left").select(
         "cluster_id", "pair_class", "count", *rounded(["mean", "std", "median", "min", "max"]))
 
 

@@ -36,14 +36,14 @@ def keyed_upsert(spark, sf_dir):
     return table.read()
 
 
-@query("insert_if_absent", """WITH s AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY 1),
-c AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1)
+@query("insert_if_absent", """WITH s AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE (user_id + event_id) % 5 = 0 GROUP BY 1),
+c AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE (user_id + event_id) % 5 <> 0 GROUP BY 1)
 SELECT user_id, event_id, event_type, value FROM events JOIN (FROM s UNION ALL FROM c ANTI JOIN s USING (user_id)) USING (user_id, event_id)""")
 def insert_if_absent(spark, sf_dir):
     events = _events(spark, sf_dir)
     table = tables.KeyedTable(spark, _new_path(spark), EVENT, "user_id").create()
-    table.put(events.filter("event_type = 'signup'"), order="event_id")
-    table.put(events.filter("event_type = 'click'"), overwrite=False, order="event_id")
+    table.put(events.filter("(user_id + event_id) % 5 = 0"), order="event_id")
+    table.put(events.filter("(user_id + event_id) % 5 <> 0"), overwrite=False, order="event_id")
     return table.read()
 
 

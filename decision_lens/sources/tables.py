@@ -6,7 +6,7 @@ import json
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from decision_lens.operators.metrics import last_per_key
@@ -29,11 +29,13 @@ class KeyedTable:
                                     T.StructField(ORDER, T.LongType())])
 
     def create(self) -> "KeyedTable":
-        """Create the table if it is missing."""
+        """Create the table if its path is missing; a path that holds something else is an error."""
         try:
             self.spark.read.parquet(self.path)
-        except AnalysisException:
-            self.clear()
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self.spark.createDataFrame([], self.stored).write.parquet(self.path)
         return self
 
     def clear(self) -> None:
@@ -42,14 +44,19 @@ class KeyedTable:
     def _raw(self) -> DataFrame:
         return self.spark.read.schema(self.stored).parquet(self.path)
 
-    def put(self, rows: DataFrame, overwrite: bool = True, order: str | None = None) -> None:
-        """Store rows; of equal keys in one put the one with the largest ``order`` stays."""
-        rows = rows.filter(F.col(self.key).isNotNull())
+    def put(self, rows: DataFrame, overwrite: bool = True, order: str | None = None) -> int:
+        """Store rows; of equal keys in one put the one with the largest ``order`` stays.
+
+        Returns the number of rows that cannot be stored because they have no key.
+        """
+        seen = Observation()
+        rows = rows.observe(seen, F.sum(F.col(self.key).isNull().cast("long")).alias("failed")).filter(F.col(self.key).isNotNull())
         rows = last_per_key(rows.withColumn("_o", F.col(order) if order else F.lit(0)), self.key, "_o").drop("_o")
         if not overwrite:
             rows = insert_if_absent(self.keys(), rows, self.key)
         rows.withColumn("stored_at", F.current_timestamp()).withColumn(ORDER, F.lit(time.time_ns())).select(
             self.stored.fieldNames()).write.mode("append").parquet(self.path)
+        return seen.get["failed"] or 0
 
     def read(self, limit: int | None = None) -> DataFrame:
         rows = last_per_key(self._raw(), self.key, ORDER).select(self.schema.fieldNames())

@@ -74,7 +74,7 @@ ROW = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.Int
 def test_keyed_table(spark, tmp_path):
     t = B.KeyedTable(spark, str(tmp_path / "t"), ROW, "k").create()
     put = lambda rows, **kw: t.put(spark.createDataFrame(rows, ROW), **kw)
-    put([("a", 1), ("a", 5), ("b", 2), (None, 9)], order="v")
+    assert put([("a", 1), ("a", 5), ("b", 2), (None, 9)], order="v") == 1
     put([("b", 3), ("c", 4)], overwrite=False)
     assert {tuple(r) for r in t.create().read().collect()} == {("a", 5), ("b", 2), ("c", 4)}
     put([("b", 7)])
@@ -86,6 +86,14 @@ def test_keyed_table(spark, tmp_path):
     assert t.read().count() == 0
 
 
+def test_create_leaves_other_data_alone(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "home" / "one"))
+    spark.range(4).write.parquet(str(tmp_path / "home" / "two"))
+    with pytest.raises(Exception):
+        B.KeyedTable(spark, str(tmp_path / "home"), ROW, "k").create()
+    assert spark.read.parquet(str(tmp_path / "home" / "two")).count() == 4
+
+
 def test_grouped_store_splits_big_groups(spark):
     rows = [("hot", i) for i in range(100)] + [("small", 1), (None, 2)]
     df, counts = B.grouped_store(spark.createDataFrame(rows, "g string, i int"), "g", "i", part_rows=20)
