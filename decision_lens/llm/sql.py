@@ -89,3 +89,40 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b F
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
 FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 BLOCKS_SQL["op10_superminhash_groups"] = NEAR
+
+_ESCAPED = "length({0}) + length({0}) - length(replace(replace({0}, chr(92), ''), '<', ''))"
+CHAT = rf"""
+WITH raw AS (SELECT conv_id, coalesce(turn, -4611686018427387904) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+    (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) + 3 AS tokens, 19 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS chars,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM raw),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) - tokens AS place FROM t),
+w AS MATERIALIZED (SELECT *, place // 1024 AS win, max(place + tokens) OVER (PARTITION BY conv_id, place // 1024) - place <= 256 AS near FROM placed),
+own AS (SELECT conv_id, win, min(place) AS first, sum(chars) AS chars FROM w GROUP BY ALL),
+past AS (SELECT conv_id, win + 1 AS win, sum(chars) AS chars, list(place) AS places FROM w WHERE near GROUP BY ALL),
+lead_turn AS (SELECT conv_id, min(place) AS place, arg_min(chars, place) AS chars FROM w WHERE role = 'system' GROUP BY conv_id),
+sizes AS (SELECT o.conv_id, sum(o.chars + coalesce(p.chars, 0) + CASE WHEN l.place < o.first AND NOT list_contains(coalesce(p.places, []), l.place) THEN l.chars ELSE 0 END)::BIGINT AS formatted_chars
+  FROM own o LEFT JOIN past p ON p.win = o.win AND p.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN lead_turn l ON l.conv_id IS NOT DISTINCT FROM o.conv_id GROUP BY ALL),
+said AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '') AS taught FROM t GROUP BY conv_id)
+SELECT s.conv_id, n_turns, turns_sha256, length(taught)::BIGINT AS loss_chars, sha256(taught) AS loss_sha256, formatted_chars
+FROM said s JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM s.conv_id"""
+BLOCKS_SQL["op6_chat_windows"] = CHAT
+
+REPEATS = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+parts AS (SELECT doc_id, n, unnest(range(0, n, 512)) AS off, h FROM d),
+cut AS MATERIALIZED (SELECT doc_id, n, off, substr(h, 2 * off + 1, 1124) AS piece FROM parts),
+w AS MATERIALIZED (SELECT doc_id, off + i AS p, hash(substr(piece, 2 * i + 1, 100)) AS g
+                   FROM (SELECT doc_id, n, off, piece, unnest(range(0, least(512, n - 49 - off))) AS i FROM cut)),
+first AS (SELECT g, min(doc_id) AS f FROM w GROUP BY g),
+starts AS (SELECT doc_id, p FROM w JOIN first USING (g) WHERE f < doc_id),
+fresh AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM starts),
+runs AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM fresh),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS after FROM spans),
+rest AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS head, max(b) AS last
+         FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN rest USING (doc_id)"""
+BLOCKS_SQL["op9_suffix_dedup"] = REPEATS

@@ -16,7 +16,7 @@ from support import LONG, documents, odd, words
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op5_decontamination", "op8_warc_revisits", "op10_superminhash_groups"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op5_decontamination", "op6_chat_windows", "op8_warc_revisits", "op9_suffix_dedup", "op10_superminhash_groups"])
 def test_matches_sql(spark, name):
     assert name in entry_module.oracle_sql()
     problem, _, _ = compare(spark, connect(SF), name, SF)
