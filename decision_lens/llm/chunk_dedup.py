@@ -144,4 +144,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The columns of docs, with repeated runs cut out of the text and n_chars to match."""
-    return deduplicated(docs, key, text, **options).select(*[quoted(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row_"), quoted(key).alias("id_of_row_"), quoted(text).cast("string").alias("body_of_row_"))
+    out = deduplicated(rows, "id_of_row_", "body_of_row_", carry=["row_"], **options)
+    own = {text: F.col("body_of_row_"), "n_chars": F.length("body_of_row_").cast("long")}
+    field = lambda c: F.col("row_")[c]
+    return out.select(*[(F.when(F.size("removed_spans") > 0, own[c]).otherwise(field(c)) if c in own else field(c)).alias(c) for c in docs.columns])

@@ -133,15 +133,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     A cut leaves one blank; the scan is not repeated on the rest. Columns stay as they were, n_chars follows the text.
     """
-    marked = scanned(docs, benchmark, text=text, **options)
-    if remove == "documents":
-        return marked.where("n_hit = 0").select(*[quoted(c) for c in docs.columns])
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    cut = map_texts(marked, text, [T.StructField("cut_text_", T.StringType())], without, with_rows=("hit_spans",))
-    new = F.when(F.col("n_hit") > 0, F.col("cut_text_")).otherwise(quoted(text))
-    n_chars = F.when(F.col("n_hit") > 0, F.length("cut_text_").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return cut.select(*[new.alias(c) if c == text else n_chars.alias(c) if c == "n_chars" else quoted(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row_"), quoted(text).cast("string").alias("body_of_row_"))
+    marked = scanned(rows, benchmark, text="body_of_row_", **options)
+    if remove == "documents":
+        return marked.where("n_hit = 0").select("row_.*")
+    cut = map_texts(marked, "body_of_row_", [T.StructField("cut_text_", T.StringType())], without, with_rows=("hit_spans",))
+    own = {text: F.col("cut_text_"), "n_chars": F.length("cut_text_").cast("long")}
+    field = lambda c: F.col("row_")[c]
+    return cut.select(*[(F.when(F.col("n_hit") > 0, own[c]).otherwise(field(c)) if c in own else field(c)).alias(c) for c in docs.columns])
 
 
 def without(texts: list[bytes | None], spans: list) -> list:

@@ -107,14 +107,23 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     """Documents with counts, measures, base_failed, kept and the rules that each one breaks."""
     carry = docs.columns if carry is None else carry
     measures = stage(measured(docs, text, [*dict.fromkeys([*carry, lang, source])]))
-    bounds = limits(sketches(measures, lang, source))
+    return verdicts(measures, limits(sketches(measures, lang, source)), lang, source).select(*[quoted(c) for c in carry if c not in RESULTS], *RESULTS)
+
+
+def verdicts(measures: DataFrame, bounds: DataFrame, lang: str, source: str) -> DataFrame:
     m = measures.join(bounds, quoted(lang).eqNullSafe(F.col("lang_")) & quoted(source).eqNullSafe(F.col("source_")), "left")
     rules = [(f"{x} high", F.col(x) > F.col(f"{x}_hi_")) for x in MEASURES] + [(f"{x} low", F.col(x) < F.col(f"{x}_lo_")) for x in TWO_SIDED]
     failed = F.array_compact(F.array(F.when(F.col("base_failed"), "base"), *[F.when(~F.col("base_failed") & c, n) for n, c in rules]))
-    rest = [quoted(c) for c in carry if c not in RESULTS]
-    return (m.withColumn("failed_rules", failed).withColumn("kept", F.size("failed_rules") == 0).select(*rest, *RESULTS))
+    return m.withColumn("failed_rules", failed).withColumn("kept", F.size("failed_rules") == 0)
+
 
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The documents that are kept, with their own columns.
 
-def passing(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return judged(docs, **options).where("kept").select(*[quoted(c) for c in docs.columns])
+    Texts are measured twice, for the limits and for the verdicts, so that no copy of them is stored in between.
+    """
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row_"), quoted(text).alias("body_of_row_"),
+                       quoted(lang).alias("lang_of_row_"), quoted(source).alias("source_of_row_"))
+    keys = ("lang_of_row_", "source_of_row_")
+    bounds = stage(limits(sketches(measured(rows, "body_of_row_", list(keys)), *keys)))
+    return verdicts(measured(rows, "body_of_row_", ["row_", *keys]), bounds, *keys).where("kept").select("row_.*")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from decision_lens.llm import chunk_dedup, decontaminate, graph, rules, superminhash
@@ -31,7 +32,10 @@ def test_rules_on_odd_rows(spark):
     assert by[7]["n_words"] == 20_000 and by[5]["kept"] is True and by[5]["n_words"] == 80
     assert by[8]["n_repeat_words"] == 60 and by[8]["n_dup_lines"] == 29
     assert rules.judged(documents(spark, [])).count() == 0
-    assert rules.passing(odd(spark)).columns == odd(spark).columns
+    passed = rules.passing(odd(spark))
+    assert passed.columns == odd(spark).columns
+    left = passed.collect()
+    assert sorted(str(r["doc_id"]) for r in left) == sorted(str(r["doc_id"]) for r in out if r["kept"]) and {r["kept"] for r in left} == {"mine"}
 
 
 def test_rules_take_wide_limits_for_noisy_sources(spark):
@@ -75,6 +79,8 @@ def test_decontamination_removes(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
     cut = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}
     assert cut[1]["text"] == "start here and end" and cut[1]["n_chars"] == 18 and cut[2]["text"] == words(50, 40)
+    with_items = odd(spark).withColumn("items", F.lit("mine"))
+    assert {(r["items"], r["n_words"]) for r in decontaminate.decontaminate(with_items, items.limit(0)).collect()} == {("mine", "mine")}
     assert decontaminate.decontaminate(odd(spark), items.limit(0)).count() == 13
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
@@ -105,7 +111,9 @@ def test_passages_go_and_clean_texts_stay(spark):
 
 
 def test_chunks_on_odd_rows(spark):
-    out = chunk_dedup.without_repeats(odd(spark))
+    out = chunk_dedup.without_repeats(odd(spark).withColumn("n_chunks", F.lit("mine")))
+    assert {r["n_chunks"] for r in out.collect()} == {"mine"}
+    out = out.drop("n_chunks")
     assert out.columns == odd(spark).columns
     rows = defaultdict(list)
     for r in out.collect():
@@ -199,3 +207,17 @@ def test_components(spark):
         for x in both:
             top[x] = both
     assert got == {x: min(s) for x, s in top.items() if len(s) > 1}
+
+
+def test_short_hashes_drop_no_link():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64))]
+    for _ in range(60):
+        own = r.choice(sets[0], r.integers(120, len(sets[0]) + 1), replace=False)
+        sets.append(np.unique(np.concatenate([own, r.integers(0, 1 << 63, r.integers(0, 40), dtype=np.uint64)])))
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(61), np.arange(61), indexing="ij"))
+    size = np.array([len(s) for s in sets])
+    keep = superminhash.bounded(x, y, size, [s.astype(np.uint16) for s in sets], 80)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)])
+    linked = 100 * both >= 80 * (size[x] + size[y] - both)
+    assert (keep | ~linked).all() and keep.sum() <= linked.sum() * 1.1
