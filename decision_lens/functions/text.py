@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # executors get the helpers below with the job, whether or not they have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORD, SENTENCE_END, VOWELS = "[^ \\t\\n\\r]+", "[.!?]+", "[aeiouyAEIOUY]+"
+WORD, SENTENCE_END, VOWELS = "[^ \\t\\n\\r]", "[.!?]", "[aeiouyAEIOUY]"
+
+
+def runs(text: str, chars: str) -> Column:
+    """Number of runs of a character class: characters of it that no other precedes, counted without an array of matches."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?<!{chars}){chars}", ""))
 
 
 def bounded(term: str) -> Column:
@@ -33,9 +38,9 @@ def with_readability(df: DataFrame, text: str, name: str = "readability") -> Dat
     packed in a struct they would be inlined and counted again in every formula.
     """
     counted = df.withColumns({
-        "_words": F.regexp_count(text, F.lit(WORD)).cast("double"),
-        "_sentences": F.regexp_count(text, F.lit(SENTENCE_END)).cast("double"),
-        "_vowels": F.regexp_count(text, F.lit(VOWELS)).cast("double")})
+        "_words": runs(text, WORD).cast("double"),
+        "_sentences": runs(text, SENTENCE_END).cast("double"),
+        "_vowels": runs(text, VOWELS).cast("double")})
     per_sentence = F.col("_words") / F.greatest(F.lit(1.0), F.col("_sentences"))
     per_word = F.try_divide(F.greatest(F.col("_words"), F.col("_vowels")), F.col("_words"))
     ease = 206.835 - 1.015 * per_sentence - 84.6 * per_word
