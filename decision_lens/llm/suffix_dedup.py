@@ -2,7 +2,7 @@
 
 A byte goes if it lies in a string of SPAN = 50 bytes that also starts in a document with a smaller id.
 
-1. Texts are packed into blocks of bounded size, written once.
+1. Texts are packed into blocks of bounded size, written once to a bucketed table that later steps read without moving it.
 2. Anchors: of every run of SPAN bytes the place with the least hash of GRAM = 24 bytes. The choice depends on the run alone, so equal
    strings have equal anchors. Each block sends the hashes of its anchors to buckets by hash, which answer those that occur in
    another document too. Nothing else of the text leaves the block in this step.
@@ -25,55 +25,21 @@ result; more columns are not carried.
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from decision_lens.llm.textkit import INVERSE, mixed, powers, prefix_hash, quoted, range_hash, slices
-from decision_lens.session import stage
+from decision_lens.llm.blocks import ANSWERED, ANSWERED_DDL, NO_ID, SENT, SENT_DDL, blocks_of, each_block, each_block_with, each_bucket, unpacked
+from decision_lens.llm.textkit import INVERSE, mixed, powers, prefix_hash, quoted, range_hash
 
 SPAN, GRAM = 50, 24
 REACH = SPAN - GRAM
 AROUND = SPAN + REACH
-BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 PLACE_BITS = 31
-NO_ID = np.iinfo(np.int64).max
-
-
-def packed(ids: list[int | None], texts: list[bytes]) -> bytes:
-    head = np.array([len(t) for t in texts], dtype=np.int64).tobytes()
-    known = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64).tobytes()
-    return zlib.compress(struct.pack("<q", len(texts)) + head + known + b"".join(texts), 1)
-
-
-def unpacked(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, bounds and bytes of the texts of a block."""
-    raw = zlib.decompress(blob)
-    n = struct.unpack_from("<q", raw)[0]
-    sizes = np.frombuffer(raw, dtype=np.int64, count=n, offset=8)
-    ids = np.frombuffer(raw, dtype=np.int64, count=n, offset=8 + 8 * n)
-    return ids, np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(raw, dtype=np.uint8, offset=8 + 16 * n)
-
-
-def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, data): texts in blocks of about BLOCK_BYTES, one text at least."""
-    slim = docs.select(quoted(key).cast("long").alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("body"))
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in slices(batch, 1, BLOCK_BYTES):
-                if part.num_rows:
-                    blob = packed(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist())
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "data": pa.array([blob], pa.binary())})
-                    number += 1
-
-    return slim.mapInArrow(run, "block long, data binary")
+SUFFIXES = 150_000
 
 
 class Anchors:
@@ -144,32 +110,34 @@ def anchor_hashes(blob, bits: int):
 
 
 def shared_hashes(rows):
-    """Of the rows (block, hashes, several) of a bucket, each block's hashes that another document has as well."""
-    arrays = [np.frombuffer(r[1], dtype=np.uint32) for r in rows]
+    """Of the rows (part, block, hashes, several) of a bucket, each block's hashes that another document has as well."""
+    arrays = [np.frombuffer(r[2], dtype=np.uint32) for r in rows]
     all_ = np.concatenate(arrays)
     order = np.argsort(all_, kind="stable")
     at = runs(all_[order])
     shared = np.repeat(np.diff(at) > 1, np.diff(at))
     mask = np.zeros(len(all_), dtype=bool)
     mask[order] = shared
-    mask |= np.frombuffer(b"".join(r[2] for r in rows), dtype=bool)
+    mask |= np.frombuffer(b"".join(r[3] for r in rows), dtype=bool)
     first = 0
     for r, a in zip(rows, arrays):
         own = a[mask[first:first + len(a)]]
         first += len(a)
         if len(own):
-            yield r[0], own.tobytes()
+            yield r[0], r[1], own.tobytes()
 
 
 SURROUNDING = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("least", "<i8"), ("most", "<i8"), ("left", "u1"), ("right", "u1"), ("bytes", f"V{AROUND}")])
 ANSWER = np.dtype([("around", "<u8"), ("first", "u1"), ("last", "u1"), ("least", "<i8")])
 
 
-def surroundings(blob, shared: dict[int, bytes], bits: int):
+def surroundings(blob, shared: list[tuple[int, bytes]], bits: int):
     """(bucket, distinct surroundings of shared anchors) of a block."""
     a = Anchors(blob)
     a.only(a.ids[a.doc] != NO_ID)
-    known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(v, dtype=np.uint32).astype(np.uint64) for b, v in shared.items()]))
+    if not shared:
+        return
+    known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(v, dtype=np.uint32).astype(np.uint64) for b, v in shared]))
     own = (bucket_of(a.hash, bits).astype(np.uint64) << np.uint64(32)) | short_of(a.hash, bits).astype(np.uint64)
     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
     a.only(known[at] == own)
@@ -185,7 +153,7 @@ def surroundings(blob, shared: dict[int, bytes], bits: int):
     out["left"], out["right"] = left[one], right[one]
     padded = np.concatenate([np.zeros(REACH, dtype=np.uint8), a.data, np.zeros(AROUND, dtype=np.uint8)])
     column = np.arange(AROUND)
-    taken = padded[a.place[one][:, None] + column]
+    taken = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[a.place[one]]
     taken[(column < REACH - left[one][:, None]) | (column >= REACH + GRAM + right[one][:, None])] = 0
     out["bytes"] = np.ascontiguousarray(taken).view(f"V{AROUND}")[:, 0]
     out = out[np.argsort(out["anchor"], kind="stable")]
@@ -256,44 +224,60 @@ class Suffixes:
 def classes(found: np.ndarray) -> np.ndarray:
     """Least id of the class of each string of SPAN bytes, (surroundings, REACH + 1); NO_ID where there is no such string.
 
-    ``found`` holds distinct surroundings, sorted by anchor.
+    ``found`` holds distinct surroundings, sorted by anchor. Anchors are taken a bounded number of suffixes at a time, one anchor
+    at least.
     """
-    n = len(found)
     first = np.arange(REACH + 1)
     valid = (first >= REACH - found["left"][:, None]) & (first + SPAN <= REACH + GRAM + found["right"][:, None].astype(np.int64))
     least = np.where(valid, found["least"][:, None], NO_ID)
-    alone = np.diff(runs(found["anchor"]))
-    rows = np.flatnonzero(np.repeat(alone, alone) > 1)
-    if not len(rows):
-        return least
+    bounds = runs(found["anchor"])
+    size = np.diff(bounds)
+    several = np.flatnonzero(size > 1)
+    group = np.cumsum(size[several]) * (REACH + 1) // SUFFIXES
+    for g in np.split(several, runs(group)[1:-1]):
+        if len(g):
+            rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in g.tolist()])
+            least[rows] = sorted_classes(found[rows], valid[rows])
+    return least
+
+
+def sorted_classes(found: np.ndarray, valid: np.ndarray) -> np.ndarray:
     data = np.frombuffer(found["bytes"].tobytes(), dtype=np.uint8)
-    row, s = np.nonzero(valid[rows])
-    row = rows[row]
-    _, number = np.unique(found["anchor"], return_inverse=True)
+    least = np.full(valid.shape, NO_ID)
+    row, s = np.nonzero(valid)
+    if not len(row):
+        return least
+    number = np.repeat(np.arange(len(runs(found["anchor"])) - 1), np.diff(runs(found["anchor"])))
     segment = number[row] * (REACH + 1) + s
     by = np.argsort(segment, kind="stable")
     row, s, segment = row[by], s[by], segment[by]
     starts = row * AROUND + s
     order = Suffixes(data, SPAN).sort(starts, segment)
     order = confirmed_order(data, starts, segment, order)
-    text = data[starts[order][:, None] + np.arange(SPAN)]
-    new = np.concatenate([[True], (text[1:] != text[:-1]).any(axis=1) | (segment[1:] != segment[:-1])])
-    label = np.cumsum(new) - 1
+    same = neighbours(data, starts[order])[0] & (segment[1:] == segment[:-1])
+    label = np.concatenate([[0], np.cumsum(~same)])
     class_least = np.full(label[-1] + 1, NO_ID)
     np.minimum.at(class_least, label, found["least"][row[order]])
     least[row[order], s[order]] = class_least[label]
     return least
 
 
+def neighbours(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each string of SPAN bytes and the next: whether they are equal, and whether the next is less, byte by byte."""
+    strings = np.lib.stride_tricks.sliding_window_view(data, SPAN)
+    equal, falls = np.ones(max(0, len(starts) - 1), dtype=bool), np.zeros(max(0, len(starts) - 1), dtype=bool)
+    for at in range(0, len(equal), 50_000):
+        text = strings[starts[at:at + 50_001]]
+        differ = text[1:] != text[:-1]
+        where, row = differ.argmax(axis=1), np.arange(len(differ))
+        equal[at:at + len(row)] = ~differ[row, where]
+        falls[at:at + len(row)] = text[1:][row, where] < text[:-1][row, where]
+    return equal, falls
+
+
 def confirmed_order(data: np.ndarray, starts: np.ndarray, segment: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The order, with every segment sorted anew by its bytes in which hashes have misled the sort."""
-    text = np.ascontiguousarray(data[starts[order][:, None] + np.arange(SPAN)])
-    if len(text) < 2:
-        return order
-    differ = text[1:] != text[:-1]
-    at = differ.argmax(axis=1)
-    step = np.arange(len(at))
-    falls = differ.any(axis=1) & (text[1:][step, at] < text[:-1][step, at]) & (segment[1:] == segment[:-1])
+    falls = neighbours(data, starts[order])[1] & (segment[1:] == segment[:-1])
     if not falls.any():
         return order
     order = order.copy()
@@ -305,7 +289,7 @@ def confirmed_order(data: np.ndarray, starts: np.ndarray, segment: np.ndarray, o
 
 def answers(rows):
     """For each block, where its surroundings hold strings with a smaller id than one of its documents."""
-    parts = [np.frombuffer(zlib.decompress(r[1]), dtype=SURROUNDING) for r in rows]
+    parts = [np.frombuffer(zlib.decompress(r[2]), dtype=SURROUNDING) for r in rows]
     all_ = np.concatenate(parts)
     order = np.lexsort((all_["least"], all_["around"], all_["anchor"]))
     at = runs(all_["around"][order])[:-1]
@@ -328,7 +312,7 @@ def answers(rows):
         stop[:, :-1] &= ~useful[:, 1:] | (mine[:, 1:] != mine[:, :-1])
         out = np.zeros(len(i), dtype=ANSWER)
         out["around"], out["first"], out["last"], out["least"] = p["around"][i], s, np.nonzero(stop)[1], mine[i, s]
-        yield r[0], out.tobytes()
+        yield r[0], r[1], zlib.compress(out.tobytes(), 1)
 
 
 def cut(blob, replies: list[bytes]):
@@ -337,7 +321,8 @@ def cut(blob, replies: list[bytes]):
     step = np.zeros(len(a.data) + 1, dtype=np.int32)
     if replies and len(a.place):
         a.only(a.ids[a.doc] != NO_ID)
-        known = np.sort(np.frombuffer(b"".join(replies), dtype=ANSWER), order="around")
+        known = np.frombuffer(b"".join(map(zlib.decompress, replies)), dtype=ANSWER)
+        known = known[np.argsort(known["around"], kind="stable")]
         _, _, around = a.around()
         lo, hi = np.searchsorted(known["around"], around), np.searchsorted(known["around"], around, side="right")
         place = np.repeat(np.arange(len(around)), hi - lo)
@@ -354,60 +339,19 @@ def cut(blob, replies: list[bytes]):
         yield None if i == NO_ID else i, y - x, n, int(edges), (a.data[x:y][~g] if n else a.data[x:y]).tobytes()
 
 
-def _table(rows, schema):
-    import pyarrow as pa
-    return pa.Table.from_pydict({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)}, schema=schema)
-
-
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans (removed runs), kept_sha256, and the kept bytes if asked for."""
-    import pyarrow as pa
-    blocks = stage(blocks_of(docs, key, text))
+    blocks = blocks_of(docs, key, text)
     size = docs.agg(F.sum(F.octet_length(quoted(text).cast("string")))).first()[0] or 0
     bits = max(4, int(size // BUCKET_BYTES).bit_length())
-
-    def hashes(batches):
-        for b in batches:
-            for block, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = [(block, *x) for x in anchor_hashes(blob.as_buffer(), bits)]
-                if rows:
-                    yield from _table(rows, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])).to_batches()
-
-    sent = blocks.mapInArrow(hashes, "block long, bucket long, hashes binary, several binary")
-    out = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("found", pa.binary())])
-
-    def share(t):
-        bucket = t.column("bucket")[0].as_py()
-        rows = list(zip(t.column("block").to_pylist(), t.column("hashes").to_pylist(), t.column("several").to_pylist()))
-        return _table([(bucket, *x) for x in shared_hashes(rows)], out)
-
-    shared = sent.groupBy("bucket").applyInArrow(share, "bucket long, block long, found binary")
-    shared = shared.groupBy(F.col("block").alias("to")).agg(F.collect_list(F.struct("bucket", "found")).alias("found"))
-
-    def surround(batches):
-        for b in batches:
-            for block, blob, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                rows = [(x, block, y) for x, y in surroundings(blob.as_buffer(), {f["bucket"]: f["found"] for f in found}, bits)]
-                if rows:
-                    yield from _table(rows, out).to_batches()
-
-    around = blocks.join(shared, F.col("block") == F.col("to")).select("block", "data", "found").mapInArrow(surround, "bucket long, block long, found binary")
-    reply = pa.schema([("to", pa.int64()), ("answer", pa.binary())])
-
-    def answer(t):
-        return _table(list(answers(list(zip(t.column("block").to_pylist(), t.column("found").to_pylist())))), reply)
-
-    replies = around.groupBy("bucket").applyInArrow(answer, "to long, answer binary")
-    replies = replies.groupBy("to").agg(F.collect_list("answer").alias("answers"))
+    hashes = each_block(blocks, lambda part, block, data: ((part, block, *x) for x in anchor_hashes(data, bits)), SENT, SENT_DDL)
+    shared = each_bucket(hashes, lambda bucket, rows: ((p, b, bucket, x) for p, b, x in shared_hashes(rows)), ANSWERED, ANSWERED_DDL)
+    around = each_block_with(blocks, shared, lambda part, block, data, found: ((part, block, x, y, None) for x, y in surroundings(data, found, bits)),
+                             SENT, SENT_DDL)
+    replies = each_bucket(around, lambda bucket, rows: ((p, b, bucket, x) for p, b, x in answers(rows)), ANSWERED, ANSWERED_DDL)
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.binary())] * with_kept)
-
-    def finish(batches):
-        for b in batches:
-            for blob, found in zip(b.column(0), b.column(1).to_pylist()):
-                rows = [(*x[:4], hashlib.sha256(x[4]).hexdigest(), x[4])[:len(schema)] for x in cut(blob.as_buffer(), found or [])]
-                yield from _table(rows, schema).to_batches()
-
-    ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    done = blocks.join(replies, F.col("block") == F.col("to"), "left").select("data", "answers").mapInArrow(finish, ddl)
+    done = each_block_with(
+        blocks, replies, lambda part, block, data, found: ((*x[:4], hashlib.sha256(x[4]).hexdigest(), x[4])[:len(schema)] for x in cut(data, [a for _, a in found])),
+        schema, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     return done.withColumnRenamed("id", key)
