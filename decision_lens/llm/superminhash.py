@@ -6,10 +6,12 @@ filled: large sets take one round, a set of one element takes as many rounds as
 
 Documents with equal sets are one class, represented by their least id. Representatives that share a band key are candidates.
 Bands of ROWS = 4 of 128 slots miss a pair of similarity 0.8 with probability (1 - 0.8^4)^32 = 5e-8. Pairs are not listed within a
-key: every member is first tried against the least, then the greatest member of its keys; only members of one key that are
-still in different components are then tried against each other. Candidates of a set size ratio below the limit (which
-rules them out) or with a signature agreement more than five standard deviations below it are dropped; all others are
-confirmed on their full sets of 64-bit shingle hashes.
+key: every member is first tried against the least member of its keys, the most similar first. Only keys whose members are
+still in different components are looked at again: their members' sketches are compared in numpy, in blocks of BLOCK members
+at most, and each member is tried against the few most alike of other components, then more, then all. Candidates of a set
+size ratio below the limit (which rules them out) or with a signature agreement more than 4.5 standard deviations below it
+are dropped. In the last turn the lower 16 bits of all shingle hashes, for sets of FINE at most, bound the similarity from
+above and drop pairs below the limit, which loses none. All others are confirmed on their full sets of 64-bit hashes.
 
 Defined cases: null and empty texts have no shingles and no links; a text of fewer words than a shingle is one shingle of all
 its words; rows of one id are one document and share a component; rows with a null id have a null component and are kept;
@@ -18,6 +20,8 @@ repeated rows change nothing; an empty table gives an empty result; input column
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -27,6 +31,9 @@ from decision_lens.session import stage
 
 SLOTS, ROWS = 128, 4
 SHINGLE, PERCENT = 5, 80
+BLOCK = 4096
+TURNS = (4, 32, None)
+FINE = 2048
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
@@ -87,7 +94,6 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 def sketched(texts: list[bytes | None], n: int) -> list:
-    import hashlib
     sets = shingle_sets(texts, n)
     sig = signatures(sets)
     keys = np.zeros((len(sets), SLOTS // ROWS), dtype=np.uint64)
@@ -96,14 +102,28 @@ def sketched(texts: list[bytes | None], n: int) -> list:
     keys = mixed(keys + np.arange(SLOTS // ROWS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     short = (mixed(sig) & np.uint64(255)).astype(np.uint8)
     size = [len(s) for s in sets]
-    return [size, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [x.tobytes() for x in short],
+    return [size, [set_key(s) for s in sets], [x.tobytes() for x in short],
             [k if z else k[:0] for k, z in zip(keys.view(np.int64), size)]]
 
 
+def elements_of(texts: list[bytes | None], n: int) -> list:
+    """Key, elements and (for sets of FINE at most) the lower 16 bits of the elements of each text's set."""
+    sets = shingle_sets(texts, n)
+    return [[set_key(s) for s in sets], [s.tobytes() for s in sets], [s.astype(np.uint16).tobytes() if len(s) <= FINE else b"" for s in sets]]
+
+
+def set_key(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
+def least_agreement(percent: int) -> float:
+    share = percent / 100
+    return (share - 4.5 * (share * (1 - share) / SLOTS) ** 0.5) * SLOTS
+
+
 def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b, sketches and sizes) that may reach the limit, with the slots that agree."""
-    share = percent / 100
-    least = (share - 5 * (share * (1 - share) / SLOTS) ** 0.5) * SLOTS
+    least = least_agreement(percent)
 
     def run(batches):
         import pyarrow as pa
@@ -118,6 +138,77 @@ def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, same long")
 
 
+def alike(node: np.ndarray, part: np.ndarray, size: np.ndarray, sketch: np.ndarray, block: np.ndarray, percent: int, most: int | None,
+          fine: list[np.ndarray] | None = None):
+    """Pairs of different parts that may reach the limit, the ``most`` most alike of each node (all, if None).
+
+    Where the nodes are of two blocks, only pairs across them count: pairs within a block have a group of their own.
+    """
+    least, across = least_agreement(percent), len(np.unique(block)) > 1
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    for at in range(0, len(node), 64):
+        rows = slice(at, at + 64)
+        fits = (part[rows, None] != part) & (100 * np.minimum(size[rows, None], size) >= percent * np.maximum(size[rows, None], size))
+        if across:
+            fits &= block[rows, None] != block
+        if most is None:  # else each side has partners of its own
+            fits &= node[rows, None] < node
+        i, j = np.nonzero(fits)
+        same = np.concatenate([np.zeros(0, dtype=np.int64), *[(sketch[i[cut:cut + 20_000] + at] == sketch[j[cut:cut + 20_000]]).sum(axis=1)
+                                                              for cut in range(0, len(i), 20_000)]])
+        near = same >= least
+        x, y, same = i[near] + at, j[near], same[near]
+        if fine is not None:
+            keep = bounded(x, y, size, fine, percent)
+            x, y = x[keep], y[keep]
+        if most is not None:
+            order = np.lexsort((node[y], -same, x))
+            x, y = x[order], y[order]
+            rank = np.arange(len(x)) - np.searchsorted(x, x)
+            x, y = x[rank < most], y[rank < most]
+        found.append(np.stack([node[x], node[y]]))
+    a, b = np.concatenate(found, axis=1)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def bounded(x: np.ndarray, y: np.ndarray, size: np.ndarray, fine: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs (x ascending) may reach the limit: shared short hashes are at least as many as shared shingles."""
+    keep, held = np.ones(len(x), dtype=bool), np.zeros(1 << 16, dtype=bool)
+    cut = np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else [], len(x)).astype(np.int64)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = fine[x[lo]]
+        if not len(own):
+            continue
+        held[own] = True
+        for at in range(lo, hi):
+            other = fine[y[at]]
+            if len(other):
+                both = int(held[other].sum())
+                keep[at] = 100 * both >= percent * (size[x[lo]] + size[y[at]] - both)
+        held[own] = False
+    return keep
+
+
+def unlinked(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Candidates (a, b) among the members (key, node, c, n_shingles, sketch, fine) of one key that are in different components c."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    m = members.join(counts.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    m = m.select("key", "node", "c", "n_shingles", "sketch", "fine", "block", F.explode(pairs).alias("p"))
+
+    def run(t):
+        import pyarrow as pa
+        n, c, s, k = (t.column(x).to_numpy() for x in ("node", "c", "n_shingles", "block"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+        fine = None if most is not None else [np.frombuffer(x or b"", dtype=np.uint16) for x in t.column("fine").to_pylist()]
+        a, b = alike(n, c, s, sketch, k, percent, most, fine)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    m = m.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "c", "n_shingles", "sketch", "fine", "block")
+    return m.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the limit."""
     def run(batches):
@@ -145,9 +236,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     nodes = stage(linked.join(reps.withColumnRenamed("set_key", "k"), (F.col("set_key") == F.col("k")) & (F.col("id") == F.col("node")))
                   .select("node", "n_shingles", "set_key", "sketch", "bands").dropDuplicates(["node", "set_key"]))
     members = nodes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = stage(members.join(shared, "key").select("key", "node", "low", "high").distinct())
-    facts = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sketch")
+    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
+    members = stage(members.join(shared, "key").select("key", "node", "low").distinct())
+    facts = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "set_key", "sketch")
     facts = stage(facts)
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -160,28 +251,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     best = first.groupBy("b").agg(F.max_by("a", "same").alias("a")).select("a", "b")
     # full sets of all members of shared keys: their texts are read once more
     wanted = members.select(F.col("node").alias("id")).distinct()
-    sets = stage(map_texts(slim.join(wanted, "id"), "body", [T.StructField("elements", T.BinaryType())],
-                           lambda texts: [[s.tobytes() for s in shingle_sets(texts, shingle)]], drop_text=True).withColumnRenamed("id", "node"))
+    fields = [FIELDS[1], T.StructField("elements", T.BinaryType()), T.StructField("fine", T.BinaryType())]
+    sets = stage(map_texts(slim.join(wanted, "id"), "body", fields, lambda texts: elements_of(texts, shingle), drop_text=True).withColumnRenamed("id", "node"))
+    fine = sets.select("node", "set_key", "fine").dropDuplicates(["node", "set_key"])
     # rows of one id are one document, so the classes of its texts belong together
     own = sk.where("id IS NOT NULL").join(reps, "set_key").select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
     several = own.join(linked.groupBy(F.col("id").alias("u")).agg(F.count_distinct("set_key").alias("c")).where("c > 1"), "u", "left_semi")
     links = stage(confirmed(best, sets, percent).unionAll(several.select("u", "v")).distinct())
     tried = best
-    for turn in ("rest", "high", "all"):
+    for turn in ("first", *TURNS):
         comp = stage(components(links))
-        at = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))  # noqa: E731, B023
-        m = members.join(comp.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        mixed_keys = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        left = m.join(mixed_keys, "key", "left_semi")
-        if turn == "rest":
-            more = first.select("a", "b")
-        elif turn == "high":
-            more = candidates(left.select(F.col("high").alias("a"), F.col("node").alias("b"))).select("a", "b")
+        part = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))  # noqa: E731, B023
+        if turn == "first":
+            more = first.select("a", "b").join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
         else:
-            more = candidates(left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
-                              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).select("a", "b")
-        more = more.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        more = stage(more.join(tried, ["a", "b"], "left_anti"))
+            m = members.select("key", "node").join(comp, "node", "left").join(facts if turn else facts.join(fine, ["node", "set_key"]), "node")
+            m = m if turn is None else m.withColumn("fine", F.lit(None).cast("binary"))
+            more = unlinked(m.withColumn("c", F.coalesce("component", "node")).drop("component"), percent, turn)
+        more = stage(more.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionAll(more)
         links = stage(links.unionAll(confirmed(more, sets, percent)).distinct())
     comp = components(links)
