@@ -27,6 +27,7 @@ ALPHA = 1.0
 UNIT = 32
 LONGEST = 16
 TABLE_BITS = 20
+LATTICE_CELLS = 500_000
 SEED = 17
 
 
@@ -64,35 +65,42 @@ class Vocabulary:
         usable = [(p.replace(MARK, " "), i) for i, p in enumerate(self.pieces) if i not in special and len(p) <= LONGEST]
         self.longest = max(len(p) for p, _ in usable)
         size = 1 << TABLE_BITS
-        self.key, self.id = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+        # pieces and their beginnings by hash: the piece's id, if it is one, and whether a longer piece begins so
+        self.key, self.used = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=bool)
+        self.id, self.more = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=bool)
         for text, i in usable:
             h = None
-            for c in text:
+            for n_read, c in enumerate(text, 1):
                 h = _code_hash(np.array([ord(c)]), h)
-            at = int(h[0]) & (size - 1)
-            while self.id[at] >= 0:
-                at = (at + 1) & (size - 1)
-            self.key[at], self.id[at] = h[0], i
+                at = int(h[0]) & (size - 1)
+                while self.used[at] and self.key[at] != h[0]:
+                    at = (at + 1) & (size - 1)
+                self.key[at], self.used[at] = h[0], True
+                if n_read == len(text):
+                    self.id[at] = i
+                else:
+                    self.more[at] = True
         # longest walk of a look-up
-        taken = self.id >= 0
         run = best = 0
-        for x in taken.tolist():
+        for x in self.used.tolist():
             run = run + 1 if x else 0
             best = max(best, run)
         self.probes = best + 1
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Id of the piece with each hash, or -1."""
-        size = np.uint64((1 << TABLE_BITS) - 1)
-        at = (h & size).astype(np.int64)
-        out = np.where(self.key[at] == h, self.id[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.id[at] >= 0))
+        """Slot of the piece or beginning with each hash, or -1."""
+        last = (1 << TABLE_BITS) - 1
+        at = (h & np.uint64(last)).astype(np.int64)
+        used, same = self.used[at], self.key[at] == h
+        out = np.where(used & same, at, -1)
+        open_ = np.flatnonzero(used & ~same)
         for step in range(1, self.probes):
             if not len(open_):
                 break
-            a = (at[open_] + step) & int(size)
-            out[open_] = np.where(self.key[a] == h[open_], self.id[a], -1)
-            open_ = open_[(out[open_] < 0) & (self.id[a] >= 0)]
+            a = (at[open_] + step) & last
+            same = self.used[a] & (self.key[a] == h[open_])
+            out[open_[same]] = a[same]
+            open_ = open_[self.used[a] & ~same]
         return out
 
     def lattice(self, codes: np.ndarray):
@@ -104,10 +112,15 @@ class Vocabulary:
         k_max = min(self.longest, length)
         ids = np.full((n, length, k_max), -1, dtype=np.int32)
         for start in range(length):
-            h = None
+            h, own = None, np.arange(n)
             for k in range(min(k_max, length - start)):
-                h = _code_hash(codes[:, start + k], h)
-                ids[:, start + k, k] = self.find(h)
+                h = _code_hash(codes[own, start + k], h)
+                slot = self.find(h)
+                ids[own, start + k, k] = np.where(slot >= 0, self.id[slot], -1)
+                longer = np.flatnonzero((slot >= 0) & self.more[slot])
+                if not len(longer):
+                    break
+                h, own = h[longer], own[longer]
         single = ids[:, :, 0]
         single[(single < 0) | (codes == ord(MARK))] = -2
         if (codes == ord(MARK)).any():
@@ -165,10 +178,13 @@ class Vocabulary:
         _, one, which = np.unique(h, return_index=True, return_inverse=True)
         distinct = codes[one]
         unit_out, id_out, place_out = [], [], []
-        for at in range(0, len(one), 20_000):
-            ids, w = self.lattice(distinct[at:at + 20_000])
-            sums = np.cumsum(w, axis=2)
-            rows = np.flatnonzero((which >= at) & (which < at + 20_000))
+        part = max(1, LATTICE_CELLS // (length * min(length, self.longest)))
+        by = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[by], np.arange(0, len(one) + part, part))
+        for at, x, y in zip(range(0, len(one), part), cuts[:-1], cuts[1:]):
+            ids, sums = self.lattice(distinct[at:at + part])
+            np.cumsum(sums, axis=2, out=sums)
+            rows = by[x:y]
             end = np.full(len(rows), length)
             step = 0
             while len(rows):
