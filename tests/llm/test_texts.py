@@ -198,6 +198,28 @@ def test_scores_on_odd_rows(spark):
     assert attention_lm.scored(documents(spark, [])).count() == 0
 
 
+def test_training_windows_grow_with_the_corpus():
+    """A fixed share of the windows of every training text, not a number a block or in all."""
+    def picked(n, share):
+        b = attention_lm.Block(packed(list(range(1, n + 1)), [words(i, 300).encode() for i in range(n)]), 10)
+        ids, at = attention_lm.subwords(b.words(), attention_lm.vocabulary_path())
+        flat, bounds = b.stream(ids, at, np.flatnonzero(~b.held_out))
+        order, seen = attention_lm.training_windows(b, ids, at, share)
+        return len(order), len(attention_lm.window_index(bounds)[0]), seen[:, attention_lm.CONTEXT + 1:], flat
+
+    n, all_, targets, flat = picked(40, 1.0)
+    assert n == all_ > 500 and np.array_equal(targets[targets < attention_lm.N_IDS], flat)
+    few, more = picked(40, 0.25), picked(160, 0.25)
+    assert abs(few[0] / few[1] - 0.25) < 0.06 and abs(more[0] / more[1] - 0.25) < 0.03 and more[0] > 3 * few[0]
+    assert attention_lm.HIDDEN == 32
+
+
+def test_averaged_shards_learn_and_do_not_follow_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 16 = 0")
+    a, b = (attention_lm.scored(docs.repartition(n), shard_windows=128).orderBy("doc_id").collect() for n in (2, 5))
+    assert np.allclose([r["score"] for r in a], [r["score"] for r in b], rtol=1e-3)
+
+
 def test_training_helps(spark):
     rows = entry_module.queries()["op7_attention_scores"](spark, "/root/testdata/sf0.001").where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
     assert rows[0] / rows[1] > -6.5
