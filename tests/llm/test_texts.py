@@ -220,6 +220,35 @@ def test_averaged_shards_learn_and_do_not_follow_partitions(spark):
     assert np.allclose([r["score"] for r in a], [r["score"] for r in b], rtol=1e-3)
 
 
+def test_context_keeps_its_weight_on_large_corpora():
+    c = np.array([100_000])
+    for words_ in (10**6, 10**9, 10**12):
+        counts = attention_lm.Counts(words_, 10**5, 10**4, 10**3, 10**4)
+        likely, unlikely = (counts.mixed(c, np.array([x]))[0] for x in (-1.0, -12.0))
+        assert likely - unlikely > 0.5 and likely < 0
+    counts = attention_lm.Counts(90, 4, 1, 1, 10)
+    known = np.array([60, 27, 2, 1, 10])  # with the ends of texts
+    spelled = np.array([0.3, 0.2, 0.1, 0.1, 0.1])  # the network leaves 0.2 to unknown words
+    total = np.exp(counts.mixed(known, np.log(spelled))).sum() + np.exp(counts.mixed(np.array([0]), np.log([0.2]))).sum()
+    assert abs(total - 1) < 1e-9
+
+
+def test_shuffled_known_words_score_less(spark):
+    ring = "the house and a dog of our time is in that long year with some more people".split()
+    text = lambda i: " ".join(ring[(i + j) % len(ring)] for j in range(120))
+    rows = [(i, text(i)) for i in range(1, 400)]
+    r = random.Random(4)
+    for i in range(40):
+        mixed_up = text(i).split()
+        r.shuffle(mixed_up)
+        rows += [(None, text(i)), (None, " ".join(mixed_up))]
+    out = attention_lm.scored(documents(spark, rows)).where("doc_id IS NULL").orderBy("score").collect()
+    # few words among many: counts say the same of both, and V / N is below 0.001
+    assert len({round(x["base_score"], 6) for x in out}) < 20 and all(x["n_known"] == 121 for x in out)
+    a, b = (sum(x["score"] for x in part) / 40 / 121 for part in (out[40:], out[:40]))
+    assert a - b > 0.2
+
+
 def test_training_helps(spark):
     rows = entry_module.queries()["op7_attention_scores"](spark, "/root/testdata/sf0.001").where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
     assert rows[0] / rows[1] > -6.5
