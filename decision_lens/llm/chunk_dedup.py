@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of each text (a shift and an addition per byte, so it depends on the last 16 bytes). A chunk
+A gear hash rolls over the bytes of each text (a shift and an addition per byte, so it depends on the last 8 bytes). A chunk
 ends where the hash is less than at the REACH bytes on either side, so ends depend on near-by content alone and an insertion
-moves none but its neighbours. Chunks are compared by 128-bit digest. A chunk is removed if it also occurs in a document with a
-smaller id, within a run of such chunks that holds MIN_WORDS words or more: short phrases and notices stay.
+moves none but its neighbours. Chunks are compared by 64-bit digest (a false match joins or makes a run only next to true ones, or if the
+chunk alone is long enough). A chunk is removed if it also occurs in a document with a smaller id, within a run of such chunks that
+holds MIN_WORDS words or more: short phrases and notices stay. WORD_BYTES bytes count as a word at least, for texts without blanks. A
+text that is the same as a whole text with a smaller id goes whole, whatever its length.
 
 Only digests and ids are shuffled for the comparison, one row per document and digest. The digests that repeat come back to the
 documents, whose chunks are cut again, from the same bytes, to remove runs.
@@ -22,15 +24,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from decision_lens.llm.textkit import SPACED, joined, map_texts, quoted, word_spans
 
 GEAR = np.random.default_rng(1903).integers(0, 1 << 32, 256, dtype=np.uint32)
-HISTORY = 16
-REACH = 24
+HISTORY = 8
+REACH = 8
 MAX_CHUNK = 8192
 MIN_WORDS = 20
+WORD_BYTES = 8
 NEVER = np.uint32(0xFFFFFFFF)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """Rolling hash of the last 16 bytes at each byte, by doubling: a window of 2k bytes is two windows of k."""
+    """Rolling hash of the last 8 bytes at each byte, by doubling: a window of 2k bytes is two windows of k."""
     h, size = GEAR[data], 1
     while size < HISTORY:
         wide = h.copy()
@@ -76,14 +79,19 @@ def chunks(texts: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray]]:
     return data, out
 
 
-def digest(piece: bytes) -> bytes:
-    return hashlib.blake2b(piece, digest_size=16).digest()
+def digest(piece: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+
+
+def whole_digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=b"text").digest(), "little", signed=True)
 
 
 def digests(texts: list[bytes | None]) -> list:
+    """Of each text, its distinct chunks and, last, the whole of it."""
     data, bounds = chunks(texts)
     raw = data.tobytes()
-    return [[list({digest(raw[x:y]): None for x, y in zip(b[:-1].tolist(), b[1:].tolist())}) for b in bounds]]
+    return [[[*{digest(raw[x:y]): None for x, y in zip(b[:-1].tolist(), b[1:].tolist())}, *([whole_digest(t)] if t else [])] for t, b in zip(texts, bounds)]]
 
 
 def removed(texts: list[bytes | None], known: list, min_words: int) -> list:
@@ -95,15 +103,16 @@ def removed(texts: list[bytes | None], known: list, min_words: int) -> list:
         count.append(len(b) - 1)
         flat: list[int] = []
         if repeats:
-            repeats = {bytes(x) for x in repeats}
+            repeats = set(repeats)
             runs: list[list[int]] = []
+            all_of_it = bool(t) and whole_digest(t) in repeats
             for x, y in zip(b[:-1].tolist(), b[1:].tolist()):
-                if digest(raw[x:y]) in repeats:
+                if all_of_it or digest(raw[x:y]) in repeats:
                     if runs and runs[-1][1] == x:
                         runs[-1][1] = y
                     else:
                         runs.append([x, y])
-            flat = [v - int(b[0]) for x, y in runs if len(word_spans(data[x:y], SPACED)[0]) >= min_words for v in whole(raw, x, y, int(b[-1]))]
+            flat = [v - int(b[0]) for x, y in runs if all_of_it or max(len(word_spans(data[x:y], SPACED)[0]), (y - x) // WORD_BYTES) >= min_words for v in whole(raw, x, y, int(b[-1]))]
         spans.append(flat)
         if t is None or not flat:
             rest.append(t)
@@ -129,7 +138,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     """Documents with the rest of their text, n_chunks and removed_spans (byte ranges of the text as it was, flat)."""
     keep = docs.columns if carry is None else [*dict.fromkeys([*carry, text])]
     slim = docs.where(quoted(key).isNotNull()).select(quoted(key).alias("id"), quoted(text).alias("body"))
-    pieces = map_texts(slim, "body", [T.StructField("digests", T.ArrayType(T.BinaryType()))], digests, drop_text=True)
+    pieces = map_texts(slim, "body", [T.StructField("digests", T.ArrayType(T.LongType()))], digests, drop_text=True)
     pieces = pieces.select("id", F.explode("digests").alias("digest"))
     first = pieces.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     again = pieces.join(first, "digest").where("first < id").groupBy(F.col("id").alias("id_")).agg(F.collect_set("digest").alias("repeats_"))

@@ -110,6 +110,28 @@ def test_passages_go_and_clean_texts_stay(spark):
     assert all(out[i]["text"] == t for i, t in rows[7:])
 
 
+def test_passages_of_51_words_are_caught():
+    r = random.Random(6)
+    for lo, hi in ((1, 3), (2, 5), (3, 8)):
+        some = lambda n, lo=lo, hi=hi: " ".join("".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(lo, hi))) for _ in range(n))
+        passages = [some(51) for _ in range(1500)]
+        first, later = ([f"{some(60)} {p} {some(60)}".encode() for p in passages] for _ in range(2))
+        spans = chunk_dedup.removed(later, chunk_dedup.digests(first)[0], chunk_dedup.MIN_WORDS)[2]
+        assert all(spans), (lo, hi, sum(not s for s in spans))
+        left = [len(p) - sum(y - x for x, y in zip(s[0::2], s[1::2])) for p, s in zip(passages, spans)]
+        assert max(left) <= 100 and sum(left) / len(left) < 32
+
+
+def test_passages_without_blanks_and_whole_texts(spark):
+    r = random.Random(7)
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    long, short = han(90), han(20)
+    texts = [han(80) + long + han(80), han(80) + long + han(80), han(80) + short + han(80), han(80) + short + han(80), "see you", "see you", "you see"]
+    out = {r["doc_id"]: r["text"] for r in chunk_dedup.deduplicated(documents(spark, list(enumerate(texts)))).collect()}
+    assert [out[i] == t for i, t in enumerate(texts)] == [True, False, True, True, True, False, True]
+    assert long[25:65] not in out[1] and texts[1][:75] in out[1] and out[5] == ""
+
+
 def test_chunks_on_odd_rows(spark):
     out = chunk_dedup.without_repeats(odd(spark).withColumn("n_chunks", F.lit("mine")))
     assert {r["n_chunks"] for r in out.collect()} == {"mine"}
