@@ -14,8 +14,13 @@ A byte goes if it lies in a string of SPAN = 50 bytes that also starts in a docu
    are compared byte by byte before they count as equal. The least id of each class goes back to the blocks.
 5. Each block marks, for every anchor, the strings whose class has a smaller id than their document, and cuts marked bytes.
 
+Hot anchors, which stand at more than about HOT places, are split by content: the buckets of step 2 add up the blocks' numbers of places
+(powers of two, so up to twice too many) and name them with their answer. Of these a block sends, instead of surroundings, each distinct
+string of SPAN bytes around them with its least and greatest id, to a bucket by the string's hash. Only equal strings meet there, whatever
+their anchor; the bucket sorts them by their bytes and answers the least id of those that repeat.
+
 Sizes: a block sends a row per bucket, and the number of buckets follows the input, so a bucket has about BUCKET_BYTES of text
-to answer for, times what one very frequent anchor adds. A surrounding that many documents of a block share travels once.
+to answer for, and HOT surroundings of one anchor at most. A surrounding or string that many documents of a block share travels once.
 
 Defined cases: null texts are empty; texts of fewer than SPAN bytes lose nothing; rows with a null id neither lose nor take bytes;
 rows of one id are one document and take nothing from each other; repeated rows lose alike; an empty table gives an empty
@@ -40,6 +45,9 @@ AROUND = SPAN + REACH
 BUCKET_BYTES = 2 << 20
 PLACE_BITS = 31
 SUFFIXES = 150_000
+HOT = 1 << 14
+SEVERAL = np.uint8(128)
+BY_STRING = 255  # in place of the first string of an answer: ``around`` is the hash of a string
 
 
 class Anchors:
@@ -69,6 +77,11 @@ class Anchors:
         self.hash = h[self.place]
         self.doc = np.searchsorted(self.bounds, self.place, side="right") - 1
 
+    def strings(self) -> np.ndarray:
+        """Hash of the string of SPAN bytes at each byte; strings that run over the end of a text count as well."""
+        n = len(self.data)
+        return mixed((self.prefix[SPAN:] - self.prefix[:-SPAN]) * powers(INVERSE, n + 1)[:n - SPAN + 1] + np.uint64(SPAN))
+
     def only(self, mask: np.ndarray) -> None:
         self.place, self.hash, self.doc = self.place[mask], self.hash[mask], self.doc[mask]
 
@@ -95,7 +108,7 @@ def runs(keys: np.ndarray):
 
 
 def anchor_hashes(blob, bits: int):
-    """(bucket, short hashes, seen in several documents) of a block."""
+    """(bucket, short hashes, marks) of a block; a mark has the bits of the number of places, and SEVERAL if in several documents."""
     a = Anchors(blob)
     a.only(a.ids[a.doc] != NO_ID)
     ids = a.ids[a.doc]
@@ -103,44 +116,61 @@ def anchor_hashes(blob, bits: int):
     h, ids = a.hash[order], ids[order]
     at = runs(h)
     one, several = h[at[:-1]], ids[at[:-1]] != ids[at[1:] - 1]
+    marks = (np.ceil(np.log2(np.diff(at))).astype(np.uint8) | np.where(several, SEVERAL, np.uint8(0))) if len(one) else np.zeros(0, dtype=np.uint8)
     buckets = bucket_of(one, bits)
     cut = runs(buckets)
     for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield int(buckets[x]), short_of(one[x:y], bits).tobytes(), several[x:y].tobytes()
+        yield int(buckets[x]), short_of(one[x:y], bits).tobytes(), marks[x:y].tobytes()
 
 
-def shared_hashes(rows):
-    """Of the rows (part, block, hashes, several) of a bucket, each block's hashes that another document has as well."""
+def shared_hashes(rows, hot: int = HOT):
+    """Of the rows (part, block, hashes, marks) of a bucket, each block's hashes that another document has as well, and bits of the hot ones."""
     arrays = [np.frombuffer(r[2], dtype=np.uint32) for r in rows]
+    marks = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
     all_ = np.concatenate(arrays)
     order = np.argsort(all_, kind="stable")
     at = runs(all_[order])
-    shared = np.repeat(np.diff(at) > 1, np.diff(at))
-    mask = np.zeros(len(all_), dtype=bool)
-    mask[order] = shared
-    mask |= np.frombuffer(b"".join(r[3] for r in rows), dtype=bool)
+    mask, is_hot = np.zeros(len(all_), dtype=bool), np.zeros(len(all_), dtype=bool)
+    mask[order] = np.repeat(np.diff(at) > 1, np.diff(at))
+    mask |= marks >= SEVERAL
+    places = np.left_shift(np.int64(1), (marks & (SEVERAL - np.uint8(1))).astype(np.int64))
+    is_hot[order] = np.repeat(np.add.reduceat(places[order], at[:-1]) > hot, np.diff(at))
     first = 0
     for r, a in zip(rows, arrays):
-        own = a[mask[first:first + len(a)]]
+        part = slice(first, first + len(a))
+        own = a[mask[part]]
         first += len(a)
         if len(own):
-            yield r[0], r[1], own.tobytes()
+            yield r[0], r[1], own.tobytes() + np.packbits(is_hot[part][mask[part]]).tobytes()
+
+
+def shared_and_hot(answer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(answer) * 8 // 33
+    return np.frombuffer(answer, dtype=np.uint32, count=n), np.unpackbits(np.frombuffer(answer, dtype=np.uint8, offset=4 * n), count=n).astype(bool)
 
 
 SURROUNDING = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("least", "<i8"), ("most", "<i8"), ("left", "u1"), ("right", "u1"), ("bytes", f"V{AROUND}")])
+STRING = np.dtype([("hash", "<u8"), ("least", "<i8"), ("most", "<i8"), ("bytes", f"S{SPAN}")])
 ANSWER = np.dtype([("around", "<u8"), ("first", "u1"), ("last", "u1"), ("least", "<i8")])
 
 
 def surroundings(blob, shared: list[tuple[int, bytes]], bits: int):
-    """(bucket, distinct surroundings of shared anchors) of a block."""
+    """(bucket, distinct surroundings of shared anchors) of a block; strings of hot anchors have buckets of their own, from 1 << bits."""
     a = Anchors(blob)
     a.only(a.ids[a.doc] != NO_ID)
     if not shared:
         return
-    known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(v, dtype=np.uint32).astype(np.uint64) for b, v in shared]))
+    split = [shared_and_hot(v) for _, v in shared]
+    known = np.concatenate([(np.uint64(b) << np.uint64(32)) | h.astype(np.uint64) for (b, _), (h, _) in zip(shared, split)])
+    hot = np.concatenate([x for _, x in split])
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
     own = (bucket_of(a.hash, bits).astype(np.uint64) << np.uint64(32)) | short_of(a.hash, bits).astype(np.uint64)
     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    a.only(known[at] == own)
+    hit = known[at] == own
+    if (hit & hot[at]).any():
+        yield from hot_strings(a, hit & hot[at], bits)
+    a.only(hit & ~hot[at])
     if not len(a.place):
         return
     left, right, around = a.around()
@@ -163,6 +193,48 @@ def surroundings(blob, shared: list[tuple[int, bytes]], bits: int):
         yield int(buckets[x]), zlib.compress(out[x:y].tobytes(), 1)
 
 
+def hot_strings(a: Anchors, hot: np.ndarray, bits: int):
+    """(bucket, distinct strings of SPAN bytes around the hot anchors of a block)."""
+    place, doc = a.place[hot], a.doc[hot]
+    start = place[:, None] - REACH + np.arange(REACH + 1)
+    inside = (start >= a.bounds[doc][:, None]) & (start + SPAN <= a.bounds[doc + 1][:, None])
+    start, first = np.unique(start[inside], return_index=True)
+    if not len(start):
+        return
+    ids = np.broadcast_to(a.ids[doc][:, None], inside.shape)[inside][first]
+    text = np.lib.stride_tricks.sliding_window_view(a.data, SPAN)
+    h = a.strings()[start]
+    order = np.lexsort((ids, h))
+    at = runs(h[order])
+    one, last = order[at[:-1]], order[at[1:] - 1]
+    out = np.zeros(len(one), dtype=STRING)
+    out["hash"], out["least"], out["most"] = h[one], ids[one], ids[last]
+    out["bytes"] = np.ascontiguousarray(text[start[one]]).view(f"S{SPAN}")[:, 0]
+    buckets = bucket_of(out["hash"], bits)
+    cut = runs(buckets)
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield (1 << bits) + int(buckets[x]), zlib.compress(out[x:y].tobytes(), 1)
+
+
+def string_answers(rows):
+    """For each block, its strings that a smaller id than one of its documents has as well, equal byte by byte."""
+    parts = [np.frombuffer(zlib.decompress(r[2]), dtype=STRING) for r in rows]
+    all_ = np.concatenate(parts)
+    order = np.argsort(all_["bytes"], kind="stable")
+    at = runs(all_["bytes"][order])
+    least = np.zeros(len(all_), dtype=np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(all_["least"][order], at[:-1]), np.diff(at))
+    first = 0
+    for r, p in zip(rows, parts):
+        mine = least[first:first + len(p)]
+        first += len(p)
+        useful = mine < p["most"]
+        if useful.any():
+            out = np.zeros(int(useful.sum()), dtype=ANSWER)
+            out["around"], out["first"], out["last"], out["least"] = p["hash"][useful], BY_STRING, BY_STRING, mine[useful]
+            yield r[0], r[1], zlib.compress(out.tobytes(), 1)
+
+
 class Suffixes:
     """Suffixes of a byte array, compared over ``limit`` bytes by prefix hashes."""
 
@@ -323,6 +395,17 @@ def cut(blob, replies: list[bytes]):
         a.only(a.ids[a.doc] != NO_ID)
         known = np.frombuffer(b"".join(map(zlib.decompress, replies)), dtype=ANSWER)
         known = known[np.argsort(known["around"], kind="stable")]
+        by_string = known[known["first"] == BY_STRING]
+        known = known[known["first"] != BY_STRING]
+        if len(by_string):
+            h = a.strings()
+            doc = np.repeat(np.arange(len(a.ids)), np.diff(a.bounds))[:len(h)]
+            at = np.minimum(np.searchsorted(by_string["around"], h), len(by_string) - 1)
+            ids = a.ids[doc]
+            inside = np.arange(len(h)) + SPAN <= a.bounds[doc + 1]
+            start = np.flatnonzero(inside & (ids != NO_ID) & (by_string["around"][at] == h) & (by_string["least"][at] < ids))
+            step[start] += 1
+            step[start + SPAN] -= 1
         _, _, around = a.around()
         lo, hi = np.searchsorted(known["around"], around), np.searchsorted(known["around"], around, side="right")
         place = np.repeat(np.arange(len(around)), hi - lo)
@@ -339,16 +422,16 @@ def cut(blob, replies: list[bytes]):
         yield None if i == NO_ID else i, y - x, n, int(edges), (a.data[x:y][~g] if n else a.data[x:y]).tobytes()
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans (removed runs), kept_sha256, and the kept bytes if asked for."""
     blocks = blocks_of(docs, key, text)
     size = docs.agg(F.sum(F.octet_length(quoted(text).cast("string")))).first()[0] or 0
     bits = max(4, int(size // BUCKET_BYTES).bit_length())
     hashes = each_block(blocks, lambda part, block, data: ((part, block, *x) for x in anchor_hashes(data, bits)), SENT, SENT_DDL)
-    shared = each_bucket(hashes, lambda bucket, rows: ((p, b, bucket, x) for p, b, x in shared_hashes(rows)), ANSWERED, ANSWERED_DDL)
+    shared = each_bucket(hashes, lambda bucket, rows: ((p, b, bucket, x) for p, b, x in shared_hashes(rows, hot)), ANSWERED, ANSWERED_DDL)
     around = each_block_with(blocks, shared, lambda part, block, data, found: ((part, block, x, y, None) for x, y in surroundings(data, found, bits)),
                              SENT, SENT_DDL)
-    replies = each_bucket(around, lambda bucket, rows: ((p, b, bucket, x) for p, b, x in answers(rows)), ANSWERED, ANSWERED_DDL)
+    replies = each_bucket(around, lambda bucket, rows: ((p, b, bucket, x) for p, b, x in (string_answers if bucket >> bits else answers)(rows)), ANSWERED, ANSWERED_DDL)
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.binary())] * with_kept)
     done = each_block_with(

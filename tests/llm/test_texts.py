@@ -312,6 +312,33 @@ def test_repeated_strings_against_brute_force(spark):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in out)
 
 
+def test_hot_anchors_against_brute_force(spark):
+    r = random.Random(11)
+    phrase = words(7, 30)[:40]
+    rows = repeated_rows() + [(100 + i, words(i, 6) + phrase + words(r.randrange(9), 12)) for i in range(80)]
+    for hot in (0, 20):
+        out = suffix_dedup.deduplicated(documents(spark, rows).repartition(5), hot=hot).collect()
+        assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == cut_by_hand(rows)
+
+
+def test_a_hot_anchor_spreads_over_buckets():
+    """Documents that share 40 bytes between different neighbours must not meet in one bucket."""
+    phrase, bits, sent = words(7, 30)[:40].encode(), 6, {}
+    blocks = [packed(list(range(i * 500, i * 500 + 500)), [words(j + 10**6, 20).encode() + phrase + words(j, 20).encode() for j in range(i * 500, i * 500 + 500)])
+              for i in range(48)]
+    for n, blob in enumerate(blocks):
+        for bucket, a, b in suffix_dedup.anchor_hashes(blob, bits):
+            sent.setdefault(bucket, []).append((0, n, a, b))
+    answers, got = {}, {}
+    for bucket, rows in sent.items():
+        for _, n, answer in suffix_dedup.shared_hashes(rows):
+            answers.setdefault(n, []).append((bucket, answer))
+    for n, blob in enumerate(blocks):
+        for bucket, data in suffix_dedup.surroundings(blob, answers[n], bits):
+            got[bucket] = got.get(bucket, 0) + len(data)
+    assert len(got) > 40 and max(got.values()) < 0.1 * sum(got.values())
+
+
 def test_repeated_strings_on_odd_rows(spark):
     df = odd(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
