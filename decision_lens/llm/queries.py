@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from decision_lens.llm import attention_lm, chat, chunk_dedup, decontaminate as decon, pieces, quality_cnn, rules, suffix_dedup, superminhash, warc
+from decision_lens.llm import attention_lm, chat, chunk_dedup, decontaminate as decon, pieces, quality_cnn, rules, suffix_dedup, superminhash, turn_repair, warc
 from decision_lens.llm.sql import BLOCKS_SQL
 from decision_lens.llm.textkit import importable
 
@@ -101,3 +101,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    turns = turn_repair.judged(turn_repair.damaged(rows))
+    return turn_repair.digests(rows, turns, turn_repair.audits(turns))

@@ -126,3 +126,41 @@ rest AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, st
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN rest USING (doc_id)"""
 BLOCKS_SQL["op9_suffix_dedup"] = REPEATS
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+_VISIBLE = r"[^\x20\x09-\x0D]"
+REPAIR = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw, (SELECT unnest([0, 1]) AS copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM t),
+j AS MATERIALIZED (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    CASE WHEN NOT regexp_matches(text, '{_VISIBLE}') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM seen),
+closure(st, ins, st2) AS (VALUES ('e', '', 'e'), ('s', '', 's'), ('u', '', 'u'), ('a', '', 'a'), ('e', 'I', 'u'), ('e', 'II', 'a'), ('s', 'I', 'u'), ('s', 'II', 'a'), ('u', 'I', 'a'), ('a', 'I', 'u')),
+step(st, op, k, st2) AS (VALUES ('e', 'D', NULL, 'e'), ('s', 'D', NULL, 's'), ('u', 'D', NULL, 'u'), ('a', 'D', NULL, 'a'),
+    ('e', 'K', 's', 's'), ('e', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('a', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'),
+    ('e', 'R', NULL, 'u'), ('s', 'R', NULL, 'u'), ('a', 'R', NULL, 'u'), ('u', 'R', NULL, 'a')),
+walk AS (SELECT conv_id, n, 0 AS i, c.st2 AS st, {{'cost': 2 * length(c.ins), 'audit': c.ins}} AS best FROM (SELECT DISTINCT conv_id, n FROM j), closure c WHERE c.st = 'e'
+  UNION ALL
+  SELECT w.conv_id, w.n, w.i + 1, c.st2, min({{'cost': w.best.cost + 2 * length(c.ins) + CASE s.op WHEN 'D' THEN 3 ELSE CASE s.op WHEN 'R' THEN 2 ELSE 0 END + (j.fault = 'truncated')::BIGINT END,
+      'audit': w.best.audit || s.op || c.ins}})
+  FROM walk w JOIN j ON j.i = w.i + 1 AND j.conv_id IS NOT DISTINCT FROM w.conv_id JOIN step s ON s.st = w.st AND (s.k IS NULL OR s.k = j.k)
+    AND (s.op = 'D' OR j.fault NOT IN ('blank', 'duplicate')) JOIN closure c ON c.st = s.st2 GROUP BY w.conv_id, w.n, w.i, c.st2),
+found AS MATERIALIZED (SELECT conv_id, min(best) AS best FROM walk WHERE i = n AND st IN ('e', 'a') GROUP BY conv_id),
+ops AS (SELECT conv_id, p, substr(best.audit, p, 1) AS op, length(replace(substr(best.audit, 1, p), 'I', '')) AS i, length(replace(substr(best.audit, p), 'D', '')) AS rest
+        FROM (SELECT conv_id, best, unnest(range(1, length(best.audit) + 1)) AS p FROM found)),
+lines AS (SELECT o.conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN j.role WHEN rest % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE j.text END, chr(10) ORDER BY p)) AS h
+          FROM ops o JOIN j ON j.conv_id IS NOT DISTINCT FROM o.conv_id AND j.i = greatest(o.i, 1) WHERE op <> 'D' GROUP BY o.conv_id),
+pairs AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY i) || k AS pair FROM j),
+counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM a.conv_id"""
+BLOCKS_SQL["op11_turn_repair"] = REPAIR
