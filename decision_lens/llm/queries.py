@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from decision_lens.llm import attention_lm, chat, chunk_dedup, decontaminate as decon, hard_negatives, pieces, quality_cnn, rules, suffix_dedup, superminhash, turn_repair, warc
+from decision_lens.llm import attention_lm, chat, chunk_dedup, decontaminate as decon, hard_negatives, pieces, posting_lists, quality_cnn, rules, suffix_dedup, superminhash, turn_repair, warc
 from decision_lens.llm.sql import BLOCKS_SQL
 from decision_lens.llm.textkit import importable
 
@@ -114,3 +114,8 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@query
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.searched(table(spark, sf_dir, "embeddings"))
