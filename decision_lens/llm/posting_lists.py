@@ -9,7 +9,9 @@ more than PART_ROWS rows, say of one vector that a third of the rows share, are
 
 A query searches all lists not farther than (1 + ratio) times its nearest one, however many these are. The ratio is fitted: for up to
 PROBES queries (least hashes) the true neighbours are found by a scan in Spark, and the ratio is the one at which a share of TARGET of
-them lies in a searched list. Scores are computed anew in double precision on the original vectors.
+them lies in a searched list. A query's FIRST nearest lists are searched first; their k-th score is the floor that rows of its other
+lists must reach, so that what is sent to the final choice does not grow with the number of lists. Scores are computed anew in double
+precision on the original vectors.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part; shorter vectors count as padded with
 zeros; a null id is no query and comes after every other id; repeated rows are candidates of their own, and a repeated query has results
@@ -32,6 +34,7 @@ FIT_ROWS, FIT_BYTES, ROUNDS, PUSH = 32_768, 16 << 20, 12, 0.1
 LINKS, STARTS, LEAST = 16, 8, 32
 COPIES, BORDER = 2, 0.1
 PROBES, TARGET = 256, 0.96
+FIRST = 4
 AT_ONCE = 256
 
 
@@ -164,26 +167,30 @@ def filed(v: DataFrame, graph: Graph, kind, width: int, longest: float) -> DataF
 
 
 def chosen(queries: DataFrame, graph: Graph, ratio: float, kind, width: int) -> DataFrame:
-    """(list, q_place, q_id, q_data): the lists that every query searches."""
+    """(list, nth, q_place, q_id, q_data): the lists that every query searches, nth from 0 by distance."""
     def run(batches):
         for batch in batches:
             x = asked(matrix(batch.column("data"), kind, width))
             for i in range(0, len(x), AT_ONCE):
                 d = graph.search(x[i:i + AT_ONCE], ratio)
                 row, at = np.nonzero(d <= d.min(axis=1)[:, None] * (1 + ratio))
+                order = np.lexsort((d[row, at], row))
+                row, at = row[order], at[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
                 part = batch.slice(i, AT_ONCE).select(["place", "vec_id", "data"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *part.columns], names=["list", "q_place", "q_id", "q_data"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(nth.astype(np.int32)), *part.columns], names=["list", "nth", "q_place", "q_id", "q_data"])
 
-    return queries.select("place", "vec_id", "data").mapInArrow(run, "list int, q_place long, q_id long, q_data binary")
+    return queries.select("place", "vec_id", "data").mapInArrow(run, "list int, nth int, q_place long, q_id long, q_data binary")
 
 
 HIT = pa.schema([("q_place", pa.int64()), ("q_id", pa.int64()), ("place", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 HIT_DDL = "q_place long, q_id long, place long, vec_id long, score double"
 
 
-def best_of(queries: tuple, rows: tuple, k: int) -> pa.Table:
+def best_of(queries: tuple, rows: tuple, k: int, floor: np.ndarray | None = None) -> pa.Table:
     """The k rows with the greatest inner products for every query, ties by id; (places, ids, matrix) on both sides."""
     (q_place, q_id, q), (place, ids, x) = queries, rows
+    floor = np.full(len(q), -np.inf) if floor is None else floor
     q, x = q.astype(np.float64), x.astype(np.float64)
     made = []
     for i in range(0, len(q) if len(x) else 0, AT_ONCE):
@@ -192,6 +199,7 @@ def best_of(queries: tuple, rows: tuple, k: int) -> pa.Table:
         own = q_place[i:i + AT_ONCE][:, None] == place[None, :]
         s[own] = -np.inf
         bar = np.partition(s, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
+        bar = np.maximum(bar, floor[i:i + AT_ONCE])
         # products of whole matrices may differ in the last bits by place; near ties are judged by the exact sums
         slack = 1e-12 * np.sqrt((part * part).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max(initial=0))
         a, b = np.nonzero((s >= (bar - slack)[:, None]) & ~own)
@@ -238,15 +246,23 @@ def searched(rows: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
     row_parts, query_parts = parts_of(lists, "rows"), parts_of(probes, "asks")
     parts = row_parts.join(F.broadcast(query_parts), F.col("l_rows") == F.col("l_asks")).select("l_rows", "rows", "asks")
     every_part = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = probes.join(F.broadcast(parts), F.col("list") == F.col("l_rows")).withColumn("ask", F.pmod(F.xxhash64("q_place"), F.col("asks")).cast("int")).withColumn("row", every_part("rows"))
     right = lists.join(F.broadcast(parts), F.col("list") == F.col("l_rows")).withColumn("row", F.pmod(F.xxhash64("place"), F.col("rows")).cast("int")).withColumn("ask", every_part("asks"))
     keys = ["list", "row", "ask"]
 
     def meet(a, b):
-        return best_of(side(a, QUERY, kind, width), side(b, ROW, kind, width), k)
-
-    hits = left.select(*keys, *QUERY).groupBy(*keys).cogroup(right.select(*keys, *ROW).groupBy(*keys)).applyInArrow(meet, HIT_DDL)
-    return merged(hits, k).select(F.col("q_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
+        floor = np.asarray(a.column("floor").fill_null(-np.inf)).astype(np.float64)
+        return best_of(side(a, QUERY, kind, width), side(b, ROW, kind, width), k, floor)
+
+    def met(some: DataFrame) -> DataFrame:
+        left = some.join(F.broadcast(parts), F.col("list") == F.col("l_rows")).withColumn("ask", F.pmod(F.xxhash64("q_place"), F.col("asks")).cast("int")).withColumn("row", every_part("rows"))
+        rows_of = right.join(F.broadcast(some.select(F.col("list").alias("some_")).distinct()), F.col("list") == F.col("some_"), "left_semi")
+        return left.select(*keys, *QUERY, "floor").groupBy(*keys).cogroup(rows_of.select(*keys, *ROW).groupBy(*keys)).applyInArrow(meet, HIT_DDL)
+
+    first = stage(met(probes.where(F.col("nth") < FIRST).withColumn("floor", F.lit(None).cast("double"))))
+    floors = merged(first, k).where(F.col("rank") == k).select(F.col("q_place").alias("f_"), F.col("score").alias("floor"))
+    others = probes.where(F.col("nth") >= FIRST).join(floors, F.col("q_place") == F.col("f_"), "left")
+    return merged(first.unionByName(met(others)), k).select(
+        F.col("q_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 def fitted_ratio(v: DataFrame, queries: DataFrame, lists: DataFrame, graph: Graph, kind, width: int, k: int) -> float:
