@@ -7,7 +7,9 @@ running total inside a bin adds to the bin's start. No task orders a whole colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from decision_lens.session import freeze, join_small
 
@@ -94,11 +96,42 @@ def lookup_percentiles(long: DataFrame, table: DataFrame, broadcast_rows: int =
     return common.unionByName(rare.join(slim, ["feature", "value"], "left"))
 
 
-def percentile_map(df: DataFrame, key: str, columns: list[str], table: DataFrame,
-                   names: dict | None = None) -> DataFrame:
-    """df with a map column ``percentiles`` feature -> percentile rank of the row's value."""
+def rank_column(table: DataFrame, columns: list[str], values: Column) -> Column:
+    """Percentile ranks of an array of the columns' values, by binary search in the sorted training values; null stays null.
+
+    ``table`` must be of checked size: its values and running counts travel to the tasks. Values that it lacks are ranked too.
+    """
+    rows = table.select("feature", "value", "n").orderBy("feature", "value").toArrow()
+    feature, value, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("feature", "value", "n"))
+    sorted_values = [value[feature == c] for c in columns]
+    upto = [np.concatenate([[0], np.cumsum(n[feature == c])]) for c in columns]
+
+    def rank(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        wide = np.array([[np.nan if v is None else v for v in row] for row in x], dtype=float)
+        out = np.full(wide.shape, np.nan)
+        for i, (known, total) in enumerate(zip(sorted_values, upto)):
+            below, equal = (total[np.searchsorted(known, wide[:, i], side=side)] for side in ("left", "right"))
+            if total[-1]:
+                out[:, i] = (below + equal + (below < equal)) * 50.0 / total[-1]
+        out[np.isnan(wide)] = np.nan
+        return pd.Series(list(out), index=x.index, dtype=object)
+
+    ranks = F.pandas_udf(rank, T.ArrayType(T.DoubleType()))(values)
+    return F.transform(ranks, lambda r: F.when(~F.isnan(r), r))
+
+
+def percentile_map(df: DataFrame, key: str, columns: list[str], table: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a map column ``percentiles`` feature -> percentile rank of the row's value.
+
+    A table of checked size is searched inside each row, without a shuffle; a larger one is joined by value.
+    """
+    if table.count() <= broadcast_rows:
+        found = rank_column(table, columns, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]))
+        return df.withColumn("_ranks", found).withColumn("percentiles", F.map_from_arrays(F.array(*map(F.lit, columns)), F.col("_ranks"))).drop("_ranks")
     from decision_lens.functions.quantiles import melt
-    ranked = lookup_percentiles(melt(df, columns, [key]), table)
+    ranked = lookup_percentiles(melt(df, columns, [key]), table, broadcast_rows)
     maps = ranked.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "percentile"))).alias("percentiles"))
     return df.join(maps, key, "left")

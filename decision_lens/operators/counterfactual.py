@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from decision_lens.functions.columns import logistic
 from decision_lens.functions.quantiles import quantile_dict
 from decision_lens.functions.ranks import percentile_map, percentile_table
+from decision_lens.operators import ensembles
+from decision_lens.operators.ensembles import Ensemble
 from decision_lens.operators.scoring import linear_logit
 from decision_lens.schemas import (COUNT_COLUMNS, FEATURE_COLUMNS, IMMUTABLE_COLUMNS, MUTABLE_COLUMNS,
                                    TECHNICAL, Frozen)
@@ -117,12 +119,18 @@ def search(df: DataFrame, frozen: Frozen, grid: list[tuple[str, float]], levels:
     pick = _picker(grid, candidates, levels, frozen, k)
     chosen = pick("logit", "prediction", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in used]),
                   F.array(*[F.col("percentiles")[c] for c in used]))
+    pairs = ", ".join(f"array({a})" if b is None else f"array({a}, {b})" for a, b in candidates)
+    return with_records(df, F.transform(chosen, lambda i: F.get(F.expr(f"array({pairs})"), i)), grid, levels)
+
+
+def with_records(df: DataFrame, chosen: Column, grid: list[tuple[str, float]], levels: dict) -> DataFrame:
+    """Counterfactual records from the grid positions chosen for each row (one or two per counterfactual)."""
+    used = list(dict.fromkeys(c for c, _ in grid))
     places = ", ".join(f"named_struct('u', {used.index(c)}, 'feature', '{TECHNICAL[c]}', 'to', {v!r}D, 'p', {levels[(c, v)]!r}D)"
                        for c, v in grid)
-    pairs = ", ".join(f"array({a})" if b is None else f"array({a}, {b})" for a, b in candidates)
     df = df.withColumn("_chosen", chosen).withColumn("_x", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in used])).withColumn(
         "_p", F.array(*[F.col("percentiles")[c] for c in used]))
-    level, pair = F.expr(f"array({places})"), F.expr(f"array({pairs})")
+    level = F.expr(f"array({places})")
 
     def record(position: Column) -> Column:
         m = F.get(level, position)
@@ -131,7 +139,7 @@ def search(df: DataFrame, frozen: Frozen, grid: list[tuple[str, float]], levels:
                         rank.alias("from_percentile"), m["p"].alias("to_percentile"),
                         F.abs(m["p"] - rank).alias("percentile_change"))
 
-    changes = F.transform("_chosen", lambda i: F.transform(F.get(pair, i), record))
+    changes = F.transform("_chosen", lambda positions: F.transform(positions, record))
     cfs = F.transform(changes, lambda c: F.struct(
         F.round(change_distance(c), 9).alias("distance"), F.size(c).alias("n_changes"),
         F.array_join(F.transform(c, lambda m: m["feature"]), "|").alias("names"), c.alias("changes")))
@@ -139,6 +147,25 @@ def search(df: DataFrame, frozen: Frozen, grid: list[tuple[str, float]], levels:
         "cf_status", F.when(F.size("counterfactuals") > 0, "ok").otherwise("none_found"))
 
 
+def with_ensemble_counterfactuals(scored: DataFrame, train: DataFrame, ensemble: Ensemble, k: int = 3, key: str = "row_id",
+                                  columns: list[str] = MUTABLE_COLUMNS) -> DataFrame:
+    """The same for a tree ensemble: all cells that its own thresholds cut out of one or two features are tried.
+
+    Targets are the training values nearest to the row's own in the cell, so no cell with training values is missed. Needs the
+    prediction; ``train`` should be staged.
+    """
+    levels = ensembles.cell_levels(train, ensemble, columns)
+    grid = sorted({(r["feature"], r[end]) for r in levels for end in ("low", "high")})
+    filled = train.select(*[ensembles.filled(c).alias(c) for c in columns])
+    table = training_percentiles(filled, grid, columns)
+    ranks = grid_percentiles(table, grid)
+    moves = ensembles.Moves(ensemble, levels, ranks, columns)
+    rows = scored.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ensemble.features})
+    ranked = percentile_map(rows, key, columns, table)
+    chosen = moves.chooser(k)(ensembles.vector(ensemble), F.array(*[F.col("percentiles")[c] for c in columns]), F.col("prediction"))
+    return with_records(ranked, chosen, moves.grid, ranks)
+
+
 def with_counterfactuals(scored: DataFrame, train: DataFrame, frozen: Frozen, k: int = 3,
                          key: str = "row_id") -> DataFrame:
     """Grid, percentile ranks and search in one go; ``train`` should be staged."""
@@ -189,39 +216,45 @@ def applied(targets: Column) -> dict[str, Column]:
     return {c: F.coalesce(targets[TECHNICAL[c]], F.col(c), F.lit(0.0)) for c in FEATURE_COLUMNS}
 
 
-def rescored(df: DataFrame, frozen: Frozen, targets: Column) -> DataFrame:
-    """new_probability, new_prediction, flipped and probability_change after changes.
+def rescored(df: DataFrame, model: Frozen | Ensemble, targets: Column) -> DataFrame:
+    """new_probability, new_prediction, flipped and probability_change after changes, by a linear model or any tree ensemble.
 
     The imputation flag of the row is kept; cleaning is not run again on filled values.
     """
-    z = linear_logit(frozen, applied(targets))
-    return (df.withColumn("new_probability", logistic(z))
-            .withColumn("new_prediction", F.when(F.col("new_probability") > 0.5, 1).otherwise(0))
-            .withColumn("flipped", F.col("new_prediction") != F.col("prediction"))
+    if isinstance(model, Ensemble):
+        df = df.withColumn("_m", ensembles.margin(model, ensembles.vector(model, applied(targets))))
+        df = df.withColumn("new_probability", ensembles.probability(model, F.col("_m"))).withColumn(
+            "new_prediction", F.when(F.col("_m") > model.cut, 1).otherwise(0)).drop("_m")
+    else:
+        df = df.withColumn("new_probability", logistic(linear_logit(model, applied(targets)))).withColumn(
+            "new_prediction", F.when(F.col("new_probability") > 0.5, 1).otherwise(0))
+    return (df.withColumn("flipped", F.col("new_prediction") != F.col("prediction"))
             .withColumn("probability_change", F.col("new_probability") - F.col("probability")))
 
 
-def verify_each(df: DataFrame, frozen: Frozen, keep: list[str]) -> DataFrame:
+def verify_each(df: DataFrame, model: Frozen | Ensemble, keep: list[str]) -> DataFrame:
     """Every counterfactual of every row scored again."""
     each = df.select(*keep, "prediction", "probability", *FEATURE_COLUMNS,
                      F.posexplode("counterfactuals").alias("_p", "cf"))
     targets = F.map_from_entries(F.transform("cf.changes", lambda m: F.struct(m["feature"], m["to"])))
-    return rescored(each.withColumn("_t", targets), frozen, F.col("_t")).select(
+    return rescored(each.withColumn("_t", targets), model, F.col("_t")).select(
         *keep, (F.col("_p") + 1).alias("cf_index"), "prediction", "probability", "new_probability", "flipped",
         "probability_change", F.size("cf.changes").alias("n_changed"))
 
 
-def verification_summary(df: DataFrame, frozen: Frozen, key: str = "prediction_id") -> DataFrame:
+def verification_summary(df: DataFrame, model: Frozen | Ensemble, key: str = "prediction_id") -> DataFrame:
     """Per row: counterfactuals tried, successes and success rate (0 when there are none).
 
     Counterfactuals of a row never leave the row, so no shuffle is needed.
     """
-    def score(cf: Column) -> Column:
-        targets = F.map_from_entries(F.transform(cf["changes"], lambda m: F.struct(m["feature"], m["to"])))
-        z = linear_logit(frozen, applied(targets))
-        return F.when(z > 0, 1).otherwise(0) != F.col("prediction")
+    def targets(cf: Column) -> Column:
+        return F.map_from_entries(F.transform(cf["changes"], lambda m: F.struct(m["feature"], m["to"])))
 
-    flags = F.transform("counterfactuals", score)
+    if isinstance(model, Ensemble):
+        changed = F.transform("counterfactuals", lambda cf: ensembles.vector(model, applied(targets(cf))))
+        flags = F.transform(ensembles.margins(model, changed), lambda m: F.when(m > model.cut, 1).otherwise(0) != F.col("prediction"))
+    else:
+        flags = F.transform("counterfactuals", lambda cf: F.when(linear_logit(model, applied(targets(cf))) > 0, 1).otherwise(0) != F.col("prediction"))
     n, wins = F.size("counterfactuals"), F.size(F.filter("_flags", lambda f: f))
     return df.withColumn("_flags", flags).select(
         key, n.alias("n_counterfactuals"), wins.alias("n_flipped"),

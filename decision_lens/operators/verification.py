@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from decision_lens.operators.counterfactual import rescored
+from decision_lens.operators.ensembles import Ensemble
 from decision_lens.schemas import FEATURE_COLUMNS, FEATURES, TECHNICAL_OF_FRIENDLY, Frozen
 
 KNOWN = [f[1] for f in FEATURES]
@@ -75,7 +76,7 @@ def matched_index(targets: Column, counterfactuals: Column) -> Column:
     return F.when(place > 0, place)
 
 
-def verify_suggestions(df: DataFrame, frozen: Frozen) -> DataFrame:
+def verify_suggestions(df: DataFrame, model: Frozen | Ensemble) -> DataFrame:
     """Score of the suggested changes: 1 for a flip, 0.2 more (up to 1) for matching a generated one.
 
     Approved applications are skipped (null score); a text without usable suggestion scores 0.
@@ -83,7 +84,7 @@ def verify_suggestions(df: DataFrame, frozen: Frozen) -> DataFrame:
     """
     raw = suggested(F.col("changes"))
     df = df.withColumn("_raw", raw).withColumn("_targets", resolved(F.col("_raw")))
-    df = rescored(df, frozen, F.col("_targets"))
+    df = rescored(df, model, F.col("_targets"))
     skipped = F.col("prediction") == 0
     nothing = F.col("_raw").isNull() | (F.size(F.map_keys("_raw")) == 0)
     live = ~skipped & ~nothing

@@ -128,7 +128,7 @@ def kmeans_assignments(spark, sf_dir):
 
 # --- training ---------------------------------------------------------------------------
 GRID = {"logistic": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, "random_forest": {"numTrees": [20], "maxDepth": [5, 8]},
-        "lightgbm_like": {"maxIter": [10], "maxDepth": [3, 5], "stepSize": [0.1]},
+        "lightgbm_like": {"maxIter": [10], "numLeaves": [6, 12], "stepSize": [0.1]},
         "xgboost_like": {"maxIter": [10], "maxDepth": [3], "stepSize": [0.1], "subsamplingRate": [0.8]}}
 _TRIALS = ", ".join(f"('{f}', {np.prod([len(v) for v in g.values()])}::BIGINT)" for f, g in GRID.items())
 

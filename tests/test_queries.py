@@ -12,6 +12,7 @@ import __spark_entry__ as entry_module
 from decision_lens.operators import attribution as att, training
 from decision_lens.plans import adapters as A, models
 from decision_lens.schemas import FEATURE_COLUMNS
+from decision_lens.session import stage
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -39,7 +40,7 @@ def test_linear_attribution_adds_up(spark):
 
 def test_permutation_attribution_adds_up(spark):
     from pyspark.ml.classification import LogisticRegression
-    df = models.scaled_inputs(spark, SF).select("row_id", *FEATURE_COLUMNS, "label").cache()
+    df = stage(models.scaled_inputs(spark, SF).select("row_id", *FEATURE_COLUMNS, "label"))
     model = training.fit_pipeline(df, FEATURE_COLUMNS, LogisticRegression(labelCol="label", maxIter=5))
     means = att.background_means(df)
     phi = att.permutation_attribution(df, model, means, FEATURE_COLUMNS, permutations=2).groupBy("row_id").agg(F.sum("phi").alias("total"))
