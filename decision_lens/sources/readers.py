@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from decision_lens.schemas import (APPLICANT_CSV, COLUMN_OF, EXPLANATION_RECORD, JUDGE_RECORD, PREDICTION_RECORD,
                                    Frozen)
+from decision_lens.sources.documents import elements, entry_record
 
 METADATA = "struct<prediction_id:string,llm_name:string,explanation_id:string>"
 RESULT = f"struct<evaluation_result:{JUDGE_RECORD},metadata:{METADATA},batch_index:int>"
@@ -39,30 +40,30 @@ def frozen_parameters(text: str, **model) -> Frozen:
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """Whole documents, one per file (a single JSON document cannot be split)."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc")
+    """Whole documents, one per file; for documents that are one record."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("path"))
+
+
+def later(df: DataFrame, key: str, order: str = "source_order") -> DataFrame:
+    """Of repeated keys the row that comes last: in a later file, or later in the same one."""
+    others = [c for c in df.columns if c not in (key, order)]
+    return df.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_v")).select(key, "_v.*")
 
 
 def predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(prediction_id, record): JSON lines, or a document whose ``predictions`` is a map or a list.
+    """(prediction_id, record): JSON lines, or documents whose ``predictions`` is a map or a list, of any size.
 
-    Keyed by the id inside the record; of repeated ids the later one wins.
+    Keyed by the id inside the record; of repeated ids the later one wins, by file path and place in the file.
     """
     if lines:
-        rows = spark.read.text(path).select(F.from_json("value", PREDICTION_RECORD).alias("record"),
-                                            F.lit(None).cast("string").alias("outer"), F.monotonically_increasing_id().alias("seq"))
+        order = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+        rows = spark.read.text(path).select(F.from_json("value", PREDICTION_RECORD).alias("record"), F.lit(None).cast("string").alias("outer"), order.alias("source_order"))
     else:
-        doc = _whole(spark, path)
-        as_map = F.from_json(F.get_json_object("doc", "$.predictions"), f"map<string,{PREDICTION_RECORD}>")
-        as_list = F.from_json(F.get_json_object("doc", "$.predictions"), f"array<{PREDICTION_RECORD}>")
-        is_list = F.substring(F.ltrim(F.get_json_object("doc", "$.predictions")), 1, 1) == "["
-        entries = F.when(is_list, F.transform(as_list, lambda r: F.struct(
-            F.lit(None).cast("string").alias("key"), r.alias("value")))).otherwise(F.map_entries(as_map))
-        rows = doc.select(F.posexplode(entries).alias("seq", "e")).select(
-            F.col("e.value").alias("record"), F.col("e.key").alias("outer"), F.col("seq").cast("long"))
+        e = entry_record(F.col("value"), PREDICTION_RECORD)
+        rows = elements(spark, path, keep="predictions").select(e.alias("e"), "source_order").select(
+            F.col("e.value").alias("record"), F.col("e.key").alias("outer"), "source_order")
     rows = rows.withColumn("prediction_id", F.coalesce("record.prediction.prediction_id", "outer"))
-    return rows.filter(F.col("prediction_id").isNotNull()).groupBy("prediction_id").agg(
-        F.max_by("record", "seq").alias("record"))
+    return later(rows.filter(F.col("prediction_id").isNotNull()).drop("outer"), "prediction_id")
 
 
 CHANGE = "struct<`from`:double,`to`:double,diff:double,from_percentile:double,to_percentile:double,percentile_change:double>"
@@ -99,20 +100,24 @@ def flat_predictions(records: DataFrame) -> DataFrame:
         F.when(F.size(changes) > 0, total / F.size(changes)).otherwise(0.0).alias("cf_avg_percentile_change"))
 
 
-def explanations(spark: SparkSession, path: str) -> DataFrame:
-    """Explanation records from an object with ``explanations`` or a bare list, one document per file."""
-    doc = _whole(spark, path)
-    body = F.when(F.substring(F.ltrim("doc"), 1, 1) == "[", F.col("doc")).otherwise(F.get_json_object("doc", "$.explanations"))
-    return doc.select(F.inline(F.from_json(body, f"array<{EXPLANATION_RECORD}>")))
+def explanations(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """Explanation records from an object with ``explanations`` or a bare list; documents of any size.
+
+    ``ordered`` adds source_order, the place of a record among all files.
+    """
+    rows = elements(spark, path, keep="explanations").select(F.from_json("value", EXPLANATION_RECORD).alias("r"), "source_order")
+    return rows.select("r.*", *(["source_order"] if ordered else []))
 
 
-def batch_results(spark: SparkSession, path: str) -> DataFrame:
-    """Judge results from {results: [...]}, a list, or a single object per file."""
-    doc = _whole(spark, path)
-    listed = F.get_json_object("doc", "$.results")
-    body = (F.when(F.substring(F.ltrim("doc"), 1, 1) == "[", F.col("doc")).when(listed.isNotNull(), listed)
-            .otherwise(F.concat(F.lit("["), F.col("doc"), F.lit("]"))))
-    return doc.select(F.inline(F.from_json(body, f"array<{RESULT}>")))
+def batch_results(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """Judge results from {results: [...]}, a list (both of any size), or a single object per file."""
+    found = elements(spark, path)
+    single = found.groupBy(F.col("source_order.path").alias("path")).agg(
+        F.max(F.col("member") == "results").alias("many"), F.max(F.col("member") == "").alias("bare")).where("not many and not bare").select("path")
+    alone = _whole(spark, path).join(single, "path", "left_semi").select(
+        F.from_json("doc", RESULT).alias("r"), F.struct("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("place")).alias("source_order"))
+    rows = found.where(F.col("member").isin("results", "")).select(F.from_json("value", RESULT).alias("r"), "source_order").unionByName(alone)
+    return rows.select("r.*", *(["source_order"] if ordered else []))
 
 
 def judge_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -137,9 +142,9 @@ def cluster_assignments(spark: SparkSession, path: str | None) -> DataFrame:
     """(row_id, cluster_id) from the assignment document; no path gives no assignments."""
     if path is None:
         return spark.createDataFrame([], "row_id long, cluster_id int")
-    doc = _whole(spark, path)
-    return doc.select(F.explode(F.from_json(F.get_json_object("doc", "$.index_to_cluster"), "map<string,int>"))
-                      .alias("k", "cluster_id")).select(F.col("k").cast("long").alias("row_id"), "cluster_id")
+    entry = F.get(F.map_entries(F.from_json(F.concat(F.lit("{"), F.col("value"), F.lit("}")), "map<string,int>")), F.lit(0))
+    rows = elements(spark, path, cut=",", keep="index_to_cluster").select(entry.alias("e"), "source_order")
+    return later(rows.select(F.col("e.key").cast("long").alias("row_id"), F.col("e.value").alias("cluster_id"), "source_order"), "row_id")
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:

@@ -124,3 +124,75 @@ def test_other_writers(spark, tmp_path):
     requests = df.select(F.lit("request-1").alias("key"), F.struct("row_id").alias("request"))
     B.write_requests(requests, str(tmp_path / "q"))
     assert json.loads(spark.read.text(str(tmp_path / "q")).first()[0])["request"] == {"row_id": 1}
+
+
+def nested(n, seed):
+    import random
+    r = random.Random(seed)
+    text = lambda: "".join(r.choice(['a', 'é', '{', '}', '[', ']', ',', ':', '"', '\\', '\n', ' ', "'"]) for _ in range(r.randint(0, 30)))
+    return [{"id": i, text() + "k": text(), "deep": {"x": [text(), {"y": text()}], "z": {}}, "e": [], "n": None} for i in range(n)]
+
+
+@pytest.mark.parametrize("cut", ["}", ","])
+@pytest.mark.parametrize("size", ["200", "3000", "128m"])
+def test_documents_are_cut_at_elements(spark, tmp_path, cut, size):
+    """Any cut and split size gives the elements that a JSON parser finds, in order."""
+    from decision_lens.sources.documents import elements
+    many = nested(60, 7)
+    docs = {"a.json": {"meta": {"p": "}{,"}, "count": 3, "results": many, "other": [1, 2]}, "b.json": many[:20], "c.json": {"x": {}, "results": []},
+            "d.json": {"predictions": {m["deep"]["x"][0] + str(i): m for i, m in enumerate(many[:9])}, "results": many[:1]}, "e.json": []}
+    for name, doc in docs.items():
+        (tmp_path / name).write_text(json.dumps(doc, indent=1 if name == "a.json" else None, ensure_ascii=name == "d.json"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if size != "128m" else "4m")
+    try:
+        rows = elements(spark, str(tmp_path), cut).orderBy("source_order").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {}
+    for r in rows:
+        found.setdefault((r["source_order"]["path"][-6:], r["member"]), []).append(r["value"])
+    parsed = {k: [json.loads(v) for v in vs] for k, vs in found.items() if k[1] not in ("predictions", "meta")}
+    assert parsed == {("a.json", "results"): many, ("a.json", "other"): [1, 2], ("b.json", ""): many[:20], ("d.json", "results"): many[:1]}
+    named = {}
+    for v in found["d.json", "predictions"]:
+        named.update(json.loads("{" + v + "}"))
+    assert named == docs["d.json"]["predictions"]
+
+
+def test_one_document_is_read_by_many_tasks(spark, tmp_path):
+    from decision_lens.sources.documents import fragments
+    record = {"results": [{"evaluation_result": None, "metadata": {"explanation_id": f"e{i}", "llm_name": "x" * 200}, "batch_index": i} for i in range(4000)]}
+    path = write(tmp_path, "big.json", record)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert fragments(spark, path, "}").rdd.getNumPartitions() > 8
+        got = R.batch_results(spark, path, ordered=True).orderBy("source_order").select("batch_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["batch_index"] for r in got] == list(range(4000))
+
+
+def test_later_duplicate_wins_across_files(spark, tmp_path):
+    for name, p in (("a.json", [0.1, 0.2]), ("b.json", [0.3, 0.4])):
+        write(tmp_path, name, {"predictions": [prediction("x", v, []) for v in p]})
+    assert [r["record"]["prediction"]["probability"] for r in R.predictions(spark, str(tmp_path)).collect()] == [0.4]
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    for name, p in (("a.jsonl", [0.5, 0.6]), ("b.jsonl", [0.8, 0.7])):
+        write(lines, name, "\n".join(json.dumps(prediction("x", v, [])) for v in p))
+    assert [r["record"]["prediction"]["probability"] for r in R.predictions(spark, str(lines), lines=True).collect()] == [0.7]
+
+
+def test_written_documents_come_back(spark, tmp_path):
+    from decision_lens.sources.documents import elements, write_documents
+    rows = spark.range(50).select(F.concat(F.lit('q"\\ü'), F.col("id").cast("string")).alias("k"), F.to_json(F.struct("id")).alias("value"))
+    for i, (member, key) in enumerate([(None, None), ("results", None), ("predictions", "k")]):
+        write_documents(rows, str(tmp_path / str(i)), member, key=key)
+        got = elements(spark, str(tmp_path / str(i))).where(F.col("member").isin("", "results", "predictions")).collect()
+        assert len(got) == 50
+        if key:
+            assert {k for r in got for k in json.loads("{" + r["value"] + "}")} == {f'q"\\ü{i}' for i in range(50)}
