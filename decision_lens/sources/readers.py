@@ -144,7 +144,7 @@ def cluster_assignments(spark: SparkSession, path: str | None) -> DataFrame:
         return spark.createDataFrame([], "row_id long, cluster_id int")
     entry = F.get(F.map_entries(F.from_json(F.concat(F.lit("{"), F.col("value"), F.lit("}")), "map<string,int>")), F.lit(0))
     rows = elements(spark, path, cut=",", keep="index_to_cluster").select(entry.alias("e"), "source_order")
-    return later(rows.select(F.col("e.key").cast("long").alias("row_id"), F.col("e.value").alias("cluster_id"), "source_order"), "row_id")
+    return later(rows.select(F.col("e.key").try_cast("long").alias("row_id"), F.col("e.value").alias("cluster_id"), "source_order"), "row_id")
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:

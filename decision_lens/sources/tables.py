@@ -6,60 +6,85 @@ import json
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from decision_lens.operators.metrics import last_per_key
 from decision_lens.session import freeze, join_small
 
 ORDER = "_seq"
+BUCKET = "_bucket"
+BUCKETS = 64
+
+
+def latest(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: of the last put, and in it the one that comes last."""
+    return last_per_key(df, key, ORDER)
 
 
 class KeyedTable:
-    """Parquet table with one visible row per key.
+    """Parquet table with one visible row per key, in folders by the key's hash.
 
-    Puts only append; a read keeps the latest row of each key. A put therefore costs its own
-    size, never a rewrite of the table, and a failed one leaves the old rows visible.
+    A put appends one file a bucket, a read keeps the latest row of each key: a failed put leaves the old rows visible. ``get`` reads one
+    bucket, with the key pushed into its scan. ``compact`` rewrites each bucket to the visible rows, so that the cost of a read does
+    not grow with the number of puts; a bucket is replaced by one partition overwrite, and whatever of it a lost job leaves is rewritten
+    by the next one. Compact while nothing else writes.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str):
-        self.spark, self.path, self.key = spark, path, key
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
         self.schema = schema
-        self.stored = T.StructType([*schema.fields, T.StructField("stored_at", T.TimestampType()),
-                                    T.StructField(ORDER, T.LongType())])
+        self.order = T.StructField(ORDER, T.StructType([T.StructField("at", T.LongType()), T.StructField("place", T.StringType())]))
+        self.stored = T.StructType([*schema.fields, T.StructField("stored_at", T.TimestampType()), self.order, T.StructField(BUCKET, T.IntegerType())])
 
     def create(self) -> "KeyedTable":
         """Create the table if its path is missing; a path that holds something else is an error."""
         try:
-            self.spark.read.parquet(self.path)
+            found = self.spark.read.parquet(self.path)
         except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            self.spark.createDataFrame([], self.stored).write.parquet(self.path)
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                self.clear()
+            elif exc.getCondition() != "UNABLE_TO_INFER_SCHEMA" or not self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path).select("path").isEmpty():
+                raise  # a table without rows has no files
+        else:
+            if not set(self.schema.fieldNames()) <= set(found.columns):
+                raise ValueError(f"{self.path} holds something else")
         return self
 
+    def _bucket_of(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast(self.schema[self.key].dataType)), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        """One task writes a bucket, so a put adds one file to each bucket that it touches."""
+        rows.select(self.stored.fieldNames()).repartition(self.buckets, BUCKET).write.mode(mode).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static").partitionBy(BUCKET).parquet(self.path)
+
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.stored).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame([], self.stored).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(self.path)
 
     def _raw(self) -> DataFrame:
         return self.spark.read.schema(self.stored).parquet(self.path)
 
-    def put(self, rows: DataFrame, overwrite: bool = True, order: str | None = None) -> int:
-        """Store rows; of equal keys in one put the one with the largest ``order`` stays.
+    def put(self, rows: DataFrame, overwrite: bool = True, order: str | Column | None = None) -> int:
+        """Store rows; of equal keys in one put the one with the largest ``order`` stays, of equal order the one that is
+        greatest as JSON, so that the result never depends on how rows are spread.
 
-        Returns the number of rows that cannot be stored because they have no key.
+        Returns the number of rows that cannot be stored because they have no key. They are counted apart: an Observation would
+        leave an object in the session that keeps fitted linear models from being sent to tasks.
         """
-        seen = Observation()
-        rows = rows.observe(seen, F.sum(F.col(self.key).isNull().cast("long")).alias("failed")).filter(F.col(self.key).isNotNull())
-        rows = last_per_key(rows.withColumn("_o", F.col(order) if order else F.lit(0)), self.key, "_o").drop("_o")
+        failed = rows.filter(F.col(self.key).isNull()).count()
+        rows = rows.filter(F.col(self.key).isNotNull())
+        first = (F.col(order) if isinstance(order, str) else order) if order is not None else F.lit(0)
+        rows = last_per_key(rows.withColumn("_o", F.struct(first.alias("first"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.schema.fieldNames()])).alias("text"))), self.key, "_o")
         if not overwrite:
             rows = insert_if_absent(self.keys(), rows, self.key)
-        rows.withColumn("stored_at", F.current_timestamp()).withColumn(ORDER, F.lit(time.time_ns())).select(
-            self.stored.fieldNames()).write.mode("append").parquet(self.path)
-        return seen.get["failed"] or 0
-
-    def read(self, limit: int | None = None) -> DataFrame:
-        rows = last_per_key(self._raw(), self.key, ORDER).select(self.schema.fieldNames())
+        at = F.struct(F.lit(time.time_ns()).alias("at"), F.col("_o.text").alias("place"))
+        self._write(rows.withColumn("stored_at", F.current_timestamp()).withColumn(ORDER, at).withColumn(BUCKET, self._bucket_of(F.col(self.key))), "append")
+        return failed
+
+    def read(self, limit: int | None = None, order: list | None = None) -> DataFrame:
+        """Visible rows; the first ``limit`` of them by ``order``, or any where no order is given."""
+        rows = latest(self._raw(), self.key).select(self.schema.fieldNames())
+        rows = rows if order is None else rows.orderBy(*order)
         return rows if limit is None else rows.limit(limit)
 
     def keys(self) -> DataFrame:
@@ -67,9 +92,16 @@ class KeyedTable:
         return self._raw().select(self.key).distinct()
 
     def get(self, value) -> DataFrame:
-        """Row of one key; the comparison is pushed into the scan."""
-        return last_per_key(self._raw().filter(F.col(self.key) == F.lit(value)), self.key, ORDER).select(
-            self.schema.fieldNames())
+        """Row of one key: one bucket is read, and the comparison is pushed into its scan."""
+        bucket = self.spark.range(1).select(self._bucket_of(F.lit(value)).alias("b")).first()["b"]
+        return latest(self._raw().filter((F.col(BUCKET) == bucket) & (F.col(self.key) == F.lit(value))), self.key).select(self.schema.fieldNames())
+
+    def compact(self) -> None:
+        """Rewrite every bucket to its visible rows, over a staged copy."""
+        from decision_lens.session import stage
+        others = [c for c in self.stored.fieldNames() if c not in (self.key, BUCKET)]
+        newest = self._raw().groupBy(self.key, BUCKET).agg(F.max_by(F.struct(*others), ORDER).alias("_v")).select(self.key, "_v.*", BUCKET)
+        self._write(stage(newest), "overwrite")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
@@ -101,17 +133,28 @@ def grouped_store(items: DataFrame, group: str, item_key: str, part_rows: int =
 
 
 def storable(df: DataFrame) -> DataFrame:
-    """Doubles as text where they are NaN or infinite, so that JSON can hold them."""
+    """Doubles as text where they are NaN or infinite, so that JSON can hold them; also inside structs, arrays and maps."""
     def text(c):
         return (F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity")
                 .when(c == float("-inf"), "-Infinity").otherwise(c.cast("string")))
-    out = {}
-    for name, kind in df.dtypes:
-        if kind in ("double", "float"):
-            out[name] = text(F.col(f"`{name}`"))
-        elif kind in ("map<string,double>", "map<string,float>"):
-            out[name] = F.transform_values(f"`{name}`", lambda _, v: text(v))
-    return df.withColumns(out)
+
+    def holds(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(holds(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return holds(kind.elementType)
+        return holds(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, (T.DoubleType, T.FloatType))
+
+    def walk(c: Column, kind: T.DataType) -> Column:
+        if not holds(kind):
+            return c
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[walk(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: walk(x, kind.elementType))
+        return F.transform_values(c, lambda _, v: walk(v, kind.valueType)) if isinstance(kind, T.MapType) else text(c)
+
+    return df.withColumns({f.name: walk(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if holds(f.dataType)})
 
 
 def prediction_records(df: DataFrame) -> DataFrame:

@@ -196,3 +196,51 @@ def test_written_documents_come_back(spark, tmp_path):
         assert len(got) == 50
         if key:
             assert {k for r in got for k in json.loads("{" + r["value"] + "}")} == {f'q"\\ü{i}' for i in range(50)}
+
+
+def files_of(df):
+    return set(df.inputFiles())
+
+
+def test_get_reads_one_bucket_and_compaction_bounds_reads(spark, tmp_path):
+    t = B.KeyedTable(spark, str(tmp_path / "t"), ROW, "k", buckets=8).create()
+    for i in range(5):
+        t.put(spark.range(200).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"), F.lit(i).alias("v")))
+    plan = t.get("k7")._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(k,k7)" in plan
+    assert [tuple(r) for r in t.get("k7").collect()] == [("k7", 4)]
+    assert max(len([f for f in d.iterdir() if f.suffix == ".parquet"]) for d in (tmp_path / "t").glob("_bucket=*")) <= 5
+    before = {tuple(r) for r in t.read().collect()}
+    assert len(files_of(t.read())) > 30
+    t.compact()
+    assert len(files_of(t.read())) <= 8 and {tuple(r) for r in t.read().collect()} == before and t._raw().count() == 200
+    t.put(spark.createDataFrame([("k7", 9)], ROW))
+    assert t.get("k7").first()["v"] == 9 and t.get("k8").first()["v"] == 4 and t.get("none").count() == 0
+
+
+def test_puts_without_order_do_not_depend_on_partitions(spark, tmp_path):
+    rows = [("a", i) for i in range(40)]
+    got = []
+    for n in (1, 7):
+        t = B.KeyedTable(spark, str(tmp_path / f"t{n}"), ROW, "k").create()
+        t.put(spark.createDataFrame(rows, ROW).repartition(n))
+        got.append([tuple(r) for r in t.read().collect()])
+    assert got[0] == got[1] and len(got[0]) == 1
+    assert [r["v"] for r in B.KeyedTable(spark, str(tmp_path / "t1"), ROW, "k").read(limit=1, order=["v"]).collect()] == [got[0][0][1]]
+
+
+def test_storable_reaches_nested_values(spark):
+    df = spark.createDataFrame([((float("nan"), [1.5, float("inf")]), [{"a": float("-inf")}], 3)], "s struct<x:double,l:array<double>>, m array<map<string,double>>, n int").coalesce(1)
+    r = B.storable(df).first()
+    assert (r["s"]["x"], r["s"]["l"], r["m"], r["n"]) == ("NaN", ["1.5", "Infinity"], [{"a": "-Infinity"}], 3)
+
+
+def test_models_are_kept(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+    from decision_lens.operators import training
+    df = spark.createDataFrame([(float(i), float(i % 3), i % 2) for i in range(30)], "a double, b double, label int")
+    model = training.fit_pipeline(df, ["a", "b"], LogisticRegression(labelCol="label"))
+    B.write_model(spark, model, str(tmp_path / "m"), {"features": ["a", "b"]})
+    again, meta = B.read_model(spark, str(tmp_path / "m"))
+    assert meta == {"features": ["a", "b"]}
+    assert training.score_model(df, again).collect() == training.score_model(df, model).collect()
