@@ -12,7 +12,7 @@ from decision_lens.functions.ranks import percentile_map, percentile_table
 from decision_lens.operators import ensembles
 from decision_lens.operators.ensembles import Ensemble
 from decision_lens.operators.scoring import linear_logit
-from decision_lens.schemas import (COUNT_COLUMNS, FEATURE_COLUMNS, IMMUTABLE_COLUMNS, MUTABLE_COLUMNS,
+from decision_lens.schemas import (COUNT_COLUMNS, FEATURE_COLUMNS, IMMUTABLE_COLUMNS, MUTABLE_COLUMNS, SHOWN,
                                    TECHNICAL, Frozen)
 from decision_lens.session import stage
 
@@ -192,23 +192,24 @@ def change_map(cf: Column) -> Column:
 
 
 def display_value(column: str, raw: Column, before: Column, after: Column, caps: dict) -> Column:
-    """Value shown to a reader for a move from ``before`` to ``after`` in processed space."""
+    """Value shown to a reader for a move from ``before`` to ``after`` in processed space, within the limits of SHOWN and of the caps.
+
+    A move scales the raw value by its ratio, between a tenth and ten times; from nothing it is added.
+    """
     if column in IMMUTABLE_COLUMNS:
-        shown = raw
+        moved = raw
     else:
-        ratio = F.greatest(F.lit(0.1), F.least(F.lit(10.0), F.try_divide(after, before)))
-        shown = (F.when(F.abs(after - before) < 1e-6, raw)
-                 .when(F.abs(before) > 1e-10, raw * ratio).otherwise(raw + (after - before)))
-        if column == "age":
-            shown = F.greatest(F.lit(18.0), F.least(F.lit(100.0), shown))
-        elif column in COUNT_COLUMNS:
-            shown = F.greatest(F.lit(0.0), F.bround(shown))
-        elif column in ("income", "debt_ratio", "utilisation"):
-            shown = F.greatest(F.lit(0.0), shown)
+        scale = F.greatest(F.lit(0.1), F.least(F.lit(10.0), F.try_divide(after, before)))
+        moved = F.when(F.abs(before) > 1e-10, raw * scale).otherwise(raw + (after - before))
+        moved = F.when(F.abs(after - before) < 1e-6, raw).otherwise(moved)
+        least, most, whole = SHOWN.get(column, (None, None, False))
+        moved = F.bround(moved) if whole else moved
+        moved = moved if least is None else F.greatest(F.lit(least), moved)
+        moved = moved if most is None else F.least(F.lit(most), moved)
     if column in caps:
         low, high = caps[column]
-        shown = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), shown))
-    return F.when(raw.isNotNull(), shown)
+        moved = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), moved))
+    return F.when(raw.isNotNull(), moved)
 
 
 def applied(targets: Column) -> dict[str, Column]:

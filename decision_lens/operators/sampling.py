@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from decision_lens.functions.columns import age_band, probability_band, seeded_hash
 from decision_lens.functions.sampling import split_by_hash, take_by_hash
 from decision_lens.schemas import BAND_PRIORITY, SAMPLING_TARGETS
-from decision_lens.session import SMALL_ROWS, stage
+from decision_lens.session import SMALL_ROWS, freeze, stage
 
 
 def strata_counts(df: DataFrame, *columns: Column) -> dict:
@@ -82,42 +82,39 @@ def category_sample(df: DataFrame, key: str, total: int = 100, targets: dict | N
     return taken.unionByName(take_by_hash(rest, key, missing, seed)) if missing > 0 else taken
 
 
-def age_first_quotas(counts: dict, total: int, targets: dict) -> tuple[dict, dict]:
-    """({(age band, probability band): n}, {age band: further n from any band})."""
-    sizes: dict = {}
-    for (age, _), n in counts.items():
-        sizes[age] = sizes.get(age, 0) + n
-    everyone = sum(sizes.values())
-    order = sorted(sizes, key=lambda a: (-sizes[a], a))
-    wanted_sum = sum(targets.values())
-    picked, fill, allocated = {}, {}, 0
-    for age in order:
-        if age == order[-1]:
-            goal = total - allocated
-        else:
-            goal = max(1, int(total * (sizes[age] / everyone)))
-            allocated += goal
-        left = goal
-        for band in BAND_PRIORITY:
-            available = counts.get((age, band), 0)
-            if left <= 0:
-                break
-            if available and band in targets:
-                n = min(left, available, max(1, int(goal * (targets[band] / wanted_sum))))
-                picked[(age, band)] = n
-                left -= n
-        used = sum(n for (a, _), n in picked.items() if a == age)
-        fill[age] = max(0, min(left, sizes[age] - used))
-    return picked, fill
+def age_first_quotas(counts: DataFrame, total: int, targets: dict) -> tuple[DataFrame, DataFrame]:
+    """((age, band, quota), (age, fill)) from counts (age, band, n) of at most a few dozen cells.
+
+    An age band's goal is its share of ``total``, rounded down but at least 1; the smallest band gets what the others leave. In it
+    a cell wishes for its band's share of the goal (at least 1, at most what it holds). Wishes are met in the order of
+    BAND_PRIORITY as far as the goal reaches, which a running sum of wishes tells; what is left over may come from any cell.
+    """
+    ages = counts.groupBy("age").agg(F.sum("n").alias("size"))
+    by_size, everyone = Window.orderBy(F.desc("size"), "age"), Window.partitionBy()
+    share = F.greatest(F.lit(1), F.floor(total * (F.col("size") / F.sum("size").over(everyone))))
+    ages = ages.withColumn("share", share).withColumn("earlier", F.coalesce(F.sum("share").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = F.row_number().over(by_size) == F.count(F.lit(1)).over(everyone)
+    ages = ages.select("age", "size", F.when(last, F.lit(total) - F.col("earlier")).otherwise(F.col("share")).alias("goal"))
+    weight = F.create_map(*[F.lit(x) for band, t in targets.items() for x in (band, t / sum(targets.values()))])
+    place = F.array_position(F.array(*map(F.lit, BAND_PRIORITY)), F.col("band"))
+    cells = counts.filter(F.col("band").isin(*targets) & (place > 0)).join(ages, "age").withColumn("place", place)
+    wish = F.least(F.col("n"), F.greatest(F.lit(1), F.floor(F.col("goal") * F.element_at(weight, F.col("band")))))
+    before = F.coalesce(F.sum("wish").over(Window.partitionBy("age").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("wish", wish).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("wish"), F.col("goal") - before)))
+    met = cells.groupBy("age").agg(F.sum("quota").alias("met"))
+    over = F.least(F.col("goal"), F.col("size")) - F.coalesce("met", F.lit(0))
+    return (cells.filter("quota > 0").select("age", "band", F.col("quota").cast("long").alias("quota")),
+            ages.join(met, "age", "left").select("age", F.greatest(F.lit(0), over).cast("long").alias("fill")))
 
 
 def age_first_sample(df: DataFrame, key: str, total: int = 100, targets: dict | None = None,
                      seed=42) -> DataFrame:
-    """Age bands keep their share; inside each, probability bands are walked in priority order."""
+    """Age bands keep their share; inside each, probability bands are met in priority order."""
     age, band = age_band(F.col("age")), probability_band(F.col("probability"))
-    picked, fill = age_first_quotas(strata_counts(df, age, band), total, targets or SAMPLING_TARGETS)
+    counts = freeze(df.groupBy(age.alias("age"), band.alias("band")).agg(F.count(F.lit(1)).alias("n")))[0]
+    quotas, fill = age_first_quotas(counts, total, targets or SAMPLING_TARGETS)
     pair = F.concat_ws("|", age, F.coalesce(band, F.lit("null")))
-    taken, rest = split_by_hash(df, key, {"|".join(p): n for p, n in picked.items()}, pair, seed)
+    taken, rest = split_by_hash(df, key, quotas.select(F.concat_ws("|", "age", "band").alias("pair"), "quota"), pair, seed)
     return taken.unionByName(split_by_hash(rest, key, fill, age, seed)[0])
 
 

@@ -6,25 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from decision_lens.operators.counterfactual import rescored
 from decision_lens.operators.ensembles import Ensemble
-from decision_lens.schemas import FEATURE_COLUMNS, FEATURES, TECHNICAL_OF_FRIENDLY, Frozen
+from decision_lens.schemas import FEATURE_COLUMNS, FEATURES, LOG_SUFFIX, NAME_PATTERNS, TECHNICAL_OF_FRIENDLY, Frozen
 
 KNOWN = [f[1] for f in FEATURES]
 TOLERANCE = 0.001
 
 
 def resolve_name(name: Column) -> Column:
-    """Technical name behind a suggested one, or null when nothing fits."""
-    known = F.array(*[F.lit(k) for k in KNOWN])
-    base = F.regexp_replace(name, "_log$", "")
-    by_friendly = F.create_map(*[F.lit(x) for p in TECHNICAL_OF_FRIENDLY.items() for x in p])[name]
-    days = name.contains("Days")
-    return (F.when(F.array_contains(known, name), name)
-            .when(name.endswith("_log"), F.when(F.array_contains(known, base), base))
-            .when(by_friendly.isNotNull(), by_friendly)
-            .when(days & name.rlike("30[-_]59"), "NumberOfTime30-59DaysPastDueNotWorse")
-            .when(days & name.rlike("60[-_]89"), "NumberOfTime60-89DaysPastDueNotWorse")
-            .when(days & name.contains("90"), "NumberOfTimes90DaysLate")
-            .when(name.contains("RealEstate") | F.lower(name).contains("real estate"), "NumberRealEstateLoansOrLines"))
+    """Technical name behind a suggested one, or null when nothing fits: known names, reader-facing ones, then NAME_PATTERNS."""
+    exact = F.create_map(*[F.lit(x) for k in [*[(k, k) for k in KNOWN], *TECHNICAL_OF_FRIENDLY.items()] for x in k])
+    spelled = F.coalesce(*[F.when(name.rlike(pattern), technical) for pattern, technical in NAME_PATTERNS])
+    base = F.substring(name, F.lit(1), F.length(name) - len(LOG_SUFFIX))
+    of_log = F.when(F.array_contains(F.array(*map(F.lit, KNOWN)), base), base)
+    return F.coalesce(exact[name], F.when(name.endswith(LOG_SUFFIX), of_log).otherwise(spelled))
 
 
 def last_wins(entries: Column) -> Column:

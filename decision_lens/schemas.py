@@ -78,6 +78,24 @@ TARGET_ROUNDING = {
     "late_90": ("down", 1.0),
 }
 
+# --- fixed values: shown values of changed features: least, greatest, whole number ----------
+SHOWN = {
+    "age": (18.0, 100.0, False),
+    "income": (0.0, None, False),
+    "debt_ratio": (0.0, None, False),
+    "utilisation": (0.0, None, False),
+    **{c: (0.0, None, True) for c in COUNT_COLUMNS},
+}
+
+# --- fixed values: spellings in suggestions, first match counts ----------------------------
+NAME_PATTERNS = (
+    (r"Days.*30[-_]59|30[-_]59.*Days", "NumberOfTime30-59DaysPastDueNotWorse"),
+    (r"Days.*60[-_]89|60[-_]89.*Days", "NumberOfTime60-89DaysPastDueNotWorse"),
+    (r"Days.*90|90.*Days", "NumberOfTimes90DaysLate"),
+    (r"RealEstate|(?i:real estate)", "NumberRealEstateLoansOrLines"),
+)
+LOG_SUFFIX = "_log"
+
 # --- fixed values: checklist items of the readability and actionability rubric -------------
 CHECKLIST_ITEMS = (
     (1, "Makes purpose completely evident"),

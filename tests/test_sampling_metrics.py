@@ -39,10 +39,12 @@ def test_category_sample_tops_up_and_short_strata(population):
     assert S.category_sample(scarce, "row_id", total=60).count() == 60
 
 
-def test_age_first_quotas():
-    picked, fill = S.age_first_quotas({("a", "BOUNDARY"): 2, ("a", "CLEAR_REJECT"): 50, ("b", "CLEAR_ACCEPT"): 10}, 20, S.SAMPLING_TARGETS)
-    assert picked == {("a", "BOUNDARY"): 2, ("a", "CLEAR_REJECT"): 3, ("b", "CLEAR_ACCEPT"): 1}
-    assert fill == {"a": 11, "b": 3 - 1 if 20 - 16 == 3 else 3}
+def test_age_first_quotas(spark):
+    counts = spark.createDataFrame([("a", "BOUNDARY", 2), ("a", "CLEAR_REJECT", 50), ("b", "CLEAR_ACCEPT", 10), ("b", None, 4)], "age string, band string, n long")
+    picked, fill = S.age_first_quotas(counts, 20, S.SAMPLING_TARGETS)
+    # goals: a 15 of 66 rows' share, b the rest
+    assert {tuple(r) for r in picked.collect()} == {("a", "BOUNDARY", 2), ("a", "CLEAR_REJECT", 3), ("b", "CLEAR_ACCEPT", 1)}
+    assert {r["age"]: r["fill"] for r in fill.collect()} == {"a": 10, "b": 4}
 
 
 def test_age_first_total(population):
