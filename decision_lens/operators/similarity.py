@@ -5,8 +5,8 @@ Two exact routes:
 * ``moment_stats``: mean, standard deviation and count of every pair class from group sums.
   For unit vectors the sum of all pairwise cosines is (|sum u|^2 - n) / 2 and the sum of their
   squares (|sum u u'|_F^2 - n) / 2, so the work is linear in the number of vectors.
-* ``order_stats``: median, minimum and maximum need every pair. Vectors are packed in blocks,
-  a grid cell multiplies two blocks, and a cell returns only counts per value bin. The bin
+* ``view_stats``: median, minimum and maximum need every pair. Vectors are packed in blocks,
+  a grid cell multiplies the blocks of two tiles, and returns only counts per value bin, for all groupings at once. The bin
   that holds the median is split again until few enough values are left in it to rank
   them. No pair is ever a row outside that last bin.
 """
@@ -18,6 +18,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -201,81 +202,204 @@ def _next(path: tuple) -> tuple[float, float]:
     return low + chosen * width / BINS, width / BINS
 
 
-def _classes(a: pd.DataFrame, b: pd.DataFrame, wanted: list[str]):
-    same = a["p"].to_numpy()[:, None] == b["p"].to_numpy()[None, :]
-    ca, cb = a["c"].to_numpy()[:, None], b["c"].to_numpy()[None, :]
-    placed, cluster = (ca >= 0) & (cb >= 0), ca == cb
-    masks = {"same_instance": lambda: same & (a["r"].to_numpy()[:, None] != b["r"].to_numpy()[None, :]),
+class _Block:
+    """Vectors of one key with what tells their pairs apart, and a ball that holds them."""
+
+    def __init__(self, row: dict):
+        n = row["n"]
+        self.home, self.idx, self.ks = row["home"], row["idx"], row["ks"]
+        if "data" in row:
+            self.u = np.frombuffer(row["data"], dtype=np.float64).reshape(n, -1)
+            self.p, self.r, self.c = (np.frombuffer(row[x], dtype=np.int64) for x in ("p", "r", "c"))
+        self.centre, self.radius = np.frombuffer(row["centre"], dtype=np.float64), row["radius"]
+        known = row.get("paths")
+        self.paths = None if known is None else {
+            (x["view"], x["pair_class"], x["target"]): tuple((s["low"], s["width"], s["chosen"]) for s in x["path"]) for x in json.loads(known)}
+
+    def views(self, other: "_Block") -> list[int]:
+        return [v for v, (x, y) in enumerate(zip(self.ks, other.ks)) if x == y]
+
+    def range(self, other: "_Block") -> tuple[float, float]:
+        """Bounds of every cosine between the two blocks, by their centres and radii."""
+        middle = float(self.centre @ other.centre)
+        reach = self.radius * float(np.linalg.norm(other.centre)) + other.radius * float(np.linalg.norm(self.centre)) + self.radius * other.radius + 1e-9
+        return middle - reach, middle + reach
+
+    def matters(self, other: "_Block", wanted: list[str]) -> bool:
+        """Whether a pair of the two blocks can fall into a range that is still searched."""
+        views = self.views(other)
+        if not views or self.paths is None:
+            return bool(views)
+        low, high = self.range(other)
+        for v in views:
+            for name in wanted:
+                for target in (0, 1):
+                    path = self.paths.get((v, name, target))
+                    if path is not None:
+                        start, width = _next(path)
+                        if low <= start + width and high >= start:
+                            return True
+        return False
+
+
+def _classes(a: _Block, b: _Block, wanted: list[str]):
+    same = a.p[:, None] == b.p[None, :]
+    placed, cluster = (a.c[:, None] >= 0) & (b.c[None, :] >= 0), a.c[:, None] == b.c[None, :]
+    masks = {"same_instance": lambda: same & (a.r[:, None] != b.r[None, :]),
              "intra_cluster": lambda: ~same & placed & cluster, "inter_cluster": lambda: ~same & placed & ~cluster,
              "random_baseline": lambda: np.ones_like(same)}
     return [(c, masks[c]()) for c in wanted]
 
 
-def _cell(pdf: pd.DataFrame, keys: list[str], wanted: list[str], values: bool) -> pd.DataFrame:
-    """One grid cell: counts per value bin (or per value inside the last bin) for every class and target."""
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-    a = a.sort_values("row_no")
-    b = b.sort_values("row_no")
-    dots = np.clip(np.stack(a["u"].to_numpy()) @ np.stack(b["u"].to_numpy()).T, -1.0, 1.0)
-    upper = np.triu(np.ones_like(dots, dtype=bool), 1) if i == j else np.ones_like(dots, dtype=bool)
-    key = tuple(pdf[k].iloc[0] for k in keys)
-    known = pdf["paths"].iloc[0]
-    paths = None if known is None else {(p["pair_class"], p["target"]): tuple((x["low"], x["width"], x["chosen"]) for x in p["path"]) for p in json.loads(known)}
-    rows = []
-    for name, mask in _classes(a, b, wanted):
-        found = dots[mask & upper]
-        if not len(found):
-            continue
-        ends = float(found.min()), float(found.max())
-        counted: dict = {}
-        for target in (0, 1):
-            path = () if paths is None else paths[name, target]
-            if path not in counted:
-                v = found
-                for low, width, chosen in path:
-                    v = v[_bin(v, low, width) == chosen]
-                counted[path] = np.unique(v if values else _bin(v, *_next(path)), return_counts=True)
-            at, n = counted[path]
-            if values:
-                rows += [(*key, name, target, 0, int(c), float(x), float(x)) for x, c in zip(at, n)]
-            else:
-                rows += [(*key, name, target, int(x), int(c), *ends) for x, c in zip(at, n)]
-    return pd.DataFrame(rows, columns=[*keys, "pair_class", "target", "bin", "n", "lo", "hi"])
-
-
-def order_stats(df: DataFrame, keys: list[str], classes: list[str] = PAIR_CLASSES, key: str = "vec_id",
-                block_rows: int = BLOCK_ROWS, ranked_values: int = RANKED_VALUES) -> DataFrame:
-    """Exact median, minimum and maximum cosine per key and pair class.
-
-    Quadratic in the rows of a key by nature; work is spread over block pairs of bounded size,
-    whatever the size of the key. Key columns must not be null.
+class _Counts:
+    """Counts per value bin (or per value inside the last bin) of every view, key, class and target, added up over block pairs."""
+
+    def __init__(self, wanted: list[str], values: bool):
+        self.wanted, self.values = wanted, values
+        self.found: dict[tuple, list] = {}
+
+    def add(self, a: _Block, b: _Block) -> None:
+        dots = np.clip(a.u @ b.u.T, -1.0, 1.0)
+        upper = np.triu(np.ones_like(dots, dtype=bool), 1) if a.idx == b.idx else None
+        views = a.views(b)
+        for name, mask in _classes(a, b, self.wanted):
+            found = dots[mask if upper is None else mask & upper]
+            if not len(found):
+                continue
+            ends, counted = (float(found.min()), float(found.max())), {}
+            for v in views:
+                for target in (0, 1):
+                    path = () if a.paths is None else a.paths.get((v, name, target))
+                    if path is None:
+                        continue
+                    if path not in counted:
+                        inside = found
+                        for low, width, chosen in path:
+                            inside = inside[_bin(inside, low, width) == chosen]
+                        counted[path] = np.unique(inside if self.values else _bin(inside, *_next(path)), return_counts=True)
+                    at, n = counted[path]
+                    if len(at):
+                        kept = self.found.setdefault((v, a.ks[v], name, target), [[], [], 1.0, -1.0])
+                        kept[0].append(at)
+                        kept[1].append(n)
+                        kept[2], kept[3] = min(kept[2], ends[0]), max(kept[3], ends[1])
+
+    def table(self) -> pa.Table:
+        made = []
+        for (v, k, name, target), (at, n, low, high) in self.found.items():
+            places, where = np.unique(np.concatenate(at), return_inverse=True)
+            sums = np.bincount(where, np.concatenate(n)).astype(np.int64)
+            m = len(places)
+            made.append(pa.Table.from_arrays([
+                pa.array([v] * m, pa.int32()), pa.array([k] * m, pa.string()), pa.array([name] * m, pa.string()), pa.array([target] * m, pa.int32()),
+                pa.array(np.zeros(m, np.int32) if self.values else places.astype(np.int32)), pa.array(sums),
+                pa.array(places if self.values else np.full(m, low)), pa.array(places if self.values else np.full(m, high))], schema=COUNTS))
+        return pa.concat_tables(made) if made else COUNTS.empty_table()
+
+
+COUNTS = pa.schema([("view", pa.int32()), ("k", pa.string()), ("pair_class", pa.string()), ("target", pa.int32()), ("bin", pa.int32()), ("n", pa.int64()),
+                    ("lo", pa.float64()), ("hi", pa.float64())])
+COUNTS_DDL = "view int, k string, pair_class string, target int, bin int, n long, lo double, hi double"
+BLOCK_DDL = "n int, data binary, p binary, r binary, c binary, centre binary, radius double"
+
+
+def _tile(table: pa.Table, wanted: list[str], values: bool) -> pa.Table:
+    """One grid cell: all block pairs between two tiles that can still matter, in turn."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    rows = [_Block(r) for r in table.to_pylist()]
+    tiles = table.column("tile").to_pylist()
+    first, second = ([b for b, t in zip(rows, tiles) if t == x] for x in (i, j))
+    counts = _Counts(wanted, values)
+    for a in first:
+        for b in second:
+            if (i != j or a.idx <= b.idx) and a.matters(b, wanted):
+                counts.add(a, b)
+    return counts.table()
+
+
+def _text(columns: tuple | list) -> F.Column:
+    return F.to_json(F.struct(*[F.col(c) for c in columns])) if columns else F.lit("{}")
+
+
+def block_table(df: DataFrame, part: list[str], views: list[tuple], key: str, block_rows: int) -> DataFrame:
+    """Staged blocks of up to ``block_rows`` vectors that agree in ``part``: home, ks (key by view), idx (place within the home), data, ball.
+
+    Blocks meet only within their home, the columns that all views share.
     """
-    numbered = number_by_hash(df, key, by=tuple(keys), name="row_no")
-    rows = numbered.select(
-        *keys, "row_no", "u", F.xxhash64("prediction_id").alias("p"), F.col("regeneration_number").cast("long").alias("r"),
-        F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("c"),
-        F.floor((F.col("row_no") - 1) / block_rows).cast("int").alias("block"))
-    last = freeze(rows.groupBy(*keys).agg(F.max("block").alias("last")))
-    cells = join_small(rows, last, keys).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("last")))).select(
-        *keys, "row_no", "u", "p", "r", "c", "block",
-        F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [
-        T.StructField("pair_class", T.StringType()), T.StructField("target", T.IntegerType()),
-        T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()),
-        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-    group = [*keys, "pair_class", "target"]
+    common = [c for c in part if all(c in v for v in views)]
+    numbered = number_by_hash(df, key, by=tuple(part), name="row_no")
+    rows = numbered.select(*part, "u", F.xxhash64("prediction_id").alias("p"), F.col("regeneration_number").cast("long").alias("r"),
+                           F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("c"), "row_no", F.floor((F.col("row_no") - 1) / block_rows).cast("int").alias("blk"))
+    blocks = rows.groupBy(*part).agg((F.max("blk") + 1).alias("many"))
+    order = Window.partitionBy("home").orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = freeze(blocks.withColumn("home", _text(common)).select(*part, "home", F.coalesce(F.sum("many").over(order), F.lit(0)).alias("start")))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    ddl = ", ".join([*[f"`{c}` {types[c]}" for c in part], "blk int", BLOCK_DDL])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_no")
+        m = np.stack([np.asarray(x, dtype=float) for x in table.column("u").to_pylist()])
+        centre = m.mean(axis=0)
+        radius = float(np.sqrt(((m - centre) ** 2).sum(axis=1)).max())
+        number = lambda c: np.asarray(table.column(c).fill_null(NO_REPEAT)).astype(np.int64).tobytes()
+        new = {"n": pa.array([len(m)], pa.int32()), "data": pa.array([m.tobytes()], pa.binary()), **{c: pa.array([number(c)], pa.binary()) for c in "prc"},
+               "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius])}
+        head = table.slice(0, 1).select([*part, "blk"]).combine_chunks()
+        return pa.Table.from_arrays([*[head.column(c) for c in head.column_names], *new.values()], names=[*head.column_names, *new])
+
+    packed = join_small(rows.groupBy(*part, "blk").applyInArrow(pack, ddl), starts, part)
+    return stage(packed.select("home", F.array(*[_text(v) for v in views]).alias("ks"), (F.col("start") + F.col("blk")).cast("long").alias("idx"),
+                               "n", "data", "p", "r", "c", "centre", "radius"))
+
+
+NO_REPEAT = -1
+TILE_BYTES = 8 << 20
+
+
+def view_stats(df: DataFrame, part: list[str], views: list[tuple], classes: list[str] = PAIR_CLASSES, key: str = "vec_id",
+               block_rows: int = BLOCK_ROWS, ranked_values: int = RANKED_VALUES) -> DataFrame:
+    """(view, k, pair_class, median, min, max): exact order statistics of all cosines, for several views at once.
+
+    A view is a subset of ``part``, and k is its key as JSON. Blocks agree in all of ``part``, so two blocks belong to a view as a whole: one
+    product of them counts for every view. Blocks travel in tiles of bounded size. After the first count only tiles are sent, and
+    only blocks multiplied, whose cosines can reach a range that is still searched, by the balls around the blocks. Work is quadratic
+    in the rows of a home by nature. Key columns must not be null.
+    """
+    blocks = block_table(df, part, views, key, block_rows)
+    width = blocks.agg(F.max(F.octet_length("data"))).first()[0] or 1
+    tile = max(1, TILE_BYTES // width)
+    blocks = blocks.withColumn("tile", F.floor(F.col("idx") / tile).cast("int"))
+    last = freeze(blocks.groupBy("home").agg(F.max("tile").alias("last")))
+    group = ["view", "k", "pair_class", "target"]
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return join_small(rows, last, "home").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn(
+            "i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o")).drop("last", "o")
 
     def counted(state, values):
         if state is None:
-            known = cells.withColumn("paths", F.lit(None).cast("string"))
-        else:  # at most a path for each class and target of a key
-            paths = state.groupBy(*keys).agg(F.to_json(F.collect_list(F.struct("pair_class", "target", "path"))).alias("paths"))
-            known = cells.join(paths, keys)
-        return known.groupBy(*keys, "i", "j").applyInPandas(lambda pdf: _cell(pdf, keys, classes, values), schema)
-
-    def placed(frame, place, state):
+            return spread(blocks.withColumn("paths", F.lit(None).cast("string"))).groupBy("home", "i", "j").applyInArrow(
+                lambda t: _tile(t, classes, values), COUNTS_DDL)
+        # the paths of a block's views go with it
+        paths = state.groupBy("view", "k").agg(F.collect_list(F.struct("view", "pair_class", "target", "path")).alias("found"))
+        each = blocks.select("home", "idx", F.posexplode("ks").alias("view", "k")).join(paths, ["view", "k"])
+        known = stage(each.groupBy("home", "idx").agg(F.to_json(F.flatten(F.collect_list("found"))).alias("paths")))
+        placed = blocks.join(known, ["home", "idx"])
+        balls = spread(placed.select("home", "idx", "ks", "n", "centre", "radius", "paths", "tile"))
+
+        def check(t: pa.Table) -> pa.Table:
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            rows, tiles = [_Block(r) for r in t.to_pylist()], t.column("tile").to_pylist()
+            first, second = ([b for b, x in zip(rows, tiles) if x == y] for y in (i, j))
+            needed = any(a.matters(b, classes) for a in first for b in second if i != j or a.idx <= b.idx)
+            head = [rows[0].home] if needed else []
+            return pa.Table.from_arrays([pa.array(head, pa.string()), pa.array([i] * len(head), pa.int32()), pa.array([j] * len(head), pa.int32())], names=["home", "i", "j"])
+
+        wanted = stage(balls.groupBy("home", "i", "j").applyInArrow(check, "home string, i int, j int"))
+        return spread(placed).join(wanted, ["home", "i", "j"], "left_semi").groupBy("home", "i", "j").applyInArrow(
+            lambda t: _tile(t, classes, values), COUNTS_DDL)
+
+    def placed_ranks(frame, place, state):
         """Rows that hold the wanted rank of their group."""
         upto = F.sum("n").over(Window.partitionBy(*group).orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
         whole = Window.partitionBy(*group)
@@ -296,27 +420,58 @@ def order_stats(df: DataFrame, keys: list[str], classes: list[str] = PAIR_CLASSE
     state = None
     for _ in range(4):
         bins = counted(state, False).groupBy(*group, "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        hit = placed(bins, "bin", state)
+        hit = placed_ranks(bins, "bin", state)
         state = stage(hit.select(*group, (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "n",
                                  grown.alias("path"), "low", "high"))
         if (state.agg(F.max("n")).first()[0] or 0) <= ranked_values:
             break
     inside = counted(state, True).groupBy(*group, F.col("lo").alias("v")).agg(F.sum("n").alias("n"))
-    found = placed(inside, "v", state)
-    return found.groupBy(*keys, "pair_class").agg((F.sum("v") / 2).alias("median"), F.max("low").alias("min"), F.max("high").alias("max"))
+    found = placed_ranks(inside, "v", state)
+    return found.groupBy("view", "k", "pair_class").agg((F.sum("v") / 2).alias("median"), F.max("low").alias("min"), F.max("high").alias("max"))
 
 
-# --- combined results -------------------------------------------------------------------
-def all_classes(df: DataFrame, by: list[str]) -> DataFrame:
-    """Every pair class once per group, whether or not it has pairs."""
-    return df.select(*by).distinct().withColumn("pair_class", F.explode(F.array(*[F.lit(c) for c in PAIR_CLASSES])))
+def order_stats(df: DataFrame, keys: list[str], classes: list[str] = PAIR_CLASSES, key: str = "vec_id",
+                block_rows: int = BLOCK_ROWS, ranked_values: int = RANKED_VALUES) -> DataFrame:
+    """Exact median, minimum and maximum cosine per key and pair class."""
+    out = view_stats(df, keys, [tuple(keys)], classes, key, block_rows, ranked_values)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return out.withColumn("_k", F.from_json("k", ", ".join(f"`{c}` {types[c]}" for c in keys))).select("_k.*", "pair_class", "median", "min", "max")
 
 
-def pair_stats(df: DataFrame, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+# --- combined results -------------------------------------------------------------------
+def pair_stats(df: DataFrame, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS, ranked_values: int = RANKED_VALUES) -> DataFrame:
     """count, mean, std, median, min, max per grouping and pair class; null where there is no pair."""
-    ordered = order_stats(grouped(df), GROUP, block_rows=block_rows)
-    joined = [*GROUP, "pair_class"]
-    return moment_stats(df, hot_rows).join(ordered, joined, "left")
+    names = list(GROUPINGS)
+    found = view_stats(df, ["llm_name", "outcome"], list(GROUPINGS.values()), block_rows=block_rows, ranked_values=ranked_values)
+    k = F.from_json("k", "llm_name string, outcome string")
+    ordered = found.select(F.element_at(F.array(*map(F.lit, names)), F.col("view") + 1).alias("grouping"), *[
+        F.coalesce(k[c], F.lit(ANY)).alias(c) for c in ("llm_name", "outcome")], "pair_class", "median", "min", "max")
+    return moment_stats(df, hot_rows).join(ordered, [*GROUP, "pair_class"], "left")
+
+
+def run_record(df: DataFrame, text: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One record of a whole similarity run (J9): rows given and used, dimension, and the figures per grouping with their summary.
+
+    Rows without a vector (and, if ``text`` is named, without text) are left out and counted. Fewer than two rows give a record with
+    the status "too_few" and no figures.
+    """
+    given = df.count()
+    live = usable(df, text) if text else df
+    live = stage(live.filter(F.col("u").isNotNull()))
+    sizes = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("u")).alias("d"), F.countDistinct("prediction_id").alias("predictions"), F.countDistinct("cluster_id").alias("clusters")).first()
+    head = [F.lit(given).cast("long").alias("n_given"), F.lit(sizes["n"]).cast("long").alias("n_used"), F.lit(sizes["d"]).cast("int").alias("dimension"),
+            F.lit(sizes["predictions"]).cast("long").alias("n_predictions"), F.lit(sizes["clusters"]).cast("long").alias("n_clusters")]
+    kind = "array<struct<grouping:string,llm_name:string,outcome:string,pair_class:string,count:bigint,mean:double,std:double,median:double,min:double,max:double>>"
+    if sizes["n"] < 2:
+        return df.sparkSession.range(1).select(F.lit("too_few").alias("status"), *head, F.array().cast(kind).alias("stats"), F.lit(None).cast("double").alias("consistency"),
+                                               F.lit(None).cast("boolean").alias("order_correct"))
+    stats = stage(pair_stats(live, block_rows))
+    overall = stats.filter("grouping = 'overall'")
+    one = consistency(overall).select("consistency").first()
+    order = hierarchy(overall).select("order_correct").first()
+    rows = stats.agg(F.sort_array(F.collect_list(F.struct("grouping", "llm_name", "outcome", "pair_class", "count", "mean", "std", "median", "min", "max"))).cast(kind).alias("stats"))
+    return rows.select(F.lit("ok").alias("status"), *head, "stats", F.lit(one["consistency"] if one else None).cast("double").alias("consistency"),
+                       F.lit(order["order_correct"] if order else None).cast("boolean").alias("order_correct"))
 
 
 def consistency(stats: DataFrame, by: list[str] = GROUP) -> DataFrame:

@@ -85,3 +85,17 @@ FROM full_stats WHERE count > 0 GROUP BY ALL""")
 def hierarchy(spark, sf_dir):
     return ops.hierarchy(ops.moment_stats(embedded(spark, sf_dir))).select(
         *ops.GROUP, F.array_join("ranking", "|").alias("ranking"), "order_correct")
+
+
+@query("similarity_run", f"""WITH {EMBEDDED}
+SELECT 'ok' AS status, (SELECT count(*) FROM embeddings) AS n_given, (SELECT count(*) FROM units) AS n_used, (SELECT max(len(u)) FROM units)::INTEGER AS dimension,
+  (SELECT count(DISTINCT p) FROM units) AS n_predictions, (SELECT count(DISTINCT c) FROM units) AS n_clusters, grouping, llm_name, outcome, pair_class, count,
+  round(mean, 6) AS mean, round(median, 6) AS median, round((SELECT (max(mean) FILTER (pair_class = 'intra_cluster') - max(mean) FILTER (pair_class = 'inter_cluster'))
+    / nullif(max(std) FILTER (pair_class = 'random_baseline'), 0) FROM full_stats WHERE grouping = 'overall'), 6) AS consistency,
+  (SELECT string_agg(pair_class, '|' ORDER BY mean DESC) = 'same_instance|intra_cluster|inter_cluster|random_baseline' FROM full_stats WHERE grouping = 'overall' AND count > 0) AS order_correct
+FROM full_stats""")
+def similarity_run(spark, sf_dir):
+    """The record of a run, its figures as rows."""
+    record = ops.run_record(embedded(spark, sf_dir))
+    return record.select("status", "n_given", "n_used", "dimension", "n_predictions", "n_clusters", F.inline("stats"), *rounded(["consistency"]), "order_correct").select(
+        "status", "n_given", "n_used", "dimension", "n_predictions", "n_clusters", "grouping", "llm_name", "outcome", "pair_class", "count", *rounded(["mean", "median"]), "consistency", "order_correct")

@@ -18,14 +18,53 @@ def test_order_stats_of_many_keys(spark):
     assert row[0] == 12_000 and all(abs(v - 0.5 ** 0.5) < 1e-9 for v in row[1:])
 
 
-def test_equal_vectors_come_back_as_one_value(spark):
-    u = np.array([0.6, 0.8])
-    import pandas as pd
-    pdf = pd.DataFrame({"k": "a", "row_no": range(3000), "u": [u] * 3000, "p": range(3000), "r": 0, "c": 1, "block": 0, "i": 0, "j": 0, "paths": None})
-    out = S._cell(pdf, ["k"], ["intra_cluster"], values=True)
+def block(idx, u, radius=0.0, paths=None, ks=("a",)):
+    row = {"n": len(u), "home": "{}", "idx": idx, "ks": list(ks), "data": u.tobytes(), "p": np.arange(len(u)).tobytes(), "r": np.zeros(len(u), dtype=np.int64).tobytes(),
+           "c": np.ones(len(u), dtype=np.int64).tobytes(), "centre": u.mean(axis=0).tobytes(), "radius": radius, "paths": paths}
+    return S._Block(row)
+
+
+def test_equal_vectors_come_back_as_one_value():
+    b = block(0, np.tile([0.6, 0.8], (3000, 1)))
+    counts = S._Counts(["intra_cluster"], True)
+    counts.add(b, b)
+    out = counts.table().to_pandas()
     assert len(out) <= 2 * 3 and out.groupby("target")["n"].sum().tolist() == [3000 * 2999 // 2] * 2
 
 
+def test_blocks_beyond_the_searched_range_are_skipped():
+    import json
+    near, far = np.tile([1.0, 0.0], (5, 1)), np.tile([0.0, 1.0], (5, 1))
+    middle = json.dumps([{"view": 0, "pair_class": "random_baseline", "target": t, "path": [{"low": -1.0, "width": 2.0, "chosen": 2048}]} for t in (0, 1)])
+    a, b = block(0, near, paths=middle), block(1, far, paths=middle)
+    assert a.matters(b, ["random_baseline"]) and not a.matters(a, ["random_baseline"])  # cosines 0 and 1; values near 0 are searched
+    assert not a.matters(block(2, far, ks=("b",)), ["random_baseline"])
+
+
+def test_clustered_vectors_send_few_tiles(spark, monkeypatch):
+    """Two far groups of vectors: after the first count most tiles hold no value of the searched range."""
+    monkeypatch.setattr(S, "TILE_BYTES", 1)
+    rng = np.random.default_rng(1)
+    base = np.eye(8)[np.repeat([0, 1, 2, 3], 40)] + 0.01 * rng.normal(size=(160, 8))
+    rows = [(i, f"p{i}", 0, i // 40, f"g{i // 40}", "approved", v.tolist()) for i, v in enumerate(base)]
+    df = S.unit(spark.createDataFrame(rows, "vec_id long, prediction_id string, regeneration_number int, cluster_id int, llm_name string, outcome string, embedding array<double>"))
+    sent = []
+    original = S.stage
+    monkeypatch.setattr(S, "stage", lambda frame: sent.append(original(frame)) or sent[-1])
+    out = S.view_stats(df, ["llm_name"], [("llm_name",)], ["random_baseline"], block_rows=10, ranked_values=50).collect()
+    assert len(out) == 4
+    u = np.array([r["u"] for r in df.orderBy("vec_id").collect()])
+    for r in out:
+        g = int(r["k"][-3])
+        cos = (u[g * 40:(g + 1) * 40] @ u[g * 40:(g + 1) * 40].T)[np.triu_indices(40, 1)]
+        assert abs(r["median"] - np.median(cos)) < 1e-12 and abs(r["min"] - cos.min()) < 1e-12
+    # views over everything: the median lies between far groups, so tiles of one group are left out
+    sent.clear()
+    S.view_stats(df, ["llm_name"], [()], ["random_baseline"], block_rows=10, ranked_values=50).collect()
+    tiles = [f.count() for f in sent if f.columns == ["home", "i", "j"]]
+    assert tiles and tiles[-1] < 16 * 17 // 2
+
+
 def test_unlisted_generators_keep_their_columns(spark):
     long = spark.createDataFrame([("m", "gen-a", 1.0), ("m", "new", 3.0)], "metric string, llm_name string, value double")
     assert reports.metric_table(long, ["gen-a", "gen-b"]).first().asDict() == {"metric": "m", "gen-a": 1.0, "gen-b": None, "new": 3.0}

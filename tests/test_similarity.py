@@ -72,6 +72,9 @@ def test_pair_stats(spark, hot, block, ranked):
     for r in ordered:
         v = want[tuple(r[c] for c in (*S.GROUP, "pair_class"))]
         assert (r["median"], r["min"], r["max"]) == pytest.approx((np.median(v), min(v), max(v)), abs=1e-12)
+    for r in S.pair_stats(df, block, hot, ranked).collect():  # all groupings in one grid
+        v = want.get(tuple(r[c] for c in (*S.GROUP, "pair_class")), [])
+        assert (r["median"], r["min"], r["max"]) == (pytest.approx((np.median(v), min(v), max(v)), abs=1e-12) if v else (None, None, None))
 
 
 def test_hierarchy_and_consistency(spark):
