@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from decision_lens.functions.columns import logistic
-from decision_lens.functions.quantiles import quantile_dict
+from decision_lens.functions.quantiles import exact_quantiles, quantile_dict
 from decision_lens.functions.ranks import percentile_map, percentile_table
 from decision_lens.operators import ensembles
 from decision_lens.operators.ensembles import Ensemble
@@ -275,6 +275,43 @@ def status_summary(df: DataFrame) -> DataFrame:
                                        F.sum(F.size("counterfactuals")).alias("n_counterfactuals"))
 
 
+def count_distribution(df: DataFrame) -> DataFrame:
+    """Rows by class and number of counterfactuals, with their share of the class."""
+    counted = df.groupBy("prediction", F.size("counterfactuals").alias("n_counterfactuals")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("prediction")))
+
+
+def flat_rows(df: DataFrame, key: str = "prediction_id", features: list[str] = FEATURE_COLUMNS) -> DataFrame:
+    """One wide row of texts and numbers per prediction: input_<name> columns, counterfactuals and remark as text."""
+    nothing = F.size("counterfactuals") == 0
+    return df.select(key, *[F.col(c).alias(f"input_{TECHNICAL[c]}") for c in features],
+                     F.when(~nothing, F.to_json("counterfactuals")).alias("counterfactuals_text"), F.when(nothing, F.lit(NONE_FOUND)).alias("info"))
+
+
+def split_rows(wide: DataFrame, key: str = "prediction_id", prefix: str = "input_") -> DataFrame:
+    """(key, input_data map, counterfactuals, info) of wide rows (G16); any columns with the prefix are values, a text that does not
+    parse gives no counterfactuals."""
+    names = [c for c in wide.columns if c.startswith(prefix)]
+    values = F.create_map(*[x for c in names for x in (F.lit(c[len(prefix):]), F.col(f"`{c}`").cast("double"))])
+    found = F.from_json("counterfactuals_text", CF_RECORDS)
+    return wide.select(key, values.alias("input_data"), F.coalesce(found, F.array().cast(CF_RECORDS)).alias("counterfactuals"), "info")
+
+
+def verification_dataset(df: DataFrame, n: int | None = None, order: list | None = None) -> DataFrame:
+    """Rows that have counterfactuals to verify, the first n by an order that must be given with n."""
+    rows = df.filter(F.size("counterfactuals") > 0)
+    if n is None:
+        return rows
+    if not order:
+        raise ValueError("the first rows need an order")
+    return rows.orderBy(*order).limit(n)
+
+
+NONE_FOUND = "No counterfactuals found"
+CF_RECORDS = ("array<struct<distance:double,n_changes:int,names:string,changes:array<struct<feature:string,`from`:double,`to`:double,diff:double,"
+              "from_percentile:double,to_percentile:double,percentile_change:double>>>>")
+
+
 def prediction_overview(df: DataFrame) -> DataFrame:
     """Totals, spread of the probability, borderline rows and counterfactual counts per class and overall."""
     count = F.size("counterfactuals")
@@ -284,4 +321,9 @@ def prediction_overview(df: DataFrame) -> DataFrame:
                F.sum(F.col("probability").between(0.45, 0.55).cast("long")).alias("n_borderline"),
                F.avg(count).alias("mean_cf_count"), F.stddev_samp(count).alias("std_cf_count"),
                F.min(count).alias("min_cf_count"), F.max(count).alias("max_cf_count")]
-    return df.rollup("prediction").agg(*figures)
+    slim = df.select("prediction", "probability", count.alias("cf_count"))
+    by_class = exact_quantiles(slim, ["probability", "cf_count"], [0.5], by=("prediction",))
+    overall = exact_quantiles(slim, ["probability", "cf_count"], [0.5]).withColumn("prediction", F.lit(None).cast("int"))
+    pick = lambda c: F.max(F.when(F.col("feature") == c, F.col("quantile"))).alias(f"median_{c}")
+    medians = by_class.unionByName(overall.select(by_class.columns)).groupBy(F.col("prediction").alias("_p")).agg(pick("probability"), pick("cf_count"))
+    return df.rollup("prediction").agg(*figures).join(medians, F.col("prediction").eqNullSafe(F.col("_p"))).drop("_p")

@@ -8,7 +8,7 @@ from decision_lens.operators import cleaning, training
 from decision_lens.plans import adapters as A
 from decision_lens.plans.cleaning import rounded
 from decision_lens.plans.registry import query
-from decision_lens.schemas import COUNT_COLUMNS, FEATURE_COLUMNS, MUTABLE_COLUMNS, TECHNICAL
+from decision_lens.schemas import COUNT_COLUMNS, FEATURE_COLUMNS, MUTABLE_COLUMNS, SHOWN, TECHNICAL
 from decision_lens.session import stage
 
 FZ = A.FROZEN
@@ -260,9 +260,8 @@ best AS MATERIALIZED (SELECT c.*, prediction_id, prediction,
                 row_number() OVER (PARTITION BY c.row_id ORDER BY distance, n_changes, names, t1, t2) AS cf_index
          FROM cands c JOIN scored USING (row_id) WHERE (logit + dz > 0) <> (prediction = 1)
          QUALIFY cf_index <= 3),
-changes AS (SELECT best.prediction_id, best.prediction, best.row_id, cf_index, distance, n_changes, f AS feature, from_value, to_value, diff,
-                   from_p, to_p, chg
-            FROM best JOIN moves m ON m.row_id = best.row_id AND ((m.j = j1 AND m.to_value = t1) OR (m.j = j2 AND m.to_value = t2)))"""
+changes AS MATERIALIZED ({" UNION ALL ".join(f"""SELECT best.prediction_id, best.prediction, best.row_id, cf_index, distance, n_changes, f AS feature, from_value, to_value, diff,
+                   from_p, to_p, chg FROM best JOIN moves m ON m.row_id = best.row_id AND m.j = j{i} AND m.to_value = t{i}""" for i in (1, 2))})"""
 
 
 @query("percentile_rank", f"""WITH {COUNTERFACTUALS}
@@ -336,29 +335,62 @@ c AS (SELECT s.prediction_id, s.prediction, any_value(probability) AS p, count(c
       FROM scored s LEFT JOIN best ON best.prediction_id = s.prediction_id GROUP BY 1, 2)
 SELECT prediction, count(*) AS n, round(avg(p), 6) AS mean_probability, round(stddev_samp(p), 6) AS std_probability,
        round(min(p), 6) AS min_probability, round(max(p), 6) AS max_probability, count(*) FILTER (p BETWEEN 0.45 AND 0.55) AS n_borderline,
-       round(avg(k), 6) AS mean_cf_count, round(stddev_samp(k), 6) AS std_cf_count, min(k) AS min_cf_count, max(k) AS max_cf_count
+       round(avg(k), 6) AS mean_cf_count, round(stddev_samp(k), 6) AS std_cf_count, min(k) AS min_cf_count, max(k) AS max_cf_count,
+       round(median(p), 6) AS median_probability, median(k)::DOUBLE AS median_cf_count
 FROM c GROUP BY ROLLUP (prediction)""")
 def prediction_overview(spark, sf_dir):
     return cfs.prediction_overview(explained(spark, sf_dir)).select(
         "prediction", "n", *rounded(["mean_probability", "std_probability", "min_probability", "max_probability"]),
-        "n_borderline", *rounded(["mean_cf_count", "std_cf_count"]), "min_cf_count", "max_cf_count")
+        "n_borderline", *rounded(["mean_cf_count", "std_cf_count"]), "min_cf_count", "max_cf_count", *rounded(["median_probability"]), "median_cf_count")
 
 
-def _shown_sql(c):
-    lo, hi = FZ.caps[c]
-    z, y = f"((coalesce({c}, 0) - {FZ.center[c]!r}::DOUBLE) / {FZ.scale[c]!r}::DOUBLE)", f"({c}_to - {FZ.center[c]!r}::DOUBLE) / {FZ.scale[c]!r}::DOUBLE"
-    return f"""round(greatest({lo!r}::DOUBLE, least({hi!r}::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN abs({y} - {z}) < 1e-6 THEN {c}
-      WHEN abs({z}) > 1e-10 THEN {c} * greatest(0.1::DOUBLE, least(10.0::DOUBLE, ({y}) / {z})) ELSE {c} + ({y} - {z}) END))), 9) AS {c}"""
+@query("cf_count_distribution", f"""WITH {COUNTERFACTUALS},
+c AS (SELECT s.prediction_id, s.prediction, count(cf_index) AS k FROM scored s LEFT JOIN best ON best.prediction_id = s.prediction_id GROUP BY 1, 2)
+SELECT prediction, k::INTEGER AS n_counterfactuals, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY prediction), 6) AS share FROM c GROUP BY 1, 2""")
+def cf_count_distribution(spark, sf_dir):
+    return cfs.count_distribution(explained(spark, sf_dir)).select("prediction", "n_counterfactuals", "n", *rounded(["share"]))
+
+
+@query("flat_rows_split", f"""WITH {COUNTERFACTUALS}
+SELECT s.prediction_id, round(s.income, 6) AS income, round(s.late_90, 6) AS late_90, count(cf_index) AS n_counterfactuals, round(sum(distance), 6) AS distances,
+  CASE WHEN count(cf_index) = 0 THEN 'No counterfactuals found' END AS info FROM (SELECT prediction_id, coalesce(income, 0) AS income, coalesce(late_90, 0) AS late_90 FROM scored) s
+LEFT JOIN best USING (prediction_id) GROUP BY s.prediction_id, s.income, s.late_90""")
+def flat_rows_split(spark, sf_dir):
+    """Wide rows, as they are exported, split back into values, counterfactuals and a remark."""
+    wide = cfs.flat_rows(explained(spark, sf_dir))
+    back = cfs.split_rows(stage(wide))
+    return back.select("prediction_id", F.round(F.element_at("input_data", TECHNICAL["income"]), 6).alias("income"), F.round(F.element_at("input_data", TECHNICAL["late_90"]), 6).alias("late_90"),
+                       F.size("counterfactuals").cast("long").alias("n_counterfactuals"),
+                       F.round(F.when(F.size("counterfactuals") > 0, F.aggregate("counterfactuals", F.lit(0.0), lambda t, c: t + c["distance"])), 6).alias("distances"), "info")
 
 
-@query("cf_display", f"""WITH {A.CLEAN}, c AS (SELECT *, income * 1.5::DOUBLE AS income_to, utilisation * 0.5::DOUBLE AS utilisation_to FROM clean)
-SELECT row_id, {_shown_sql("income")}, {_shown_sql("utilisation")} FROM c""")
+@query("verification_dataset", f"""WITH {COUNTERFACTUALS}
+SELECT prediction_id, prediction, cf_index, feature, round(from_value, 9) AS from_value, round(to_value, 9) AS to_value FROM changes
+WHERE prediction_id IN (SELECT prediction_id FROM scored WHERE prediction_id IN (SELECT prediction_id FROM best) ORDER BY probability DESC, prediction_id LIMIT 50)""")
+def verification_dataset(spark, sf_dir):
+    """Applicants with the highest probability that have counterfactuals, with all changes to verify."""
+    chosen = cfs.verification_dataset(explained(spark, sf_dir), 50, [F.desc("probability"), "prediction_id"])
+    return cfs.change_rows(chosen, ["prediction_id", "prediction"]).select("prediction_id", "prediction", "cf_index", "feature", F.round("from", 9).alias("from_value"), F.round("to", 9).alias("to_value"))
+
+
+def _shown_sql(c):
+    """Shown value of a change of column c from x to y; x is also the raw value."""
+    moved = "CASE WHEN abs(y - x) < 1e-6 THEN x WHEN abs(x) > 1e-10 THEN x * greatest(0.1::DOUBLE, least(10.0::DOUBLE, y / x)) ELSE x + (y - x) END"
+    least, most, whole = SHOWN.get(c, (None, None, False))
+    moved = f"round_even({moved}, 0)" if whole else moved
+    moved = moved if least is None else f"greatest({least!r}::DOUBLE, {moved})"
+    moved = moved if most is None else f"least({most!r}::DOUBLE, {moved})"
+    if c in FZ.caps:
+        lo, hi = FZ.caps[c]
+        moved = f"greatest({lo!r}::DOUBLE, least({hi!r}::DOUBLE, {moved}))"
+    return f"WHEN '{TECHNICAL[c]}' THEN {moved}"
+
+
+@query("cf_display", f"""WITH {COUNTERFACTUALS}
+SELECT prediction_id, cf_index, feature, round(CASE feature {" ".join(_shown_sql(c) for c in MUTABLE_COLUMNS)} END, 9) AS shown
+FROM (SELECT prediction_id, cf_index, feature, from_value AS x, to_value AS y FROM changes)""")
 def cf_display(spark, sf_dir):
-    df = A.clean_applicants(spark, sf_dir)
-    shown = {}
-    for c, factor in (("income", 1.5), ("utilisation", 0.5)):
-        def z(x):
-            return (x - FZ.center[c]) / FZ.scale[c]
-        shown[c] = F.round(cfs.display_value(c, F.col(c), z(F.coalesce(F.col(c), F.lit(0.0))),
-                                             z(F.col(c) * factor), FZ.caps), 9).alias(c)
-    return df.select("row_id", *shown.values())
+    """What a reader is shown for every change of every counterfactual."""
+    rows = cfs.change_rows(explained(spark, sf_dir), ["prediction_id"])
+    shown = F.coalesce(*[F.when(F.col("feature") == TECHNICAL[c], cfs.display_value(c, F.col("from"), F.col("from"), F.col("to"), FZ.caps)) for c in MUTABLE_COLUMNS])
+    return rows.select("prediction_id", "cf_index", "feature", F.round(shown, 9).alias("shown"))

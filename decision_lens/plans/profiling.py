@@ -9,8 +9,8 @@ from decision_lens.plans.registry import query
 from decision_lens.schemas import FEATURE_COLUMNS
 from decision_lens.session import stage
 
-RAW_COLUMNS = ["age", "dependents", "income_value", "debt_ratio", "utilisation"]
-SHAPES = ["age", "income", "utilisation"]
+RAW_COLUMNS = ["income_value" if c == "income" else c for c in FEATURE_COLUMNS if c != "imputed_income"]
+SHAPES = FEATURE_COLUMNS
 
 
 def raw_numeric(spark, sf_dir):
@@ -101,7 +101,7 @@ def distinct_counts(spark, sf_dir):
     return ops.distinct_counts(A.clean_applicants(spark, sf_dir), FEATURE_COLUMNS)
 
 
-_CORR = ["age", "dependents", "income", "debt_ratio", "open_lines", "real_estate", "utilisation", "late_90"]
+_CORR = FEATURE_COLUMNS
 
 
 @query("corr_long", f"WITH {A.CLEAN} " + " UNION ALL ".join(

@@ -10,6 +10,7 @@ from decision_lens.plans.cleaning import rounded
 from decision_lens.plans.models import COUNTERFACTUALS, explained
 from decision_lens.plans.registry import query
 from decision_lens.plans.sampling import CATEGORY, population
+from decision_lens.schemas import FEATURE_COLUMNS, TECHNICAL
 from decision_lens.session import scratch_dir
 from decision_lens.sources import readers, tables
 
@@ -72,30 +73,42 @@ def semi_export(spark, sf_dir):
     return tables.export_sample(pop, category_sample(pop, "row_id")).select("prediction_id", *rounded(["probability"]))
 
 
-@query("source_fallback", "SELECT user_id, event_id, event_type, value FROM events WHERE event_type = 'purchase'")
+@query("source_fallback", "SELECT user_id, event_id, event_type, value FROM events")
 def source_fallback(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return readers.with_fallback(events.filter("event_type = 'refund'"), events.filter("event_type = 'purchase'"))
+    return readers.with_fallback(events.filter("event_id < 0"), events)
 
 
-@query("results_by_priority", """WITH a AS (SELECT user_id, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY 1),
-b AS (SELECT user_id, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1)
-FROM a UNION ALL FROM b ANTI JOIN a USING (user_id)""")
+@query("results_by_priority", """SELECT user_id, arg_min(value, source) AS value, min(source)::INTEGER AS source
+FROM (SELECT user_id, (user_id + event_id) % 3 AS source, max(value) AS value FROM events GROUP BY 1, 2) GROUP BY 1""")
 def results_by_priority(spark, sf_dir):
-    def best(kind):
-        return _events(spark, sf_dir).filter(F.col("event_type") == kind).groupBy("user_id").agg(F.max("value").alias("value"))
-    return readers.results_by_priority(best("error"), best("view"), key="user_id")
+    def best(source):
+        return _events(spark, sf_dir).filter((F.col("user_id") + F.col("event_id")) % 3 == source).groupBy("user_id").agg(
+            F.max("value").alias("value")).withColumn("source", F.lit(source))
+    return readers.results_by_priority(best(0), best(1), best(2), key="user_id").select("user_id", "value", "source")
 
 
-@query("storable_values", f"""WITH {A.APPLICANTS}
-SELECT row_id, CASE WHEN isinf(debt_ratio) THEN 'Infinity' ELSE 'finite' END AS debt_ratio FROM applicants""")
-def storable_values(spark, sf_dir):
-    df = tables.storable(A.applicants(spark, sf_dir).select("row_id", "debt_ratio"))
-    return df.select("row_id", F.when(F.col("debt_ratio") == "Infinity", "Infinity").when(
-        F.col("debt_ratio").try_cast("double").isNotNull(), "finite").alias("debt_ratio"))
+_ODD = {"utilisation": (13, "nan"), "age": (17, "-inf"), "late_90": (19, "inf")}
+_DOUBLES = [c for c in FEATURE_COLUMNS if c not in ("income", "imputed_income")]
+
 
+def _kind_sql(c):
+    m, v = _ODD.get(c, (1, None))
+    text = {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}
+    odd = f"WHEN row_id % {m} = 0 THEN '{text[v]}' " if v else ""
+    return f"CASE {odd}WHEN {c} IS NULL THEN NULL WHEN isinf({c}) THEN 'Infinity' ELSE 'finite' END AS {c}"
 
 
+@query("storable_values", f"""WITH {A.APPLICANTS} SELECT row_id, {", ".join(_kind_sql(c) for c in _DOUBLES)}, {_kind_sql("late_90").replace("AS late_90", "AS nested")} FROM applicants""")
+def storable_values(spark, sf_dir):
+    """Every number column as storable text, by kind; one also inside a struct of an array."""
+    df = A.applicants(spark, sf_dir)
+    for c, (m, v) in _ODD.items():
+        df = df.withColumn(c, F.when(F.col("row_id") % m == 0, float(v)).otherwise(F.col(c)))
+    out = tables.storable(df.select("row_id", *_DOUBLES, F.struct(F.array("late_90").alias("values")).alias("nested")))
+    kind = lambda c: F.when(c.isin("NaN", "Infinity", "-Infinity"), c).when(c.try_cast("double").isNotNull(), "finite")
+    return out.select("row_id", *[kind(F.col(c)).alias(c) for c in _DOUBLES], kind(F.get("nested.values", F.lit(0))).alias("nested"))
+
 
 @query("predictions_flat", f"""WITH {COUNTERFACTUALS},
 firsts AS (SELECT prediction_id, cf_index, arg_min(chg, j) AS chg FROM
@@ -104,7 +117,7 @@ firsts AS (SELECT prediction_id, cf_index, arg_min(chg, j) AS chg FROM
              FROM changes c) GROUP BY 1, 2),
 f AS (SELECT prediction_id, count(*) AS k, avg(chg) AS m FROM firsts GROUP BY 1)
 SELECT prediction_id, a.prediction, coalesce(k, 0) AS cf_count, greatest(coalesce(k, 0), 1) AS cf_count_raw,
-       round(income, 6) AS input_income, round(phi_income, 6) AS shap_income, round(coalesce(m, 0), 6) AS cf_avg_percentile_change
+       {", ".join(f"round(coalesce({c}, 0), 6) AS input_{c}, round(phi_{c}, 6) AS shap_{c}" for c in FEATURE_COLUMNS)}, round(baseline, 6) AS shap_baseline, round(coalesce(m, 0), 6) AS cf_avg_percentile_change
 FROM attributed a LEFT JOIN f USING (prediction_id)""")
 def predictions_flat(spark, sf_dir):
     path = _new_path(spark)
@@ -112,8 +125,8 @@ def predictions_flat(spark, sf_dir):
     flat = readers.flat_predictions(readers.predictions(spark, f"{path}/predictions", lines=True))
     return flat.select("prediction_id", "prediction", F.col("cf_count").cast("long").alias("cf_count"),
                        F.col("cf_count_raw").cast("long").alias("cf_count_raw"),
-                       F.round("input_MonthlyIncome", 6).alias("input_income"),
-                       F.round("shap_MonthlyIncome", 6).alias("shap_income"), *rounded(["cf_avg_percentile_change"]))
+                       *[F.round(f"`{kind}_{TECHNICAL[c]}`", 6).alias(f"{kind}_{c}") for c in FEATURE_COLUMNS for kind in ("input", "shap")],
+                       *rounded(["shap_baseline", "cf_avg_percentile_change"]))
 
 
 @query("explanation_keys", """SELECT DISTINCT user_id FROM events""")
