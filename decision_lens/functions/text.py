@@ -55,9 +55,15 @@ def with_readability(df: DataFrame, text: str, name: str = "readability") -> Dat
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"(?:[^"\\]|\\.)*\Z|//[^\n]*|#[^\n]*|\bN/A\b|[{}\[\],]', re.S)
 _FENCE = re.compile(r"```(?:json)?\s*(\{.*?)\s*```", re.S)
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
-_FIELD = re.compile(r'"consumer_explanation"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
-_LIST = re.compile(r'"top_features"\s*:\s*\[([^\]]*)', re.S)
-_ITEM = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
+# --- fixed values: what tells an explanation in prose: opening, later word, sentences that follow at most
+PROSE_CUES = (("we", "declined", 5), ("thank you", "unable", 5), ("hello", "regret", 5), ("", "declined", 3))
+DECLINED = "declined"
+LONG_QUOTE = 50
+MOST_FEATURES = 5
+
+# One token per match, in either kind of quotes: a string that opens after no word and closes before none, one that never closes, a bare word, a mark.
+_LOOSE = re.compile(r"""(?<![\w\\])(?P<q>["'])(?P<text>(?:\\.|(?!(?P=q)(?!\w))[^\\])*)(?P<end>(?P=q)|\Z)|(?P<word>\w+)|(?P<mark>[:\[\],{}])""", re.S)
+_SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+\Z", re.S)
 
 
 def _balanced(text: str) -> tuple[str, str]:
@@ -99,16 +105,64 @@ def _tidy(text: str, judge: bool) -> str:
     return "".join(out) + text[last:]
 
 
-def _fields(text: str) -> tuple[str | None, list[str] | None]:
-    found = _FIELD.search(text)
-    listed = _LIST.search(text)
-    if not found:
-        return None, None
+def _plain(text: str) -> str:
+    """A string's content without its escapes."""
     try:
-        value = json.loads(f'"{found.group(1)}"', strict=False)
+        return json.loads('"' + text.replace("\\'", "'").replace('\\"', '"').replace('"', '\\"') + '"', strict=False)
     except ValueError:
-        value = found.group(1)
-    return value, [m.group(1) for m in _ITEM.finditer(listed.group(1))][:5] if listed else []
+        return text
+
+
+def _tokens(text: str) -> list[tuple[str, str]]:
+    """(kind, text) with kinds string, open (a string that never closes), word and mark."""
+    out = []
+    for m in _LOOSE.finditer(text):
+        if m["q"]:
+            out.append(("string" if m["end"] else "open", m["text"]))
+        else:
+            out.append(("word", m["word"]) if m["word"] else ("mark", m["mark"]))
+    return out
+
+
+def _after(tokens: list, name: str) -> int:
+    """Place of the token behind ``name:``, or -1."""
+    for i, (kind, text) in enumerate(tokens[:-2]):
+        if text == name and kind != "mark" and tokens[i + 1] == ("mark", ":"):
+            return i + 2
+    return -1
+
+
+def _prose(text: str) -> str | None:
+    """The first passage of sentences that announces a decision, by PROSE_CUES."""
+    sentences = [s for s in _SENTENCE.findall(text) if s.strip()]
+    for opening, later, more in PROSE_CUES:
+        for i, s in enumerate(sentences):
+            low = s.lower()
+            start = re.search(rf"\b{opening}\b", low) if opening else re.search(r"\S", low)
+            if start and re.search(later, low[start.start():]) and s.rstrip()[-1:] in ".!?":
+                passage = s[start.start():] + "".join(t for t in sentences[i + 1:i + 1 + more] if t.rstrip()[-1:] in ".!?")
+                return re.sub(r"\s+", " ", passage).strip()
+    return None
+
+
+def _fields(text: str) -> tuple[str | None, list[str] | None]:
+    """(explanation, features) of a text that is no JSON: named fields in any quotes, a quoted decision, then prose."""
+    tokens = _tokens(text)
+    at = _after(tokens, "consumer_explanation")
+    value = _plain(tokens[at][1]) if at >= 0 and tokens[at][0] in ("string", "open") else None
+    strings = [t for kind, t in tokens if kind == "string"]
+    if not value:
+        value = next((_plain(t) for t in strings if DECLINED in t), None) or _prose(text) or next((_plain(t) for t in strings if len(t) >= LONG_QUOTE), None)
+    if not value:
+        return None, None
+    at, found = _after(tokens, "top_features"), []
+    if at >= 0 and tokens[at] == ("mark", "["):
+        for kind, t in tokens[at + 1:]:
+            if (kind, t) == ("mark", "]"):
+                break
+            if kind == "string":
+                found.append(_plain(t))
+    return value, found[:MOST_FEATURES]
 
 
 def _is_response(d) -> bool:

@@ -212,22 +212,26 @@ def display_value(column: str, raw: Column, before: Column, after: Column, caps:
     return F.when(raw.isNotNull(), moved)
 
 
-def applied(targets: Column) -> dict[str, Column]:
-    """Feature columns after the changes in a map technical name -> target; missing becomes 0."""
-    return {c: F.coalesce(targets[TECHNICAL[c]], F.col(c), F.lit(0.0)) for c in FEATURE_COLUMNS}
+def applied(targets: Column, preserve_flag: bool = True) -> dict[str, Column]:
+    """Feature columns after the changes in a map technical name -> target; missing becomes 0.
+
+    Without ``preserve_flag`` the imputation flag is worked out again, as cleaning would on values that are filled by now: it is 0.
+    """
+    out = {c: F.coalesce(targets[TECHNICAL[c]], F.col(c), F.lit(0.0)) for c in FEATURE_COLUMNS}
+    return out if preserve_flag else {**out, "imputed_income": F.lit(0.0)}
 
 
-def rescored(df: DataFrame, model: Frozen | Ensemble, targets: Column) -> DataFrame:
+def rescored(df: DataFrame, model: Frozen | Ensemble, targets: Column, preserve_flag: bool = True) -> DataFrame:
     """new_probability, new_prediction, flipped and probability_change after changes, by a linear model or any tree ensemble.
 
-    The imputation flag of the row is kept; cleaning is not run again on filled values.
+    The imputation flag of the row is kept unless ``preserve_flag`` is off; cleaning is not run again on filled values.
     """
     if isinstance(model, Ensemble):
         df = df.withColumn("_m", ensembles.margin(model, ensembles.vector(model, applied(targets))))
         df = df.withColumn("new_probability", ensembles.probability(model, F.col("_m"))).withColumn(
             "new_prediction", F.when(F.col("_m") > model.cut, 1).otherwise(0)).drop("_m")
     else:
-        df = df.withColumn("new_probability", logistic(linear_logit(model, applied(targets)))).withColumn(
+        df = df.withColumn("new_probability", logistic(linear_logit(model, applied(targets, preserve_flag)))).withColumn(
             "new_prediction", F.when(F.col("new_probability") > 0.5, 1).otherwise(0))
     return (df.withColumn("flipped", F.col("new_prediction") != F.col("prediction"))
             .withColumn("probability_change", F.col("new_probability") - F.col("probability")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from decision_lens.operators.counterfactual import rescored
 from decision_lens.operators.ensembles import Ensemble
-from decision_lens.schemas import FEATURE_COLUMNS, FEATURES, LOG_SUFFIX, NAME_PATTERNS, TECHNICAL_OF_FRIENDLY, Frozen
+from decision_lens.schemas import FEATURE_COLUMNS, FEATURES, LOG_SUFFIX, NAME_PATTERNS, SUGGESTION_SHAPES, TECHNICAL_OF_FRIENDLY, Frozen
 
 KNOWN = [f[1] for f in FEATURES]
 TOLERANCE = 0.001
@@ -37,6 +37,17 @@ def suggested(changes: Column) -> Column:
         c["feature_name"].alias("k"), c["target_value"].alias("v"))))
 
 
+def suggested_changes(extraction: Column) -> Column:
+    """Entries (feature_name, target_value) of an extraction's JSON in any of SUGGESTION_SHAPES; text that is no number gives a null target."""
+    r = F.from_json(extraction, SUGGESTION_SHAPES)
+    number = lambda c: c.try_cast("double").alias("target_value")
+    listed = F.transform(r["changes"], lambda c: F.struct(c["feature_name"].alias("feature_name"), number(c["target_value"])))
+    single = F.array(F.struct(r["feature_name"].alias("feature_name"), number(r["to_value"])))
+    older = F.transform(r["counterfactual_changes"], lambda c: F.struct(c["feature_name"].alias("feature_name"), number(c["to_value"])))
+    return F.when(F.size(listed) > 0, listed).when(r["feature_name"].isNotNull(), single).otherwise(
+        F.coalesce(older, F.array().cast("array<struct<feature_name:string,target_value:double>>")))
+
+
 def resolved(targets: Column) -> Column:
     """Map technical name -> target; unresolved names drop out."""
     entries = F.transform(F.map_entries(targets), lambda e: F.struct(

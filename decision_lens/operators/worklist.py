@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from decision_lens.functions.sampling import number_by_hash
 from decision_lens.operators.attribution import ranked_features
-from decision_lens.schemas import COLUMN_OF, FRIENDLY, TARGET_ROUNDING, TECHNICAL, FEATURES
+from decision_lens.schemas import CF_SENTENCES, COLUMN_OF, FRIENDLY, TARGET_ROUNDING, TECHNICAL, FEATURES
 
 FRIENDLY_OF = {f[1]: FRIENDLY[f[0]] for f in FEATURES}
 
@@ -55,15 +55,20 @@ def safe_target(feature: Column, to: Column) -> Column:
     return rounded
 
 
-def counterfactual_text(cfs: Column) -> Column:
-    """First counterfactual as lines 'name: from -> to (change: d)', or a fixed sentence."""
+def counterfactual_text(cfs: Column, error: Column | None = None) -> Column:
+    """First counterfactual as lines 'name: from -> to (change: d)', or a fixed sentence; ``error`` is what generation said when it failed.
+
+    A first counterfactual that is null is one that could not be read.
+    """
     line = F.transform(cfs[0]["changes"], lambda m: F.concat(
         friendly(m["feature"]), F.lit(": "), fixed_point(m["from"], 6), F.lit(" → "),
         fixed_point(safe_target(m["feature"], m["to"]), 2),
         F.lit(" (change: "), fixed_point(m["diff"], 4, signed=True), F.lit(")")))
-    return (F.when(cfs.isNull() | (F.size(cfs) == 0), "No counterfactual scenarios available.")
-            .when(F.size(F.get(cfs, F.lit(0))["changes"]) == 0, "No valid counterfactual scenarios available.")
+    first = F.get(cfs, F.lit(0))
+    text = (F.when(cfs.isNull() | (F.size(cfs) == 0), CF_SENTENCES["none"]).when(first.isNull(), CF_SENTENCES["first_broken"])
+            .when(F.size(first["changes"]) == 0, CF_SENTENCES["empty"])
             .otherwise(F.concat(F.lit("Scenario 1:\n"), F.array_join(line, "\n"))))
+    return text if error is None else F.when(error.isNotNull(), F.concat(F.lit(CF_SENTENCES["failed"]), error)).otherwise(text)
 
 
 PROMPT_VALUES = ["age", "income", "debt_ratio", "utilisation", "open_lines", "real_estate", "dependents",

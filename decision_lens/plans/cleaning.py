@@ -88,3 +88,17 @@ SELECT row_id, """ + ", ".join(
 def robust_scaled(spark, sf_dir):
     df = stage(A.model_inputs(spark, sf_dir))
     return ops.scale(df, *ops.fit_scaling(df, FEATURE_COLUMNS)).select("row_id", *rounded(FEATURE_COLUMNS))
+
+
+@query("aligned_features", f"""WITH {A.APPLICANTS}
+SELECT row_id, {", ".join(f"round({c}, 6)::DOUBLE AS {c}" for c in FEATURE_COLUMNS if c not in ("income", "imputed_income", "debt_ratio"))},
+  (c_rich)::INTEGER::DOUBLE AS imputed_income, NULL::DOUBLE AS income, CASE WHEN isfinite(debt_ratio) THEN round(debt_ratio, 6) END AS debt_ratio,
+  'age, c_number, debt_ratio, dependents, imputed_income, label, late_30_59, late_60_89, late_90, open_lines, real_estate, row_id, utilisation' AS numeric_columns
+FROM (SELECT *, row_id % 3 = 0 AS c_rich FROM applicants)""")
+def aligned_features(spark, sf_dir):
+    """Configured columns dropped, booleans as numbers, numeric columns found, features in the model's order, absent ones null."""
+    raw = A.applicants(spark, sf_dir).drop("income").withColumn("imputed_income", F.col("row_id") % 3 == 0).withColumn("Unnamed: 0", F.lit(1)).withColumn(
+        "SeriousDlqin2yrs", F.col("label")).withColumn("c_number", F.lit(1.5).cast("decimal(4,1)"))
+    df = ops.bools_to_int(ops.finite_only(raw.drop(*A.FROZEN.dropped_columns)))
+    numeric = ", ".join(sorted(ops.numeric_columns(df)))
+    return ops.align(df, keep=["row_id"]).select("row_id", *rounded([c for c in FEATURE_COLUMNS if c != "income"]), "income", F.lit(numeric).alias("numeric_columns"))

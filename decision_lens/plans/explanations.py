@@ -10,7 +10,7 @@ from decision_lens.plans.explanation_data import (EXPLANATIONS, JUDGED, explanat
 from decision_lens.plans.models import ATTRIBUTED, COUNTERFACTUALS, attributed, explained
 from decision_lens.plans.registry import query
 from decision_lens.plans.sampling import hash_sql
-from decision_lens.schemas import FRIENDLY, IMMUTABLE_TERMS, TARGET_ROUNDING, TECHNICAL, TECHNICAL_OF_FRIENDLY
+from decision_lens.schemas import CF_SENTENCES, FEATURE_COLUMNS, FRIENDLY, IMMUTABLE_COLUMNS, IMMUTABLE_TERMS, TARGET_ROUNDING, TECHNICAL, TECHNICAL_OF_FRIENDLY
 
 MODELS = ["gen-de", "gen-en", "gen-es", "gen-fr"]
 _LIST = ", ".join(f"'{m}'" for m in MODELS)
@@ -334,3 +334,67 @@ def metric_summary(spark, sf_dir):
     return M.metric_summary(long_graded(spark, sf_dir)).select("llm_name", "metric", *rounded(["mean", "std"]), "count")
 
 
+
+
+# --- responses that are no JSON --------------------------------------------------------------
+_BODY = "trim(regexp_replace(translate(coalesce(text, ''), '\"''\\\\.!?', ''), '[\\s]+', ' ', 'g'))"
+
+
+def loose_responses(spark, sf_dir):
+    """Whole texts of documents in shapes that only the fallback reads: single quotes, bare keys, an open list, a quoted decision, prose."""
+    d = F.col("doc_id")
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\"'\\.!?", ""), r"\s+", " ")).alias("body"))
+    b = F.col("body")
+    text = (F.when(d % 6 == 0, F.concat(F.lit("Answer: {'consumer_explanation': 'So: "), b, F.lit("', 'analysis': {'top_features': ['age', 'monthly income']}}")))
+            .when(d % 6 == 1, F.concat(F.lit('consumer_explanation: "So: '), b, F.lit('", top_features: ["age", "debt"')))
+            .when(d % 6 == 2, F.concat(F.lit('The answer is "declined: '), b, F.lit('" as I said')))
+            .when(d % 6 == 3, F.concat(F.lit("Dear reader. Thank you, but we are unable to help with "), b, F.lit(". One. Two! Three? Four. Five. Six. Seven.")))
+            .when(d % 6 == 4, F.concat(F.lit('"consumer_explanation": "Open: '), b)).otherwise(F.concat(F.lit("Nothing "), F.substring("body", 1, 0))))
+    return docs.select("doc_id", F.col("doc_id").cast("string").alias("explanation_id"), text.alias("explanation_text"))
+
+
+@query("salvaged_fallbacks", f"""WITH b AS (SELECT doc_id, {_BODY} AS body FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'failed' ELSE 'pattern' END AS parse_stage,
+  md5(CASE doc_id % 6 WHEN 0 THEN 'So: ' || body WHEN 1 THEN 'So: ' || body WHEN 2 THEN 'declined: ' || body WHEN 4 THEN rtrim('Open: ' || body)
+    WHEN 3 THEN 'Thank you, but we are unable to help with ' || body || '. One. Two! Three? Four. Five.' END) AS explanation_md5,
+  CASE doc_id % 6 WHEN 0 THEN 'age|monthly income' WHEN 1 THEN 'age|debt' WHEN 5 THEN NULL ELSE '' END AS features FROM b""")
+def salvaged_fallbacks(spark, sf_dir):
+    out = salvage.salvage_responses(loose_responses(spark, sf_dir))
+    return out.select("doc_id", "parse_stage", F.md5(F.col("consumer_explanation").cast("binary")).alias("explanation_md5"), F.array_join("top_features", "|").alias("features"))
+
+
+@query("suggestion_shapes", f"""WITH {COUNTERFACTUALS},
+first AS (SELECT row_id, prediction_id, feature, to_value, n_changes, row_number() OVER (PARTITION BY prediction_id ORDER BY feature) AS i FROM changes JOIN (SELECT row_id AS r, 1 AS one FROM scored) ON r = row_id WHERE cf_index = 1)
+SELECT prediction_id, feature AS feature_name, round(to_value, 9) AS target_value FROM first WHERE row_id % 3 <> 1 OR i = 1""")
+def suggestion_shapes(spark, sf_dir):
+    """Suggestions stored as a list, as one from/to, and as an older list, read alike."""
+    changes = F.array_sort(F.get("counterfactuals", F.lit(0))["changes"])
+    kind = F.col("row_id") % 3
+    new = F.to_json(F.struct(F.transform(changes, lambda m: F.struct(m["feature"].alias("feature_name"), m["to"].cast("string").alias("target_value"))).alias("changes")))
+    single = F.to_json(F.struct(changes[0]["feature"].alias("feature_name"), changes[0]["from"].alias("from_value"), changes[0]["to"].alias("to_value")))
+    old = F.to_json(F.struct(F.transform(changes, lambda m: F.struct(m["feature"].alias("feature_name"), m["from"].alias("from_value"), m["to"].alias("to_value"))).alias("counterfactual_changes")))
+    stored = explained(spark, sf_dir).where(F.size("counterfactuals") > 0).select("prediction_id", F.when(kind == 0, new).when(kind == 1, single).otherwise(old).alias("extraction"))
+    return stored.select("prediction_id", F.inline(verification.suggested_changes(F.col("extraction")))).select("prediction_id", "feature_name", F.round("target_value", 9).alias("target_value"))
+
+
+@query("cf_text_sentences", f"""WITH {COUNTERFACTUALS}, {CF_TEXT}
+SELECT prediction_id, CASE row_id % 5 WHEN 0 THEN '{CF_SENTENCES["failed"]}timeout' WHEN 1 THEN '{CF_SENTENCES["first_broken"]}' WHEN 2 THEN '{CF_SENTENCES["empty"]}'
+  WHEN 3 THEN '{CF_SENTENCES["none"]}' ELSE coalesce(alternatives, '{CF_SENTENCES["none"]}') END AS alternatives FROM scored LEFT JOIN cft USING (prediction_id)""")
+def cf_text_sentences(spark, sf_dir):
+    """What a prompt says where counterfactuals failed, are broken, empty or absent."""
+    df = explained(spark, sf_dir)
+    kind, cfs = df.schema["counterfactuals"].dataType, F.col("counterfactuals")
+    broken, empty = F.array(F.lit(None).cast(kind.elementType)), F.array(F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("n_changes"), F.lit("").alias("names"), F.array().cast(
+        kind.elementType["changes"].dataType).alias("changes")).cast(kind.elementType))
+    which = F.col("row_id") % 5
+    given = F.when(which == 1, broken).when(which == 2, empty).when(which == 3, F.array().cast(kind)).otherwise(cfs)
+    return df.select("prediction_id", W.counterfactual_text(given, F.when(which == 0, "timeout")).alias("alternatives"))
+
+
+@query("prompt_system", f"""SELECT 'boosted trees' AS model_type, count(*) AS train_rows, {len(FEATURE_COLUMNS)} AS feature_count,
+  '{", ".join(FRIENDLY[c] for c in FEATURE_COLUMNS)}' AS features, '{", ".join(FRIENDLY[c] for c in IMMUTABLE_COLUMNS)}' AS immutable_features FROM customer""")
+def prompt_system(spark, sf_dir):
+    """Values of the prompt that hold for all applications."""
+    values = W.system_variables("boosted trees", 0, FEATURE_COLUMNS, IMMUTABLE_COLUMNS)
+    text = {k: ", ".join(v) if isinstance(v, list) else v for k, v in values.items() if k != "train_rows"}
+    return A.table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("train_rows")).select(*[F.lit(v).alias(k) for k, v in text.items()], "train_rows")

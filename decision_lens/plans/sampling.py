@@ -202,3 +202,19 @@ FROM bands LEFT JOIN p ON p.age_group = age_band LEFT JOIN s ON s.age_group = ag
 def age_band_means(spark, sf_dir):
     df = rep.age_band_means(*_both(spark, sf_dir), age_band(F.col("age")))
     return df.select("position", "age_band", *rounded([c for c in df.columns if "_pr" in c]))
+
+
+@query("shuffled_rows", f"""WITH {POPULATION} SELECT row_id, row_number() OVER (ORDER BY h, row_id) AS position FROM population""")
+def shuffled_rows(spark, sf_dir):
+    """Rows in reproducible random order, numbered without a global sort."""
+    from decision_lens.functions.sampling import number_by_hash
+    return number_by_hash(population(spark, sf_dir), "row_id", name="position").select("row_id", "position")
+
+
+@query("sample_or_all", f"""WITH {POPULATION}
+SELECT 'all' AS kind, row_id FROM population UNION ALL SELECT 'random', row_id FROM (SELECT row_id FROM population ORDER BY h, row_id LIMIT 40)""")
+def sample_or_all(spark, sf_dir):
+    """All rows where no size is asked for, a random sample where clusters are unknown."""
+    rows = population(spark, sf_dir)
+    return (ops.sample_or_all(rows, "row_id", None, False).select(F.lit("all").alias("kind"), "row_id")
+            .unionByName(ops.sample_or_all(rows, "row_id", 40, False).select(F.lit("random").alias("kind"), "row_id")))

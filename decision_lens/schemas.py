@@ -96,6 +96,14 @@ NAME_PATTERNS = (
 )
 LOG_SUFFIX = "_log"
 
+# --- fixed values: sentences in place of counterfactuals ------------------------------------
+CF_SENTENCES = {
+    "failed": "Counterfactual generation failed: ",
+    "none": "No counterfactual scenarios available.",
+    "first_broken": "First counterfactual contains an error.",
+    "empty": "No valid counterfactual scenarios available.",
+}
+
 # --- fixed values: checklist items of the readability and actionability rubric -------------
 CHECKLIST_ITEMS = (
     (1, "Makes purpose completely evident"),
@@ -185,3 +193,8 @@ JUDGE_RECORD = (
     f"individual_specific_content:{SCORE},technical_jargon_check:{SCORE}>,"
     "counterfactual_extraction:struct<changes:array<struct<feature_name:string,target_value:string>>>>"
 )
+#: Suggested changes in every stored shape: a list of targets, one from/to, or an older list of from/to.
+SUGGESTION_SHAPES = (
+    "struct<changes:array<struct<feature_name:string,target_value:string>>,feature_name:string,from_value:string,to_value:string,"
+    "counterfactual_changes:array<struct<feature_name:string,from_value:string,to_value:string>>>"
+)

@@ -34,6 +34,29 @@ def test_salvage_stages(spark):
     assert salvage.quarantine(salvage.salvage_responses(df)).count() == 4
 
 
+LOOSE = {
+    "{'consumer_explanation': 'It\\'s plain, isn't it', 'analysis': {'top_features': ['age', \"debt\"]}}": ("It's plain, isn't it", ["age", "debt"]),
+    'consumer_explanation: "Loose words", top_features: ["a", "b"': ("Loose words", ["a", "b"]),
+    "Result \"consumer_explanation\": \"never closed, the rest": ("never closed, the rest", []),
+    'The model said "Your request was declined today" and more.': ("Your request was declined today", []),
+    "They wrote 'it was declined, sorry' there": ("it was declined, sorry", []),
+    "Dear all. I fear we have\n declined this. First reason. Second. Third. Fourth. Fifth. Sixth.": ("we have declined this. First reason. Second. Third. Fourth. Fifth.", []),
+    "Thank you for asking, we are unable to help. Bye.": ("Thank you for asking, we are unable to help. Bye.", []),
+    "Hello, we regret it! Really. 'top_features': ['x', 'y'].": ("Hello, we regret it! Really. 'top_features': ['x', 'y'].", ["x", "y"]),
+    "Sadly declined. One. Two. Three. Four.": ("Sadly declined. One. Two. Three.", []),
+    'She said "' + "long " * 12 + '" once': (("long " * 12), []),
+    'Short "quote" only': None, "it was not approved": None, "'": None, '"': None,
+}
+
+
+def test_loose_responses(spark):
+    df = spark.createDataFrame([(k,) for k in LOOSE], "explanation_text string").withColumn("explanation_id", F.col("explanation_text"))
+    got = {r["explanation_id"]: r for r in salvage.salvage_responses(df).collect()}
+    for text, want in LOOSE.items():
+        r = got[text]
+        assert (None if r["parse_stage"] == "failed" else (r["consumer_explanation"], r["top_features"])) == want, text
+
+
 def judge(principal='{"score": 1}', extra="", cemat='"item_1": 1, "item_2": "N/A"', target='"12.5"'):
     return ('{"cemat_evaluation": {"understandability_items": {%s}, "actionability_items": {}}, "regulatory_compliance": '
             '{"principal_reason_identification": %s, "individual_specific_content": {"score": 0}}, '
