@@ -6,19 +6,42 @@ import json
 import re
 import sys
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # executors get the helpers below with the job, whether or not they have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORD, SENTENCE_END, VOWELS = "[^ \\t\\n\\r]", "[.!?]", "[aeiouyAEIOUY]"
+# --- fixed values: characters outside words, at the end of sentences, vowels -----------------
+BLANK, SENTENCE_END, VOWELS = b" \t\n\r", b".!?", b"aeiouyAEIOUY"
+COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("words", "sentences", "vowels")])
 
 
-def runs(text: str, chars: str) -> Column:
-    """Number of runs of a character class: characters of it that no other precedes, counted without an array of matches."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"(?<!{chars}){chars}", ""))
+def run_counts(texts: pa.Array) -> pa.Array:
+    """Runs of word characters, sentence ends and vowels of every text, in one pass over the bytes of a batch.
+
+    The three classes are ASCII or their complement, so bytes tell the same runs as characters.
+    """
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    first = int(offsets[0])
+    body = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(body, dtype=np.uint8)[first:int(offsets[-1])] if body is not None and offsets[-1] > first else np.zeros(0, np.uint8)
+    at, out = offsets - first, []
+    begins = at[:-1][at[:-1] < at[1:]]
+    for chars, inside in ((BLANK, False), (SENTENCE_END, True), (VOWELS, True)):
+        table = np.full(256, not inside)
+        table[list(chars)] = inside
+        member = table[data]
+        start = member.copy()
+        start[1:] &= ~member[:-1]
+        start[begins] = member[begins]  # no run goes on from the text before
+        upto = np.concatenate([[0], np.cumsum(start)])
+        out.append(pa.array(upto[at[1:]] - upto[at[:-1]], pa.int64()))
+    return pa.StructArray.from_arrays(out, names=COUNTS.names)
 
 
 def bounded(term: str) -> Column:
@@ -34,13 +57,11 @@ def mentions(low: Column, term: str) -> Column:
 def with_readability(df: DataFrame, text: str, name: str = "readability") -> DataFrame:
     """Adds Flesch reading ease, its 0-1 score and the Flesch-Kincaid grade; null for blank text.
 
-    Syllables are runs of vowels, at least one per word. The counts are columns of their own:
-    packed in a struct they would be inlined and counted again in every formula.
+    Syllables are runs of vowels, at least one per word.
     """
-    counted = df.withColumns({
-        "_words": runs(text, WORD).cast("double"),
-        "_sentences": runs(text, SENTENCE_END).cast("double"),
-        "_vowels": runs(text, VOWELS).cast("double")})
+    counts = F.arrow_udf(run_counts, COUNTS)(F.coalesce(F.col(text), F.lit("")))
+    counted = df.withColumn("_counts", counts).withColumns({
+        "_words": F.col("_counts.words").cast("double"), "_sentences": F.col("_counts.sentences").cast("double"), "_vowels": F.col("_counts.vowels").cast("double")}).drop("_counts")
     per_sentence = F.col("_words") / F.greatest(F.lit(1.0), F.col("_sentences"))
     per_word = F.try_divide(F.greatest(F.col("_words"), F.col("_vowels")), F.col("_words"))
     ease = 206.835 - 1.015 * per_sentence - 84.6 * per_word

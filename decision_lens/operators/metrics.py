@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from decision_lens.functions.joins import join_hot
 from decision_lens.functions.text import mentions, with_readability
 from decision_lens.schemas import IMMUTABLE_TERMS, TECHNICAL_OF_FRIENDLY, FEATURES
 
@@ -19,8 +20,11 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def match(explanations: DataFrame, predictions: DataFrame, judgements: DataFrame | None = None,
           order: str = "seq") -> DataFrame:
-    """Explanations with their prediction and their last judge result; ``match_status`` tells what is missing."""
-    out = explanations.join(predictions.withColumn("_has_prediction", F.lit(True)), "prediction_id", "left")
+    """Explanations with their prediction and their last judge result; ``match_status`` tells what is missing.
+
+    A prediction that very many explanations share is brought to them instead of gathering them in one task.
+    """
+    out = join_hot(explanations, predictions.withColumn("_has_prediction", F.lit(True)), "prediction_id", "left")
     if judgements is not None:
         last = last_per_key(judgements, "explanation_id", order).drop(order).withColumn("_has_judgement", F.lit(True))
         out = out.join(last, "explanation_id", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from decision_lens.functions.joins import join_hot
 from decision_lens.functions.sampling import number_by_hash
 from decision_lens.operators.attribution import ranked_features
 from decision_lens.schemas import CF_SENTENCES, COLUMN_OF, FRIENDLY, TARGET_ROUNDING, TECHNICAL, FEATURES
@@ -118,7 +119,7 @@ def judge_requests(explanations: DataFrame, predictions: DataFrame, temperature:
               .alias("generation_config")]
     if cached_content:
         fields.append(F.lit(cached_content).alias("cached_content"))
-    return numbered.join(facts, "prediction_id").select(
+    return join_hot(numbered, facts, "prediction_id").select(
         F.concat(F.lit("request-"), F.col("_no").cast("string")).alias("key"), F.struct(*fields).alias("request"),
         F.struct("prediction_id", "llm_name", "explanation_id").alias("custom_metadata"))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from decision_lens.functions.columns import outcome
+from decision_lens.functions.joins import join_hot
 from decision_lens.operators import metrics as M, salvage
 from decision_lens.operators.attribution import ranked_features
 from decision_lens.operators.worklist import explanation_key
 from decision_lens.plans import adapters as A
 from decision_lens.plans.models import COUNTERFACTUALS, FZ, explained
 from decision_lens.schemas import CHECKLIST_ITEMS, FEATURES, FEATURE_COLUMNS, FIRST_ACTION_ITEM
-from decision_lens.session import stage
 
 NAMED = [(f[1], f[2]) for f in FEATURES if f[2]]
 SUFFIXES = {
@@ -128,7 +128,7 @@ def judge_output(explanations_: DataFrame, predictions: DataFrame) -> DataFrame:
                .when(d % 5 == 4, F.regexp_replace(j, r"\}\}$", "},}"))
                .otherwise(j))
     facts = predictions.select("prediction_id", "counterfactuals")
-    return explanations_.select("doc_id", "explanation_id", "prediction_id").join(facts, "prediction_id").withColumn(
+    return join_hot(explanations_.select("doc_id", "explanation_id", "prediction_id"), facts, "prediction_id").withColumn(
         "_j", text).select("doc_id", "explanation_id", wrapped.alias("judge_text"))
 
 
@@ -147,8 +147,8 @@ suggested AS (SELECT k.*, feature, to_value * CASE WHEN kind = 2 THEN 0.9::DOUBL
 def predictions_for_grading(spark, sf_dir) -> DataFrame:
     df = explained(spark, sf_dir)
     top = F.transform(F.slice(ranked_features(), 1, 5), lambda s: s["feature"])
-    return stage(df.select("prediction_id", "row_id", "prediction", "probability", *FEATURE_COLUMNS, "counterfactuals",
-                           top.alias("shap_top"), outcome(F.col("prediction")).alias("prediction_outcome")))
+    return df.select("prediction_id", "row_id", "prediction", "probability", *FEATURE_COLUMNS, "counterfactuals",
+                     top.alias("shap_top"), outcome(F.col("prediction")).alias("prediction_outcome"))
 
 
 def graded(spark, sf_dir) -> DataFrame:

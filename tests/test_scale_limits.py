@@ -91,3 +91,22 @@ def test_unknown_ages_have_a_band(spark):
     df = spark.createDataFrame([("18-35", 1, 0.9), ("Unknown", 0, 0.2)], "age_group string, prediction int, probability double")
     got = {r["age_band"]: r["population_probability"] for r in representativeness.age_band_means(df, df.limit(0), F.col("age_group")).collect()}
     assert got == {"18-35": 0.9, "Unknown": 0.2}
+
+
+def test_hot_prediction_is_not_shuffled(spark):
+    """A third of all rows on one id: same rows as a plain join, and the hot rows meet a broadcast."""
+    from decision_lens.functions.joins import join_hot
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("prediction_id"), "id").unionByName(
+        spark.createDataFrame([(None, -1), ("none", -2)], "prediction_id string, id long"))
+    right = spark.range(2000).select(F.col("id").cast("string").alias("prediction_id"), (F.col("id") * 2).alias("v")).unionByName(
+        spark.createDataFrame([("hot", 7), ("hot", 8)], "prediction_id string, v long"))
+    for how in ("inner", "left"):
+        got, want = join_hot(left, right, "prediction_id", how, least=500), left.join(right, "prediction_id", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = join_hot(left, right, "prediction_id", "left", least=500)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Union" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin [prediction_id" in plan
+    assert join_hot(left, right, "prediction_id").count() == left.join(right, "prediction_id").count()
