@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from decision_lens.schemas import AGE_BANDS, AGE_UNKNOWN, PROBABILITY_BANDS
 
 
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once, however often later ones use them: projections are not merged across a generated row."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[v.alias(n) for n, v in columns.items()]))))
+
+
 def finite(c: Column) -> Column:
     """NaN and both infinities become null."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)

@@ -4,36 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from decision_lens.functions.columns import pinned
 from decision_lens.functions.text import repair_judgement, repair_response
 from decision_lens.schemas import JUDGE_RECORD, RESPONSE_RECORD
 
-def _good_response(c: Column) -> Column:
-    """Parsed record, or null unless both required fields are there."""
-    r = F.from_json(c, RESPONSE_RECORD)
-    return F.when(r["consumer_explanation"].isNotNull() & r["analysis"]["top_features"].isNotNull(), r)
 
+def _read_response(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the parsed record, or null unless both required fields are there."""
+    df = pinned(df, {name: F.from_json(F.col(text), RESPONSE_RECORD)})
+    r = F.col(name)
+    return df.withColumn(name, F.when(r["consumer_explanation"].isNotNull() & r["analysis"]["top_features"].isNotNull(), r))
 
-def _good_judgement(c: Column) -> Column:
-    r = F.from_json(c, JUDGE_RECORD)
-    ok = (r["cemat_evaluation"]["understandability_items"].isNotNull()
-          & r["cemat_evaluation"]["actionability_items"].isNotNull()
-          & F.get_json_object(c, "$.regulatory_compliance").isNotNull()
-          & r["counterfactual_extraction"]["changes"].isNotNull())
-    return F.when(ok, F.struct(r.alias("r"), c.alias("json")))
 
+def _read_judgement(df: DataFrame, text: str, name: str) -> DataFrame:
+    c = F.col(text)
+    df = pinned(df, {name: F.struct(F.from_json(c, JUDGE_RECORD).alias("r"), c.alias("json"), F.get_json_object(c, "$.regulatory_compliance").isNotNull().alias("complies"))})
+    r = F.col(name)["r"]
+    ok = (r["cemat_evaluation"]["understandability_items"].isNotNull() & r["cemat_evaluation"]["actionability_items"].isNotNull()
+          & F.col(name)["complies"] & r["counterfactual_extraction"]["changes"].isNotNull())
+    return df.withColumn(name, F.when(ok, F.struct(r.alias("r"), F.col(name)["json"].alias("json"))))
 
-def _parsed(df: DataFrame, text: str, good, repair) -> DataFrame:
-    """Columns _record, _fix and parse_stage. Texts that parse as they are never reach Python."""
-    t = F.trim(F.col(text))
-    df = df.withColumn("_direct", good(t)).withColumn("_fix", repair(F.when(F.col("_direct").isNull(), t)))
+
+def _parsed(df: DataFrame, text: str, read, repair) -> DataFrame:
+    """Columns _record, _fix and parse_stage. Texts that parse as they are never reach Python; every text is parsed once."""
+    df = read(pinned(df, {"_t": F.trim(F.col(text))}), "_t", "_direct")
+    df = pinned(df, {"_direct": F.col("_direct")})
+    df = df.withColumn("_fix", repair(F.when(F.col("_direct").isNull(), F.col("_t")))).withColumn("_json", F.col("_fix.json"))
     stage = F.when(F.col("_direct").isNotNull(), "direct").otherwise(F.coalesce("_fix.stage", F.lit("failed")))
-    return df.withColumn("_record", F.coalesce(F.col("_direct"), good(F.col("_fix.json")))).withColumn(
-        "parse_stage", stage).drop("_direct")
+    df = read(df.withColumn("parse_stage", stage), "_json", "_mended")
+    return pinned(df, {"_record": F.coalesce("_direct", "_mended")}).drop("_direct", "_mended", "_json", "_t")
 
 
 def salvage_responses(df: DataFrame, text: str = "explanation_text") -> DataFrame:
     """Adds consumer_explanation, top_features and parse_stage; 'failed' rows keep nulls."""
-    return (_parsed(df, text, _good_response, repair_response)
+    return (_parsed(df, text, _read_response, repair_response)
             .withColumn("consumer_explanation", F.coalesce("_record.consumer_explanation", "_fix.explanation"))
             .withColumn("top_features", F.coalesce("_record.analysis.top_features", "_fix.features"))
             .drop("_record", "_fix"))
@@ -68,7 +72,7 @@ def _marker(name: str) -> Column:
 
 def salvage_judgements(df: DataFrame, text: str = "judge_text") -> DataFrame:
     """Judge output as checked columns; ``violation`` names what kept a record from being valid."""
-    df = _parsed(df, text, _good_judgement, repair_judgement)
+    df = _parsed(df, text, _read_judgement, repair_judgement)
     r = F.col("_record.r")
     changes = F.transform(r["counterfactual_extraction"]["changes"], lambda c: F.struct(
         c["feature_name"].alias("feature_name"), _number(c["target_value"]).alias("target_value")))

@@ -159,7 +159,6 @@ def graded(spark, sf_dir) -> DataFrame:
     judged = salvage.salvage_judgements(judge_output(rows, predictions)).select(
         "explanation_id", F.col("doc_id").alias("seq"), "understandability_items", "actionability_items",
         "principal_reason_identification", "individual_specific_content", "technical_jargon_check", "changes")
-    texts = salvage.salvage_responses(rows).withColumn(
-        "consumer_text", F.coalesce("consumer_explanation", "explanation_text"))
-    matched = M.match(texts, predictions.drop("row_id"), judged)
-    return verify_suggestions(M.evaluate(matched), FZ)
+    matched = M.match(rows, predictions.drop("row_id"), judged)
+    texts = salvage.salvage_responses(matched).withColumn("consumer_text", F.coalesce("consumer_explanation", "explanation_text"))
+    return verify_suggestions(M.evaluate(texts), FZ)
