@@ -1,7 +1,8 @@
 """Exact quantiles without gathering a column in one task.
 
 A sketch brackets every wanted rank; one more pass counts the values below the bracket
-and ranks only the distinct values inside it. Nothing but sketches and brackets is
+and ranks only the distinct values inside it. Where a bracket would hold many rows, a further sketch of
+what is inside narrows it, again and again, until it holds a bounded number. Nothing but sketches and brackets is
 shuffled. A bracket that misses its rank is widened and tried again, so the answer is
 exact whatever the sketch returned.
 """
@@ -22,13 +23,42 @@ def melt(df: DataFrame, columns: list[str], ids: list[str] | tuple = (),
         list(ids), list(columns), name, value)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+BRACKET_ROWS = 500_000
+CUTS = 64
+
+
+def _matching(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+
+
+def _narrowed(long: DataFrame, small: DataFrame, fits: bool, keys: list[str], accuracy: int, bracket_rows: int) -> tuple[DataFrame, bool]:
+    """Brackets (_k.., n, prob, lo, hi) cut down until none is expected to hold more than ``bracket_rows`` rows or a single value.
+
+    Each pass counts what lies below a bracket and sketches what lies inside; the cuts next to the wanted rank, with one to spare on
+    either side, are the new ends. A cut that is off is noticed by the exact count that follows.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    cuts = [i / CUTS for i in range(CUTS + 1)]
+    for _ in range(8):
+        inside = long.join(F.broadcast(small) if fits else small, _matching(keys) & (F.col("value") <= F.col("hi")))
+        here = F.when(F.col("value") >= F.col("lo"), F.col("value"))
+        seen = inside.groupBy(*names, "n", "prob", "lo", "hi").agg(
+            F.sum((F.col("value") < F.col("lo")).cast("long")).alias("below"), F.count(here).alias("rows"), F.percentile_approx(here, cuts, accuracy).alias("cuts"))
+        seen, fits = freeze(seen)
+        if seen.filter((F.col("rows") > bracket_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
+            return small, fits
+        rank = F.col("prob") * (F.col("n") - 1) - F.col("below")
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), rank / F.greatest(F.col("rows") - 1, F.lit(1))))
+        low, high = (F.greatest(F.lit(0), F.floor(share * CUTS) - 1).cast("int"), F.least(F.lit(CUTS), F.ceil(share * CUTS) + 1).cast("int"))
+        wide = (F.col("rows") > bracket_rows) & (F.col("lo") < F.col("hi"))
+        small, fits = freeze(seen.select(*names, "n", "prob", F.when(wide, F.get("cuts", low)).otherwise(F.col("lo")).alias("lo"),
+                                         F.when(wide, F.get("cuts", high)).otherwise(F.col("hi")).alias("hi")))
+    return small, fits
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     by: tuple[str, ...] = (), accuracy: int = 10_000,
-                    margin: float | None = None) -> DataFrame:
+                    margin: float | None = None, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
     """Rows (by..., feature, prob, n, quantile), linear interpolation, nulls and NaN skipped."""
     keys = [*by, "feature"]
     long = melt(df, columns, list(by))
@@ -46,9 +76,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         brackets, fits = freeze(sketch.select(*keys, "n", F.inline(probes)))
         small = brackets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                                 "n", "prob", "lo", "hi")
-        on = reduce(lambda a, b: a & b,
-                    [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-        probed = long.join(F.broadcast(small) if fits else small, on & (F.col("value") <= F.col("hi")))
+        most = brackets.agg(F.max("n")).first()[0] or 0
+        if most * min(1.0, 4 * margin) > bracket_rows:
+            small, fits = _narrowed(long, small, fits, keys, accuracy, bracket_rows)
+        probed = long.join(F.broadcast(small) if fits else small, _matching(keys) & (F.col("value") <= F.col("hi")))
         counted = probed.groupBy(*keys, "prob", "n",
                                  F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("v")
                                  ).agg(F.count(F.lit(1)).alias("c"))

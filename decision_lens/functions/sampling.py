@@ -3,7 +3,8 @@
 Rows are ordered by a seeded hash. The first three hex digits put every stratum into
 4096 buckets; only bucket counts are aggregated, and a row is ranked only against the
 rows of its own bucket. A stratum that holds most of the table is therefore spread over
-thousands of small groups, and a selection sorts nothing but the one bucket it cuts.
+thousands of small groups, and a selection sorts nothing but the one bucket it cuts. If that
+bucket itself is large, its rows are split by the next digits in the same way.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from decision_lens.functions.columns import seeded_hash
 from decision_lens.session import freeze, join_small
 
 DIGITS = 3
+BUCKET_ROWS = 1_000_000
 
 
 def _hashed(df: DataFrame, key: str, seed, digits: int) -> DataFrame:
@@ -22,7 +24,7 @@ def _hashed(df: DataFrame, key: str, seed, digits: int) -> DataFrame:
 
 
 def split_by_hash(df: DataFrame, key: str, quotas: dict | DataFrame, stratum: Column | None = None,
-                  seed=42, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
+                  seed=42, digits: int = DIGITS, bucket_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(taken, rest): the first ``quotas[s]`` rows of each stratum s in hash order, and all others.
 
     Strata without a quota go to the rest. ``quotas`` is a small dict (strata are categories), or a
@@ -46,15 +48,19 @@ def split_by_hash(df: DataFrame, key: str, quotas: dict | DataFrame, stratum: Co
         .join(wanted, "_s")
         .filter(F.col("_before") < F.col("_n"))
         .groupBy("_s")
-        .agg(F.max("_b").alias("_cut"), F.max(F.struct("_before", "_n")).alias("_last"))
-        .select("_s", "_cut", (F.col("_last._n") - F.col("_last._before")).alias("_need")))
-    placed = join_small(rows, cut, "_s", "left")
+        .agg(F.max("_b").alias("_cut"), F.max(F.struct("_before", "_n", "_c")).alias("_last"))
+        .select("_s", "_cut", (F.col("_last._n") - F.col("_last._before")).alias("_need"), F.col("_last._c").alias("_size")))
+    placed = join_small(rows, (cut[0].drop("_size"), cut[1]), "_s", "left")
+    below, above = placed.filter(F.col("_b") < F.col("_cut")).select(columns), placed.filter(F.col("_cut").isNull() | (F.col("_b") > F.col("_cut"))).select(columns)
+    largest = cut[0].agg(F.max("_size")).first()[0] or 0
+    if largest > (BUCKET_ROWS if bucket_rows is None else bucket_rows) and digits < 30:
+        inside = placed.filter(F.col("_b") == F.col("_cut")).select(columns)
+        taken, rest = split_by_hash(inside, key, cut[0].select("_s", "_need"), stratum, seed, digits + DIGITS, bucket_rows)
+        return below.unionByName(taken), above.unionByName(rest)
     at_cut = placed.filter(F.col("_b") == F.col("_cut")).withColumn(
         "_r", F.row_number().over(Window.partitionBy("_s").orderBy("_h", key)))
-    taken = (placed.filter(F.col("_b") < F.col("_cut")).select(columns)
-             .unionByName(at_cut.filter("_r <= _need").select(columns)))
-    rest = (placed.filter(F.col("_cut").isNull() | (F.col("_b") > F.col("_cut"))).select(columns)
-            .unionByName(at_cut.filter("_r > _need").select(columns)))
+    taken = below.unionByName(at_cut.filter("_r <= _need").select(columns))
+    rest = above.unionByName(at_cut.filter("_r > _need").select(columns))
     return taken, rest
 
 

@@ -110,3 +110,30 @@ def test_hot_prediction_is_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Union" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin [prediction_id" in plan
     assert join_hot(left, right, "prediction_id").count() == left.join(right, "prediction_id").count()
+
+
+def test_brackets_narrow_until_they_are_small(spark, monkeypatch):
+    """Bounds that force several sketches inside each other; quantiles stay exact, also among ties."""
+    from decision_lens.functions import quantiles as Q
+    calls = []
+    original = Q._narrowed
+    monkeypatch.setattr(Q, "_narrowed", lambda *a: calls.append(original(*a)) or calls[-1])
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=30_000), "b": np.repeat([1.0, 2.0, 5.0], 10_000)}
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(values["a"], values["b"])], "a double, b double")
+    got = Q.exact_quantiles(df, ["a", "b"], [0.01, 0.25, 0.5, 0.99], accuracy=50, margin=0.2, bracket_rows=20).collect()
+    for r in got:
+        assert r["quantile"] == np.quantile(values[r["feature"]], r["prob"]), (r["feature"], r["prob"])
+    small = calls[0][0].filter("_k0 = 'a'").collect()
+    inside = [((values["a"] >= r["lo"]) & (values["a"] <= r["hi"])).sum() for r in small]
+    assert max(inside) < 3000 and len(got) == 8  # the first brackets held over 10 000 values
+
+
+def test_cut_buckets_are_split_again(spark):
+    from decision_lens.functions.sampling import split_by_hash
+    df = spark.range(9000).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("string").alias("s"))
+    quotas = {"0": 1000, "1": 17, "2": 3000}
+    plain = split_by_hash(df, "row_id", quotas, F.col("s"))
+    deep = split_by_hash(df, "row_id", quotas, F.col("s"), digits=1, bucket_rows=5)
+    ids = lambda frame: sorted(r["row_id"] for r in frame.collect())
+    assert ids(plain[0]) == ids(deep[0]) and len(ids(deep[0])) == 4017 and ids(plain[1]) == ids(deep[1])
