@@ -7,11 +7,12 @@ filled: large sets take one round, a set of one element takes as many rounds as
 Documents with equal sets are one class, represented by their least id. Representatives that share a band key are candidates.
 Bands of ROWS = 4 of 128 slots miss a pair of similarity 0.8 with probability (1 - 0.8^4)^32 = 5e-8. Pairs are not listed within a
 key: every member is first tried against the least member of its keys, the most similar first. Only keys whose members are
-still in different components are looked at again: their members' sketches are compared in numpy, in blocks of BLOCK members
-at most, and each member is tried against the few most alike of other components, then more, then all. Candidates of a set
-size ratio below the limit (which rules them out) or with a signature agreement more than 4.5 standard deviations below it
-are dropped. In the last turn the lower 16 bits of all shingle hashes, for sets of FINE at most, bound the similarity from
-above and drop pairs below the limit, which loses none. All others are confirmed on their full sets of 64-bit hashes.
+still in different components are looked at again: their members' sketches are compared in numpy, in blocks of BLOCK members at most, and
+a group returns no more pairs than tie its parts together, the most alike first (from turn to turn twice as many between two
+parts). These are confirmed; those that are no links are left out of the next turn, until no candidate joins two components.
+Candidates of a set size ratio below the limit (which rules them out), with a signature agreement more than 4.5 standard
+deviations below it, or whose similarity is below the limit by the lower 16 bits of all shingle hashes (an upper bound, for sets of
+FINE at most, so it loses none) are dropped. All others are confirmed on their full sets of 64-bit hashes.
 
 Defined cases: null and empty texts have no shingles and no links; a text of fewer words than a shingle is one shingle of all
 its words; rows of one id are one document and share a component; rows with a null id have a null component and are kept;
@@ -26,13 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from decision_lens.llm.graph import components
-from decision_lens.llm.textkit import LOWER, SPACED, joined, map_texts, mixed, ngram_hashes, quoted, word_hashes, word_spans
+from decision_lens.llm.textkit import LOWER, SPACED, fresh, joined, map_texts, mixed, ngram_hashes, quoted, word_hashes, word_spans
 from decision_lens.session import stage
 
 SLOTS, ROWS = 128, 4
 SHINGLE, PERCENT = 5, 80
 BLOCK = 4096
-TURNS = (4, 32, None)
 FINE = 2048
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -138,74 +138,80 @@ def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, same long")
 
 
-def alike(node: np.ndarray, part: np.ndarray, size: np.ndarray, sketch: np.ndarray, block: np.ndarray, percent: int, most: int | None,
-          fine: list[np.ndarray] | None = None):
-    """Pairs of different parts that may reach the limit, the ``most`` most alike of each node (all, if None).
+def tied(node: np.ndarray, part: np.ndarray, size: np.ndarray, sketch: np.ndarray, block: np.ndarray, fine: list[np.ndarray], failed: list[np.ndarray],
+         percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that tie all candidates of the nodes together: between two parts up to ``most`` of the most alike, as if each were a link.
 
-    Where the nodes are of two blocks, only pairs across them count: pairs within a block have a group of their own.
+    A node is compared with those before it. Of every other part that holds candidates, only the most alike one is needed, since
+    the parts are one from then on; it must pass the bound by short hashes and must not have ``failed`` before. Where the nodes are of two
+    blocks, only pairs across them count: pairs within a block have a group of their own.
     """
     least, across = least_agreement(percent), len(np.unique(block)) > 1
-    found = [np.zeros((2, 0), dtype=np.int64)]
-    for at in range(0, len(node), 64):
-        rows = slice(at, at + 64)
-        fits = (part[rows, None] != part) & (100 * np.minimum(size[rows, None], size) >= percent * np.maximum(size[rows, None], size))
+    order = np.lexsort((node, part))
+    node, part, size, sketch, block = node[order], np.unique(part[order], return_inverse=True)[1], size[order], sketch[order], block[order]
+    fine, (known, place) = [fine[i] for i in order], np.unique(node, return_inverse=True)
+    bad = [np.zeros(0, dtype=np.int64)]
+    for x, i in enumerate(order):
+        other = known[np.isin(known, failed[i])] if len(failed[i]) else ()
+        if len(other):
+            at = np.searchsorted(known, other)
+            bad.append(np.minimum(at, place[x]) * len(known) + np.maximum(at, place[x]))
+    bad = np.unique(np.concatenate(bad))
+    held, found = np.zeros(1 << 16, dtype=bool), [np.zeros((2, 0), dtype=np.int64)]
+    for x in range(1, len(node)):
+        fits = (part[:x] != part[x]) & (100 * np.minimum(size[x], size[:x]) >= percent * np.maximum(size[x], size[:x]))
         if across:
-            fits &= block[rows, None] != block
-        if most is None:  # else each side has partners of its own
-            fits &= node[rows, None] < node
-        i, j = np.nonzero(fits)
-        same = np.concatenate([np.zeros(0, dtype=np.int64), *[(sketch[i[cut:cut + 20_000] + at] == sketch[j[cut:cut + 20_000]]).sum(axis=1)
-                                                              for cut in range(0, len(i), 20_000)]])
-        near = same >= least
-        x, y, same = i[near] + at, j[near], same[near]
-        if fine is not None:
-            keep = bounded(x, y, size, fine, percent)
-            x, y = x[keep], y[keep]
-        if most is not None:
-            order = np.lexsort((node[y], -same, x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            x, y = x[rank < most], y[rank < most]
-        found.append(np.stack([node[x], node[y]]))
-    a, b = np.concatenate(found, axis=1)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def bounded(x: np.ndarray, y: np.ndarray, size: np.ndarray, fine: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs (x ascending) may reach the limit: shared short hashes are at least as many as shared shingles."""
-    keep, held = np.ones(len(x), dtype=bool), np.zeros(1 << 16, dtype=bool)
-    cut = np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else [], len(x)).astype(np.int64)
-    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        own = fine[x[lo]]
-        if not len(own):
+            fits &= block[:x] != block[x]
+        y = np.flatnonzero(fits)
+        if not len(y):
             continue
+        same = (sketch[y] == sketch[x]).sum(axis=1)
+        y, same = y[same >= least], same[same >= least]
+        if len(bad) and len(y):
+            code = np.minimum(place[y], place[x]) * len(known) + np.maximum(place[y], place[x])
+            new = bad[np.minimum(np.searchsorted(bad, code), len(bad) - 1)] != code
+            y, same = y[new], same[new]
+        if not len(y):
+            continue
+        own = fine[x]
         held[own] = True
-        for at in range(lo, hi):
-            other = fine[y[at]]
-            if len(other):
-                both = int(held[other].sum())
-                keep[at] = 100 * both >= percent * (size[x[lo]] + size[y[at]] - both)
+        by = np.lexsort((node[y], -same, part[y]))
+        y = y[by]
+        borders = np.flatnonzero(np.concatenate([[True], part[y][1:] != part[y][:-1], [True]]))
+        for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            chosen = []
+            for other in y[lo:hi].tolist():
+                both = int(held[fine[other]].sum()) if len(own) and len(fine[other]) else -1
+                if both < 0 or 100 * both >= percent * (size[x] + size[other] - both):
+                    chosen.append(other)
+                    if len(chosen) == most:
+                        break
+            if chosen:
+                found.append(np.stack([np.full(len(chosen), node[x]), node[chosen]]))
+                part[part == part[chosen[0]]] = part[x]
         held[own] = False
-    return keep
+    a, b = np.concatenate(found, axis=1)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def unlinked(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Candidates (a, b) among the members (key, node, c, n_shingles, sketch, fine) of one key that are in different components c."""
+def unlinked(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """Candidates (a, b) among the members (key, node, c, n_shingles, sketch, fine, failed) of one key that tie its components c together."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
     m = members.join(counts.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    m = m.select("key", "node", "c", "n_shingles", "sketch", "fine", "block", F.explode(pairs).alias("p"))
+    m = m.select("key", "node", "c", "n_shingles", "sketch", "fine", "failed", "block", F.explode(pairs).alias("p"))
 
     def run(t):
         import pyarrow as pa
         n, c, s, k = (t.column(x).to_numpy() for x in ("node", "c", "n_shingles", "block"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
-        fine = None if most is not None else [np.frombuffer(x or b"", dtype=np.uint16) for x in t.column("fine").to_pylist()]
-        a, b = alike(n, c, s, sketch, k, percent, most, fine)
+        fine = [np.frombuffer(x or b"", dtype=np.uint16) for x in t.column("fine").to_pylist()]
+        failed = [np.array(x or [], dtype=np.int64) for x in t.column("failed").to_pylist()]
+        a, b = tied(n, c, s, sketch, k, fine, failed, percent, most)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    m = m.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "c", "n_shingles", "sketch", "fine", "block")
+    m = m.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "c", "n_shingles", "sketch", "fine", "failed", "block")
     return m.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -215,8 +221,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
@@ -258,18 +264,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     own = sk.where("id IS NOT NULL").join(reps, "set_key").select(F.col("id").alias("u"), F.col("node").alias("v")).where("u <> v")
     several = own.join(linked.groupBy(F.col("id").alias("u")).agg(F.count_distinct("set_key").alias("c")).where("c > 1"), "u", "left_semi")
     links = stage(confirmed(best, sets, percent).unionAll(several.select("u", "v")).distinct())
-    tried = best
-    for turn in ("first", *TURNS):
+    tried, turn, most = best, "first", 1
+    while True:
         comp = stage(components(links))
         part = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))  # noqa: E731, B023
         if turn == "first":
             more = first.select("a", "b").join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
         else:
-            m = members.select("key", "node").join(comp, "node", "left").join(facts if turn else facts.join(fine, ["node", "set_key"]), "node")
-            m = m if turn is None else m.withColumn("fine", F.lit(None).cast("binary"))
-            more = unlinked(m.withColumn("c", F.coalesce("component", "node")).drop("component"), percent, turn)
+            # pairs that were confirmed to be no link must not tie parts together again; the greater id keeps them, so the least
+            # member of a large key, which many were tried against, holds no list
+            no = tried.join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"], "left_anti")
+            no = no.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("failed"))
+            m = members.select("key", "node").join(comp, "node", "left").join(facts.join(fine, ["node", "set_key"]), "node").join(no, "node", "left")
+            more = unlinked(m.withColumn("c", F.coalesce("component", "node")).drop("component"), percent, most)
+            most *= 2
         more = stage(more.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionAll(more)
+        if turn != "first" and more.isEmpty():
+            break
+        turn, tried = "next", stage(tried.unionAll(more))
         links = stage(links.unionAll(confirmed(more, sets, percent)).distinct())
     comp = components(links)
     of_set = reps.join(comp, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_set"))
@@ -281,5 +293,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Documents without those that are near copies of one with a smaller id. Rows of an id that stays all stay."""
-    gone = groups(docs, key, text, **options).where("NOT kept").select(F.col(key).alias("gone_id_")).distinct()
-    return docs.join(gone, quoted(key) == F.col("gone_id_"), "left_anti")
+    name = fresh(docs.columns, "gone_id_")
+    gone = groups(docs, key, text, **options).where("NOT kept").select(F.col(key).alias(name)).distinct()
+    return docs.join(gone, quoted(key) == F.col(name), "left_anti")

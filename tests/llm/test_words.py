@@ -231,15 +231,39 @@ def test_components(spark):
     assert got == {x: min(s) for x, s in top.items() if len(s) > 1}
 
 
-def test_short_hashes_drop_no_link():
+def test_ties_find_every_component():
+    """Few pairs a turn, failed ones left out, until no candidate joins two parts: the components of all links."""
     r = np.random.default_rng(5)
-    sets = [np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64))]
-    for _ in range(60):
-        own = r.choice(sets[0], r.integers(120, len(sets[0]) + 1), replace=False)
+    base = [np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(3)]
+    sets = []
+    for i in range(90):
+        own = r.choice(base[i % 3], r.integers(150, len(base[i % 3]) + 1), replace=False)
         sets.append(np.unique(np.concatenate([own, r.integers(0, 1 << 63, r.integers(0, 40), dtype=np.uint64)])))
-    x, y = (v.ravel() for v in np.meshgrid(np.arange(61), np.arange(61), indexing="ij"))
-    size = np.array([len(s) for s in sets])
-    keep = superminhash.bounded(x, y, size, [s.astype(np.uint16) for s in sets], 80)
-    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)])
-    linked = 100 * both >= 80 * (size[x] + size[y] - both)
-    assert (keep | ~linked).all() and keep.sum() <= linked.sum() * 1.1
+    n, size = len(sets), np.array([len(s) for s in sets])
+    sketch = (superminhash.mixed(superminhash.signatures(sets)) & np.uint64(255)).astype(np.uint8)
+    fine = [s.astype(np.uint16) if i % 10 else np.zeros(0, np.uint16) for i, s in enumerate(sets)]
+    node = np.arange(n) * 7 + 5
+
+    def link(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= 80 * (size[i] + size[j] - both)
+
+    def joined(part, pairs):
+        for i, j in pairs:
+            part[part == max(part[i], part[j])] = min(part[i], part[j])
+        return part
+
+    want = joined(np.arange(n), [(i, j) for i in range(n) for j in range(i) if link(i, j)])
+    part, failed, turns, tried, most = np.arange(n), [[] for _ in range(n)], 0, set(), 1
+    while True:
+        a, b = superminhash.tied(node, part.copy(), size, sketch, np.zeros(n, dtype=int), fine, [np.array(f, dtype=np.int64) for f in failed], 80, most)
+        pairs = [(int(x - 5) // 7, int(y - 5) // 7) for x, y in zip(a, b)]
+        assert not tried & set(pairs) and (most > 1 or len(pairs) < n)
+        if not pairs:
+            break
+        tried |= set(pairs)
+        for i, j in pairs:
+            if not link(i, j):
+                failed[max(i, j)].append(node[min(i, j)])
+        part, turns, most = joined(part, [p for p in pairs if link(*p)]), turns + 1, most * 2
+    assert (part == want).all() and 1 < turns + 1 < 12
\ No newline at end of file
