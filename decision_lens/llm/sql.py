@@ -97,10 +97,15 @@ WITH raw AS (SELECT conv_id, coalesce(turn, -4611686018427387904) AS turn, coale
 t AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) + 3 AS tokens, 19 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS chars,
       row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM raw),
 placed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) - tokens AS place FROM t),
-w AS MATERIALIZED (SELECT *, place // 1024 AS win, max(place + tokens) OVER (PARTITION BY conv_id, place // 1024) - place <= 256 AS near FROM placed),
-own AS (SELECT conv_id, win, min(place) AS first, sum(chars) AS chars FROM w GROUP BY ALL),
-past AS (SELECT conv_id, win + 1 AS win, sum(chars) AS chars, list(place) AS places FROM w WHERE near GROUP BY ALL),
-lead_turn AS (SELECT conv_id, min(place) AS place, arg_min(chars, place) AS chars FROM w WHERE role = 'system' GROUP BY conv_id),
+head AS (SELECT conv_id, arg_min(tokens, i) AS tokens FROM t WHERE role = 'system' GROUP BY conv_id),
+roomy AS (SELECT p.*, 768 - CASE WHEN 2 * h.tokens <= 768 THEN h.tokens ELSE 0 END AS room, 2 * h.tokens <= 768 AS leads
+  FROM placed p LEFT JOIN head h ON h.conv_id IS NOT DISTINCT FROM p.conv_id),
+cells AS (SELECT *, place // room AS cell, min(place) OVER (PARTITION BY conv_id, place // room) AS first FROM roomy),
+w AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY cell, place > first AND place + tokens - first > room) AS win FROM cells),
+own AS (SELECT conv_id, win, min(place) AS first, max(place + tokens) AS stop, sum(chars) AS chars FROM w GROUP BY ALL),
+past AS (SELECT w.conv_id, w.win + 1 AS win, sum(w.chars) AS chars, list(place) AS places FROM w JOIN own ON own.win = w.win AND own.conv_id IS NOT DISTINCT FROM w.conv_id
+  WHERE stop - place <= 256 GROUP BY ALL),
+lead_turn AS (SELECT conv_id, min(place) AS place, arg_min(chars, place) AS chars FROM w WHERE role = 'system' AND leads GROUP BY conv_id),
 sizes AS (SELECT o.conv_id, sum(o.chars + coalesce(p.chars, 0) + CASE WHEN l.place < o.first AND NOT list_contains(coalesce(p.places, []), l.place) THEN l.chars ELSE 0 END)::BIGINT AS formatted_chars
   FROM own o LEFT JOIN past p ON p.win = o.win AND p.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN lead_turn l ON l.conv_id IS NOT DISTINCT FROM o.conv_id GROUP BY ALL),
 said AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
