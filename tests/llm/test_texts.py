@@ -95,6 +95,8 @@ def rows_of_chat():
     r = random.Random(2)
     rows = [(1, 0, "system", "be < good \\l"), (1, 1, "user", None), (1, 2, "assistant", "</turn><turn>user<text>"), (1, 2, "assistant", "\\b\\l<"),
             (2, 5, "user", ""), (2, None, None, "first"), (2, 6, "assistant", "x" * 9000), (None, 1, "assistant", "no id"), (2, 6, "assistant", "x" * 9000)]
+    rows += [(4, i, "system" if i < 2 else "user", words(i, 5000 if i in (3, 40) else 300)) for i in range(50)]
+    rows += [(5, i, "system" if i == 0 else "assistant", words(i, 600 if i == 0 else 1021 if i % 5 else 3)) for i in range(30)]
     return rows + [(3, i, ["system", "user", "assistant"][0 if i == 0 else 1 + i % 2], words(i, r.randint(0, 200))) for i in range(700)]
 
 
@@ -112,7 +114,11 @@ def test_chat_reads_back(spark):
         assert (g["loss_chars"], g["loss_sha256"]) == (len(taught), hashlib.sha256(taught.encode()).hexdigest())
     long = w.where("conv_id = 3").orderBy("window").collect()
     assert len(long) > 20 and all(r["formatted"].startswith("<turn>system<text>") for r in long) and all(r["n_repeat"] >= 2 for r in long[1:])
-    assert all(len(r["formatted"].split()) < chat.BUDGET + chat.HISTORY + 400 for r in long)
+    # the system turn and the repeats are counted; only a single turn that is longer than the room may exceed the budget
+    for r in w.collect():
+        turns = r["formatted"].split("</turn>")[:-1]
+        assert r["n_tokens"] == sum(len(x.partition("<text>")[2].split()) + chat.MARKS for x in turns)
+        assert r["n_tokens"] <= chat.BUDGET or len(turns) == 1 + r["n_repeat"]
     assert sum(r["formatted_chars"] for r in got.values()) == w.agg(F.sum(F.length("formatted"))).first()[0]
     assert chat.digests(chat.windows(chat.turns_of(df.limit(0)))).count() == 0
 
@@ -269,9 +275,35 @@ def test_archives_round_trip(spark, tmp_path):
     warc.write_archives(pages.limit(0), f"{tmp_path}/none")
     assert warc.with_originals(warc.read_archives(spark, f"{tmp_path}/none")).count() == 0
     plain = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
-    assert len(list(warc.parsed(warc.inflated(gzip.compress(plain) + gzip.compress(plain), zlib)))) == 2
-    with pytest.raises(ValueError):
-        list(warc.parsed(plain + b"junk\r\n\r\n"))
+    for name, data in (("two.warc.gz", gzip.compress(plain) + gzip.compress(plain)), ("plain.warc", plain)):
+        (tmp_path / "others").mkdir(exist_ok=True)
+        (tmp_path / "others" / name).write_bytes(data)
+    assert [bytes(r["payload"]) for r in warc.read_archives(spark, f"{tmp_path}/others").collect()] == [b""] * 3
+    for step in (1, 7, len(plain)):
+        pieces = [(plain * 2)[i:i + step] for i in range(0, 2 * len(plain), step)]
+        assert [block for _, block in warc.parsed(pieces)] == [b"ok", b"ok"]
+    for bad in (plain + b"junk\r\n\r\n", plain[:-1], plain + b"WARC/1.1\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parsed([bad]))
+
+
+def test_payloads_are_not_shuffled_by_digest(spark):
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id") % 3).alias("html"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(warc.resolved(warc.pages_of(pages))._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = [node for node in plan.split("\n\n") if "Arguments: hashpartitioning(sha" in node]
+    assert moved and not any("body" in node for node in moved)
+
+
+def test_plain_archives_and_dates(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id long, url string, html string")
+    warc.write_archives(pages, f"{tmp_path}/p", compression="none", date="2024-01-01T00:00:00Z")
+    assert sorted((r["page_id"], r["record_type"]) for r in warc.with_originals(warc.read_archives(spark, f"{tmp_path}/p")).collect()) == [(1, "revisit"), (2, "response")]
+    assert "WARC-Date: 2024-01-01T00:00:00Z" in "".join(r["value"] for r in spark.read.text(f"{tmp_path}/p").collect())
 
 
 def test_small_payloads_are_all_responses(spark, tmp_path):
