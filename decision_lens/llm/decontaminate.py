@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of normalised item n-grams, scanned over the token windows of whole texts.
 
 Items are read in blocks of a bounded number of bytes, so that what is sent to the tasks has a known size at any size of the
-benchmark: a benchmark within one block takes one scan of the documents, a larger one a scan per block, whose results are
+benchmark: 20 bytes a window, with one window a word at most, and the words themselves. A benchmark within one block takes one scan of the documents, a larger one a scan per block, whose results are
 joined. Equal hashes are confirmed on the words themselves.
 
 Defined cases: null and empty texts have no words; items without words match nothing; an item with a null id marks words but
@@ -12,11 +12,13 @@ name of a result are replaced.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from decision_lens.llm.textkit import ALNUM, LOWER, joined, map_texts, ngram_hashes, quoted, word_hashes, word_spans
+from decision_lens.llm.textkit import ALNUM, LOWER, SLICE_BYTES, joined, map_texts, ngram_hashes, quoted, word_hashes, word_spans
 from decision_lens.session import stage
 
 WINDOW_WORDS = 10
@@ -28,30 +30,60 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongT
           T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-class WindowSet:
-    """The windows of a block of items by length, with the items of each."""
+class Windows(NamedTuple):
+    """Windows of one length in order of their hashes: their bytes within the words of the block, and their items."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    items: np.ndarray
+    maybe: np.ndarray
+
 
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        by_length: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        for item_id, text in items:
-            data, _, _ = joined([(text or "").encode()])
+class WindowSet:
+    """The windows of a block of items as arrays: 20 bytes a window, and the words themselves to confirm them."""
+
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], n: int):
+        codes: dict[str | None, int] = {}
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        words, held = [], 0
+        for group in grouped(items, SLICE_BYTES):
+            code = np.array([codes.setdefault(i, len(codes)) for i, _ in group], dtype=np.int32)
+            data, _, text_ends = joined([t for _, t in group])
             low = LOWER[data]
-            raw = low.tobytes()
-            words = [raw[a:b] for a, b in zip(*word_spans(low, ALNUM))]
-            if words:
-                size = min(n, len(words))
-                for i in range(len(words) - size + 1):
-                    by_length[size][b" ".join(words[i:i + size])].add(item_id)
-        self.windows = {size: {w: sorted(x for x in ids if x is not None) for w, ids in found.items()}
-                        for size, found in by_length.items()}
-        self.hashes, self.maybe = {}, {}
-        for size, found in self.windows.items():
-            data, _, _ = joined(list(found))
-            starts, ends = word_spans(data, ALNUM)
-            self.hashes[size] = np.unique(ngram_hashes(word_hashes(data, starts, ends), size)[::size])
-            bitmap = np.zeros(1 << BITS, dtype=bool)
-            bitmap[self.hashes[size] >> np.uint64(64 - BITS)] = True
-            self.maybe[size] = bitmap
+            starts, ends = word_spans(low, ALNUM)
+            hashed, sizes = word_hashes(low, starts, ends), ends - starts
+            doc = np.searchsorted(text_ends, starts, side="right")
+            # words in a row, a blank after each
+            kept = ALNUM[low]
+            low[~kept] = 32
+            kept[ends] = True
+            words.append(low[kept].tobytes())
+            at = held + np.cumsum(sizes + 1) - sizes - 1
+            held += len(words[-1])
+            length = np.minimum(np.bincount(doc, minlength=len(group)), n)
+            for size in np.unique(length[length > 0]).tolist():
+                grams = ngram_hashes(hashed, size)
+                first = np.arange(len(grams))
+                last = first + size - 1
+                pick = (doc[first] == doc[last]) & (length[doc[first]] == size)
+                first, last = first[pick], last[pick]
+                found[size].append((grams[pick], at[first].astype(np.int32), (at[last] + sizes[last]).astype(np.int32), code[doc[first]]))
+        self.words, self.ids = b"".join(words), list(codes)
+        self.windows = {size: self.ordered(*map(np.concatenate, zip(*parts))) for size, parts in found.items()}
+
+    def ordered(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray) -> Windows:
+        order = np.lexsort((items, hashes))
+        hashes, starts, ends, items = hashes[order], starts[order], ends[order], items[order]
+        # a window that an item holds again is listed once
+        keep = np.ones(len(hashes), dtype=bool)
+        last = 0
+        for i in (np.flatnonzero((hashes[1:] == hashes[:-1]) & (items[1:] == items[:-1])) + 1).tolist():
+            last = last if keep[i - 1] == 0 else i - 1
+            keep[i] = self.words[starts[i]:ends[i]] != self.words[starts[last]:ends[last]]
+        maybe = np.zeros(1 << BITS, dtype=bool)
+        maybe[hashes >> np.uint64(64 - BITS)] = True
+        return Windows(hashes[keep], starts[keep], ends[keep], items[keep], maybe)
 
     def scan(self, texts: list[bytes | None]) -> list:
         data, text_starts, text_ends = joined(texts)
@@ -61,19 +93,21 @@ class WindowSet:
         doc = np.searchsorted(text_ends, starts, side="right")
         step = np.zeros(len(starts) + 1, dtype=np.int64)
         items = [set() for _ in texts]
-        for size, known in self.hashes.items():
+        for size, w in self.windows.items():
             grams = ngram_hashes(hashed, size)
-            near = np.flatnonzero(self.maybe[size][grams >> np.uint64(64 - BITS)])
+            near = np.flatnonzero(w.maybe[grams >> np.uint64(64 - BITS)])
             near = near[doc[near] == doc[near + size - 1]]
-            near = near[np.isin(grams[near], known)]
-            found = self.windows[size]
-            for i in near.tolist():
-                window = b" ".join(low[a:b].tobytes() for a, b in zip(starts[i:i + size], ends[i:i + size]))
-                ids = found.get(window)
-                if ids is not None:
+            lo, hi = (np.searchsorted(w.hashes, grams[near], side=side) for side in ("left", "right"))
+            seen: dict[bytes, list[int]] = {}
+            for i, a, b in zip(near[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
+                window = b" ".join(low[x:y].tobytes() for x, y in zip(starts[i:i + size], ends[i:i + size]))
+                codes = seen.get(window)
+                if codes is None:
+                    codes = seen[window] = [k for k, x, y in zip(w.items[a:b].tolist(), w.starts[a:b], w.ends[a:b]) if self.words[x:y] == window]
+                if codes:
                     step[i] += 1
                     step[i + size] -= 1
-                    items[doc[i]].update(ids)
+                    items[doc[i]].update(codes)
         hit = np.cumsum(step[:-1]) > 0
         place = np.flatnonzero(hit)
         first_word = np.searchsorted(starts, text_starts)
@@ -89,7 +123,20 @@ class WindowSet:
         for a, b in zip(place[heads].tolist(), place[tails].tolist()):
             d = doc[a]
             spans[d] += [int(starts[a] - text_starts[d]), int(ends[b] - text_starts[d])]
-        return [words_of, np.array([len(h) for h in hits], dtype=np.int64), hits, spans, [sorted(s) for s in items]]
+        return [words_of, np.array([len(h) for h in hits], dtype=np.int64), hits, spans, [sorted(self.ids[k] for k in s if self.ids[k] is not None) for s in items]]
+
+
+def grouped(items: Iterable[tuple[str | None, str | None]], limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items in lists of about ``limit`` bytes of text, one item at least."""
+    group, held = [], 0
+    for item_id, text in items:
+        group.append((item_id, (text or "").encode()))
+        held += len(group[-1][1])
+        if held >= limit:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, text: str = "text", item: str = "item_id",
@@ -101,7 +148,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, text:
     out, keep = docs, docs.columns if carry is None else carry
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "body"), F.lit(blocks)) == b) if blocks > 1 else items
-        found = WindowSet([(r[0], r[1]) for r in part.toLocalIterator()], n)
+        found = WindowSet(((r[0], r[1]) for r in part.toLocalIterator()), n)
         known = docs.sparkSession.sparkContext.broadcast(found)
         if b == 0:
             out = map_texts(docs, text, FIELDS, lambda texts, known=known: known.value.scan(texts), keep=[*dict.fromkeys([*keep, text])])

@@ -73,6 +73,24 @@ def test_decontamination_against_brute_force(spark, block_bytes):
     assert got == sorted((a, b, tuple(c)) for a, b, c in (spans_of(t, ITEMS) for _, t in rows))
 
 
+def test_window_set_is_small_and_exact():
+    import pickle
+    import tracemalloc
+    r = random.Random(4)
+    vocabulary = [words(i, 1) for i in range(3000)]
+    items = [(f"i{k}", " ".join(r.choices(vocabulary, k=r.choice([3, 40, 400])))) for k in range(3000)]
+    items += [("again", "la " * 500), (None, items[0][1]), ("i0", items[0][1]), ("other", items[1][1]), ("none", " ;"), ("null", None)]
+    size = sum(len(t or "") for _, t in items)
+    tracemalloc.start()
+    made = decontaminate.WindowSet(iter(items), 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    fixed = len(made.windows) << decontaminate.BITS
+    assert size > 2_000_000 and len(pickle.dumps(made)) - fixed < 6 * size and peak - fixed < 25 * size + (60 << 20)
+    texts = [items[0][1].upper() + " x", "la " * 12, "la " * 9, items[1][1], "clean text"]
+    assert made.scan([t.encode() for t in texts])[4] == [sorted(c for c in spans_of(t, items)[2]) for t in texts]
+
+
 def test_decontamination_removes(spark):
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
     docs = documents(spark, [(1, "start here " + words(1, 30) + " and end"), (2, words(50, 40))])
