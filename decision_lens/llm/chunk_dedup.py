@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from decision_lens.llm.textkit import SPACED, joined, map_texts, quoted, word_spans
+from decision_lens.llm.textkit import SPACED, fresh, joined, map_texts, quoted, word_spans
 
 GEAR = np.random.default_rng(1903).integers(0, 1 << 32, 256, dtype=np.uint32)
 HISTORY = 8
@@ -141,11 +141,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     pieces = map_texts(slim, "body", [T.StructField("digests", T.ArrayType(T.LongType()))], digests, drop_text=True)
     pieces = pieces.select("id", F.explode("digests").alias("digest"))
     first = pieces.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    again = pieces.join(first, "digest").where("first < id").groupBy(F.col("id").alias("id_")).agg(F.collect_set("digest").alias("repeats_"))
-    df = docs.join(again, quoted(key) == F.col("id_"), "left").drop("id_")
-    fields = [T.StructField("rest_", T.StringType()), T.StructField("n_chunks", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.LongType()))]
-    out = map_texts(df, text, fields, lambda texts, known: removed(texts, known, min_words), keep=keep, with_rows=("repeats_",))
-    new = F.col("rest_")
+    inner, repeats, rest = (fresh(docs.columns, name) for name in ("id_", "repeats_", "rest_"))
+    again = pieces.join(first, "digest").where("first < id").groupBy(F.col("id").alias(inner)).agg(F.collect_set("digest").alias(repeats))
+    df = docs.join(again, quoted(key) == F.col(inner), "left").drop(inner)
+    fields = [T.StructField(rest, T.StringType()), T.StructField("n_chunks", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.LongType()))]
+    out = map_texts(df, text, fields, lambda texts, known: removed(texts, known, min_words), keep=keep, with_rows=(repeats,))
+    new = F.col(rest)
     cols = [new.alias(c) if c == text else F.when(F.size("removed_spans") > 0, F.length(new).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars"
             else quoted(c) for c in keep if c not in ("n_chunks", "removed_spans")]
     return out.select(*cols, "n_chunks", "removed_spans")

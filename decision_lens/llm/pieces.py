@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from decision_lens.llm.textkit import map_texts, mixed, quoted
+from decision_lens.llm.textkit import fresh, map_texts, mixed, quoted
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -255,14 +255,15 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
             carry: list[str] | None = None, drop_text: bool = False) -> DataFrame:
     """Documents with the piece ids of their texts."""
     path = path or model_path()
-    keyed = docs.withColumn("row_key_", F.coalesce(quoted(key).cast("long"), F.lit(0)))
+    inner = fresh(docs.columns, "row_key_")
+    keyed = docs.withColumn(inner, F.coalesce(quoted(key).cast("long"), F.lit(0)))
 
     def encode(texts, keys):
         out = loaded(path, alpha).encode([(t or b"").decode() for t in texts], np.array(keys, dtype=np.int64).view(np.uint64), seed)
         return [[None if t is None else x[:0] if not t else x for t, x in zip(texts, out)]]
 
     keep = docs.columns if carry is None else carry
-    return map_texts(keyed, text, FIELDS, encode, keep=keep, with_rows=("row_key_",), drop_text=drop_text)
+    return map_texts(keyed, text, FIELDS, encode, keep=keep, with_rows=(inner,), drop_text=drop_text)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None, alpha: float = ALPHA) -> DataFrame:

@@ -33,35 +33,36 @@ RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Base counts and measures of every whole text."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in RESULTS]
-    t, w, h, r = (fresh(keep + RESULTS, n) for n in ("body_", "words_", "hashes_", "lines_"))
+    t, w, h, r, wh, runs, at, capitals, n_lines = (fresh(keep + RESULTS, n) for n in (
+        "body_", "words_", "hashes_", "lines_", "word_hashes_", "runs_", "places_", "capitals_", "n_lines_"))
     kept = [quoted(c) for c in keep]
     df = docs.select(*kept, F.coalesce(quoted(text).cast("string"), F.lit("")).alias(t))
     df = df.select(*kept, t, F.array_remove(F.split(t, SPACE + "+"), "").alias(w),
                    F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias(r))
     # Hash words one by one, then windows of hashes; windows whose 64-bit hashes agree count as equal.
-    df = df.select(*kept, t, w, r, F.transform(w, lambda x: F.xxhash64(x)).alias("wh_"))
+    df = df.select(*kept, t, w, r, F.transform(w, lambda x: F.xxhash64(x)).alias(wh))
     df = df.select(*kept, t, w, r, F.expr(
-        f"transform(sequence(0, size(wh_) - {WINDOW}, if(size(wh_) < {WINDOW}, -1, 1)), i -> "
-        f"xxhash64({', '.join(f'try_element_at(wh_, i + {j + 1})' for j in range(WINDOW))}))").alias(h))
+        f"transform(sequence(0, size({wh}) - {WINDOW}, if(size({wh}) < {WINDOW}, -1, 1)), i -> "
+        f"xxhash64({', '.join(f'try_element_at({wh}, i + {j + 1})' for j in range(WINDOW))}))").alias(h))
     df = df.select(*kept, t, w, r, F.when(F.size(w) >= WINDOW, F.col(h)).otherwise(F.expr("array()").cast("array<bigint>")).alias(h))
     sorted_windows = f"sort_array(transform({h}, (x, i) -> struct(x AS h, i AS i)))"
     df = df.select(*kept, t, w, r, F.expr(
-        f"CASE WHEN size({h}) > size(array_distinct({h})) THEN {sorted_windows} END").alias("s_"))
+        f"CASE WHEN size({h}) > size(array_distinct({h})) THEN {sorted_windows} END").alias(runs))
     df = df.select(*kept, t, w, r, F.expr(
-        "sort_array(transform(filter(sequence(1, size(s_)), k -> (k > 1 AND s_[k - 1].h = s_[k - 2].h) "
-        "OR (k < size(s_) AND s_[k - 1].h = s_[k].h)), k -> s_[k - 1].i))").alias("p_"))
+        f"sort_array(transform(filter(sequence(1, size({runs})), k -> (k > 1 AND {runs}[k - 1].h = {runs}[k - 2].h) "
+        f"OR (k < size({runs}) AND {runs}[k - 1].h = {runs}[k].h)), k -> {runs}[k - 1].i))").alias(at))
     df = df.select(
         *kept, F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        (F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))).cast("long").alias("capitals_"),
-        F.size(r).cast("long").alias("n_lines_"), (F.size(r) - F.size(F.array_distinct(r))).cast("long").alias("n_dup_lines"),
-        F.expr(f"coalesce({WINDOW} + aggregate(sequence(1, size(p_) - 1, if(size(p_) < 2, -1, 1)), 0L, (a, k) -> "
-               f"a + if(size(p_) < 2, 0L, least({WINDOW}, p_[k] - p_[k - 1]))), 0L)").alias("n_repeat_words"))
+        (F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))).cast("long").alias(capitals),
+        F.size(r).cast("long").alias(n_lines), (F.size(r) - F.size(F.array_distinct(r))).cast("long").alias("n_dup_lines"),
+        F.expr(f"coalesce({WINDOW} + aggregate(sequence(1, size({at}) - 1, if(size({at}) < 2, -1, 1)), 0L, (a, k) -> "
+               f"a + if(size({at}) < 2, 0L, least({WINDOW}, {at}[k] - {at}[k - 1]))), 0L)").alias("n_repeat_words"))
     chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     return df.select(
         *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        share(F.col("n_symbols"), chars).alias("symbol_share"), share(F.col("capitals_"), chars).alias("capital_share"),
-        share(F.col("n_dup_lines"), F.greatest("n_lines_", F.lit(1))).alias("dup_line_share"),
+        share(F.col("n_symbols"), chars).alias("symbol_share"), share(F.col(capitals), chars).alias("capital_share"),
+        share(F.col("n_dup_lines"), F.greatest(n_lines, F.lit(1))).alias("dup_line_share"),
         share(F.col("n_repeat_words"), words).alias("repeat_share"),
         F.least(F.expr("10 * word_chars div greatest(n_words, 1)"), F.lit(MAX_LENGTH)).cast("long").alias("word_length"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"))
@@ -106,8 +107,15 @@ def limits(counts: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
     """Documents with counts, measures, base_failed, kept and the rules that each one breaks."""
     carry = docs.columns if carry is None else carry
-    measures = stage(measured(docs, text, [*dict.fromkeys([*carry, lang, source])]))
-    return verdicts(measures, limits(sketches(measures, lang, source)), lang, source).select(*[quoted(c) for c in carry if c not in RESULTS], *RESULTS)
+    rows, keys = packed(docs, text, lang, source, [c for c in carry if c not in RESULTS]), ("lang_of_row_", "source_of_row_")
+    measures = stage(measured(rows, "body_of_row_", ["row_", *keys]))
+    return verdicts(measures, limits(sketches(measures, *keys)), *keys).select("row_.*", *RESULTS)
+
+
+def packed(docs: DataFrame, text: str, lang: str, source: str, carry: list[str]) -> DataFrame:
+    """The columns to carry in one, out of the way of inner names, and the three that are read."""
+    return docs.select(F.struct(*[quoted(c) for c in carry]).alias("row_"), quoted(text).alias("body_of_row_"),
+                       quoted(lang).alias("lang_of_row_"), quoted(source).alias("source_of_row_"))
 
 
 def verdicts(measures: DataFrame, bounds: DataFrame, lang: str, source: str) -> DataFrame:
@@ -122,8 +130,6 @@ def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     Texts are measured twice, for the limits and for the verdicts, so that no copy of them is stored in between.
     """
-    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row_"), quoted(text).alias("body_of_row_"),
-                       quoted(lang).alias("lang_of_row_"), quoted(source).alias("source_of_row_"))
-    keys = ("lang_of_row_", "source_of_row_")
+    rows, keys = packed(docs, text, lang, source, docs.columns), ("lang_of_row_", "source_of_row_")
     bounds = stage(limits(sketches(measured(rows, "body_of_row_", list(keys)), *keys)))
     return verdicts(measured(rows, "body_of_row_", ["row_", *keys]), bounds, *keys).where("kept").select("row_.*")

@@ -28,6 +28,7 @@ def odd(spark, **more):
     """ODD with columns whose names operations use themselves."""
     from pyspark.sql import functions as F
     df = documents(spark, ODD)
-    for name in ["score", "n_words", "kept", "ids", "text_", "rest_", "hash", "block", "u", "key", "id"]:
+    for name in ["score", "n_words", "kept", "ids", "text_", "rest_", "hash", "block", "u", "key", "id", "id_", "repeats_", "gone_id_", "row_key_", "wh_", "word_hashes_", "lang_", "source_",
+                 "capitals_", "s_", "p_", "row_", "part", "node"]:
         df = df.withColumn(name, F.lit("mine"))
     return df

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from decision_lens.llm import chunk_dedup, decontaminate, graph, rules, superminhash
+from decision_lens.llm import chunk_dedup, decontaminate, graph, pieces, rules, superminhash
 from oracle import compare, connect
 from support import LONG, documents, odd, words
 
@@ -284,4 +284,11 @@ def test_ties_find_every_component():
             if not link(i, j):
                 failed[max(i, j)].append(node[min(i, j)])
         part, turns, most = joined(part, [p for p in pairs if link(*p)]), turns + 1, most * 2
-    assert (part == want).all() and 1 < turns + 1 < 12
\ No newline at end of file
+    assert (part == want).all() and 1 < turns + 1 < 12
+
+def test_results_keep_columns_with_inner_names(spark):
+    df = odd(spark)
+    for out in (rules.judged(df), chunk_dedup.deduplicated(df), superminhash.distinct_documents(df), decontaminate.scanned(df, spark.createDataFrame(ITEMS, "item_id string, text string")),
+                pieces.encoded(df)):
+        for name in ("id_", "repeats_", "rest_", "gone_id_", "row_key_", "wh_", "word_hashes_", "lang_", "source_", "s_", "p_", "capitals_", "row_"):
+            assert {r[0] for r in out.select(name).distinct().collect()} == {"mine"}, name
