@@ -55,8 +55,11 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     if not 0 <= history < budget:
         raise ValueError("the history must leave room in the budget")
     leads = 2 * F.col("system_tokens") <= budget - history
-    t = turns.withColumn("room", budget - history - F.coalesce(F.when(leads, F.col("system_tokens")), F.lit(0))).withColumn(
-        "piece", F.concat(F.lit("<turn>"), escaped(F.col("role")), F.lit("<text>"), escaped(F.col("text")), F.lit("</turn>")))
+    room = budget - history - F.coalesce(F.when(leads, F.col("system_tokens")), F.lit(0))
+    piece = F.concat(F.lit("<turn>"), escaped(F.col("role")), F.lit("<text>"), escaped(F.col("text")), F.lit("</turn>"))
+    # a turn travels once, as it is written
+    t = turns.select("conv_id", "at", "tokens", room.alias("room"), piece.alias("piece"), (F.col("role") == "assistant").alias("target"),
+                     F.length(escaped(F.col("text"))).alias("n"))
     # cells of the room; the last turn of a cell may run over its end, and is a window of its own where the cell gets too long by it
     t = t.withColumn("cell", F.floor(F.col("at") / F.col("room"))).withColumn("stop", F.col("at") + F.col("tokens"))
     cell = Window.partitionBy("conv_id", "cell")
@@ -67,7 +70,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     # the next turn starts where the window ends: it is the one left over in this cell, or the first of another
     then = F.floor(F.col("end") / F.col("room"))
     t = t.withColumn("next", 2 * then + (then == F.col("cell")).cast("int"))
-    turn = F.struct("at", "piece", (F.col("role") == "assistant").alias("target"), F.length(escaped(F.col("text"))).alias("n"), "tokens")
+    turn = F.struct("at", "piece", "target", "n", "tokens")
     t = t.withColumn("near", F.col("end") - F.col("at") <= history)
     place = F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("again")),
                     F.when(F.col("near"), F.struct(F.col("next").alias("window"), F.lit(True).alias("again"))))
