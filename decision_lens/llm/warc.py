@@ -18,8 +18,9 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from decision_lens.functions.joins import join_hot
 from decision_lens.llm.textkit import quoted
-from decision_lens.session import scratch_dir
+from decision_lens.session import scratch_dir, stage
 
 CLOSE = b"\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -171,15 +172,19 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
 
 def with_originals(records: DataFrame, key_type: str = "long") -> DataFrame:
-    """One row per record: key, type, size and digest of the full payload, and the key of the response of a revisit."""
-    responses = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("original_id")).agg(
+    """One row per record: key, type, size and digest of the full payload, and the key of the response of a revisit.
+
+    Headers are staged, so that the archives are read once; a response that a large share of the revisits refers to is sent to them.
+    """
+    heads = stage(records.select(HEADER.names))
+    own = heads.where("record_type IS DISTINCT FROM 'revisit'")
+    responses = heads.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(
         F.max("page_key").alias("original_key"), F.max("payload_bytes").alias("original_bytes"), F.max("computed_digest").alias("original_digest"))
-    r = records.join(responses, (F.col("record_type") == "revisit") & (F.col("refers_to_id") == F.col("original_id")), "left")
-    again = F.col("record_type") == "revisit"
-    return r.select(F.col("page_key").cast(key_type).alias("page_id"),
-                    F.when(again, F.col("original_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-                    F.when(again, F.col("original_digest")).otherwise(F.col("computed_digest")).alias("payload_digest"),
-                    "record_type", F.when(again, F.col("original_key").cast(key_type)).alias("refers_to"))
+    again = join_hot(heads.where("record_type = 'revisit'"), responses, "refers_to_id", "left")
+    row = lambda size, digest, other: (F.col("page_key").cast(key_type).alias("page_id"), F.col(size).alias("payload_bytes"),
+                                       F.col(digest).alias("payload_digest"), "record_type", other.cast(key_type).alias("refers_to"))
+    return own.select(*row("payload_bytes", "computed_digest", F.lit(None))).unionAll(
+        again.select(*row("original_bytes", "original_digest", F.col("original_key"))))
 
 
 def archive_folder(spark: SparkSession) -> str:
