@@ -1,18 +1,18 @@
 """Language-model scoring: a causal self-attention model in numpy on subword ids, beside a word-count base.
 
 Texts are packed into blocks of bounded size, written once. A first pass over the blocks sends, to buckets by word hash, the
-distinct words of each block with their training counts; counts of subword ids over all training texts; and a fixed share of
-the block's training windows, chosen by hash. Buckets add the counts of a word over all blocks and answer every block
+distinct words of each block with their training counts; counts of subword ids over all training texts; and all of
+the block's training windows. Buckets add the counts of a word over all blocks and answer every block
 that asked for it, so word counts are never gathered on the driver or broadcast: they grow with the corpus.
 
 Network: each subword id has a slot, its own if it is one of the most frequent ids of the training texts, else a shared tail
 slot, within which ids are weighted by their training counts. Ids that begin a word and ids that go on with one have slots of
 their own. A slot's vector goes through one masked self-attention layer with learned distance weights, a residual sum and a
 hidden layer; the next slot is predicted as a group, then a member of the group. The result is a probability over all ids of
-the vocabulary. Training (Adam, hand-written gradients) uses SHARE of all windows of all training texts, so it grows with the
-corpus; tables of less than 64 MB (SMALL_BYTES / SHARE) of text use a larger share, up to all. Windows are dealt to shards of about SHARD
-by hash. In each epoch every shard goes on from the common parameters and moments over its own windows, in Spark; shards are
-summed by partition, then over partitions, and their mean by number of windows starts the next epoch. The driver holds one model.
+the vocabulary. Training (Adam, hand-written gradients) learns from every window of every training text once, whatever the size
+of the table. Windows are dealt to shards of about SHARD by hash, and within a shard to ROUNDS rounds. In each round every shard
+goes on from the common parameters and moments over its windows of that round, in Spark; shards are summed by partition, then
+over partitions, and their mean by number of windows starts the next round. The driver holds one model.
 
 Scoring: a text is its words, each as subword ids after a blank, then an end id. Windows of STRIDE targets see CONTEXT more ids
 before them and score every id once. The ids of a word, and that the next one begins a word, give the network's probability
@@ -28,6 +28,8 @@ more columns are not carried. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -49,9 +51,8 @@ BEGIN = SLOTS // 2  # slots below begin a word or end the text, the others go on
 TAIL_BEGIN, TAIL_ON, BOS, PAD = BEGIN - 1, SLOTS - 1, SLOTS, SLOTS + 1
 STRIDE, CONTEXT = 24, 8
 WIDTH, HIDDEN = 16, 32
-SHARE, SMALL_BYTES, SHARD = 1 / 32, 2 << 20, 8192
-EPOCHS, BATCH, RATE = 4, 64, 0.02
-FEW_STEPS = 512  # a table of one shard is passed over more often, for about as many steps
+SHARD = 65_536
+ROUNDS, BATCH, RATE = 4, 64, 0.02
 SEEN = CONTEXT + 1 + STRIDE
 NO_PLACE, TEXT_HEAD = 65_535, 65_534  # in windows: a place outside the text, and the one before its first id
 PIECES = 16
@@ -110,7 +111,6 @@ class Block:
     """Words of a block of texts: distinct words by hash, and each text's sequence of them."""
 
     def __init__(self, blob, folds: int):
-        import zlib
         self.ids, self.bounds, data = unpacked(blob)
         low = LOWER[data]
         # words must not run over the end of a text
@@ -159,7 +159,7 @@ def window_index(bounds: np.ndarray):
     return doc, bounds[doc] + number * STRIDE, number
 
 
-def training_windows(b: Block, ids: np.ndarray, at: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(b: Block, ids: np.ndarray, at: np.ndarray, share: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and ids (n, SEEN) of the windows of a block's training texts whose hashes fall into the share."""
     docs = np.flatnonzero(~b.held_out)
     flat, bounds = b.stream(ids, at, docs)
@@ -180,16 +180,16 @@ WINDOW = np.dtype([("order", "<u8"), ("ids", "<u2", (SEEN,))])
 
 
 def dealt_windows(blob, n_shards: int):
-    """(shard, windows) of the windows of a block."""
-    w = np.frombuffer(blob, dtype=WINDOW)
+    """(shard, windows) of the windows of a block, both compressed."""
+    w = np.frombuffer(zlib.decompress(blob), dtype=WINDOW)
     shard = (mixed(w["order"] + np.uint64(1)) % np.uint64(n_shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
     cut = runs(shard[by])
     for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield int(shard[by[x]]), w[by[x:y]].tobytes()
+        yield int(shard[by[x]]), zlib.compress(w[by[x:y]].tobytes(), 1)
 
 
-def first_pass(blob, bits: int, folds: int, path: str, share: float):
+def first_pass(blob, bits: int, folds: int, path: str):
     """Rows (kind, bucket, order, a, b) of a block: words, subword counts, training windows with their number, totals."""
     b = Block(blob, folds)
     buckets = bucket_of(b.hash, bits)
@@ -202,11 +202,11 @@ def first_pass(blob, bits: int, folds: int, path: str, share: float):
     seen = np.flatnonzero(count)
     yield "ids", -1, 0, seen.astype(np.int32).tobytes(), count[seen].tobytes()
     yield "subwords", -1, 0, np.diff(at).astype(np.int32).tobytes() + ids.astype(np.uint16).tobytes(), b""
-    order, seen_ids = training_windows(b, ids, at, share)
+    order, seen_ids = training_windows(b, ids, at)
     if len(order):
         out = np.zeros(len(order), dtype=WINDOW)
         out["order"], out["ids"] = order, seen_ids
-        yield "window", -1, len(order), out.tobytes(), b""
+        yield "window", -1, len(order), zlib.compress(out.tobytes(), 1), b""
 
 
 def totals_of(rows):
@@ -343,19 +343,19 @@ class Model:
         """State of the training: parameters and Adam's two moments."""
         return {**self.p, **{f"{name} {k}": np.zeros_like(x) for name in ("first", "second") for k, x in self.p.items()}}
 
-    def train(self, state: dict, ids: np.ndarray, epoch: int, epochs: int, seed: int = 5) -> dict:
-        """The state after one epoch over windows of ids (n, SEEN)."""
+    def train(self, state: dict, ids: np.ndarray, turn: int, turns: int, seed: int = 5) -> dict:
+        """The state after one of ``turns`` rounds, which share the windows of ids (n, SEEN) among them: each is learned from in one round."""
+        steps = -(-len(ids) // (turns * BATCH))
+        ids = ids[np.random.default_rng(seed).permutation(len(ids))[turn::turns]]
         known = (ids[:, CONTEXT + 1:] < N_IDS).astype(np.float32)
         slots = np.append(self.slot, np.int16(PAD))[np.minimum(ids, N_IDS)]
         inputs = np.where(ids == TEXT_HEAD, np.int16(BOS), slots)[:, :-1]
         targets = np.where(known > 0, slots[:, CONTEXT + 1:], 0)
         self.p = {k: state[k].copy() for k in self.p}
         m, v = ({k: state[f"{name} {k}"].copy() for k in self.p} for name in ("first", "second"))
-        order = np.random.default_rng([seed, epoch]).permutation(len(ids))
-        steps = -(-len(ids) // BATCH)
-        for step, at in enumerate(range(0, len(order), BATCH), epoch * steps + 1):
-            pick = order[at:at + BATCH]
-            rate = RATE * (1 - 0.9 * step / (epochs * steps))
+        for step, at in enumerate(range(0, len(ids), BATCH), turn * steps + 1):
+            pick = slice(at, at + BATCH)
+            rate = RATE * (1 - 0.9 * step / (turns * steps))
             for k, g in self.gradients(inputs[pick], targets[pick].astype(np.int64), known[pick]).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -432,14 +432,13 @@ def shaped_state(flat: np.ndarray, like: dict) -> dict:
 
 
 def trained(model: Model, gathered: DataFrame, shard_windows: int = SHARD) -> Model:
-    """The model, trained on all gathered windows: shards in parallel, averaged after every epoch."""
+    """The model, trained on all gathered windows: shards in parallel, averaged after every round."""
     spark = gathered.sparkSession
     windows = gathered.where("kind = 'window'")
     total = windows.agg(F.sum("order")).first()[0] or 0
     if not total:
         return model
     n_shards = max(1, round(total / shard_windows))
-    epochs = EPOCHS if n_shards > 1 else min(2 * EPOCHS, max(EPOCHS, -(-FEW_STEPS * BATCH // total)))
 
     def deal(batches):
         for batch in batches:
@@ -448,23 +447,23 @@ def trained(model: Model, gathered: DataFrame, shard_windows: int = SHARD) -> Mo
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int64()), "a": pa.array([r[1] for r in rows], pa.binary())})
 
     def joined_shard(t):
-        w = np.frombuffer(b"".join(t.column("a").to_pylist()), dtype=WINDOW)
+        w = np.frombuffer(b"".join(map(zlib.decompress, t.column("a").to_pylist())), dtype=WINDOW)
         # rows of one id have windows of one hash; their ids then decide, so that the order does not depend on partitions
         w = w[np.lexsort([*w["ids"].T[::-1], w["order"]])]
-        return pa.table({"shard": t.column("shard").slice(0, 1), "a": pa.array([np.ascontiguousarray(w["ids"]).tobytes()], pa.binary())})
+        return pa.table({"shard": t.column("shard").slice(0, 1), "a": pa.array([zlib.compress(np.ascontiguousarray(w["ids"]).tobytes(), 1)], pa.binary())})
 
-    shards = stage(windows.select("a").mapInArrow(deal, "shard long, a binary").repartition(max(1, n_shards // 4), "shard")
+    shards = stage(windows.select("a").mapInArrow(deal, "shard long, a binary").repartition(n_shards, "shard")
                    .groupBy("shard").applyInArrow(joined_shard, "shard long, a binary"))
     state = model.start()
-    for epoch in range(epochs):
+    for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model, state))
 
-        def learn(batches, epoch=epoch, sent=sent):
+        def learn(batches, turn=turn, sent=sent):
             total_, n = None, 0
             for batch in batches:
                 for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = np.frombuffer(blob, dtype=np.uint16).reshape(-1, SEEN)
-                    own = flat_state(sent.value[0].train(sent.value[1], ids, epoch, epochs, seed=shard)) * len(ids)
+                    ids = np.frombuffer(zlib.decompress(blob), dtype=np.uint16).reshape(-1, SEEN)
+                    own = flat_state(sent.value[0].train(sent.value[1], ids, turn, ROUNDS, seed=shard)) * len(ids)
                     total_, n = own if total_ is None else total_ + own, n + len(ids)
             if n:
                 parts = np.array_split(total_, PIECES)
@@ -489,9 +488,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     blocks = blocks_of(docs, key, text)
     size = docs.agg(F.sum(F.octet_length(quoted(text).cast("string")))).first()[0] or 0
     bits = max(4, int(size // BUCKET_BYTES).bit_length())
-    share = min(1.0, max(SHARE, SMALL_BYTES / max(1, size)))
     sent = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.string()), ("bucket", pa.int64()), ("order", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-    gathered = stage(each_block(blocks, lambda part, block, data: ((part, block, *x) for x in first_pass(data, bits, folds, path, share)), sent,
+    gathered = stage(each_block(blocks, lambda part, block, data: ((part, block, *x) for x in first_pass(data, bits, folds, path)), sent,
                                 "part int, block long, kind string, bucket long, `order` long, a binary, b binary"))
     reply = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary()),
                        *[(c, pa.int64()) for c in ("words", "distinct", "once", "twice")]])

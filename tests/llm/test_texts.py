@@ -220,6 +220,25 @@ def test_training_windows_grow_with_the_corpus():
     assert attention_lm.HIDDEN == 32
 
 
+def test_every_training_window_is_learned_from_once_on_every_size():
+    """No share and no number of passes that follow the size of the table or the number of shards."""
+    for n in (12, 400):
+        blob = packed(list(range(1, n + 1)), [words(i, 300).encode() for i in range(n)])
+        b = attention_lm.Block(blob, 10)
+        flat, bounds = b.stream(*attention_lm.subwords(b.words(), attention_lm.vocabulary_path()), np.flatnonzero(~b.held_out))
+        (sent,) = [r for r in attention_lm.first_pass(blob, 4, 10, attention_lm.vocabulary_path()) if r[0] == "window"]
+        assert sent[2] == len(attention_lm.window_index(bounds)[0])
+        for shards in (1, 3):
+            m, seen = small_model(), []
+            m.gradients = lambda x, t, known: seen.append(int(known.sum())) or {}
+            state, dealt = m.start(), list(attention_lm.dealt_windows(sent[3], shards))
+            for turn in range(attention_lm.ROUNDS):
+                for shard, part in dealt:
+                    w = np.frombuffer(zlib.decompress(part), dtype=attention_lm.WINDOW)
+                    m.train(state, w["ids"], turn, attention_lm.ROUNDS, seed=shard)
+            assert len(dealt) == shards and sum(seen) == len(flat)
+
+
 def test_averaged_shards_learn_and_do_not_follow_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 16 = 0")
     a, b = (attention_lm.scored(docs.repartition(n), shard_windows=128).orderBy("doc_id").collect() for n in (2, 5))
