@@ -137,3 +137,35 @@ def test_cut_buckets_are_split_again(spark):
     deep = split_by_hash(df, "row_id", quotas, F.col("s"), digits=1, bucket_rows=5)
     ids = lambda frame: sorted(r["row_id"] for r in frame.collect())
     assert ids(plain[0]) == ids(deep[0]) and len(ids(deep[0])) == 4017 and ids(plain[1]) == ids(deep[1])
+
+
+def test_texts_of_a_batch_are_counted_in_pieces(monkeypatch):
+    """Memory beside the batch is bounded; runs over the end of a piece count once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from decision_lens.functions import text
+    batch = pa.array(["one two. " * 800_000, "", "three"] * 3)
+    tracemalloc.start()
+    got = text.run_counts(batch).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:3] == [{"words": 1_600_000, "sentences": 800_000, "vowels": 1_600_000 + 800_000}, {"words": 0, "sentences": 0, "vowels": 0}, {"words": 1, "sentences": 0, "vowels": 1}]
+    assert batch.nbytes > 20 << 20 and peak < 16 << 20
+    monkeypatch.setattr(text, "PIECE_BYTES", 3)
+    odd = pa.array(["xx", "aaee  b", "b..!c", "", "éa a"])
+    assert [tuple(x.values()) for x in text.run_counts(odd).to_pylist()] == [(1, 0, 0), (2, 0, 1), (1, 1, 0), (0, 0, 0), (2, 0, 2)]
+
+
+def test_repair_holds_no_steps_of_long_strings():
+    """A long string is one token, taken without a state for each of its characters."""
+    import json
+    import resource
+
+    from decision_lens.functions import text
+    body = "word " * 2_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert text._balanced('{"a": "' + body)[1].endswith('"}')
+    assert json.loads(text._tidy('{"a": "' + body + '",}', False)) == {"a": body}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
