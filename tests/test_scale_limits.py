@@ -169,3 +169,14 @@ def test_repair_holds_no_steps_of_long_strings():
     assert text._balanced('{"a": "' + body)[1].endswith('"}')
     assert json.loads(text._tidy('{"a": "' + body + '",}', False)) == {"a": body}
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+
+
+def test_responses_are_parsed_only_for_metrics_of_texts(spark, monkeypatch):
+    from decision_lens.plans import explanation_data as data
+    found = data.predictions_for_grading(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(data, "predictions_for_grading", lambda *_: found)
+    parsed = []
+    monkeypatch.setattr(data.salvage, "salvage_responses", lambda df, f=data.salvage.salvage_responses: parsed.append(1) or f(df))
+    data.graded(spark, "/root/testdata/sf0.001", ["checklist"])
+    assert not parsed
+    assert "fidelity" in data.graded(spark, "/root/testdata/sf0.001", ["fidelity"]).columns and parsed
