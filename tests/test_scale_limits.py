@@ -180,3 +180,13 @@ def test_responses_are_parsed_only_for_metrics_of_texts(spark, monkeypatch):
     data.graded(spark, "/root/testdata/sf0.001", ["checklist"])
     assert not parsed
     assert "fidelity" in data.graded(spark, "/root/testdata/sf0.001", ["fidelity"]).columns and parsed
+
+
+def test_lower_case_is_made_once_a_row(spark):
+    from decision_lens.operators import metrics
+    df = spark.createDataFrame([("Your AGE and monthlyincome, DebtRatio",), (None,)], "consumer_text string").coalesce(1)
+    out = metrics.evaluate(df, ["regulatory", "immutable", "technical"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    first, empty = out.collect()
+    assert out.columns == ["consumer_text", "feature_name_matching", "immutable_mentions", "technical_mentions"]
+    assert first["technical_mentions"] == ["MonthlyIncome", "DebtRatio"] and first["immutable_mentions"][0]["term_found"] == "age" and not empty["immutable_mentions"]
