@@ -7,8 +7,9 @@ chunk alone is long enough). A chunk is removed if it also occurs in a document
 holds MIN_WORDS words or more: short phrases and notices stay. WORD_BYTES bytes count as a word at least, for texts without blanks. A
 text that is the same as a whole text with a smaller id goes whole, whatever its length.
 
-Only digests and ids are shuffled for the comparison, one row per document and digest. The digests that repeat come back to the
-documents, whose chunks are cut again, from the same bytes, to remove runs.
+Only digests and ids are shuffled for the comparison, one row per document and digest, once. Of a slice of texts only the least id
+asks about a digest: the others of the slice are known to repeat it and are dealt by id, so a digest that is in every text holds a
+row a slice. The digests that repeat come back to the documents, whose chunks are cut again, from the same bytes, to remove runs.
 
 Defined cases: null texts stay null, empty ones empty; rows with a null id neither lose nor take text; rows of one id are one
 document and do not take from each other; repeated rows change alike; an empty table gives an empty result.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from decision_lens.llm.textkit import SPACED, fresh, joined, map_texts, quoted, word_spans
 
@@ -94,6 +95,16 @@ def digests(texts: list[bytes | None]) -> list:
     return [[[*{digest(raw[x:y]): None for x, y in zip(b[:-1].tolist(), b[1:].tolist())}, *([whole_digest(t)] if t else [])] for t, b in zip(texts, bounds)]]
 
 
+def asked_and_known(texts: list[bytes | None], ids: list) -> list:
+    """Digests of each text that no smaller id of the list holds, and those that one does."""
+    every, least = digests(texts)[0], {}
+    for own, i in zip(every, ids):
+        for d in own:
+            if d not in least or i < least[d]:
+                least[d] = i
+    return [[[d for d in own if not least[d] < i] for own, i in zip(every, ids)], [[d for d in own if least[d] < i] for own, i in zip(every, ids)]]
+
+
 def removed(texts: list[bytes | None], known: list, min_words: int) -> list:
     """Rest of each text, its chunks, and the byte ranges that were removed (flat)."""
     data, bounds = chunks(texts)
@@ -138,11 +149,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     """Documents with the rest of their text, n_chunks and removed_spans (byte ranges of the text as it was, flat)."""
     keep = docs.columns if carry is None else [*dict.fromkeys([*carry, text])]
     slim = docs.where(quoted(key).isNotNull()).select(quoted(key).alias("id"), quoted(text).alias("body"))
-    pieces = map_texts(slim, "body", [T.StructField("digests", T.ArrayType(T.LongType()))], digests, drop_text=True)
-    pieces = pieces.select("id", F.explode("digests").alias("digest"))
-    first = pieces.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    plain = isinstance(slim.schema["id"].dataType, (T.IntegralType, T.StringType))  # Python orders these as Spark does
+    fields = [T.StructField(name, T.ArrayType(T.LongType())) for name in ("asked", "known")]
+    pieces = map_texts(slim, "body", fields, lambda texts, ids: asked_and_known(texts, ids if plain else [0] * len(ids)), drop_text=True, with_rows=("id",))
+    # a row that is known to repeat meets no other: its lot is its own
+    lots = F.array(F.struct(F.lit(0).cast("long").alias("lot"), F.col("asked").alias("digests")), F.struct(F.xxhash64("id").bitwiseOR(F.lit(1).cast("long")).alias("lot"), F.col("known").alias("digests")))
+    pieces = pieces.select("id", F.explode(lots).alias("of")).select("id", "of.lot", F.explode("of.digests").alias("digest"))
+    first = F.min("id").over(Window.partitionBy("digest", "lot"))
     inner, repeats, rest = (fresh(docs.columns, name) for name in ("id_", "repeats_", "rest_"))
-    again = pieces.join(first, "digest").where("first < id").groupBy(F.col("id").alias(inner)).agg(F.collect_set("digest").alias(repeats))
+    again = pieces.withColumn("first", first).where("lot <> 0 OR first < id").groupBy(F.col("id").alias(inner)).agg(F.collect_set("digest").alias(repeats))
     df = docs.join(again, quoted(key) == F.col(inner), "left").drop(inner)
     fields = [T.StructField(rest, T.StringType()), T.StructField("n_chunks", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.LongType()))]
     out = map_texts(df, text, fields, lambda texts, known: removed(texts, known, min_words), keep=keep, with_rows=(repeats,))

@@ -150,6 +150,22 @@ def test_passages_without_blanks_and_whole_texts(spark):
     assert long[25:65] not in out[1] and texts[1][:75] in out[1] and out[5] == ""
 
 
+def test_digests_travel_once_and_a_common_one_is_asked_once_a_slice(spark):
+    shared = words(500, 60)
+    rows = [(i, words(i, 60) + ". " + shared) for i in (5, 3, 9, 4)]
+    asked, known = chunk_dedup.asked_and_known([t.encode() for _, t in rows], [i for i, _ in rows])
+    both = [set(x) & set(chunk_dedup.digests([shared.encode()])[0][0]) for x in asked]
+    assert both[1] and not (both[0] or both[2] or both[3]) and known[1] == [] and all(known[i] for i in (0, 2, 3))
+    out = chunk_dedup.deduplicated(documents(spark, rows).repartition(3)).select("doc_id", "text")
+    assert {r["doc_id"]: shared[30:-30] in r["text"] for r in out.collect()} == {3: True, 4: False, 5: False, 9: False}
+    # once to cut and once to remove: no second reading and sending of the digests
+    plan = chunk_dedup.deduplicated(documents(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Window" in plan
+    # ids that Python may order in another way are left to Spark
+    named = chunk_dedup.deduplicated(documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("decimal(9,1)"))).select("doc_id", "text")
+    assert {int(r["doc_id"]): shared[30:-30] in r["text"] for r in named.collect()} == {3: True, 4: False, 5: False, 9: False}
+
+
 def test_chunks_on_odd_rows(spark):
     out = chunk_dedup.without_repeats(odd(spark).withColumn("n_chunks", F.lit("mine")))
     assert {r["n_chunks"] for r in out.collect()} == {"mine"}
