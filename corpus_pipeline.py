@@ -35,8 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with sampled piece ids, and the text that the ids decode to."""
-    ids = pieces.encoded(docs, drop_text=True)
-    return pieces.decoded(ids, text="text").select(*docs.columns, "ids")
+    return pieces.encoded(docs, drop_text=True, decoded="text").select(*docs.columns, "ids")
 
 
 STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("substring dedup", substring_dedup),

@@ -252,18 +252,24 @@ FIELDS = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, alpha: float = ALPHA, seed: int = SEED,
-            carry: list[str] | None = None, drop_text: bool = False) -> DataFrame:
-    """Documents with the piece ids of their texts."""
+            carry: list[str] | None = None, drop_text: bool = False, decoded: str | None = None) -> DataFrame:
+    """Documents with the piece ids of their texts and, under the name ``decoded``, what these ids spell.
+
+    Both are made by one Python worker a task: two of them, in turn, would hold two vocabularies.
+    """
     path = path or model_path()
     inner = fresh(docs.columns, "row_key_")
     keyed = docs.withColumn(inner, F.coalesce(quoted(key).cast("long"), F.lit(0)))
 
     def encode(texts, keys):
-        out = loaded(path, alpha).encode([(t or b"").decode() for t in texts], np.array(keys, dtype=np.int64).view(np.uint64), seed)
-        return [[None if t is None else x[:0] if not t else x for t, x in zip(texts, out)]]
+        vocabulary = loaded(path, alpha)
+        out = vocabulary.encode([(t or b"").decode() for t in texts], np.array(keys, dtype=np.int64).view(np.uint64), seed)
+        ids = [None if t is None else x[:0] if not t else x for t, x in zip(texts, out)]
+        return [ids] if decoded is None else [ids, [None if x is None else vocabulary.decode(x.tolist()) if len(x) else "" for x in ids]]
 
     keep = docs.columns if carry is None else carry
-    return map_texts(keyed, text, FIELDS, encode, keep=keep, with_rows=(inner,), drop_text=drop_text)
+    fields = FIELDS if decoded is None else [*FIELDS, T.StructField(decoded, T.StringType())]
+    return map_texts(keyed, text, fields, encode, keep=keep, with_rows=(inner,), drop_text=drop_text)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None, alpha: float = ALPHA) -> DataFrame:

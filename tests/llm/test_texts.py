@@ -65,6 +65,16 @@ def test_pieces_round_trip_and_repeat(spark):
     assert pieces.encoded(documents(spark, [])).count() == 0
 
 
+def test_ids_and_what_they_spell_come_from_one_worker(spark):
+    docs = odd(spark)
+    both = pieces.encoded(docs, decoded="decoded")
+    assert sorted(map(str, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, pieces.decoded(pieces.encoded(docs)).select("doc_id", "ids", "decoded").collect()))
+    out = corpus_pipeline.piece_ids(spark, docs.drop("ids"), "")
+    assert sorted(str(r["text"]) for r in out.collect()) == sorted(str(r["text"]) for r in docs.collect())
+    for df in (corpus_pipeline.piece_ids(spark, docs.drop("ids"), ""), entry_module.queries()["op3_sampled_pieces"](spark, SF)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_samples_follow_the_lattice():
     v = pieces.Vocabulary(pieces.model_path())
     text = "the"
