@@ -195,3 +195,23 @@ def test_ranks_need_no_shuffle(spark, rows):
     joined = percentile_map(rows, "row_id", MUTABLE_COLUMNS, table, broadcast_rows=0)
     key = lambda df: sorted((r["row_id"], *[r["percentiles"][c] for c in MUTABLE_COLUMNS]) for r in df.collect())
     assert key(ranked) == key(joined)
+
+
+def test_one_count_a_feature_serves_all_leaves(monkeypatch):
+    r = np.random.default_rng(8)
+    bins, y, m = r.integers(0, 16, (500, 3)).astype(np.uint8), r.integers(0, 2, 500).astype(float), r.normal(size=500)
+    tree = {"feature": [0, 1, -1, 2, -1, -1, -1], "bin": [7, 3, 0, 9, 0, 0, 0], "left": [1, 3, -1, 5, -1, -1, -1], "right": [2, 4, -1, 6, -1, -1, -1]}
+    x, z, v = bins.T.astype(int)
+    leaf = np.where(x > 7, 2, np.where(z > 3, 4, np.where(v <= 9, 5, 6)))
+    assert np.array_equal(boosting.descended(tree, bins), leaf) and len(boosting.descended(tree, bins[:0])) == 0
+    assert not boosting.descended({"feature": [-1], "bin": [0], "left": [-1], "right": [-1]}, bins).any()
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    out = boosting.sums_of(tree, [6, 2, 5], bins, y, np.ones(500), m, 16)
+    assert len(calls) == 9
+    p = 1 / (1 + np.exp(-m))
+    for i, n in enumerate((6, 2, 5)):
+        for f in range(3):
+            for j, w in enumerate((p - y, p * (1 - p), np.ones(500))):
+                assert np.array_equal(out[i, f, :, j], count(bins[leaf == n, f], w[leaf == n], minlength=16))
+    assert boosting.sums_of(tree, [6, 2], bins[:0], y[:0], y[:0], m[:0], 16).shape == (2, 3, 16, 3)
