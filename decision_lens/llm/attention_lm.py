@@ -201,7 +201,8 @@ def first_pass(blob, bits: int, folds: int, path: str):
     count[END] = int((~b.held_out).sum())
     seen = np.flatnonzero(count)
     yield "ids", -1, 0, seen.astype(np.int32).tobytes(), count[seen].tobytes()
-    yield "subwords", -1, 0, np.diff(at).astype(np.int32).tobytes() + ids.astype(np.uint16).tobytes(), b""
+    # staged and sent to the blocks once more, so they are worth packing
+    yield "subwords", -1, 0, zlib.compress(np.diff(at).astype(np.int32).tobytes() + ids.astype(np.uint16).tobytes(), 1), b""
     order, seen_ids = training_windows(b, ids, at)
     if len(order):
         out = np.zeros(len(order), dtype=WINDOW)
@@ -516,6 +517,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     def finish(part, block, data, found):
         b = Block(data, folds)
         (_, spelled), *own = sorted(found)
+        spelled = zlib.decompress(spelled)
         c = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(a, dtype=np.uint32).astype(np.int64) for _, a in own]])
         at = np.concatenate([[0], np.cumsum(np.frombuffer(spelled, dtype=np.int32, count=len(b.hash)))])
         ids = np.frombuffer(spelled, dtype=np.uint16, offset=4 * len(b.hash)).astype(np.int32)

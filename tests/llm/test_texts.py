@@ -249,6 +249,17 @@ def test_every_training_window_is_learned_from_once_on_every_size():
             assert len(dealt) == shards and sum(seen) == len(flat)
 
 
+def test_spellings_are_staged_and_sent_packed():
+    blob, path = packed([1, 2], [words(i, 3000).encode() for i in (1, 2)]), attention_lm.vocabulary_path()
+    (sent,) = [r for r in attention_lm.first_pass(blob, 4, 10, path) if r[0] == "subwords"]
+    b = attention_lm.Block(blob, 10)
+    ids, at = attention_lm.subwords(b.words(), path)
+    raw = zlib.decompress(sent[3])
+    n = len(b.hash)
+    assert len(sent[3]) < 0.7 * len(raw)
+    assert np.array_equal(np.frombuffer(raw, dtype=np.int32, count=n), np.diff(at)) and np.array_equal(np.frombuffer(raw, dtype=np.uint16, offset=4 * n), ids)
+
+
 def test_averaged_shards_learn_and_do_not_follow_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 16 = 0")
     a, b = (attention_lm.scored(docs.repartition(n), shard_windows=128).orderBy("doc_id").collect() for n in (2, 5))
