@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from decision_lens.llm.graph import components
-from decision_lens.llm.textkit import LOWER, SPACED, fresh, joined, map_texts, mixed, ngram_hashes, quoted, word_hashes, word_spans
+from decision_lens.llm.textkit import LOWER, SPACED, fresh, give_back, joined, map_texts, mixed, ngram_hashes, quoted, word_hashes, word_spans
 from decision_lens.session import stage
 
 SLOTS, ROWS = 128, 4
@@ -227,6 +227,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
+        b = x = y = None
+        give_back()
 
     held = (pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("e_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("elements").alias("e_b")), "b"))

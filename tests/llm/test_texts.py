@@ -2,16 +2,18 @@
 
 import gzip
 import hashlib
+import os
 import random
+import sys
 import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from decision_lens.llm import attention_lm, chat, pieces, quality_cnn, suffix_dedup, warc
+from decision_lens.llm import attention_lm, chat, pieces, quality_cnn, suffix_dedup, textkit, warc
 from decision_lens.llm.blocks import packed
 from support import LONG, documents, odd, words
 from test_words import classes, spans_of
@@ -463,3 +465,18 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(left[i] == t for i, t in good)
     run = {(r["doc_id"], r["text"], tuple(r["ids"])) for r in entry_module.queries()["pipeline"](spark, str(tmp_path)).collect()}
     assert run == {(r["doc_id"], r["text"], tuple(r["ids"])) for r in d.collect()}
+
+
+def test_waiting_workers_hold_no_freed_memory(spark):
+    def held(pid):
+        return sum(int(x.split()[1]) for x in open(f"/proc/{pid}/smaps_rollup") if x.startswith("Pss_Anon:")) / 1024
+
+    def many_arrays(texts):
+        arrays = [np.ones(8000) for _ in range(4000)]
+        sys.kept_array = arrays[-1]  # lies above the freed ones
+        at = held(os.getpid())
+        return [[os.getpid()] * len(texts), [at] * len(texts)]
+
+    fields = [T.StructField("pid", T.LongType()), T.StructField("mb", T.DoubleType())]
+    row = textkit.map_texts(documents(spark, [(1, "one")]).coalesce(1), "text", fields, many_arrays).collect()[0]
+    assert row["mb"] > 250 and held(row["pid"]) < row["mb"] - 200
