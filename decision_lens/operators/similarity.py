@@ -33,6 +33,8 @@ GROUP = ["grouping", "llm_name", "outcome"]
 ANY = "*"
 HOT_ROWS = 4096
 BLOCK_ROWS = 1024
+STRIP_ROWS = 128
+MERGED_VALUES = 100_000
 BINS = 4096
 RANKED_VALUES = 100_000
 
@@ -191,7 +193,7 @@ def cluster_moments(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 # --- order statistics -------------------------------------------------------------------
 def _bin(v: np.ndarray, low: float, width: float) -> np.ndarray:
-    return np.clip(np.floor((v - low) / width * BINS), 0, BINS - 1).astype(np.int64)
+    return np.clip((v - low) / width * BINS, 0, BINS - 1).astype(np.int64)
 
 
 def _next(path: tuple) -> tuple[float, float]:
@@ -242,28 +244,51 @@ class _Block:
         return False
 
 
-def _classes(a: _Block, b: _Block, wanted: list[str]):
-    same = a.p[:, None] == b.p[None, :]
-    placed, cluster = (a.c[:, None] >= 0) & (b.c[None, :] >= 0), a.c[:, None] == b.c[None, :]
-    masks = {"same_instance": lambda: same & (a.r[:, None] != b.r[None, :]),
-             "intra_cluster": lambda: ~same & placed & cluster, "inter_cluster": lambda: ~same & placed & ~cluster,
-             "random_baseline": lambda: np.ones_like(same)}
-    return [(c, masks[c]()) for c in wanted]
+def _classes(a: _Block, b: _Block, wanted: list[str], rows: slice):
+    """Each class with its pairs of the given rows of a block and those of another, one class at a time; None is all of them."""
+    p, r, c = (x[rows, None] for x in (a.p, a.r, a.c))
+    same = p == b.p
+    masks = {"same_instance": lambda: same & (r != b.r),
+             "intra_cluster": lambda: ~same & (c >= 0) & (c == b.c), "inter_cluster": lambda: ~same & (c >= 0) & (b.c >= 0) & (c != b.c),
+             "random_baseline": lambda: None}
+    return ((name, masks[name]()) for name in wanted)
+
+
+def _inside(v: np.ndarray, path: tuple) -> np.ndarray:
+    """The values that fall into the chosen bin of every step of a path."""
+    if path:
+        start, width = _next(path)
+        v = v[(v >= start - 1e-9) & (v <= start + width + 1e-9)]  # few are left to be told apart exactly
+        for low, width, chosen in path:
+            v = v[_bin(v, low, width) == chosen]
+    return v
 
 
 class _Counts:
-    """Counts per value bin (or per value inside the last bin) of every view, key, class and target, added up over block pairs."""
+    """Counts per value bin (or per value inside the last bin) of every view, key, class and target, added up over block pairs.
+
+    Counts by bin are arrays of BINS, whatever the number of pairs. Values are those inside a bin that holds few, and
+    are added up again when many have come together.
+    """
 
     def __init__(self, wanted: list[str], values: bool):
         self.wanted, self.values = wanted, values
         self.found: dict[tuple, list] = {}
 
     def add(self, a: _Block, b: _Block) -> None:
-        dots = np.clip(a.u @ b.u.T, -1.0, 1.0)
-        upper = np.triu(np.ones_like(dots, dtype=bool), 1) if a.idx == b.idx else None
+        for first in range(0, len(a.u), STRIP_ROWS):
+            self.add_strip(a, b, first, min(first + STRIP_ROWS, len(a.u)))
+
+    def add_strip(self, a: _Block, b: _Block, first: int, last: int) -> None:
+        """Pairs of the rows [first, last) of a block with those of another."""
+        dots = np.clip(a.u[first:last] @ b.u.T, -1.0, 1.0)
+        upper = np.arange(first, last)[:, None] < np.arange(len(b.u)) if a.idx == b.idx else None
         views = a.views(b)
-        for name, mask in _classes(a, b, self.wanted):
-            found = dots[mask if upper is None else mask & upper]
+        for name, mask in _classes(a, b, self.wanted, slice(first, last)):
+            if mask is None:
+                found = dots.ravel() if upper is None else dots[upper]
+            else:
+                found = dots[mask if upper is None else mask & upper]
             if not len(found):
                 continue
             ends, counted = (float(found.min()), float(found.max())), {}
@@ -273,30 +298,50 @@ class _Counts:
                     if path is None:
                         continue
                     if path not in counted:
-                        inside = found
-                        for low, width, chosen in path:
-                            inside = inside[_bin(inside, low, width) == chosen]
-                        counted[path] = np.unique(inside if self.values else _bin(inside, *_next(path)), return_counts=True)
-                    at, n = counted[path]
-                    if len(at):
-                        kept = self.found.setdefault((v, a.ks[v], name, target), [[], [], 1.0, -1.0])
-                        kept[0].append(at)
-                        kept[1].append(n)
-                        kept[2], kept[3] = min(kept[2], ends[0]), max(kept[3], ends[1])
+                        inside = _inside(found, path)
+                        counted[path] = np.unique(inside, return_counts=True) if self.values else (
+                            np.bincount(_bin(inside, *_next(path)), minlength=BINS) if len(inside) else inside)
+                    self.keep((v, a.ks[v], name, target), counted[path], *ends)
+
+    def keep(self, key: tuple, counted, low: float, high: float) -> None:
+        if not len(counted[0] if self.values else counted):
+            return
+        if key not in self.found:
+            self.found[key] = [[], [], 0, low, high] if self.values else [np.zeros(BINS, dtype=np.int64), low, high]
+        kept = self.found[key]
+        kept[-2:] = min(kept[-2], low), max(kept[-1], high)
+        if not self.values:
+            kept[0] += counted
+            return
+        kept[0].append(counted[0])
+        kept[1].append(counted[1])
+        kept[2] += len(counted[0])
+        if kept[2] > MERGED_VALUES:
+            at, n = _summed(kept[0], kept[1])
+            kept[:3] = [at], [n], 0
 
     def table(self) -> pa.Table:
         made = []
-        for (v, k, name, target), (at, n, low, high) in self.found.items():
-            places, where = np.unique(np.concatenate(at), return_inverse=True)
-            sums = np.bincount(where, np.concatenate(n)).astype(np.int64)
+        for (v, k, name, target), kept in self.found.items():
+            if self.values:
+                places, sums = _summed(kept[0], kept[1])
+            else:
+                places = np.flatnonzero(kept[0])
+                sums = kept[0][places]
             m = len(places)
             made.append(pa.Table.from_arrays([
                 pa.array([v] * m, pa.int32()), pa.array([k] * m, pa.string()), pa.array([name] * m, pa.string()), pa.array([target] * m, pa.int32()),
                 pa.array(np.zeros(m, np.int32) if self.values else places.astype(np.int32)), pa.array(sums),
-                pa.array(places if self.values else np.full(m, low)), pa.array(places if self.values else np.full(m, high))], schema=COUNTS))
+                pa.array(places if self.values else np.full(m, kept[-2])), pa.array(places if self.values else np.full(m, kept[-1]))], schema=COUNTS))
         return pa.concat_tables(made) if made else COUNTS.empty_table()
 
 
+def _summed(at: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the sums of their counts."""
+    places, where = np.unique(np.concatenate(at), return_inverse=True)
+    return places, np.bincount(where, np.concatenate(n)).astype(np.int64)
+
+
 COUNTS = pa.schema([("view", pa.int32()), ("k", pa.string()), ("pair_class", pa.string()), ("target", pa.int32()), ("bin", pa.int32()), ("n", pa.int64()),
                     ("lo", pa.float64()), ("hi", pa.float64())])
 COUNTS_DDL = "view int, k string, pair_class string, target int, bin int, n long, lo double, hi double"
@@ -306,7 +351,9 @@ BLOCK_DDL = "n int, data binary, p binary, r binary, c binary, centre binary, ra
 def _tile(table: pa.Table, wanted: list[str], values: bool) -> pa.Table:
     """One grid cell: all block pairs between two tiles that can still matter, in turn."""
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    rows = [_Block(r) for r in table.to_pylist()]
+    held = [c for c, t in zip(table.column_names, table.schema.types) if pa.types.is_binary(t)]
+    # binary values are read where they lie
+    rows = [_Block(r | dict(zip(held, (x.as_buffer() for x in own)))) for r, own in zip(table.drop_columns(held).to_pylist(), zip(*(table.column(c) for c in held)))]
     tiles = table.column("tile").to_pylist()
     first, second = ([b for b, t in zip(rows, tiles) if t == x] for x in (i, j))
     counts = _Counts(wanted, values)

@@ -1,7 +1,9 @@
 """Pair statistics by both routes against brute force over all pairs."""
 
 import itertools
+import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -77,6 +79,41 @@ def test_pair_stats(spark, hot, block, ranked):
         assert (r["median"], r["min"], r["max"]) == (pytest.approx((np.median(v), min(v), max(v)), abs=1e-12) if v else (None, None, None))
 
 
+def block(seed, idx, n=1024, paths=None):
+    u = np.random.default_rng(seed).normal(size=(n, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    numbers = {"p": np.arange(n) // 6 + n * idx, "r": np.arange(n) % 3, "c": np.arange(n) % 5 - 1}
+    return S._Block({"n": n, "home": "{}", "idx": idx, "ks": ["{}", "{}"], "data": u.tobytes(), "centre": u.mean(axis=0).tobytes(), "radius": 1.0, "paths": paths,
+                     **{c: x.astype(np.int64).tobytes() for c, x in numbers.items()}})
+
+
+@pytest.mark.parametrize("values", [False, True])
+def test_counts_of_blocks_take_bounded_memory(values):
+    chosen = json.dumps([{"view": v, "pair_class": c, "target": t, "path": [{"low": -1.0, "width": 2.0, "chosen": 2048 + t}]}
+                         for v in (0, 1) for c in ("random_baseline", "intra_cluster") for t in (0, 1)])
+    a, b = block(1, 0, paths=chosen if values else None), block(2, 1, paths=chosen if values else None)
+    dots, intra = a.u @ b.u.T, (a.c[:, None] >= 0) & (a.c[:, None] == b.c)
+    counts = S._Counts(["random_baseline", "intra_cluster"], values)
+    tracemalloc.start()
+    for _ in range(3):
+        counts.add(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    if not values:
+        assert all(sum(x.nbytes for x in kept if isinstance(x, np.ndarray)) <= 8 * S.BINS for kept in counts.found.values())
+    table = counts.table().to_pandas()
+    for name, v in (("random_baseline", dots.ravel()), ("intra_cluster", dots[intra])):
+        own = table[(table["pair_class"] == name) & (table["view"] == 1) & (table["target"] == 1)].sort_values(["bin", "lo"])
+        bins = np.floor((v + 1) / 2 * 4096).astype(int)
+        if values:
+            assert own["n"].sum() == 3 * (bins == 2049).sum() and np.allclose(np.repeat(own["lo"], own["n"] // 3), np.sort(v[bins == 2049]), atol=1e-15)
+        else:
+            want = np.bincount(bins, minlength=4096) * 3
+            assert own["bin"].tolist() == np.flatnonzero(want).tolist() and own["n"].tolist() == want[want > 0].tolist()
+            assert own["lo"].iloc[0] == pytest.approx(v.min(), abs=1e-15) and own["hi"].iloc[0] == pytest.approx(v.max(), abs=1e-15)
+
+
 def test_hierarchy_and_consistency(spark):
     stats = spark.createDataFrame([("overall", "*", "*", c, 5, m, s) for c, m, s in (
         ("same_instance", 0.9, 0.1), ("intra_cluster", 0.8, 0.1), ("inter_cluster", 0.5, 0.1), ("random_baseline", 0.4, 0.2))],
