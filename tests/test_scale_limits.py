@@ -190,3 +190,13 @@ def test_lower_case_is_made_once_a_row(spark):
     first, empty = out.collect()
     assert out.columns == ["consumer_text", "feature_name_matching", "immutable_mentions", "technical_mentions"]
     assert first["technical_mentions"] == ["MonthlyIncome", "DebtRatio"] and first["immutable_mentions"][0]["term_found"] == "age" and not empty["immutable_mentions"]
+
+
+def test_only_predictions_with_explanations_are_searched(spark):
+    from decision_lens.plans import explanation_data as data, models
+    sf = "/root/testdata/sf0.001"
+    asked = {r["prediction_id"] for r in data.explanations(spark, sf).select("prediction_id").collect()}
+    every = {r["prediction_id"]: r["counterfactuals"] for r in models.explained(spark, sf).collect()}
+    found = {r["prediction_id"]: r["counterfactuals"] for r in data.predictions_for_grading(spark, sf).collect()}
+    assert set(found) == asked & set(every) and len(found) < len(every)
+    assert all(every[k] == v for k, v in found.items())  # grid and percentiles are those of all applicants
