@@ -436,6 +436,37 @@ def test_suffix_sort_and_its_correction():
     assert [data[i:i + 50].tobytes() for i in starts[fixed]] == [data[i:i + 50].tobytes() for i in starts[order]]
 
 
+def test_a_merge_compares_each_pair_of_suffixes_once():
+    class Counted(suffix_dedup.Suffixes):
+        compared = 0
+
+        def common(self, a, b):
+            self.compared += len(a)
+            return super().common(a, b)
+
+    r = np.random.default_rng(2)
+    sort = Counted(r.integers(97, 99, 4000).astype(np.uint8), 50)
+    starts = r.permutation(3900)
+    order = sort.sort(starts, np.arange(3900) // 2)
+    assert sort.compared == 1950 and sorted(order.tolist()) == list(range(3900))
+    text = [sort.data[i:i + 50].tobytes() for i in starts[order]]
+    assert all(a <= b for a, b in zip(text[::2], text[1::2]))
+
+
+def test_anchors_do_not_follow_the_place_in_a_block():
+    """The least hash of every string, also where the search for them is cut into steps."""
+    text = words(3, 9000).encode()
+    size = suffix_dedup.STEP
+    assert len(text) > size + 2000
+    for ahead in (0, 49, size - 1000, 2 * size - 60):
+        a = suffix_dedup.Anchors(packed([1, 2, 3], [b"x" * ahead, text, b"y" * 30]))
+        own = a.doc == 1
+        if not ahead:
+            want, hashes = a.place[own], a.hash[own]
+        assert np.array_equal(a.place[own] - ahead, want) and np.array_equal(a.hash[own], hashes)
+    assert np.diff(want).max() <= suffix_dedup.REACH + 1 and want[0] <= suffix_dedup.REACH
+
+
 def test_pipeline_stages(spark, tmp_path):
     shared = words(500, 60)
     item = words(800, 25)
