@@ -1,9 +1,11 @@
 """Language-model scoring: a causal self-attention model in numpy on subword ids, beside a word-count base.
 
-Texts are packed into blocks of bounded size, written once. A first pass over the blocks sends, to buckets by word hash, the
-distinct words of each block with their training counts; counts of subword ids over all training texts; and all of
-the block's training windows. Buckets add the counts of a word over all blocks and answer every block
-that asked for it, so word counts are never gathered on the driver or broadcast: they grow with the corpus.
+Texts are taken in blocks of bounded size and spelled: a block is staged once, as the subword ids of its distinct words and its texts'
+sequences of these words, beside its number of training windows and its training counts of subword ids. Bytes and hashes of words follow
+from their ids, so neither text nor hashes are staged. The distinct words of each block go to buckets by word hash with their training
+counts. Buckets add the counts of a word over all blocks and answer every block that asked for it, so word counts are never gathered on the
+driver or broadcast: they grow with the corpus. When the slots are known, blocks send all their training windows to shards, as packed
+slots; shards are staged so, once.
 
 Network: each subword id has a slot, its own if it is one of the most frequent ids of the training texts, else a shared tail
 slot, within which ids are weighted by their training counts. Ids that begin a word and ids that go on with one have slots of
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from decision_lens.llm.blocks import ANSWERED_DDL, NO_ID, blocks_of, each_block, each_block_with, each_bucket, unpacked
+from decision_lens.llm.blocks import ANSWERED, ANSWERED_DDL, NO_ID, SENT, SENT_DDL, blocks_of, each_block, each_block_with, each_bucket, restored, squeezed, table_of, unpacked
 from decision_lens.llm.suffix_dedup import bucket_of, runs
 from decision_lens.llm.textkit import LOWER, SPACED, mixed, quoted, word_hashes, word_spans
 from decision_lens.session import stage
@@ -52,6 +54,7 @@ TAIL_BEGIN, TAIL_ON, BOS, PAD = BEGIN - 1, SLOTS - 1, SLOTS, SLOTS + 1
 STRIDE, CONTEXT = 24, 8
 WIDTH, HIDDEN = 16, 32
 SHARD = 65_536
+DEALT = 1 << 17  # windows that a task deals to shards at a time
 ROUNDS, BATCH, RATE = 4, 64, 0.02
 SEEN = CONTEXT + 1 + STRIDE
 NO_PLACE, TEXT_HEAD = 65_535, 65_534  # in windows: a place outside the text, and the one before its first id
@@ -119,17 +122,26 @@ class Block:
         first = np.searchsorted(starts, inner)
         crossing = inner[(first > 0) & (ends[np.maximum(first - 1, 0)] > inner)] if len(starts) else inner[:0]
         if len(crossing):
-            starts = np.unique(np.concatenate([starts, crossing]))
-            ends = np.unique(np.concatenate([ends, crossing]))
+            crossing = crossing[np.concatenate([[True], crossing[1:] != crossing[:-1]])]
+            starts = np.insert(starts, np.searchsorted(starts, crossing), crossing)
+            ends = np.insert(ends, np.searchsorted(ends, crossing), crossing)
         self.raw = low.tobytes()
         self.hash, one, self.word = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
         self.spans = list(zip(starts[one].tolist(), ends[one].tolist()))
         doc = np.searchsorted(self.bounds, starts, side="right") - 1
         self.n_words = np.bincount(doc, minlength=len(self.ids))
+        self.count(folds)
+
+    def count(self, folds: int) -> None:
+        """Training counts of the distinct words."""
         rest = np.array([0 if i == NO_ID else zlib.crc32(str(i).encode()) % folds for i in self.ids.tolist()], dtype=np.int64)
         self.held_out = rest == 0
-        self.doc = doc
-        self.trained = np.bincount(self.word, weights=~self.held_out[doc], minlength=len(self.hash)).astype(np.int64) if len(doc) else np.zeros(0, dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.n_words)
+        self.trained = np.bincount(self.word, weights=~self.held_out[self.doc], minlength=self.n_distinct).astype(np.int64)
+
+    @property
+    def n_distinct(self) -> int:
+        return len(self.hash)
 
     def words(self) -> list[bytes]:
         return [self.raw[a:b] for a, b in self.spans]
@@ -143,7 +155,7 @@ class Block:
             own = np.concatenate([own[:0], *[own[first[d]:first[d + 1]] for d in docs.tolist()]])
             n_words = n_words[docs]
         last = np.cumsum(n_words)
-        word = np.insert(own, last, len(self.hash))
+        word = np.insert(own, last, self.n_distinct)
         size = np.diff(at)[word]
         total = np.cumsum(size)
         flat = ids[np.repeat(at[word] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
@@ -151,6 +163,57 @@ class Block:
         return flat, np.concatenate([[0], ends]).astype(np.int64)
 
 
+class Spelled(Block):
+    """A block of texts by the subword ids of its distinct words, ``sub`` and ``at``; its bytes follow from these."""
+
+    def __init__(self, blob, folds: int, path: str):
+        raw, self.path = restored(blob), path
+        n, distinct, n_words, n_sub = np.frombuffer(raw, dtype=np.int64, count=4).tolist()
+        form = [("ids", np.int64, n), ("n_words", np.int64, n), ("size", np.int32, distinct), ("sub", np.uint16, n_sub), ("word", word_type(distinct), n_words)]
+        place = 32
+        for name, kind, count in form:
+            setattr(self, name, np.frombuffer(raw, dtype=kind, count=count, offset=place))
+            place += count * np.dtype(kind).itemsize
+        self.sub, self.word = self.sub.astype(np.int32), self.word.astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.count(folds)
+
+    @property
+    def n_distinct(self) -> int:
+        return len(self.size)
+
+    @property
+    def hash(self) -> np.ndarray:
+        """Hashes of the distinct words, from the bytes of their subwords."""
+        text, edge = id_bytes(self.path)
+        length = np.diff(edge)[self.sub]
+        end = np.cumsum(length)
+        data = text[np.repeat(edge[self.sub] - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.concatenate([[0], end])[self.at]
+        # after the blank
+        return word_hashes(data, bounds[:-1] + 1, bounds[1:])
+
+
+def word_type(distinct: int):
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
+
+
+def spelled(b: Block, ids: np.ndarray, at: np.ndarray) -> bytes:
+    head = np.array([len(b.ids), b.n_distinct, len(b.word), len(ids)], dtype=np.int64)
+    return squeezed(b"".join(x.tobytes() for x in (head, b.ids, b.n_words.astype(np.int64), np.diff(at).astype(np.int32), ids.astype(np.uint16),
+                                                   b.word.astype(word_type(b.n_distinct)))))
+
+
+def id_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids, one after the other, and where each id's start (and the end)."""
+    key = path, "bytes"
+    if key not in _CODERS:
+        enc = coder(path)
+        parts = [enc.decode_single_token_bytes(i) for i in range(N_IDS - 1)]
+        _CODERS[key] = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum([0, *map(len, parts)])
+    return _CODERS[key]
+
+
 def window_index(bounds: np.ndarray):
     """Text and first target of every window."""
     n = -(-np.diff(bounds) // STRIDE)
@@ -179,29 +242,44 @@ def training_windows(b: Block, ids: np.ndarray, at: np.ndarray, share: float = 1
 WINDOW = np.dtype([("order", "<u8"), ("ids", "<u2", (SEEN,))])
 
 
-def dealt_windows(blob, n_shards: int):
-    """(shard, windows) of the windows of a block, both compressed."""
-    w = np.frombuffer(zlib.decompress(blob), dtype=WINDOW)
-    shard = (mixed(w["order"] + np.uint64(1)) % np.uint64(n_shards)).astype(np.int64)
+def dealt(order: np.ndarray, n_shards: int):
+    """(shard, places) of windows by their hashes."""
+    shard = (mixed(order + np.uint64(1)) % np.uint64(n_shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
     cut = runs(shard[by])
     for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield int(shard[by[x]]), zlib.compress(w[by[x:y]].tobytes(), 1)
+        yield int(shard[by[x]]), by[x:y]
+
+
+def dealt_windows(blob, n_shards: int):
+    """(shard, windows) of the windows that ``first_pass`` gives, both compressed."""
+    w = np.frombuffer(zlib.decompress(blob), dtype=WINDOW)
+    for shard, own in dealt(w["order"], n_shards):
+        yield shard, zlib.compress(w[own].tobytes(), 1)
+
+
+def packed_slots(slots: np.ndarray) -> bytes:
+    """Windows of slots, compressed: the lower 8 bits of each, then the others, bit by bit."""
+    flat = slots.ravel()
+    return squeezed(b"".join([flat.astype(np.uint8).tobytes(), np.packbits((flat >> 8 & 1).astype(bool)).tobytes(), np.packbits((flat >> 9).astype(bool)).tobytes()]))
+
+
+def unpacked_slots(blob, n: int) -> np.ndarray:
+    size = n * SEEN
+    raw = np.frombuffer(restored(blob), dtype=np.uint8)
+    high, highest = (np.unpackbits(x, count=size).astype(np.int16) for x in (raw[size:size + (size + 7) // 8], raw[size + (size + 7) // 8:]))
+    return (raw[:size] + (high << 8) + (highest << 9)).reshape(n, SEEN)
 
 
 def first_pass(blob, bits: int, folds: int, path: str):
-    """Rows (kind, bucket, order, a, b) of a block: words, subword counts, training windows with their number, totals."""
+    """All that one block gives, as rows (kind, bucket, order, a, b): words, subword counts, spellings, training windows with their number.
+
+    For a look at a single block; ``scored`` takes the same parts in turn, from the spelled block.
+    """
     b = Block(blob, folds)
-    buckets = bucket_of(b.hash, bits)
-    cut = runs(buckets)
-    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield "words", int(buckets[x]), 0, b.hash[x:y].tobytes(), b.trained[x:y].astype(np.uint32).tobytes()
+    yield from (("words", bucket, 0, words, counts) for bucket, words, counts in word_rows(b, bits))
     ids, at = subwords(b.words(), path)
-    count = np.bincount(ids, weights=np.repeat(b.trained, np.diff(at)), minlength=N_IDS).astype(np.int64)
-    count[END] = int((~b.held_out).sum())
-    seen = np.flatnonzero(count)
-    yield "ids", -1, 0, seen.astype(np.int32).tobytes(), count[seen].tobytes()
-    # staged and sent to the blocks once more, so they are worth packing
+    yield "ids", -1, 0, id_counts(b, ids, at), b""
     yield "subwords", -1, 0, zlib.compress(np.diff(at).astype(np.int32).tobytes() + ids.astype(np.uint16).tobytes(), 1), b""
     order, seen_ids = training_windows(b, ids, at)
     if len(order):
@@ -210,19 +288,55 @@ def first_pass(blob, bits: int, folds: int, path: str):
         yield "window", -1, len(order), zlib.compress(out.tobytes(), 1), b""
 
 
+def spelled_block(blob, folds: int, path: str) -> tuple[bytes, int, bytes]:
+    """(spelled block, number of its training windows, training counts of subword ids)."""
+    b = Block(blob, folds)
+    ids, at = subwords(b.words(), path)
+    n_ids = np.bincount(b.doc, weights=np.diff(at)[b.word], minlength=len(b.ids)) + 1
+    return spelled(b, ids, at), int(np.ceil(n_ids[~b.held_out] / STRIDE).sum()), id_counts(b, ids, at)
+
+
+def id_counts(b: Block, ids: np.ndarray, at: np.ndarray) -> bytes:
+    count = np.bincount(ids, weights=np.repeat(b.trained, np.diff(at)), minlength=N_IDS).astype(np.int64)
+    count[END] = int((~b.held_out).sum())
+    seen = np.flatnonzero(count)
+    return squeezed(seen.astype(np.int32).tobytes() + count[seen].tobytes())
+
+
+def word_rows(b: Block, bits: int):
+    """(bucket, hashes, training counts) of a block's distinct words, both packed: hashes as differences, byte by byte."""
+    h = b.hash
+    buckets = bucket_of(h, bits)
+    cut = runs(buckets)
+    gap = np.diff(h, prepend=np.uint64(0))
+    gap[cut[:-1]] = h[cut[:-1]]
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(buckets[x]), squeezed(gap[x:y].view(np.uint8).reshape(-1, 8).T.tobytes()), squeezed(b.trained[x:y].astype(np.uint32).tobytes())
+
+
+def hashes_of(blob) -> np.ndarray:
+    gap = np.frombuffer(restored(blob), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(gap.T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
 def totals_of(rows):
     """Training counts of a bucket's words for each block that holds them; then a row without a block: words, distinct ones, seen once, twice."""
-    hashes = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
-    counts = np.concatenate([np.frombuffer(r[3], dtype=np.uint32) for r in rows]).astype(np.int64)
+    hashes = [hashes_of(r[2]) for r in rows]
+    counts = np.concatenate([np.frombuffer(restored(r[3]), dtype=np.uint32) for r in rows]).astype(np.int64)
     distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
     first = 0
     for r, h in zip(rows, hashes):
-        yield r[0], r[1], total[which[first:first + len(h)]].astype(np.uint32).tobytes(), 0, 0, 0, 0
+        yield r[0], r[1], squeezed(total[which[first:first + len(h)]].astype(np.uint32).tobytes()), 0, 0, 0, 0
         first += len(h)
     yield None, None, b"", int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())
 
 
+def added(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product: short rows are slow to reduce."""
+    return x @ np.ones(x.shape[-1], dtype=x.dtype)
+
+
 class Model:
     """Slots by training counts, and a network over them."""
 
@@ -250,23 +364,23 @@ class Model:
     def forward(self, x_ids: np.ndarray):
         """Hidden values of the targets' places of windows of input slots (n, CONTEXT + STRIDE)."""
         p = self.p
-        x = p["embed"][x_ids]
-        kvq = x.reshape(-1, WIDTH) @ np.hstack([p["key"], p["value"], p["query"] / np.float32(WIDTH ** 0.5)])
-        k, v = (np.ascontiguousarray(kvq[:, i * WIDTH:(i + 1) * WIDTH]).reshape(x.shape) for i in (0, 1))
-        own = np.ascontiguousarray(x[:, CONTEXT:])
-        q = np.ascontiguousarray(kvq[:, 2 * WIDTH:].reshape(x.shape)[:, CONTEXT:])
+        # one product a slot, not a place
+        own_ids = x_ids[:, CONTEXT:]
+        own = p["embed"].take(own_ids, axis=0)
+        k, v = ((p["embed"] @ p[name]).take(x_ids, axis=0) for name in ("key", "value"))
+        q = (p["embed"] @ (p["query"] / np.float32(WIDTH ** 0.5))).take(own_ids, axis=0)
         s = q @ k.transpose(0, 2, 1)
         s += np.where(self.ahead, np.float32(-1e9), p["near"][self.reach])
         padded = np.flatnonzero((x_ids[:, :CONTEXT + 1] == PAD).any(axis=1))
         s[padded] += np.where(x_ids[padded] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
         np.minimum(s, np.float32(60), out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s /= added(s)[..., None]
         z = (own + s @ v).reshape(-1, WIDTH)
         h = z @ p["hidden"]
         h += p["hidden_base"]
         np.maximum(h, 0, out=h)
-        return x, k, v, own, q, s, z, h
+        return k, v, q, s, z, h
 
     def log_probability(self, x_ids: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of the target slots, and of any slot that begins a word, (n * STRIDE)."""
@@ -281,7 +395,7 @@ class Model:
         lg += self.p["group_base"]
         own = lg[rows, g]
         np.exp(lg, out=lg)
-        begin, all_ = np.log(lg[:, :GROUPS // 2].sum(axis=1)), np.log(lg.sum(axis=1))
+        begin, all_ = np.log(added(lg[:, :GROUPS // 2])), np.log(added(lg))
         cut = np.searchsorted(g, np.arange(GROUPS + 1))
         lm = np.empty((len(t), MEMBERS), dtype=np.float32)
         for i in range(GROUPS):
@@ -290,78 +404,108 @@ class Model:
             lm[part] += self.p["member_base"][i]
         own += lm[rows, m]
         np.exp(lm, out=lm)
-        own -= all_ + np.log(lm.sum(axis=1))
+        own -= all_ + np.log(added(lm))
         out, first = np.empty_like(own), np.empty_like(own)
         out[order], first[order] = own, begin - all_
         return out, first
 
     def gradients(self, x_ids: np.ndarray, targets: np.ndarray, known: np.ndarray) -> dict:
         p = self.p
-        x, k, v, own, q, s, z, h = self.forward(x_ids)
+        k, v, q, s, z, h = self.forward(x_ids)
         t, w = targets.ravel(), (known.ravel() / max(1, known.sum())).astype(np.float32)[:, None]
         g, m = t // MEMBERS, t % MEMBERS
         rows, out = np.arange(len(t)), {}
 
-        def error(logits, right):
-            e = np.exp(logits - logits.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
+        def error(e, right, w):
+            np.minimum(e, e.dtype.type(80), out=e)
+            np.exp(e, out=e)
+            e /= added(e)[:, None]
             e[rows, right] -= 1
-            return e * w
+            e *= w
+            return e
 
         # places by group of their target, as in log_probability
         order = np.argsort(g, kind="stable")
         cut = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        parts = [(i, order[cut[i]:cut[i + 1]]) for i in range(GROUPS) if cut[i] < cut[i + 1]]
-        lm = np.empty((len(t), MEMBERS), dtype=h.dtype)
+        parts = [(i, slice(cut[i], cut[i + 1])) for i in range(GROUPS) if cut[i] < cut[i + 1]]
+        sorted_h, lm, back = h[order], np.empty((len(t), MEMBERS), dtype=h.dtype), np.empty_like(h)
         for i, part in parts:
-            lm[part] = h[part] @ p["member"][i] + p["member_base"][i]
-        eg, em = error(h @ p["group"] + p["group_base"], g), error(lm, m)
-        out["group"], out["group_base"] = h.T @ eg, eg.sum(0)
+            np.matmul(sorted_h[part], p["member"][i], out=lm[part])
+            lm[part] += p["member_base"][i]
+        eg, em = error(h @ p["group"] + p["group_base"], g, w), error(lm, m[order], w[order])
+        out["group"], out["group_base"] = h.T @ eg, added(eg.T)
         out["member"], out["member_base"] = np.zeros_like(p["member"]), np.zeros_like(p["member_base"])
-        dh = eg @ p["group"].T
         for i, part in parts:
-            out["member"][i], out["member_base"][i] = h[part].T @ em[part], em[part].sum(0)
-            dh[part] += em[part] @ p["member"][i].T
+            np.matmul(sorted_h[part].T, em[part], out=out["member"][i])
+            np.matmul(em[part], p["member"][i].T, out=back[part])
+        own = [i for i, _ in parts]
+        out["member_base"][own] = np.add.reduceat(em, cut[own])
+        dh = eg @ p["group"].T
+        dh[order] += back
         dh *= h > 0
-        out["hidden"], out["hidden_base"] = z.T @ dh, dh.sum(0)
-        dz = (dh @ p["hidden"].T).reshape(own.shape)
+        out["hidden"], out["hidden_base"] = z.T @ dh, added(dh.T)
+        dz = (dh @ p["hidden"].T).reshape(q.shape)
         ds = dz @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ dz
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds = s * (ds - added(ds * s)[..., None])
         out["near"] = np.bincount(self.reach.ravel(), weights=np.where(self.ahead, 0, ds.sum(0)).ravel(), minlength=len(p["near"])).astype(np.float32)
         scale = np.float32(WIDTH ** -0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = x.reshape(-1, WIDTH)
-        out["query"] = own.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH) * scale
-        out["key"], out["value"] = flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
-        dx = dk @ p["key"].T + dv @ p["value"].T
-        dx[:, CONTEXT:] += dz + dq @ p["query"].T * scale
+        flat, own = p["embed"].take(x_ids.ravel(), axis=0), p["embed"].take(x_ids[:, CONTEXT:].ravel(), axis=0)
+        dq = dq.reshape(-1, WIDTH) * scale
+        out["query"], out["key"], out["value"] = own.T @ dq, flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
+        dx = dk @ p["key"].T
+        dx += dv @ p["value"].T
+        dx[:, CONTEXT:] += dz + (dq @ p["query"].T).reshape(dz.shape)
+        by = np.argsort(x_ids, axis=None, kind="stable")
+        at = runs(x_ids.ravel()[by])[:-1]
         out["embed"] = np.zeros_like(p["embed"])
-        np.add.at(out["embed"], x_ids.ravel(), dx.reshape(-1, WIDTH))
+        out["embed"][x_ids.ravel()[by[at]]] = np.add.reduceat(dx.reshape(-1, WIDTH)[by], at)
         return out
 
     def start(self) -> dict:
         """State of the training: parameters and Adam's two moments."""
         return {**self.p, **{f"{name} {k}": np.zeros_like(x) for name in ("first", "second") for k, x in self.p.items()}}
 
+    def slots(self, ids: np.ndarray) -> np.ndarray:
+        """Slots of windows of ids; a place outside the text is PAD."""
+        out = np.append(self.slot, np.int16(PAD))[np.minimum(ids, N_IDS)]
+        return np.where(ids == TEXT_HEAD, np.int16(BOS), out)
+
     def train(self, state: dict, ids: np.ndarray, turn: int, turns: int, seed: int = 5) -> dict:
         """The state after one of ``turns`` rounds, which share the windows of ids (n, SEEN) among them: each is learned from in one round."""
-        steps = -(-len(ids) // (turns * BATCH))
-        ids = ids[np.random.default_rng(seed).permutation(len(ids))[turn::turns]]
-        known = (ids[:, CONTEXT + 1:] < N_IDS).astype(np.float32)
-        slots = np.append(self.slot, np.int16(PAD))[np.minimum(ids, N_IDS)]
-        inputs = np.where(ids == TEXT_HEAD, np.int16(BOS), slots)[:, :-1]
-        targets = np.where(known > 0, slots[:, CONTEXT + 1:], 0)
-        self.p = {k: state[k].copy() for k in self.p}
-        m, v = ({k: state[f"{name} {k}"].copy() for k in self.p} for name in ("first", "second"))
-        for step, at in enumerate(range(0, len(ids), BATCH), turn * steps + 1):
+        return self.train_slots(state, self.slots(ids), turn, turns, seed)
+
+    def train_slots(self, state: dict, slots: np.ndarray, turn: int, turns: int, seed: int = 5) -> dict:
+        """As ``train``, from windows of slots."""
+        steps = -(-len(slots) // (turns * BATCH))
+        slots = slots[np.random.default_rng(seed).permutation(len(slots))[turn::turns]]
+        inputs, targets = slots[:, :-1], slots[:, CONTEXT + 1:].astype(np.int64)
+        known = (targets < SLOTS).astype(np.float32)
+        targets[targets >= SLOTS] = 0
+        # all parameters in one array, and the moments in two
+        size = [x.size for x in self.p.values()]
+        place = dict(zip(self.p, (slice(a, a + n) for a, n in zip(np.cumsum([0, *size]).tolist(), size))))
+        flat, m, v = (np.concatenate([np.ravel(state[ahead + k]) for k in self.p]).astype(np.float32) for ahead in ("", "first ", "second "))
+        shaped = lambda x: {k: x[place[k]].reshape(state[k].shape) for k in place}
+        self.p, g, moved = shaped(flat), np.zeros_like(flat), np.empty_like(flat)
+        for step, at in enumerate(range(0, len(slots), BATCH), turn * steps + 1):
             pick = slice(at, at + BATCH)
             rate = RATE * (1 - 0.9 * step / (turns * steps))
-            for k, g in self.gradients(inputs[pick], targets[pick].astype(np.int64), known[pick]).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] = self.p[k] - (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-        return {**self.p, **{f"first {k}": x for k, x in m.items()}, **{f"second {k}": x for k, x in v.items()}}
+            for k, x in self.gradients(inputs[pick], targets[pick], known[pick]).items():
+                g[place[k]] = x.ravel()
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * g
+            np.sqrt(v, out=moved)
+            moved *= np.float32((1 - 0.99 ** step) ** -0.5)
+            moved += np.float32(1e-8)
+            np.divide(m, moved, out=moved)
+            moved *= np.float32(rate / (1 - 0.9 ** step))
+            flat -= moved
+        return {**shaped(flat), **{f"first {k}": x for k, x in shaped(m).items()}, **{f"second {k}": x for k, x in shaped(v).items()}}
 
     def positions(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of every place: log probability of its id, and that a word begins there."""
@@ -369,8 +513,8 @@ class Model:
         doc, start, _ = window_index(bounds)
         lp, begin = self.tail_log[flat], np.zeros(len(flat))
         padded = np.append(slots, np.int16(PAD))
-        for at in range(0, len(doc), 512):
-            d, s = doc[at:at + 512], start[at:at + 512]
+        for at in range(0, len(doc), 128):
+            d, s = doc[at:at + 128], start[at:at + 128]
             target = s[:, None] + np.arange(STRIDE, dtype=np.int64)
             real = target < bounds[d + 1][:, None]
             source = s[:, None] - 1 - CONTEXT + np.arange(STRIDE + CONTEXT)
@@ -410,13 +554,13 @@ def text_scores(model: Model, counts: Counts, b: Block, c: np.ndarray, ids: np.n
     flat, bounds = b.stream(ids, at)
     lp, begin = model.positions(flat, bounds)
     last = np.cumsum(b.n_words)
-    word = np.insert(b.word, last, len(b.hash))
+    word = np.insert(b.word, last, b.n_distinct)
     doc = np.repeat(np.arange(n), b.n_words + 1)
     size = np.diff(np.append(at, at[-1] + 1))[word]
     first = np.cumsum(size) - size
     inside = np.add.reduceat(lp, first) if len(first) else lp
     after = np.append(begin[first[1:]], 0.0) if len(first) else begin
-    after[word == len(b.hash)] = 0.0
+    after[word == b.n_distinct] = 0.0
     network = inside - begin[first] + after
     add = lambda x: np.bincount(doc, weights=x, minlength=n)
     return add(c[word] > 0).astype(np.int64), add(counts.base(c)[word]), add(counts.mixed(c[word], network)) / np.log(10)
@@ -432,29 +576,53 @@ def shaped_state(flat: np.ndarray, like: dict) -> dict:
     return {k: x.reshape(like[k].shape).astype(np.float32) for k, x in zip(keys, parts)}
 
 
-def trained(model: Model, gathered: DataFrame, shard_windows: int = SHARD) -> Model:
-    """The model, trained on all gathered windows: shards in parallel, averaged after every round."""
-    spark = gathered.sparkSession
-    windows = gathered.where("kind = 'window'")
-    total = windows.agg(F.sum("order")).first()[0] or 0
+def shards_of(model: Model, blocks: DataFrame, shard_windows: int, folds: int, path: str) -> DataFrame | None:
+    """(n, slots): all training windows in shards, each in one row and sorted by hash. They are sent and staged as packed slots, once each."""
+    total = blocks.agg(F.sum("n_windows")).first()[0] or 0
     if not total:
-        return model
+        return None
     n_shards = max(1, round(total / shard_windows))
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("hash", pa.binary()), ("slots", pa.binary())])
 
     def deal(batches):
+        kept, n = [], 0
+
+        def rows():
+            order, slots = (np.concatenate(x) for x in zip(*kept))
+            return table_of([(shard, len(own), (order[own] >> np.uint64(32)).astype(np.uint32).tobytes(), packed_slots(slots[own]))
+                             for shard, own in dealt(order, n_shards)], schema).to_batches()
+
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                rows = list(dealt_windows(blob, n_shards))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int64()), "a": pa.array([r[1] for r in rows], pa.binary())})
+            for blob in batch.column(0):
+                b = Spelled(blob.as_buffer(), folds, path)
+                order, ids = training_windows(b, b.sub, b.at)
+                kept.append((order, sent.value.slots(ids)))
+                n += len(order)
+                # of several blocks, so that rows of one shard are packed together
+                if n >= DEALT:
+                    yield from rows()
+                    kept, n = [], 0
+        if n:
+            yield from rows()
 
     def joined_shard(t):
-        w = np.frombuffer(b"".join(map(zlib.decompress, t.column("a").to_pylist())), dtype=WINDOW)
-        # rows of one id have windows of one hash; their ids then decide, so that the order does not depend on partitions
-        w = w[np.lexsort([*w["ids"].T[::-1], w["order"]])]
-        return pa.table({"shard": t.column("shard").slice(0, 1), "a": pa.array([zlib.compress(np.ascontiguousarray(w["ids"]).tobytes(), 1)], pa.binary())})
+        n = t.column("n").to_pylist()
+        order = np.frombuffer(b"".join(t.column("hash").to_pylist()), dtype=np.uint32)
+        slots = np.concatenate([unpacked_slots(x, k) for x, k in zip(t.column("slots").to_pylist(), n)])
+        # where hashes agree, slots decide, so that the order does not depend on partitions
+        slots = slots[np.lexsort([*slots.T[::-1], order])]
+        return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(slots)], pa.int64()), "slots": pa.array([packed_slots(slots)], pa.binary())})
 
-    shards = stage(windows.select("a").mapInArrow(deal, "shard long, a binary").repartition(n_shards, "shard")
-                   .groupBy("shard").applyInArrow(joined_shard, "shard long, a binary"))
+    return stage(blocks.select("data").mapInArrow(deal, "shard long, n long, hash binary, slots binary").repartition(n_shards, "shard")
+                 .groupBy("shard").applyInArrow(joined_shard, "shard long, n long, slots binary"))
+
+
+def trained(model: Model, shards: DataFrame | None) -> Model:
+    """The model, trained on all windows: shards in parallel, averaged after every round."""
+    if shards is None:
+        return model
+    spark = shards.sparkSession
     state = model.start()
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model, state))
@@ -462,10 +630,9 @@ def trained(model: Model, gathered: DataFrame, shard_windows: int = SHARD) -> Mo
         def learn(batches, turn=turn, sent=sent):
             total_, n = None, 0
             for batch in batches:
-                for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = np.frombuffer(zlib.decompress(blob), dtype=np.uint16).reshape(-1, SEEN)
-                    own = flat_state(sent.value[0].train(sent.value[1], ids, turn, ROUNDS, seed=shard)) * len(ids)
-                    total_, n = own if total_ is None else total_ + own, n + len(ids)
+                for shard, size, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    own = flat_state(sent.value[0].train_slots(sent.value[1], unpacked_slots(blob, size), turn, ROUNDS, seed=shard)) * size
+                    total_, n = own if total_ is None else total_ + own, n + size
             if n:
                 parts = np.array_split(total_, PIECES)
                 yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "n": pa.array([n] * PIECES, pa.int64()),
@@ -486,48 +653,43 @@ def trained(model: Model, gathered: DataFrame, shard_windows: int = SHARD) -> Mo
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, path: str | None = None, shard_windows: int = SHARD) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = path or vocabulary_path()
-    blocks = blocks_of(docs, key, text)
+    made = pa.schema([("data", pa.binary()), ("n_windows", pa.int64()), ("id_counts", pa.binary())])
+    blocks = blocks_of(docs, key, text, lambda blob: spelled_block(blob, folds, path), made, "data binary, n_windows long, id_counts binary")
     size = docs.agg(F.sum(F.octet_length(quoted(text).cast("string")))).first()[0] or 0
     bits = max(4, int(size // BUCKET_BYTES).bit_length())
-    sent = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.string()), ("bucket", pa.int64()), ("order", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-    gathered = stage(each_block(blocks, lambda part, block, data: ((part, block, *x) for x in first_pass(data, bits, folds, path)), sent,
-                                "part int, block long, kind string, bucket long, `order` long, a binary, b binary"))
-    reply = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary()),
-                       *[(c, pa.int64()) for c in ("words", "distinct", "once", "twice")]])
-    replies = stage(each_bucket(gathered.where("kind = 'words'"), lambda bucket, rows: ((p, b, bucket, *x) for p, b, *x in totals_of(rows)), reply,
+    words = each_block(blocks, lambda part, block, data: ((part, block, *x) for x in word_rows(Spelled(data, folds, path), bits)), SENT, SENT_DDL)
+    reply = pa.schema([*ANSWERED, *[(c, pa.int64()) for c in ("words", "distinct", "once", "twice")]])
+    replies = stage(each_bucket(words, lambda bucket, rows: ((p, b, bucket, *x) for p, b, *x in totals_of(rows)), reply,
                                 ANSWERED_DDL + ", words long, distinct long, once long, twice long"))
     sums = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "distinct", "once", "twice")]).first()
 
     def id_rows(batches):
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pydict({"id": pa.array(np.frombuffer(a, dtype=np.int32)), "n": pa.array(np.frombuffer(b, dtype=np.int64))})
+            for raw in map(restored, batch.column(0).to_pylist()):
+                n = len(raw) // 12
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.frombuffer(raw, dtype=np.int32, count=n)), "n": pa.array(np.frombuffer(raw, dtype=np.int64, offset=4 * n))})
 
     # one row per id of the vocabulary at most
-    per_id = gathered.where("kind = 'ids'").select("a", "b").mapInArrow(id_rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    id_counts = np.zeros(N_IDS, dtype=np.int64)
+    per_id = blocks.select("id_counts").mapInArrow(id_rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    of_ids = np.zeros(N_IDS, dtype=np.int64)
     for r in per_id:
-        id_counts[r["id"]] = r["n"]
-    model = trained(Model(id_counts, beginning(path)), gathered, shard_windows)
-    counts = Counts(*sums, int(id_counts[END]))
+        of_ids[r["id"]] = r["n"]
+    model = Model(of_ids, beginning(path))
+    model = trained(model, shards_of(model, blocks, shard_windows, folds, path))
+    counts = Counts(*sums, int(of_ids[END]))
     known = docs.sparkSession.sparkContext.broadcast((model, counts))
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
                         ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(part, block, data, found):
-        b = Block(data, folds)
-        (_, spelled), *own = sorted(found)
-        spelled = zlib.decompress(spelled)
-        c = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(a, dtype=np.uint32).astype(np.int64) for _, a in own]])
-        at = np.concatenate([[0], np.cumsum(np.frombuffer(spelled, dtype=np.int32, count=len(b.hash)))])
-        ids = np.frombuffer(spelled, dtype=np.uint16, offset=4 * len(b.hash)).astype(np.int32)
-        seen, base, score = text_scores(*known.value, b, c, ids, at)
+        b = Spelled(data, folds, path)
+        c = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(restored(a), dtype=np.uint32).astype(np.int64) for _, a in sorted(found)]])
+        seen, base, score = text_scores(*known.value, b, c, b.sub, b.at)
         n = len(b.ids)
         return zip([None if i == NO_ID else i for i in b.ids.tolist()], b.held_out.tolist(), (b.n_words + 1).tolist(), seen.tolist(),
                    [known.value[1].tokens] * n, base.tolist(), score.tolist())
 
-    found = replies.where("block IS NOT NULL").select("part", "block", "bucket", "answer").unionAll(
-        gathered.where("kind = 'subwords'").select("part", "block", "bucket", "a"))
+    found = replies.where("block IS NOT NULL").select("part", "block", "bucket", "answer")
     done = each_block_with(blocks, found, finish, schema,
                            "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("id", key)

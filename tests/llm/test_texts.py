@@ -262,6 +262,37 @@ def test_spellings_are_staged_and_sent_packed():
     assert np.array_equal(np.frombuffer(raw, dtype=np.int32, count=n), np.diff(at)) and np.array_equal(np.frombuffer(raw, dtype=np.uint16, offset=4 * n), ids)
 
 
+def test_spelled_blocks_keep_words_and_windows():
+    path = attention_lm.vocabulary_path()
+    texts = [b"", b"one", words(1, 900).encode(), ("Ab" * 700 + " \u00df\u4e16\u754c it's").encode(), b"next", words(1, 50).encode()]
+    for blob in (packed([1, None, 2, 3, 2, 10**12], texts), packed([5], [b""])):
+        b = attention_lm.Block(blob, 10)
+        ids, at = attention_lm.subwords(b.words(), path)
+        data, n_windows, _ = attention_lm.spelled_block(blob, 10, path)
+        back = attention_lm.Spelled(data, 10, path)
+        for name in ("ids", "n_words", "word", "hash", "trained", "held_out", "doc"):
+            assert np.array_equal(getattr(b, name), getattr(back, name)), name
+        assert np.array_equal(ids, back.sub) and np.array_equal(at, back.at)
+        order, seen = attention_lm.training_windows(back, back.sub, back.at)
+        assert n_windows == len(order) == len(attention_lm.training_windows(b, ids, at)[0])
+        slots = small_model().slots(seen)
+        assert np.array_equal(attention_lm.unpacked_slots(attention_lm.packed_slots(slots), len(slots)), slots)
+        rows = list(attention_lm.word_rows(back, 4))
+        assert np.array_equal(np.concatenate([np.zeros(0, dtype=np.uint64), *[attention_lm.hashes_of(r[1]) for r in rows]]), b.hash)
+
+
+def test_windows_are_staged_once(spark):
+    from pathlib import Path
+
+    from decision_lens.session import scratch_dir
+    staged = lambda: sum(f.stat().st_size for f in Path(scratch_dir(spark).removeprefix("file:"), "staged").rglob("*.parquet"))
+    texts = [(i, words(i, 300)) for i in range(4000)]
+    df = documents(spark, texts).repartition(2)
+    before = staged()
+    attention_lm.scored(df, shard_windows=16384)
+    assert 0 < staged() - before < 2.5 * sum(len(t) for _, t in texts)
+
+
 def test_averaged_shards_learn_and_do_not_follow_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 16 = 0")
     a, b = (attention_lm.scored(docs.repartition(n), shard_windows=128).orderBy("doc_id").collect() for n in (2, 5))
