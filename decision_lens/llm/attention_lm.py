@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from decision_lens.llm.blocks import ANSWERED, ANSWERED_DDL, NO_ID, SENT, SENT_DDL, blocks_of, each_block, each_block_with, each_bucket, restored, squeezed, table_of, unpacked
+from decision_lens.llm.blocks import ANSWERED, ANSWERED_DDL, NO_ID, SENT, SENT_DDL, blobs_of, blocks_of, each_bucket, each_chunk, each_chunk_with, restored, squeezed, table_of, unpacked
 from decision_lens.llm.suffix_dedup import bucket_of, runs
 from decision_lens.llm.textkit import LOWER, SPACED, mixed, quoted, word_hashes, word_spans
 from decision_lens.session import stage
@@ -288,6 +288,15 @@ def first_pass(blob, bits: int, folds: int, path: str):
         yield "window", -1, len(order), zlib.compress(out.tobytes(), 1), b""
 
 
+def spelled_chunk(blobs: list, folds: int, path: str) -> tuple[list[bytes], int, bytes]:
+    """As ``spelled_block`` for the blocks of a chunk, numbers and counts in all."""
+    data, n, counts = zip(*(spelled_block(blob, folds, path) for blob in blobs))
+    total = np.zeros(N_IDS, dtype=np.int64)
+    for seen, count in map(counts_of, counts):
+        total[seen] += count
+    return list(data), sum(n), packed_counts(total)
+
+
 def spelled_block(blob, folds: int, path: str) -> tuple[bytes, int, bytes]:
     """(spelled block, number of its training windows, training counts of subword ids)."""
     b = Block(blob, folds)
@@ -299,12 +308,33 @@ def spelled_block(blob, folds: int, path: str) -> tuple[bytes, int, bytes]:
 def id_counts(b: Block, ids: np.ndarray, at: np.ndarray) -> bytes:
     count = np.bincount(ids, weights=np.repeat(b.trained, np.diff(at)), minlength=N_IDS).astype(np.int64)
     count[END] = int((~b.held_out).sum())
+    return packed_counts(count)
+
+
+def packed_counts(count: np.ndarray) -> bytes:
     seen = np.flatnonzero(count)
     return squeezed(seen.astype(np.int32).tobytes() + count[seen].tobytes())
 
 
-def word_rows(b: Block, bits: int):
-    """(bucket, hashes, training counts) of a block's distinct words, both packed: hashes as differences, byte by byte."""
+def counts_of(blob) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their counts."""
+    raw = restored(blob)
+    n = len(raw) // 12
+    return np.frombuffer(raw, dtype=np.int32, count=n), np.frombuffer(raw, dtype=np.int64, offset=4 * n)
+
+
+class Words:
+    """Distinct words of a chunk by hash, their training counts, and which of them each block's are."""
+
+    def __init__(self, blocks: list[Block]):
+        hashes = [b.hash for b in blocks]
+        self.hash, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.trained = np.bincount(which, weights=np.concatenate([b.trained for b in blocks]), minlength=len(self.hash)).astype(np.int64)
+        self.of_block = np.split(which, np.cumsum([len(h) for h in hashes])[:-1])
+
+
+def word_rows(b: Block | Words, bits: int):
+    """(bucket, hashes, training counts) of a block's or chunk's distinct words, both packed: hashes as differences, byte by byte."""
     h = b.hash
     buckets = bucket_of(h, bits)
     cut = runs(buckets)
@@ -320,7 +350,7 @@ def hashes_of(blob) -> np.ndarray:
 
 
 def totals_of(rows):
-    """Training counts of a bucket's words for each block that holds them; then a row without a block: words, distinct ones, seen once, twice."""
+    """Training counts of a bucket's words for each chunk that holds them; then a row without a chunk: words, distinct ones, seen once, twice."""
     hashes = [hashes_of(r[2]) for r in rows]
     counts = np.concatenate([np.frombuffer(restored(r[3]), dtype=np.uint32) for r in rows]).astype(np.int64)
     distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -594,8 +624,7 @@ def shards_of(model: Model, blocks: DataFrame, shard_windows: int, folds: int, p
                              for shard, own in dealt(order, n_shards)], schema).to_batches()
 
         for batch in batches:
-            for blob in batch.column(0):
-                b = Spelled(blob.as_buffer(), folds, path)
+            for b in (Spelled(blob, folds, path) for chunk in batch.column(0) for blob in blobs_of(chunk)):
                 order, ids = training_windows(b, b.sub, b.at)
                 kept.append((order, sent.value.slots(ids)))
                 n += len(order)
@@ -653,21 +682,20 @@ def trained(model: Model, shards: DataFrame | None) -> Model:
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, path: str | None = None, shard_windows: int = SHARD) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = path or vocabulary_path()
-    made = pa.schema([("data", pa.binary()), ("n_windows", pa.int64()), ("id_counts", pa.binary())])
-    blocks = blocks_of(docs, key, text, lambda blob: spelled_block(blob, folds, path), made, "data binary, n_windows long, id_counts binary")
+    made = pa.schema([("data", pa.list_(pa.binary())), ("n_windows", pa.int64()), ("id_counts", pa.binary())])
+    blocks = blocks_of(docs, key, text, lambda blobs: spelled_chunk(blobs, folds, path), made, "data array<binary>, n_windows long, id_counts binary")
     size = docs.agg(F.sum(F.octet_length(quoted(text).cast("string")))).first()[0] or 0
     bits = max(4, int(size // BUCKET_BYTES).bit_length())
-    words = each_block(blocks, lambda part, block, data: ((part, block, *x) for x in word_rows(Spelled(data, folds, path), bits)), SENT, SENT_DDL)
+    words = each_chunk(blocks, lambda part, chunk, blobs: ((part, chunk, *x) for x in word_rows(Words([Spelled(x, folds, path) for x in blobs]), bits)), SENT, SENT_DDL)
     reply = pa.schema([*ANSWERED, *[(c, pa.int64()) for c in ("words", "distinct", "once", "twice")]])
-    replies = stage(each_bucket(words, lambda bucket, rows: ((p, b, bucket, *x) for p, b, *x in totals_of(rows)), reply,
+    replies = stage(each_bucket(words, lambda bucket, rows: ((p, c, bucket, *x) for p, c, *x in totals_of(rows)), reply,
                                 ANSWERED_DDL + ", words long, distinct long, once long, twice long"))
     sums = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "distinct", "once", "twice")]).first()
 
     def id_rows(batches):
         for batch in batches:
-            for raw in map(restored, batch.column(0).to_pylist()):
-                n = len(raw) // 12
-                yield pa.RecordBatch.from_pydict({"id": pa.array(np.frombuffer(raw, dtype=np.int32, count=n)), "n": pa.array(np.frombuffer(raw, dtype=np.int64, offset=4 * n))})
+            for seen, count in map(counts_of, batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_pydict({"id": pa.array(seen), "n": pa.array(count)})
 
     # one row per id of the vocabulary at most
     per_id = blocks.select("id_counts").mapInArrow(id_rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
@@ -681,15 +709,16 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
                         ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def finish(part, block, data, found):
-        b = Spelled(data, folds, path)
+    def finish(part, chunk, blobs, found):
+        own = [Spelled(x, folds, path) for x in blobs]
         c = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(restored(a), dtype=np.uint32).astype(np.int64) for _, a in sorted(found)]])
-        seen, base, score = text_scores(*known.value, b, c, b.sub, b.at)
-        n = len(b.ids)
-        return zip([None if i == NO_ID else i for i in b.ids.tolist()], b.held_out.tolist(), (b.n_words + 1).tolist(), seen.tolist(),
-                   [known.value[1].tokens] * n, base.tolist(), score.tolist())
-
-    found = replies.where("block IS NOT NULL").select("part", "block", "bucket", "answer")
-    done = each_block_with(blocks, found, finish, schema,
+        for b, which in zip(own, Words(own).of_block):
+            seen, base, score = text_scores(*known.value, b, c[which], b.sub, b.at)
+            n = len(b.ids)
+            yield from zip([None if i == NO_ID else i for i in b.ids.tolist()], b.held_out.tolist(), (b.n_words + 1).tolist(), seen.tolist(),
+                           [known.value[1].tokens] * n, base.tolist(), score.tolist())
+
+    found = replies.where("chunk IS NOT NULL").select("part", "chunk", "bucket", "answer")
+    done = each_chunk_with(blocks, found, finish, schema,
                            "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("id", key)

@@ -467,6 +467,54 @@ def test_suffix_sort_and_its_correction():
     assert [data[i:i + 50].tobytes() for i in starts[fixed]] == [data[i:i + 50].tobytes() for i in starts[order]]
 
 
+def test_messages_follow_chunks_and_fill_buckets_alike(spark):
+    """One message for a chunk and bucket, not for a block and bucket; anchors are least hashes, which must not meet in the first buckets."""
+    from decision_lens.llm.blocks import blocks_of
+    blobs = [packed([i], [words(i, 20_000).encode()]) for i in range(6)]
+    sizes = [len(a) for _, a, _ in suffix_dedup.anchor_hashes(blobs, 5)]
+    assert len(sizes) == 32 and max(sizes) < 2 * sum(sizes) / 32
+    made = blocks_of(documents(spark, [(i, words(i, 100) * 500) for i in range(50)]).repartition(1), "doc_id", "text").collect()
+    assert len(made) == 1 and len(made[0]["data"]) > 8
+
+
+def test_chunks_give_what_their_blocks_give():
+    r, rows = random.Random(5), repeated_rows()
+    phrase = words(7, 30)[:40]
+    rows += [(100 + i, words(i, 6) + phrase + words(r.randrange(9), 12)) for i in range(80)]
+    for hot in (0, 20, suffix_dedup.HOT):
+        for size in (1, 3, 100):
+            blobs = [packed([i for i, _ in rows[k:k + 20]], [(t or "").encode() for _, t in rows[k:k + 20]]) for k in range(0, len(rows), 20)]
+            chunks, sent, shared, around, replies = [blobs[k:k + size] for k in range(0, len(blobs), size)], {}, {}, {}, {}
+            for n, chunk in enumerate(chunks):
+                for bucket, a, b in suffix_dedup.anchor_hashes(chunk, 4):
+                    sent.setdefault(bucket, []).append((0, n, a, b))
+            for bucket, own in sent.items():
+                for _, n, answer in suffix_dedup.shared_hashes(own, hot):
+                    shared.setdefault(n, []).append((bucket, answer))
+            for n, chunk in enumerate(chunks):
+                for bucket, data in suffix_dedup.surroundings(chunk, shared.get(n, []), 4):
+                    around.setdefault(bucket, []).append((0, n, data, None))
+            for bucket, own in around.items():
+                for _, n, answer in (suffix_dedup.string_answers if bucket >> 4 else suffix_dedup.answers)(own):
+                    replies.setdefault(n, []).append(answer)
+            out = [x for n, chunk in enumerate(chunks) for x in suffix_dedup.cut(chunk, replies.get(n, []))]
+            assert sorted((i or -1, *x, hashlib.sha256(kept).hexdigest()) for i, *x, kept in out) == cut_by_hand(rows)
+
+
+def test_long_runs_of_suffixes_are_sorted_by_words():
+    r = np.random.default_rng(6)
+    data = r.integers(97, 99, 6000).astype(np.uint8)
+    data[1000:1400] = data[0:400]
+    data[5000:] = 97
+    starts, segment = np.arange(5900), np.sort(r.integers(0, 4, 5900))
+    order, tied = suffix_dedup.by_words(data, starts, segment)
+    assert np.diff(suffix_dedup.runs(tied)).max() <= suffix_dedup.FEW and (np.diff(segment[order]) >= 0).all()
+    order = order[suffix_dedup.Suffixes(data, 50).sort(starts[order], tied)]
+    for s in range(4):
+        own = [data[i:i + 50].tobytes() for i in starts[order][segment == s]]
+        assert own == sorted(own) and len(own) == (segment == s).sum()
+
+
 def test_a_merge_compares_each_pair_of_suffixes_once():
     class Counted(suffix_dedup.Suffixes):
         compared = 0
