@@ -1,11 +1,11 @@
 """Language-model scoring: a causal self-attention model in numpy on subword ids, beside a word-count base.
 
-Texts are taken in blocks of bounded size and spelled: a block is staged once, as the subword ids of its distinct words and its texts'
-sequences of these words, beside its number of training windows and its training counts of subword ids. Bytes and hashes of words follow
-from their ids, so neither text nor hashes are staged. The distinct words of each block go to buckets by word hash with their training
-counts. Buckets add the counts of a word over all blocks and answer every block that asked for it, so word counts are never gathered on the
-driver or broadcast: they grow with the corpus. When the slots are known, blocks send all their training windows to shards, as packed
-slots; shards are staged so, once.
+Texts are taken in blocks of bounded size, in chunks, and spelled: a block is staged once, as the subword ids of its distinct words and its
+texts' sequences of these words, beside its chunk's number of training windows and training counts of subword ids. Bytes and hashes of words
+follow from their ids, so neither text nor hashes are staged. The distinct words of each chunk go to buckets by word hash with their training
+counts. Buckets add the counts of a word over all chunks and answer every chunk that asked for it, so word counts are never gathered on the
+driver or broadcast: they grow with the corpus. When the slots are known, blocks send all their training windows to lots of shards, as packed
+slots; shards are staged so, once. Chunks, buckets and lots are so large that the number of messages does not grow with the square of the input.
 
 Network: each subword id has a slot, its own if it is one of the most frequent ids of the training texts, else a shared tail
 slot, within which ids are weighted by their training counts. Ids that begin a word and ids that go on with one have slots of
@@ -54,12 +54,14 @@ TAIL_BEGIN, TAIL_ON, BOS, PAD = BEGIN - 1, SLOTS - 1, SLOTS, SLOTS + 1
 STRIDE, CONTEXT = 24, 8
 WIDTH, HIDDEN = 16, 32
 SHARD = 65_536
-DEALT = 1 << 17  # windows that a task deals to shards at a time
+DEALT = 1 << 17  # windows that a task deals to lots of shards at a time
+LOTS, LOT = 128, 16  # up to LOTS shards are lots of their own; a lot holds LOT shards at most
+SPELLED = 1 << 16  # words that are spelled at a time
 ROUNDS, BATCH, RATE = 4, 64, 0.02
 SEEN = CONTEXT + 1 + STRIDE
 NO_PLACE, TEXT_HEAD = 65_535, 65_534  # in windows: a place outside the text, and the one before its first id
 PIECES = 16
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
 FOLDS = 10
 NETWORK_WEIGHT = 0.5  # fixed beforehand: either part costs log10 2 a token at most
 _CODERS: dict = {}
@@ -96,7 +98,7 @@ def subwords(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
     if max(map(len, words)) <= LONG_WORD:
-        ids = np.array(enc.encode_ordinary((b"\n " + b"\n ".join(words)).decode()), dtype=np.int32)
+        ids = enc.encode_to_numpy((b"\n " + b"\n ".join(words)).decode(), disallowed_special=()).astype(np.int32)
         feeds = np.flatnonzero(ids == FEED)
         if len(feeds) == len(words):
             keep = np.ones(len(ids), dtype=bool)
@@ -110,6 +112,15 @@ def subwords(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for o in out for x in o], dtype=np.int32), np.concatenate([[0], np.cumsum([len(o) for o in out])])
 
 
+def told_apart(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, sorted, a place of each, and which of them each value is."""
+    order = np.argsort(h)
+    at = runs(h[order])
+    one, which = order[at[:-1]], np.empty(len(h), dtype=np.int64)
+    which[order] = np.repeat(np.arange(len(one)), np.diff(at))
+    return h[one], one, which
+
+
 class Block:
     """Words of a block of texts: distinct words by hash, and each text's sequence of them."""
 
@@ -126,8 +137,8 @@ class Block:
             starts = np.insert(starts, np.searchsorted(starts, crossing), crossing)
             ends = np.insert(ends, np.searchsorted(ends, crossing), crossing)
         self.raw = low.tobytes()
-        self.hash, one, self.word = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
-        self.spans = list(zip(starts[one].tolist(), ends[one].tolist()))
+        self.hash, one, self.word = told_apart(word_hashes(low, starts, ends))
+        self.spans = starts[one], ends[one]
         doc = np.searchsorted(self.bounds, starts, side="right") - 1
         self.n_words = np.bincount(doc, minlength=len(self.ids))
         self.count(folds)
@@ -143,8 +154,8 @@ class Block:
     def n_distinct(self) -> int:
         return len(self.hash)
 
-    def words(self) -> list[bytes]:
-        return [self.raw[a:b] for a, b in self.spans]
+    def words(self, which=slice(None)) -> list[bytes]:
+        return [self.raw[a:b] for a, b in zip(*(x[which].tolist() for x in self.spans))]
 
     def stream(self, ids: np.ndarray, at: np.ndarray, docs: np.ndarray | None = None):
         """Subword ids of the texts (all, or those in ``docs``), each with its end, and where each text starts (and the end)."""
@@ -242,19 +253,23 @@ def training_windows(b: Block, ids: np.ndarray, at: np.ndarray, share: float = 1
 WINDOW = np.dtype([("order", "<u8"), ("ids", "<u2", (SEEN,))])
 
 
-def dealt(order: np.ndarray, n_shards: int):
-    """(shard, places) of windows by their hashes."""
-    shard = (mixed(order + np.uint64(1)) % np.uint64(n_shards)).astype(np.int64)
-    by = np.argsort(shard, kind="stable")
-    cut = runs(shard[by])
+def shard_of(order: np.ndarray, n_shards: int) -> np.ndarray:
+    """Shards of windows by their hashes."""
+    return (mixed(order + np.uint64(1)) % np.uint64(n_shards)).astype(np.int64)
+
+
+def by_value(values: np.ndarray):
+    """(value, its places) of all values."""
+    by = np.argsort(values, kind="stable")
+    cut = runs(values[by])
     for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield int(shard[by[x]]), by[x:y]
+        yield int(values[by[x]]), by[x:y]
 
 
 def dealt_windows(blob, n_shards: int):
     """(shard, windows) of the windows that ``first_pass`` gives, both compressed."""
     w = np.frombuffer(zlib.decompress(blob), dtype=WINDOW)
-    for shard, own in dealt(w["order"], n_shards):
+    for shard, own in by_value(shard_of(w["order"], n_shards)):
         yield shard, zlib.compress(w[own].tobytes(), 1)
 
 
@@ -279,7 +294,7 @@ def first_pass(blob, bits: int, folds: int, path: str):
     b = Block(blob, folds)
     yield from (("words", bucket, 0, words, counts) for bucket, words, counts in word_rows(b, bits))
     ids, at = subwords(b.words(), path)
-    yield "ids", -1, 0, id_counts(b, ids, at), b""
+    yield "ids", -1, 0, id_counts(ids, np.diff(at), b.trained, int((~b.held_out).sum())), b""
     yield "subwords", -1, 0, zlib.compress(np.diff(at).astype(np.int32).tobytes() + ids.astype(np.uint16).tobytes(), 1), b""
     order, seen_ids = training_windows(b, ids, at)
     if len(order):
@@ -289,29 +304,37 @@ def first_pass(blob, bits: int, folds: int, path: str):
 
 
 def spelled_chunk(blobs: list, folds: int, path: str) -> tuple[list[bytes], int, bytes]:
-    """As ``spelled_block`` for the blocks of a chunk, numbers and counts in all."""
-    data, n, counts = zip(*(spelled_block(blob, folds, path) for blob in blobs))
-    total = np.zeros(N_IDS, dtype=np.int64)
-    for seen, count in map(counts_of, counts):
-        total[seen] += count
-    return list(data), sum(n), packed_counts(total)
+    """(spelled blocks, number of their training windows, training counts of subword ids); a word of several blocks is spelled once."""
+    blocks = [Block(blob, folds) for blob in blobs]
+    words = Words(blocks)
+    spelling = [subwords(words.taken(blocks, at, at + SPELLED), path) for at in range(0, len(words.hash), SPELLED)]
+    ids = np.concatenate([np.zeros(0, dtype=np.int32), *[x for x, _ in spelling]])
+    size = np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(at) for _, at in spelling]])
+    first = np.cumsum(size) - size
+    data, n_windows = [], 0
+    for b, which in zip(blocks, words.of_block):
+        at = np.concatenate([[0], np.cumsum(size[which])])
+        data.append(spelled(b, ids[np.repeat(first[which] - at[:-1], size[which]) + np.arange(at[-1])], at))
+        n_windows += training_count(b, at)
+    ends = sum(int((~b.held_out).sum()) for b in blocks)
+    return data, n_windows, id_counts(ids, size, words.trained, ends)
 
 
 def spelled_block(blob, folds: int, path: str) -> tuple[bytes, int, bytes]:
-    """(spelled block, number of its training windows, training counts of subword ids)."""
-    b = Block(blob, folds)
-    ids, at = subwords(b.words(), path)
-    n_ids = np.bincount(b.doc, weights=np.diff(at)[b.word], minlength=len(b.ids)) + 1
-    return spelled(b, ids, at), int(np.ceil(n_ids[~b.held_out] / STRIDE).sum()), id_counts(b, ids, at)
+    """As ``spelled_chunk`` for one block."""
+    (data,), n_windows, counts = spelled_chunk([blob], folds, path)
+    return data, n_windows, counts
 
 
-def id_counts(b: Block, ids: np.ndarray, at: np.ndarray) -> bytes:
-    count = np.bincount(ids, weights=np.repeat(b.trained, np.diff(at)), minlength=N_IDS).astype(np.int64)
-    count[END] = int((~b.held_out).sum())
-    return packed_counts(count)
+def training_count(b: Block, at: np.ndarray) -> int:
+    n_ids = np.bincount(b.doc, weights=np.diff(at)[b.word], minlength=len(b.ids)) + 1
+    return int(np.ceil(n_ids[~b.held_out] / STRIDE).sum())
 
 
-def packed_counts(count: np.ndarray) -> bytes:
+def id_counts(ids: np.ndarray, size: np.ndarray, trained: np.ndarray, ends: int) -> bytes:
+    """Training counts of the subword ids of words, ``size`` each, that stand ``trained`` times, and of ends."""
+    count = np.bincount(ids, weights=np.repeat(trained, size), minlength=N_IDS).astype(np.int64)
+    count[END] = ends
     seen = np.flatnonzero(count)
     return squeezed(seen.astype(np.int32).tobytes() + count[seen].tobytes())
 
@@ -328,9 +351,20 @@ class Words:
 
     def __init__(self, blocks: list[Block]):
         hashes = [b.hash for b in blocks]
-        self.hash, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.hash, self.one, which = told_apart(np.concatenate(hashes))
+        self.first = np.cumsum([0, *map(len, hashes)])
         self.trained = np.bincount(which, weights=np.concatenate([b.trained for b in blocks]), minlength=len(self.hash)).astype(np.int64)
-        self.of_block = np.split(which, np.cumsum([len(h) for h in hashes])[:-1])
+        self.of_block = np.split(which, self.first[1:-1])
+
+    def taken(self, blocks: list[Block], start: int, stop: int) -> list[bytes]:
+        """Bytes of some of the words, from the blocks that hold them."""
+        one = self.one[start:stop]
+        block = np.searchsorted(self.first, one, side="right") - 1
+        out = np.empty(len(one), dtype=object)
+        for i, b in enumerate(blocks):
+            own = np.flatnonzero(block == i)
+            out[own] = b.words(one[own] - self.first[i])
+        return out.tolist()
 
 
 def word_rows(b: Block | Words, bits: int):
@@ -367,6 +401,23 @@ def added(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[-1], dtype=x.dtype)
 
 
+def limited_exp(x: np.ndarray, limit: float) -> None:
+    """Exponentials in place, of ``limit`` at most."""
+    if x.size and not x.max() <= limit:
+        np.minimum(x, x.dtype.type(limit), out=x)
+    np.exp(x, out=x)
+
+
+def by_group(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """Order of target slots by group; groups and members in this order; each group's part."""
+    t = targets.ravel()
+    order = np.argsort((t // MEMBERS).astype(np.uint8), kind="stable")
+    t = t[order]
+    g = t // MEMBERS
+    cut = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
+    return order, g, t % MEMBERS, [(i, slice(cut[i], cut[i + 1])) for i in range(GROUPS) if cut[i] < cut[i + 1]]
+
+
 class Model:
     """Slots by training counts, and a network over them."""
 
@@ -391,106 +442,118 @@ class Model:
         reach = np.arange(STRIDE)[:, None] + CONTEXT - np.arange(STRIDE + CONTEXT)
         self.reach, self.ahead = np.clip(reach, 0, None), reach < 0
 
-    def forward(self, x_ids: np.ndarray):
-        """Hidden values of the targets' places of windows of input slots (n, CONTEXT + STRIDE)."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, key and value of each slot: one product a slot, not a place."""
         p = self.p
-        # one product a slot, not a place
+        return p["embed"] @ (p["query"] / np.float32(WIDTH ** 0.5)), p["embed"] @ p["key"], p["embed"] @ p["value"]
+
+    def forward(self, x_ids: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        """Keys, values, queries, weights (not divided by their sum), 1 / their sum, their means of values, and these beside the places' own vectors.
+
+        For windows of input slots (n, CONTEXT + STRIDE). Where rows of 16 or 32 numbers meet one number each, it is repeated: short rows are slow.
+        """
+        x_ids = x_ids.astype(np.intp)
         own_ids = x_ids[:, CONTEXT:]
-        own = p["embed"].take(own_ids, axis=0)
-        k, v = ((p["embed"] @ p[name]).take(x_ids, axis=0) for name in ("key", "value"))
-        q = (p["embed"] @ (p["query"] / np.float32(WIDTH ** 0.5))).take(own_ids, axis=0)
+        of_query, of_key, of_value = tables or self.tables()
+        q, k, v = of_query.take(own_ids, axis=0), of_key.take(x_ids, axis=0), of_value.take(x_ids, axis=0)
         s = q @ k.transpose(0, 2, 1)
-        s += np.where(self.ahead, np.float32(-1e9), p["near"][self.reach])
-        padded = np.flatnonzero((x_ids[:, :CONTEXT + 1] == PAD).any(axis=1))
-        s[padded] += np.where(x_ids[padded] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        np.minimum(s, np.float32(60), out=s)
-        np.exp(s, out=s)
-        s /= added(s)[..., None]
-        z = (own + s @ v).reshape(-1, WIDTH)
-        h = z @ p["hidden"]
-        h += p["hidden_base"]
-        np.maximum(h, 0, out=h)
-        return k, v, q, s, z, h
-
-    def log_probability(self, x_ids: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s += np.where(self.ahead, np.float32(-1e9), self.p["near"][self.reach])
+        padded = np.flatnonzero((x_ids[:, :CONTEXT + 1] == PAD) @ np.ones(CONTEXT + 1, dtype=np.float32))
+        if len(padded):
+            s[padded] += np.where(x_ids[padded] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+        limited_exp(s, 60)
+        r = 1 / added(s.reshape(-1, s.shape[-1]))
+        mean = s @ v
+        mean.ravel()[:] *= np.repeat(r, WIDTH)
+        return k, v, q, s, r, mean, (self.p["embed"].take(own_ids, axis=0) + mean).reshape(-1, WIDTH)
+
+    def hidden(self, z: np.ndarray) -> np.ndarray:
+        """Hidden values and a one, from rows of ``forward``."""
+        p = self.p
+        h = z @ np.concatenate([p["hidden"], np.zeros((WIDTH, 1), dtype=z.dtype)], axis=1)
+        h += np.append(p["hidden_base"], p["hidden_base"].dtype.type(1))
+        return np.maximum(h, np.zeros_like(h), out=h)
+
+    def members(self, h: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """Of rows in order of their group, the members' values."""
+        member = np.concatenate([self.p["member"], self.p["member_base"][:, None]], axis=1)
+        out = np.empty((len(h), MEMBERS), dtype=h.dtype)
+        for i, part in parts:
+            np.dot(h[part], member[i], out=out[part])
+        return out
+
+    def groups(self, h: np.ndarray) -> np.ndarray:
+        return h @ np.concatenate([self.p["group"], self.p["group_base"][None]])
+
+    def log_probability(self, x_ids: np.ndarray, targets: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of the target slots, and of any slot that begins a word, (n * STRIDE)."""
-        h = self.forward(x_ids)[-1]
-        t = targets.ravel()
-        order = np.argsort(t // MEMBERS, kind="stable")
-        # places by group of their target, so that each group's members are one product
-        h, t = h[order], t[order]
-        g, m = t // MEMBERS, t % MEMBERS
-        rows = np.arange(len(t))
-        lg = h @ self.p["group"]
-        lg += self.p["group_base"]
-        own = lg[rows, g]
+        order, g, m, parts = by_group(targets)
+        h = self.hidden(self.forward(x_ids, tables)[-1].take(order, axis=0))
+        rows = np.arange(len(g))
+        lg, lm = self.groups(h), self.members(h, parts)
+        own = lg[rows, g] + lm[rows, m]
         np.exp(lg, out=lg)
-        begin, all_ = np.log(added(lg[:, :GROUPS // 2])), np.log(added(lg))
-        cut = np.searchsorted(g, np.arange(GROUPS + 1))
-        lm = np.empty((len(t), MEMBERS), dtype=np.float32)
-        for i in range(GROUPS):
-            part = slice(cut[i], cut[i + 1])
-            np.matmul(h[part], self.p["member"][i], out=lm[part])
-            lm[part] += self.p["member_base"][i]
-        own += lm[rows, m]
         np.exp(lm, out=lm)
+        sums = lg @ np.repeat(np.eye(2, dtype=lg.dtype), GROUPS // 2, axis=0)
+        begin, all_ = np.log(sums[:, 0]), np.log(added(sums))
         own -= all_ + np.log(added(lm))
         out, first = np.empty_like(own), np.empty_like(own)
         out[order], first[order] = own, begin - all_
         return out, first
 
     def gradients(self, x_ids: np.ndarray, targets: np.ndarray, known: np.ndarray) -> dict:
-        p = self.p
-        k, v, q, s, z, h = self.forward(x_ids)
-        t, w = targets.ravel(), (known.ravel() / max(1, known.sum())).astype(np.float32)[:, None]
-        g, m = t // MEMBERS, t % MEMBERS
-        rows, out = np.arange(len(t)), {}
-
-        def error(e, right, w):
-            np.minimum(e, e.dtype.type(80), out=e)
-            np.exp(e, out=e)
-            e /= added(e)[:, None]
-            e[rows, right] -= 1
-            e *= w
+        p, out = self.p, {}
+        k, v, q, s, r, mean, z = self.forward(x_ids)
+        # rows stand in order of their target's group, so that each group's members are one product
+        order, g, m, parts = by_group(targets)
+        w = (known.ravel() / max(1, known.sum())).astype(np.float32)[order]
+        z = z.take(order, axis=0)
+        h = self.hidden(z)
+        rows = np.arange(len(g))
+
+        def error(e, right):
+            limited_exp(e, 80)
+            e.ravel()[:] *= np.repeat(w / added(e), e.shape[1])
+            e[rows, right] -= w
             return e
 
-        # places by group of their target, as in log_probability
-        order = np.argsort(g, kind="stable")
-        cut = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        parts = [(i, slice(cut[i], cut[i + 1])) for i in range(GROUPS) if cut[i] < cut[i + 1]]
-        sorted_h, lm, back = h[order], np.empty((len(t), MEMBERS), dtype=h.dtype), np.empty_like(h)
-        for i, part in parts:
-            np.matmul(sorted_h[part], p["member"][i], out=lm[part])
-            lm[part] += p["member_base"][i]
-        eg, em = error(h @ p["group"] + p["group_base"], g, w), error(lm, m[order], w[order])
-        out["group"], out["group_base"] = h.T @ eg, added(eg.T)
-        out["member"], out["member_base"] = np.zeros_like(p["member"]), np.zeros_like(p["member_base"])
+        eg, em = error(self.groups(h), g), error(self.members(h, parts), m)
+        both = h.T @ eg
+        out["group"], out["group_base"] = both[:-1], both[-1]
+        of_members, dh = np.zeros((GROUPS, HIDDEN + 1, MEMBERS), dtype=h.dtype), np.empty((len(h), HIDDEN), dtype=h.dtype)
+        back = np.ascontiguousarray(p["member"].transpose(0, 2, 1))
         for i, part in parts:
-            np.matmul(sorted_h[part].T, em[part], out=out["member"][i])
-            np.matmul(em[part], p["member"][i].T, out=back[part])
-        own = [i for i, _ in parts]
-        out["member_base"][own] = np.add.reduceat(em, cut[own])
-        dh = eg @ p["group"].T
-        dh[order] += back
-        dh *= h > 0
-        out["hidden"], out["hidden_base"] = z.T @ dh, added(dh.T)
-        dz = (dh @ p["hidden"].T).reshape(q.shape)
-        ds = dz @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dz
-        ds = s * (ds - added(ds * s)[..., None])
-        out["near"] = np.bincount(self.reach.ravel(), weights=np.where(self.ahead, 0, ds.sum(0)).ravel(), minlength=len(p["near"])).astype(np.float32)
-        scale = np.float32(WIDTH ** -0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat, own = p["embed"].take(x_ids.ravel(), axis=0), p["embed"].take(x_ids[:, CONTEXT:].ravel(), axis=0)
-        dq = dq.reshape(-1, WIDTH) * scale
-        out["query"], out["key"], out["value"] = own.T @ dq, flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
-        dx = dk @ p["key"].T
-        dx += dv @ p["value"].T
-        dx[:, CONTEXT:] += dz + (dq @ p["query"].T).reshape(dz.shape)
-        by = np.argsort(x_ids, axis=None, kind="stable")
-        at = runs(x_ids.ravel()[by])[:-1]
-        out["embed"] = np.zeros_like(p["embed"])
-        out["embed"][x_ids.ravel()[by[at]]] = np.add.reduceat(dx.reshape(-1, WIDTH)[by], at)
+            e = em[part]
+            np.dot(h[part].T, e, out=of_members[i])
+            np.dot(e, back[i], out=dh[part])
+        out["member"], out["member_base"] = of_members[:, :-1], of_members[:, -1]
+        dh += eg @ p["group"].T
+        dh *= h[:, :-1] > 0
+        out["hidden"], out["hidden_base"] = z.T @ dh, np.ones(len(dh), dtype=dh.dtype) @ dh
+        back = np.empty_like(order)
+        back[order] = rows
+        dz = (dh @ p["hidden"].T).take(back, axis=0)
+        # what the weights' softmax takes off is the product of dz and the weighted mean of the values
+        off = added(dz * mean.reshape(-1, WIDTH)) * r
+        d = (dz.ravel() * np.repeat(r, WIDTH)).reshape(q.shape)
+        ds = d @ v.transpose(0, 2, 1)
+        ds.ravel()[:] -= np.repeat(off, ds.shape[-1])
+        ds *= s
+        out["near"] = np.bincount(self.reach.ravel(), weights=np.ones(len(ds), dtype=ds.dtype) @ ds.reshape(len(ds), -1), minlength=len(p["near"])).astype(np.float32)
+        dq = (ds @ k).reshape(-1, WIDTH)
+        dq *= np.float32(WIDTH ** -0.5)
+        of_all = np.empty((*x_ids.shape, 2 * WIDTH), dtype=ds.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=of_all[..., :WIDTH])
+        np.matmul(s.transpose(0, 2, 1), d, out=of_all[..., WIDTH:])
+        of_all = of_all.reshape(-1, 2 * WIDTH)
+        all_ = p["embed"].take(x_ids, axis=0)
+        both = all_.reshape(-1, WIDTH).T @ of_all
+        out["query"], out["key"], out["value"] = all_[:, CONTEXT:].reshape(-1, WIDTH).T @ dq, both[:, :WIDTH], both[:, WIDTH:]
+        dx = (of_all @ np.concatenate([p["key"], p["value"]], axis=1).T).reshape(all_.shape)
+        dz += dq @ p["query"].T
+        dx[:, CONTEXT:] += dz.reshape(q.shape)
+        place = np.arange(p["embed"].size).reshape(p["embed"].shape).take(x_ids, axis=0)
+        out["embed"] = np.bincount(place.ravel(), weights=dx.ravel(), minlength=p["embed"].size).astype(dx.dtype).reshape(p["embed"].shape)
         return out
 
     def start(self) -> dict:
@@ -530,10 +593,9 @@ class Model:
             v *= np.float32(0.99)
             v += np.float32(0.01) * g
             np.sqrt(v, out=moved)
-            moved *= np.float32((1 - 0.99 ** step) ** -0.5)
-            moved += np.float32(1e-8)
+            moved += np.float32(1e-8 * (1 - 0.99 ** step) ** 0.5)
             np.divide(m, moved, out=moved)
-            moved *= np.float32(rate / (1 - 0.9 ** step))
+            moved *= np.float32(rate * (1 - 0.99 ** step) ** 0.5 / (1 - 0.9 ** step))
             flat -= moved
         return {**shaped(flat), **{f"first {k}": x for k, x in shaped(m).items()}, **{f"second {k}": x for k, x in shaped(v).items()}}
 
@@ -542,7 +604,7 @@ class Model:
         slots = self.slot[flat]
         doc, start, _ = window_index(bounds)
         lp, begin = self.tail_log[flat], np.zeros(len(flat))
-        padded = np.append(slots, np.int16(PAD))
+        padded, tables = np.append(slots, np.int16(PAD)), self.tables()
         for at in range(0, len(doc), 128):
             d, s = doc[at:at + 128], start[at:at + 128]
             target = s[:, None] + np.arange(STRIDE, dtype=np.int64)
@@ -550,7 +612,7 @@ class Model:
             source = s[:, None] - 1 - CONTEXT + np.arange(STRIDE + CONTEXT)
             head = bounds[d][:, None] - 1
             x = np.where(source > head, padded[np.minimum(np.maximum(source, 0), len(slots))], np.where(source == head, BOS, PAD))
-            own, first = self.log_probability(x, np.where(real, padded[np.minimum(target, len(slots))], 0).astype(np.int64))
+            own, first = self.log_probability(x, np.where(real, padded[np.minimum(target, len(slots))], 0).astype(np.int64), tables)
             where = target[real]
             lp[where] += own.reshape(real.shape)[real]
             begin[where] = first.reshape(real.shape)[real]
@@ -612,39 +674,54 @@ def shards_of(model: Model, blocks: DataFrame, shard_windows: int, folds: int, p
     if not total:
         return None
     n_shards = max(1, round(total / shard_windows))
+    # a message goes from so many windows to a lot, not to a shard: the number of messages is the product of both
+    lot = min(LOT, -(-n_shards // LOTS))
+    n_lots = -(-n_shards // lot)
     sent = blocks.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("hash", pa.binary()), ("slots", pa.binary())])
+    schema = pa.schema([("lot", pa.int64()), ("n", pa.int64()), ("shard", pa.binary()), ("hash", pa.binary()), ("slots", pa.binary())])
 
     def deal(batches):
         kept, n = [], 0
 
         def rows():
             order, slots = (np.concatenate(x) for x in zip(*kept))
-            return table_of([(shard, len(own), (order[own] >> np.uint64(32)).astype(np.uint32).tobytes(), packed_slots(slots[own]))
-                             for shard, own in dealt(order, n_shards)], schema).to_batches()
+            shard = shard_of(order, n_shards)
+            return table_of([(k, len(own), squeezed((shard[own] % lot).astype(np.uint8).tobytes()), (order[own] >> np.uint64(32)).astype(np.uint32).tobytes(),
+                              packed_slots(slots[own])) for k, own in by_value(shard // lot)], schema).to_batches()
 
         for batch in batches:
             for b in (Spelled(blob, folds, path) for chunk in batch.column(0) for blob in blobs_of(chunk)):
                 order, ids = training_windows(b, b.sub, b.at)
                 kept.append((order, sent.value.slots(ids)))
                 n += len(order)
-                # of several blocks, so that rows of one shard are packed together
+                # of several blocks, so that rows of one lot are packed together
                 if n >= DEALT:
                     yield from rows()
                     kept, n = [], 0
         if n:
             yield from rows()
 
-    def joined_shard(t):
+    def joined_lot(t):
         n = t.column("n").to_pylist()
+        shard = np.frombuffer(b"".join(map(restored, t.column("shard").to_pylist())), dtype=np.uint8)
         order = np.frombuffer(b"".join(t.column("hash").to_pylist()), dtype=np.uint32)
         slots = np.concatenate([unpacked_slots(x, k) for x, k in zip(t.column("slots").to_pylist(), n)])
-        # where hashes agree, slots decide, so that the order does not depend on partitions
-        slots = slots[np.lexsort([*slots.T[::-1], order])]
-        return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(slots)], pa.int64()), "slots": pa.array([packed_slots(slots)], pa.binary())})
-
-    return stage(blocks.select("data").mapInArrow(deal, "shard long, n long, hash binary, slots binary").repartition(n_shards, "shard")
-                 .groupBy("shard").applyInArrow(joined_shard, "shard long, n long, slots binary"))
+        made = [(t.column("lot")[0].as_py() * lot + k, len(own), packed_slots(slots[own][sorted_windows(order[own], slots[own])])) for k, own in by_value(shard)]
+        return table_of(made, pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("slots", pa.binary())]))
+
+    return stage(blocks.select("data").mapInArrow(deal, "lot long, n long, shard binary, hash binary, slots binary").repartition(n_lots, "lot")
+                 .groupBy("lot").applyInArrow(joined_lot, "shard long, n long, slots binary"))
+
+
+def sorted_windows(order: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Places of windows by hash; where hashes agree, slots decide, so that the order does not depend on partitions."""
+    by = np.argsort(order, kind="stable")
+    at = runs(order[by])
+    size = np.diff(at)
+    tied = np.flatnonzero(np.repeat(size > 1, size))
+    own = by[tied]
+    by[tied] = own[np.lexsort([*slots[own].T[::-1], order[own]])]
+    return by
 
 
 def trained(model: Model, shards: DataFrame | None) -> Model:

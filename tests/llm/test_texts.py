@@ -281,6 +281,42 @@ def test_spelled_blocks_keep_words_and_windows():
         assert np.array_equal(np.concatenate([np.zeros(0, dtype=np.uint64), *[attention_lm.hashes_of(r[1]) for r in rows]]), b.hash)
 
 
+def test_a_chunk_spells_a_word_once(monkeypatch):
+    """Blocks of a chunk are spelled as if alone, but a word of several is spelled and sent once."""
+    path = attention_lm.vocabulary_path()
+    common = words(1, 900)
+    blobs = [packed([i, None], [(common + " " + words(i, 40)).encode(), b"it's"]) for i in range(1, 6)] + [packed([9], [b""])]
+    alone, spelled, subwords = [attention_lm.spelled_block(blob, 10, path) for blob in blobs], [], attention_lm.subwords
+    monkeypatch.setattr(attention_lm, "subwords", lambda own, path: spelled.extend(own) or subwords(own, path))
+    data, n_windows, counts = attention_lm.spelled_chunk(blobs, 10, path)
+    assert data == [x[0] for x in alone] and n_windows == sum(x[1] for x in alone)
+    assert len(spelled) == len(set(spelled)) < 0.3 * sum(len(attention_lm.Block(blob, 10).hash) for blob in blobs)
+    blocks = [attention_lm.Spelled(x, 10, path) for x in data]
+    both = attention_lm.Words(blocks)
+    assert len(both.hash) == len(spelled) and all(np.array_equal(both.hash[w], b.hash) for w, b in zip(both.of_block, blocks))
+    assert both.trained.sum() == sum(b.trained.sum() for b in blocks)
+    sent = list(attention_lm.word_rows(both, 3))
+    assert len(sent) <= 8 and np.array_equal(np.concatenate([attention_lm.hashes_of(r[1]) for r in sent]), both.hash)
+
+
+def test_lots_of_shards_hold_what_shards_hold(spark, monkeypatch):
+    """Messages go to lots, whose number does not follow the number of shards alone; shards are the same."""
+    path, made = attention_lm.vocabulary_path(), attention_lm.pa.schema([("data", attention_lm.pa.list_(attention_lm.pa.binary())), ("n_windows", attention_lm.pa.int64()),
+                                                                        ("id_counts", attention_lm.pa.binary())])
+    docs = documents(spark, [(i, words(i, 300)) for i in range(300)]).repartition(3)
+    blocks = attention_lm.blocks_of(docs, "doc_id", "text", lambda blobs: attention_lm.spelled_chunk(blobs, 10, path), made, "data array<binary>, n_windows long, id_counts binary")
+    m, found = small_model(), []
+    for lots in (1000, 2):
+        monkeypatch.setattr(attention_lm, "LOTS", lots)
+        shards = attention_lm.shards_of(m, blocks, 400, 10, path).collect()
+        found.append({r["shard"]: attention_lm.unpacked_slots(r["slots"], r["n"]) for r in shards})
+        assert len(shards) == len(found[-1]) > 20
+    assert all(np.array_equal(found[0][k], found[1][k]) for k in found[0]) and found[0].keys() == found[1].keys()
+    order = np.array([3, 1, 3, 2, 1, 3], dtype=np.uint32)
+    slots = np.array([[5, 1], [9, 9], [5, 0], [7, 7], [8, 9], [4, 9]], dtype=np.int16)
+    assert attention_lm.sorted_windows(order, slots).tolist() == [4, 1, 3, 5, 2, 0]
+
+
 def test_windows_are_staged_once(spark):
     from pathlib import Path
 
