@@ -58,6 +58,7 @@ DEALT = 1 << 17  # windows that a task deals to lots of shards at a time
 LOTS, LOT = 128, 16  # up to LOTS shards are lots of their own; a lot holds LOT shards at most
 SPELLED = 1 << 16  # words that are spelled at a time
 ROUNDS, BATCH, RATE = 4, 64, 0.02
+SCORED = 256  # windows that are scored at a time
 SEEN = CONTEXT + 1 + STRIDE
 NO_PLACE, TEXT_HEAD = 65_535, 65_534  # in windows: a place outside the text, and the one before its first id
 PIECES = 16
@@ -605,8 +606,8 @@ class Model:
         doc, start, _ = window_index(bounds)
         lp, begin = self.tail_log[flat], np.zeros(len(flat))
         padded, tables = np.append(slots, np.int16(PAD)), self.tables()
-        for at in range(0, len(doc), 128):
-            d, s = doc[at:at + 128], start[at:at + 128]
+        for at in range(0, len(doc), SCORED):
+            d, s = doc[at:at + SCORED], start[at:at + SCORED]
             target = s[:, None] + np.arange(STRIDE, dtype=np.int64)
             real = target < bounds[d + 1][:, None]
             source = s[:, None] - 1 - CONTEXT + np.arange(STRIDE + CONTEXT)
